@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, toxicity, url_filter
+from . import bpe, language, licenses, mixing, token_store, toxicity, url_filter
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,18 @@ def held_out(key: str, mod: int, rest: int):
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(mod)) == rest, F.lit(False))
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_store.write_store(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
+    out = token_store.read_store(manifest)
+    return out.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     profiles = language.learn_profiles(docs, where=~held_out("k", 4, 2))
@@ -39,6 +51,17 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("byte_bpe_50k.json")
+    out = bpe.decode(bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    text = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).documents
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -49,8 +72,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_store": op1_token_store,
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
+    "op4_bpe": op4_bpe,
+    "op5_mixing": op5_mixing,
     "op6_url_filter": op6_url_filter,
     "op10_license_scan": op10_license_scan,
 }
