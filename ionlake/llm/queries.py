@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, mixing, token_store, toxicity, url_filter
+from . import ann, bpe, language, licenses, mixing, spotsigs, token_store, toxicity, url_filter
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_neighbours(read(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan_licenses(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.concat_ws(",", "sentence_ids").alias("sentence_ids"), F.concat_ws(",", "licenses").alias("licenses"), F.size("licenses").alias("n_licenses"))
@@ -78,6 +86,8 @@ QUERIES: dict[str, Query] = {
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op6_url_filter": op6_url_filter,
+    "op7_ann": op7_ann,
+    "op9_spotsigs": op9_spotsigs,
     "op10_license_scan": op10_license_scan,
 }
 
