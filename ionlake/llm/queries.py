@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, language, licenses, mixing, spotsigs, token_store, toxicity, url_filter
+from . import ann, bpe, language, licenses, mixing, ngram_join, spotsigs, token_store, toxicity, url_filter
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,10 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(read(spark, sf_dir, "documents"))
+
+
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_neighbours(read(spark, sf_dir, "documents"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op5_mixing": op5_mixing,
     "op6_url_filter": op6_url_filter,
     "op7_ann": op7_ann,
+    "op8_ngram_join": op8_ngram_join,
     "op9_spotsigs": op9_spotsigs,
     "op10_license_scan": op10_license_scan,
 }

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents of each label that a model is fitted on, at most: those with the smallest hash of their id.
-SAMPLE_PER_LABEL = 6_000
+SAMPLE_PER_LABEL = 4_000
 #: A feature counts if at least so many sampled documents hold it, and no more than this share of them.
 LEAST_DOCUMENTS, MOST_SHARE = 4, 0.1
 #: L1 penalty and steps of the fit, the leak, and the logistic function's argument without evidence.
