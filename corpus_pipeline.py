@@ -1,10 +1,73 @@
-"""A corpus pipeline of five stages over documents."""
+"""A corpus pipeline over documents: language identification, toxicity, near-duplicate removal, mixing, BPE.
+
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next one's docs. All but the last return the columns of docs.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ionlake.llm import bpe, language, mixing, ngram_join, toxicity
+from ionlake.llm.queries import held_out, tokenizer_file
+from ionlake.llm.shared import materialize, read
+
+#: No SQL expresses the trained stages and the tokenizer; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with its columns renamed c_0, c_1, ..., so that no name clashes, and the text's new name."""
+    return docs.toDF(*(f"c_{i}" for i in range(len(docs.columns)))), f"c_{docs.columns.index('text')}"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told: those without a letter (or text) go."""
+    profiles = language.learn_profiles(docs, where=~held_out("k", 4, 2))
+    work, text = _numbered(docs)
+    said = language.identify(work, profiles, text=text, columns=tuple(work.columns))
+    return said.where(F.col("lang_pred") != language.UNDETERMINED).select(*work.columns).toDF(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted to be toxic."""
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels"), where=~held_out("doc_id", 3, 1))
+    work, text = _numbered(docs)
+    said = toxicity.score_documents(work, model, text=text, columns=tuple(work.columns))
+    return said.where(F.col("predicted") == 0).select(*work.columns).toDF(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.deduplicated(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the words that the mix takes of them; those it takes nothing of go."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they decode to its text."""
+    path = tokenizer_file("byte_bpe_50k.json")
+    out = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("intact"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("toxicity", drop_toxic),
+    ("ngram_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs)
+    return docs
