@@ -10,13 +10,14 @@ put together, over further chunks as long as there is no safe cut, and encoded a
 exactly with the encoding of the whole text.
 
 Defined cases: a null text is encoded as the empty one; an empty text has no ids; ids outside the
-vocabulary and null ids cannot be decoded and raise; repeated rows stay repeated.
+vocabulary and a null list of ids cannot be decoded and raise; repeated rows stay repeated.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +28,12 @@ from pyspark.sql import functions as F
 #: Mean chunk size is about 1 << CHUNK_BITS bytes, between the bounds.
 CHUNK_BITS, LEAST_CHUNK, MOST_CHUNK = 10, 256, 8192
 #: Bounds of what a process keeps at hand: pieces, and bytes of chunks.
-PIECES, CHUNK_BYTES = 400_000, 64 << 20
+PIECES, CHUNK_BYTES = 300_000, 32 << 20
 
 _GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(17)).astype(np.uint32)
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-_LOOSE = re.compile(r" (?:\s|\Z)|\s |\A ")
+_RARE_SPACE = [chr(c) for c in range(1, 0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+_HEAD = re.compile(r"[^\W_]+(?=[!-/:-@\[-`{-~])")
 _LOADED: dict = {}
 
 
@@ -49,24 +51,47 @@ def tokenizer(path: str):
 
 
 class Pieces:
-    """Ids of spellings, each encoded by the library once and kept as little-endian 32-bit integers."""
+    """Ids of spellings, each encoded by the library once and kept as little-endian 32-bit integers.
+
+    A spelling of letters or digits before an ASCII punctuation mark is encoded in two parts, as the
+    tokenizers here always split there; the parts are far fewer than their combinations.
+    """
 
     def __init__(self, path: str, prefix: str = "", most: int = PIECES):
         self.encode_batch = tokenizer(path).encode_batch_fast
         self.prefix, self.most = prefix, most
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def _encode(self, held: dict[str, bytes], prefix: str, new: set[str]) -> None:
+        for p, e in zip(new, self.encode_batch([prefix + p for p in new], add_special_tokens=False), strict=True):
+            held[p] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encode what of the pieces isn't known yet, in two calls of the library."""
+        for held in (self.known, self.heads, self.tails):
+            if len(held) >= self.most:
+                held.clear()
+                self.tails[""] = b""
+        cut = {p: _halves(p) for p in pieces.difference(self.known)}
+        self._encode(self.heads, self.prefix, {h for h, _ in cut.values()}.difference(self.heads))
+        self._encode(self.tails, "", {t for _, t in cut.values()}.difference(self.tails))
+        heads, tails = self.heads, self.tails
+        for p, (head, tail) in cut.items():
+            self.known[p] = heads[head] + tails[tail]
 
     def ids(self, pieces: list[str]) -> bytes:
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            if len(known) >= self.most:
-                known.clear()
-            new = [p for p in dict.fromkeys(pieces) if p not in known]
-            for p, e in zip(new, self.encode_batch([self.prefix + p for p in new], add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
-            return b"".join(map(known.__getitem__, pieces))
+        """The ids of pieces learned before, one after the other."""
+        return b"".join(map(self.known.__getitem__, pieces))
+
+
+def _halves(piece: str) -> tuple[str, str]:
+    """The piece cut before its first punctuation mark, where normalising and lower-casing keep the cut."""
+    m = _HEAD.match(piece)
+    if not m or not (piece.isascii() or (piece[m.end() - 1] != "\u0130" and unicodedata.is_normalized("NFC", piece))):
+        return piece, ""
+    return piece[: m.end()], piece[m.end() :]
 
 
 def cuts(data: bytes) -> list[int]:
@@ -104,33 +129,35 @@ class ChunkEncoder:
         self.chunks: dict[bytes, tuple[str, bytes | None, str]] = {}
         self.held = self.asked = self.reused = 0
 
-    def chunk(self, data: bytes) -> tuple[str, bytes | None, str]:
-        """(text before the first safe cut, ids between the safe cuts, text after the last one); without a
-        safe cut (whole text, None, "")."""
-        self.asked += 1
-        got = self.chunks.get(data)
-        if got is not None:
-            self.reused += 1
-            return got
+    def parts(self, data: bytes) -> list[str]:
+        """A chunk's text cut at its safe cuts, without the spaces there."""
         text = data.decode("utf-8", "surrogatepass")
-        parts = _SAFE.split(text) if _LOOSE.search(text) else text.split(" ")
-        got = (parts[0], self.inner.ids(parts[1:-1]), " " + parts[-1]) if len(parts) > 1 else (text, None, "")
+        single = text[0] != " " != text[-1] and "  " not in text and " \n" not in text and "\n " not in text
+        return text.split(" ") if single and not any(c in text for c in _RARE_SPACE) else _SAFE.split(text)
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers. New chunks and seams of all texts are encoded together."""
         if self.held > CHUNK_BYTES:
             self.chunks.clear()
             self.held = 0
-        self.chunks[data] = got
-        self.held += 2 * len(data) + len(got[1] or b"") + 200
-        return got
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers. The seams of all texts are encoded together."""
-        plans, seams = [], []
+        cut: list[list[bytes]] = []
         for text in texts:
             data = (text or "").encode("utf-8", "surrogatepass")
-            plan, open_, at = [], [], 0
-            for stop in cuts(data):
-                head, mid, tail = self.chunk(data[at:stop])
-                at = stop
+            stops = cuts(data)
+            cut.append([data[a:b] for a, b in zip([0, *stops], stops)])
+        new = {c: self.parts(c) for c in {c for chunks in cut for c in chunks}.difference(self.chunks)}
+        self.asked += sum(map(len, cut))
+        self.reused += sum(map(len, cut)) - len(new)
+        self.inner.learn({p for parts in new.values() for p in parts[1:-1]})
+        for c, parts in new.items():
+            # text before the first safe cut, ids between the safe cuts, text after the last one
+            self.chunks[c] = (parts[0], self.inner.ids(parts[1:-1]), " " + parts[-1]) if len(parts) > 1 else (parts[0], None, "")
+            self.held += 3 * len(c) + 300
+        plans, seams = [], []
+        for chunks in cut:
+            plan, open_ = [], []
+            for c in chunks:
+                head, mid, tail = self.chunks[c]
                 open_.append(head)
                 if mid is not None:  # safe cuts close what is open and open anew
                     seams.append("".join(open_))
@@ -189,7 +216,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell = _spellings(path).__getitem__
         for batch in batches:
-            said = [b"".join(map(spell, x)).decode("utf-8", "replace") for x in batch.column(names.index(ids)).to_pylist()]
+            said = [b"".join(map(spell, x.values.to_numpy().tolist())).decode("utf-8", "replace") for x in batch.column(names.index(ids))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], [*names, "decoded"])
 
     return tokens.mapInArrow(run, ", ".join([*(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)), "decoded string"]))

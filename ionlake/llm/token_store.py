@@ -158,7 +158,6 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "d
     """Encode all texts, each followed by end_id, into shards in ascending order of the key; the manifest."""
     folder = shared_folder(docs.sparkSession)
     bounds, n = bucket_bounds(docs, key, rows_per_shard)
-    width = 2 if bpe.tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).withColumn("b", bucket_of("k", bounds))
     rows = rows.repartition(max(1, len(bounds) + 1), "b").sortWithinPartitions("b", F.asc_nulls_first("k"), "t")
 
@@ -166,14 +165,19 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "d
         spelled = bpe._LOADED.setdefault((tokenizer_path, "words"), None) or bpe.Pieces(tokenizer_path)
         bpe._LOADED[tokenizer_path, "words"] = spelled
         end = np.array([end_id], dtype="<u4").tobytes()
+        width = 2 if max(end_id + 1, bpe.tokenizer(tokenizer_path).get_vocab_size()) <= 1 << 16 else 4
         out, done = None, []
         for batch in batches:
             buckets, keys = batch.column(2).to_pylist(), batch.column(0).to_pylist()
-            for b, k, t in zip(buckets, keys, batch.column(1), strict=True):
+            texts: list[list[str]] = []
+            for i, (b, k) in enumerate(zip(buckets, keys, strict=True)):
+                if i % 64 == 0:  # new words of some documents at a time
+                    texts = [_words(t.as_py() or "") for t in batch.column(1).slice(i, 64)]
+                    spelled.learn({w for words in texts for w in words})
                 if out is None or out.shard != b:
                     done += [out.close()] if out else []
                     out = ShardWriter(folder, b, width)
-                out.add(k, np.frombuffer(spelled.ids(_words(t.as_py() or "")) + end, dtype="<u4"))
+                out.add(k, np.frombuffer(spelled.ids(texts[i % 64]) + end, dtype="<u4"))
         done += [out.close()] if out else []
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], kind) for i, kind in enumerate((pa.int32(), pa.string(), *[pa.int64()] * 4))], ["shard", "path", "n_docs", "n_tokens", "first_key", "last_key"])
 
