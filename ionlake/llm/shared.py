@@ -62,13 +62,10 @@ def bucket_of(key: str, bounds: list[int]) -> Column:
     """The number of bounds not above the key: 0 for null and for keys below all of them."""
     if not bounds:
         return F.lit(0)
-    # binary search by halves: log2(bounds) comparisons instead of one for each bound
-    at = F.lit(0)
-    step = 1 << (len(bounds).bit_length() - 1)
     table = F.array(*(F.lit(b).cast("long") for b in bounds))
-    while step:
-        probe = at + F.lit(step)
-        fits = (probe <= len(bounds)) & (F.try_element_at(table, probe) <= F.col(key))
-        at = F.when(fits, probe).otherwise(at)
-        step >>= 1
-    return at
+    steps = F.array(*(F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)))
+
+    def halve(at: Column, step: Column) -> Column:
+        return F.when((at + step <= len(bounds)) & (F.try_element_at(table, at + step) <= F.col(key)), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), halve)
