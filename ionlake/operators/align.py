@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spectrum_udfs
-from .layout import ALL, finite, nest_points
+from .layout import per_spectrum, finite, nest_points
 
 EPS = 2.220446049250313e-16
 LEAST_RELATIVE, LEAST_ABSOLUTE = 5e-7, 1e-4
@@ -51,7 +51,7 @@ def _relative(units: str) -> bool:
 
 def resolution(points: DataFrame, units: str = "ppm") -> DataFrame:
     """(spectrum_id, resolution, low, high): the smallest gap between neighbours, null where there is none."""
-    by_mz = ALL.orderBy("mz")
+    by_mz = per_spectrum().orderBy("mz")
     before = F.lag("mz").over(by_mz)
     gap = 2 * (F.col("mz") - before) / (F.col("mz") + before) if _relative(units) else F.col("mz") - before
     gaps = points.where(finite(F.col("mz"))).withColumn("gap", gap)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .layout import ALL, ORDERED, WHOLE, finite
+from .layout import per_spectrum, in_order, whole, finite
 
-BEFORE = ORDERED.rowsBetween(Window.unboundedPreceding, 0)
-AFTER = ORDERED.rowsBetween(0, Window.unboundedFollowing)
+
+def up_to_here() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def from_here() -> WindowSpec:
+    return in_order().rowsBetween(0, Window.unboundedFollowing)
 
 
 def corrected(points: DataFrame, baseline: str = "baseline", scale: float = 1.0) -> DataFrame:
@@ -23,8 +28,8 @@ def local_maxima(x: Column, radius: int, right_edge: int) -> Column:
     right_edge: how many samples at the end cannot be maxima."""
     i, n = F.col("i"), F.col("n")
     x = F.when(finite(x), x)  # non-finite neighbours are passed over
-    left = F.max(x).over(ORDERED.rowsBetween(-radius, -1)) if radius else F.lit(None).cast("double")
-    right = F.max(x).over(ORDERED.rowsBetween(1, radius)) if radius else F.lit(None).cast("double")
+    left = F.max(x).over(in_order().rowsBetween(-radius, -1)) if radius else F.lit(None).cast("double")
+    right = F.max(x).over(in_order().rowsBetween(1, radius)) if radius else F.lit(None).cast("double")
     fits = (i >= radius) & (i <= n - 1 - right_edge) & (F.coalesce(left, F.lit(float("-inf"))) < x) & (F.coalesce(right, F.lit(float("-inf"))) <= x)
     return fits if radius else F.lit(False)
 
@@ -36,15 +41,15 @@ def locmin(points: DataFrame, width: int = 5, upper: bool = False) -> DataFrame:
         raise ValueError("locmin: width must be at least 3")
     r = width // 2
     ok = finite(F.col("intensity"))
-    held = points.withColumn("s", F.when(ok, F.col("intensity")).otherwise(F.coalesce(F.median(F.when(ok, F.col("intensity"))).over(ALL), F.lit(0.0))))
+    held = points.withColumn("s", F.when(ok, F.col("intensity")).otherwise(F.coalesce(F.median(F.when(ok, F.col("intensity"))).over(per_spectrum()), F.lit(0.0))))
     s, i, n = F.col("s"), F.col("i"), F.col("n")
     turned = s if upper else -s
     held = held.withColumn("anchor", local_maxima(turned, r, r) | (i == 0) | (i == n - 1))
     mark = F.when(F.col("anchor"), F.struct("i", "s"))
-    held = held.withColumn("p", F.last(mark, ignorenulls=True).over(BEFORE)).withColumn("q", F.first(mark, ignorenulls=True).over(AFTER))
+    held = held.withColumn("p", F.last(mark, ignorenulls=True).over(up_to_here())).withColumn("q", F.first(mark, ignorenulls=True).over(from_here()))
     p, q = F.col("p"), F.col("q")
     line = F.when(p["i"] == q["i"], p["s"]).otherwise(p["s"] + (q["s"] - p["s"]) * (i - p["i"]) / (q["i"] - p["i"]))
-    flat = (F.max(s) if upper else F.min(s)).over(ALL)
+    flat = (F.max(s) if upper else F.min(s)).over(per_spectrum())
     return held.withColumn("baseline", F.when(n < 3, flat).otherwise(line)).drop("s", "anchor", "p", "q")
 
 
@@ -54,6 +59,6 @@ def snip(points: DataFrame, m: int = 5, decreasing: bool = True) -> DataFrame:
     held = points.withColumn("baseline", F.col("intensity"))
     y = F.col("baseline")
     for p in range(m, 0, -1) if decreasing else range(1, m + 1):
-        mean = (F.lag(y, p).over(ORDERED) + F.lead(y, p).over(ORDERED)) / 2
+        mean = (F.lag(y, p).over(in_order()) + F.lead(y, p).over(in_order())) / 2
         held = held.withColumn("baseline", F.least(y, F.coalesce(mean, y)))
     return held

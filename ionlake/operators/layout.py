@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ALL = Window.partitionBy("spectrum_id")
-ORDERED = ALL.orderBy("i")
-WHOLE = ORDERED.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def per_spectrum() -> WindowSpec:
+    return Window.partitionBy("spectrum_id")
+
+
+def in_order() -> WindowSpec:
+    return per_spectrum().orderBy("i")
+
+
+def whole() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def explode_points(spectra: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import weights
-from .layout import ALL, ORDERED
+from .layout import per_spectrum, in_order
 from .smooth import convolved
 
 METHODS = ("sd", "mad", "quantile", "diff")
@@ -27,19 +27,19 @@ def with_noise(points: DataFrame, method: str = "sd") -> DataFrame:
         raise ValueError(f"noise: unknown method {method}")
     x = F.col("intensity")
     if method == "diff":
-        ends = F.max_by(x, "i").over(ALL) - F.min_by(x, "i").over(ALL)
+        ends = F.max_by(x, "i").over(per_spectrum()) - F.min_by(x, "i").over(per_spectrum())
         mean = F.when(F.col("n") > 1, ends / (F.col("n") - 1))
         held = points.withColumn("mean_step", mean)
-        return held.withColumn("noise", _floored(F.avg(F.abs(x - F.col("mean_step"))).over(ALL))).drop("mean_step")
+        return held.withColumn("noise", _floored(F.avg(F.abs(x - F.col("mean_step"))).over(per_spectrum()))).drop("mean_step")
     held = points.withColumn("r", residual(x))
     r = F.col("r")
     if method == "sd":
-        out = held.withColumn("noise", _floored(F.stddev_samp(r).over(ALL)))
+        out = held.withColumn("noise", _floored(F.stddev_samp(r).over(per_spectrum())))
     elif method == "quantile":
-        out = held.withColumn("noise", _floored(F.percentile(r, 0.95).over(ALL)))
+        out = held.withColumn("noise", _floored(F.percentile(r, 0.95).over(per_spectrum())))
     else:
-        held = held.withColumn("mid", F.median(r).over(ALL))
-        out = held.withColumn("noise", _floored(F.lit(1.4826) * F.median(F.abs(r - F.col("mid"))).over(ALL))).drop("mid")
+        held = held.withColumn("mid", F.median(r).over(per_spectrum()))
+        out = held.withColumn("noise", _floored(F.lit(1.4826) * F.median(F.abs(r - F.col("mid"))).over(per_spectrum()))).drop("mid")
     return out.drop("r")
 
 

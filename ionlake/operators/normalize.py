@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .layout import ALL
+from .layout import per_spectrum
 
 METHODS = ("tic", "rms", "ref", "median")
 
@@ -18,17 +18,17 @@ def normalize(points: DataFrame, method: str = "tic", scale: float | None = None
         raise ValueError("normalize: scale must be finite and not negative")
     x = F.col("intensity")
     if method == "tic":
-        base = F.sum(x).over(ALL)
+        base = F.sum(x).over(per_spectrum())
     elif method == "rms":
-        base = F.sqrt(F.avg(x * x).over(ALL))
+        base = F.sqrt(F.avg(x * x).over(per_spectrum()))
     elif method == "median":
-        base = F.median(x).over(ALL)
+        base = F.median(x).over(per_spectrum())
     else:
         if ref is None or ref_tolerance < 0:
             raise ValueError("normalize: ref needs a reference m/z and a tolerance")
         gap = F.abs(F.col("mz") - ref)
         near = F.when(gap <= ref_tolerance, F.struct(gap.alias("gap"), "mz", "i", "intensity"))
-        base = F.min(near).over(ALL)["intensity"]  # ties go to the lower m/z
+        base = F.min(near).over(per_spectrum())["intensity"]  # ties go to the lower m/z
     factor = F.lit(1.0 if method == "ref" else None).cast("double") if scale is None else F.lit(float(scale))
     if scale is None and method != "ref":
         factor = F.col("n").cast("double")

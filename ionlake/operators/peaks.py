@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .baseline import local_maxima
-from .layout import ALL
+from .layout import per_spectrum
 from .noise import with_noise
 
 
@@ -17,7 +17,7 @@ def pick(points: DataFrame, width: int = 5, snr: float | None = 2.0, noise: str
     r = width // 2
     peaks = held.withColumn("peak", local_maxima(F.col("intensity"), r, r - 1))
     if relheight is not None:
-        top = F.max(F.when(F.col("peak"), F.col("intensity"))).over(ALL)
+        top = F.max(F.when(F.col("peak"), F.col("intensity"))).over(per_spectrum())
         peaks = peaks.withColumn("top", top).where((F.col("top") > 0) & (F.col("intensity") / F.col("top") >= relheight)).drop("top")
     peaks = peaks.where("peak")
     if wanted:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .layout import ALL, ORDERED
+from .layout import per_spectrum, in_order
 
 
 def crop_mz(points: DataFrame, low: float, high: float) -> DataFrame:
@@ -13,17 +13,17 @@ def crop_mz(points: DataFrame, low: float, high: float) -> DataFrame:
     if low > high:
         raise ValueError("crop_mz: low is above high")
     kept = points.where(F.col("mz").between(low, high))
-    return kept.select("spectrum_id", (F.row_number().over(ORDERED) - 1).alias("i"), F.count(F.lit(1)).over(ALL).cast("int").alias("n"), "mz", "intensity")
+    return kept.select("spectrum_id", (F.row_number().over(in_order()) - 1).alias("i"), F.count(F.lit(1)).over(per_spectrum()).cast("int").alias("n"), "mz", "intensity")
 
 
 def sort_by_mz(points: DataFrame) -> DataFrame:
     """Points renumbered in ascending m/z; equal m/z keep their order."""
-    return points.withColumn("i", F.row_number().over(ALL.orderBy("mz", "i")) - 1)
+    return points.withColumn("i", F.row_number().over(per_spectrum().orderBy("mz", "i")) - 1)
 
 
 def is_sorted(points: DataFrame) -> DataFrame:
     """(spectrum_id, is_sorted): of every spectrum, not of a sample."""
-    steps = points.withColumn("back", F.coalesce(F.lag("mz").over(ORDERED) > F.col("mz"), F.lit(False)))
+    steps = points.withColumn("back", F.coalesce(F.lag("mz").over(in_order()) > F.col("mz"), F.lit(False)))
     return steps.groupBy("spectrum_id").agg((~F.bool_or("back")).alias("is_sorted"))
 
 

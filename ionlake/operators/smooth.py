@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import weights
-from .layout import ALL, ORDERED, WHOLE
+from .layout import per_spectrum, in_order, whole
 
 
 def moving_average(points: DataFrame, window: int = 5, coef: list[float] | None = None) -> DataFrame:
@@ -21,9 +21,9 @@ def moving_average(points: DataFrame, window: int = 5, coef: list[float] | None
     window = weights.odd(window)
     r = window // 2
     x, i, n = F.col("intensity"), F.col("i"), F.col("n")
-    inside = F.sum(x).over(ORDERED.rowsBetween(-r, r))
+    inside = F.sum(x).over(in_order().rowsBetween(-r, r))
     left, right = F.greatest(F.lit(0), F.lit(r) - i), F.greatest(F.lit(0), F.lit(r) - (n - 1 - i))
-    return points.withColumn("intensity", (inside + left * F.first(x).over(WHOLE) + right * F.last(x).over(WHOLE)) / window)
+    return points.withColumn("intensity", (inside + left * F.first(x).over(whole()) + right * F.last(x).over(whole())) / window)
 
 
 def gaussian(points: DataFrame, window: int = 5, sd: float | None = None) -> DataFrame:
@@ -36,12 +36,12 @@ def _convolve(points: DataFrame, kernel: list[float]) -> DataFrame:
 
 def convolved(x: Column, kernel: list[float]) -> Column:
     r = len(kernel) // 2
-    first, last = F.first(x).over(WHOLE), F.last(x).over(WHOLE)
+    first, last = F.first(x).over(whole()), F.last(x).over(whole())
 
     def at(k: int) -> Column:
         if k == 0:
             return x
-        return F.coalesce(F.lag(x, -k).over(ORDERED), first) if k < 0 else F.coalesce(F.lead(x, k).over(ORDERED), last)
+        return F.coalesce(F.lag(x, -k).over(in_order()), first) if k < 0 else F.coalesce(F.lead(x, k).over(in_order()), last)
 
     return reduce(add, (F.lit(w) * at(k - r) for k, w in enumerate(kernel)))
 
@@ -53,7 +53,7 @@ def savgol(points: DataFrame, window: int = 5, polyorder: int = 2, deriv: int =
     w = len(rows)
     half = w // 2
     x, i, n = F.col("intensity"), F.col("i"), F.col("n")
-    near = {0: x} | {d: (F.lead(x, d) if d > 0 else F.lag(x, -d)).over(ORDERED) for d in range(1 - w, w) if d}
+    near = {0: x} | {d: (F.lead(x, d) if d > 0 else F.lag(x, -d)).over(in_order()) for d in range(1 - w, w) if d}
     held = points.select("*", *(c.alias(f"at_{d + w}") for d, c in near.items()))
     place = F.when(i < half, i).when(i >= n - half, w - (n - i)).otherwise(half)
     value = F.when(n < w, x)

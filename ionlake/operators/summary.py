@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .layout import ORDERED, finite
+from .layout import in_order, finite
 
 EPS = 2.220446049250313e-16
 
@@ -15,10 +15,10 @@ def type_scores(points: DataFrame) -> DataFrame:
     p = points.where(finite(F.col("mz")) & finite(F.col("intensity"))).withColumn("a", F.abs("intensity"))
     top = p.groupBy("spectrum_id").agg(F.max("a").alias("top"), F.count(F.lit(1)).alias("m"))
     p = p.join(top, "spectrum_id")
-    a, before, after = F.col("a"), F.lag("a").over(ORDERED), F.lead("a").over(ORDERED)
+    a, before, after = F.col("a"), F.lag("a").over(in_order()), F.lead("a").over(in_order())
     p = p.withColumn("big", a > F.greatest(F.col("top") * 1e-6, F.lit(EPS)))
     peak = F.col("big") & F.when(before.isNull(), a > after).when(after.isNull(), a > before).otherwise((a >= before) & (a > after))
-    step = F.col("mz") - F.lag("mz").over(ORDERED)
+    step = F.col("mz") - F.lag("mz").over(in_order())
     p = p.withColumn("peak", F.coalesce(peak, F.lit(False))).withColumn("step", F.when(step > 0, step))
     g = p.groupBy("spectrum_id", "m", "top").agg(F.count_if("big").alias("big"), F.count_if("peak").alias("peaks"), (F.stddev_pop("step") / F.avg("step")).alias("cv"))
     each = F.col("big") / F.greatest(F.col("peaks"), F.lit(1))
@@ -89,7 +89,7 @@ def ion_image(points: DataFrame, pixels: DataFrame, mz: float, tolerance: float)
 
 def plot_frame(points: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
     """Points of a plot with the vertical limit of their spectrum: 1.05 times its maximum, at least 1."""
-    from .layout import ALL
+    from .layout import per_spectrum
 
     shown = points if low is None else points.where(F.col("mz").between(low, high))
-    return shown.withColumn("y_limit", F.greatest(F.max("intensity").over(ALL) * 1.05, F.lit(1.0)))
+    return shown.withColumn("y_limit", F.greatest(F.max("intensity").over(per_spectrum()) * 1.05, F.lit(1.0)))

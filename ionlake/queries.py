@@ -1,4 +1,223 @@
-"""The registered queries over the driver's tables."""
+"""The registered queries over the driver's tables; ``oracles`` has the SQL they are held against."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import spectrum_udfs as udfs
+from .operators import align, baseline, layout, noise, normalize, peaks, select, smooth, summary
+from .oracles import ORACLES  # noqa: F401
+from .plans.pipeline import Pipeline
+from .sources import tables as t
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def rounded(c: str, digits: int = 6):
+    """Rounded, and without a negative zero."""
+    return (F.round(F.col(c), digits) + F.lit(0.0)).alias(c)
+
+
+def curve(points: DataFrame, value: str = "intensity", digits: int = 6) -> DataFrame:
+    return points.select("spectrum_id", "i", rounded(value, digits))
+
+
+def peak_list(found: DataFrame) -> DataFrame:
+    return found.select("spectrum_id", "i", rounded("mz", 6), rounded("intensity", 6))
+
+
+def events(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: fn(t.event_points(spark, sf_dir))
+
+
+def lines(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: fn(t.lineitem_points(spark, sf_dir))
+
+
+def embeddings(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: fn(t.embedding_points(spark, sf_dir))
+
+
+def arrays(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    """Over event spectra as arrays; the result's array ``value`` comes out point by point."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = fn(layout.nest_points(t.event_points(spark, sf_dir)))
+        return out.select("spectrum_id", F.posexplode("value").alias("i", "value")).select("spectrum_id", "i", rounded("value"))
+
+    return run
+
+
+def spatial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.spatial_window(t.embedding_spectra(spark, sf_dir), 3, 2, 12, 6).select("spectrum_id", "x", "y", "z")
+
+
+def pixel_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors dealt to fewer pixels than there are, so that later ones replace earlier ones."""
+    s = t.embedding_spectra(spark, sf_dir).withColumn("x", (F.col("spectrum_id") % 5).cast("int")).withColumn("y", (F.col("spectrum_id") % 7).cast("int"))
+    out = select.upsert(s.withColumn("first_value", F.col("intensity")[0]).drop("intensity"))
+    return out.select("spectrum_id", "x", "y", "z", "region", rounded("first_value"))
+
+
+def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = t.embedding_spectra(spark, sf_dir).withColumn("kind", F.floor(F.col("intensity")[0] * 100))
+    return summary.duplicates(s, "region", "kind")
+
+
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.dense_mask(t.embedding_spectra(spark, sf_dir).where(F.col("spectrum_id") % 3 == 0))
+
+
+def ion_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.ion_image(t.embedding_points(spark, sf_dir), t.embedding_spectra(spark, sf_dir), 110.0, 1.0).select("x", "y", rounded("intensity"))
+
+
+def align_domain(points: DataFrame) -> DataFrame:
+    g = align.domain(points)
+    return points.sparkSession.createDataFrame([(g.low, g.high, g.step, g.tolerance)], "low double, high double, step double, tolerance double")
+
+
+def align_bins(points: DataFrame) -> DataFrame:
+    return align.bins(points, align.domain(points)).select("bin", rounded("mz", 9), "count")
+
+
+def align_merge(points: DataFrame) -> DataFrame:
+    axis, _ = align.reference(points)
+    return axis.select("peak", rounded("mz", 9), "count")
+
+
+def align_down(points: DataFrame) -> DataFrame:
+    axis, grid = align.reference(points)
+    return align.align_down(points, axis, grid).select("spectrum_id", "peak", rounded("intensity"))
+
+
+def align_up(points: DataFrame) -> DataFrame:
+    grid = align.domain(points)
+    axis = [grid.low + (grid.high - grid.low) * k / 255 for k in range(256)]
+    out = align.align(points, axis, 2e-3)
+    return out.select("spectrum_id", F.posexplode("aligned").alias("i", "intensity")).where("intensity <> 0").select("spectrum_id", "i", rounded("intensity"))
+
+
+def full_pipeline(points: DataFrame) -> DataFrame:
+    """Called out of order on purpose: the plan sorts its steps."""
+    plan = Pipeline(points).peak_pick(width=5, snr=2.0, noise="sd").normalization("tic").noise_reduction("gaussian", window=5).baseline_correction("locmin", width=5)
+    return peak_list(plan.start())
+
+
+def peaks_area(points: DataFrame) -> DataFrame:
+    found = layout.nest_points(peaks.pick(points, 5, 2.0, "sd").select("spectrum_id", "i", F.col("i").alias("at")), "at")
+    held = layout.nest_points(points).join(found, "spectrum_id").withColumn("area", udfs.areas(F.col("mz"), F.col("intensity"), F.col("at")))
+    return held.select("spectrum_id", F.explode(F.arrays_zip("at", "area")).alias("p")).select("spectrum_id", F.col("p.at").alias("i"), F.round("p.area", 6).alias("area"))
+
+
+def peaks_prominence(points: DataFrame) -> DataFrame:
+    found = layout.nest_points(peaks.pick(points, 5, None).select("spectrum_id", "i", F.col("i").alias("at")), "at")
+    held = layout.nest_points(points).join(found, "spectrum_id").withColumn("prominence", udfs.prominence(F.col("intensity"), F.col("at")))
+    out = held.select("spectrum_id", F.explode(F.arrays_zip("at", "prominence")).alias("p")).select("spectrum_id", F.col("p.at").alias("i"), F.round("p.prominence", 6).alias("prominence"))
+    return out.where(F.col("prominence") >= 20)
+
+
+def peaks_origin(points: DataFrame) -> DataFrame:
+    held = layout.nest_points(points).join(noise.noise(points, "sd"), "spectrum_id")
+    out = held.select("spectrum_id", F.explode(udfs.origin(F.col("mz"), F.col("intensity"), F.col("noise"))).alias("p"))
+    return out.select("spectrum_id", "p.i", F.round("p.mz", 6).alias("mz"), F.round("p.intensity", 6).alias("intensity"), F.round("p.area", 6).alias("area"))
+
+
+def noise_curve(points: DataFrame) -> DataFrame:
+    from .functions import kernels
+
+    binned = noise.binned_noise(points, 4, 0.5)
+    nested = binned.join(points.groupBy("spectrum_id").agg(F.first("n").alias("n")), "spectrum_id").groupBy("spectrum_id", "n").agg(F.array_sort(F.collect_list(F.struct("mid", "noise"))).alias("p"))
+
+    @F.pandas_udf("array<double>")
+    def through(mids, values, n):
+        import numpy as np
+        import pandas as pd
+
+        return pd.Series([kernels.noise_curve(np.array(a), np.array(b), int(c)) for a, b, c in zip(mids, values, n, strict=True)])
+
+    out = nested.select("spectrum_id", F.posexplode(through(F.col("p.mid"), F.col("p.noise"), F.col("n"))).alias("i", "noise"))
+    return out.select("spectrum_id", "i", F.round("noise", 6).alias("noise"))
+
+
+def metrics(points: DataFrame) -> DataFrame:
+    out = summary.before_after(points, smooth.gaussian(points, 5))
+    return out.select("spectrum_id", rounded("correlation"), rounded("tic_ratio"))
+
+
+def statistics(points: DataFrame) -> DataFrame:
+    return summary.statistics(points).select("spectrum_id", "n", rounded("mz_min"), rounded("mz_max"), rounded("base_mz"), rounded("base_intensity"), rounded("tic", 4))
+
+
+def noise_of(method: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda p: noise.noise(p, method).select("spectrum_id", rounded("noise"))
+
+
+def peaks_of(method: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda p: peak_list(peaks.pick(p, 5, 2.0, method))
+
+
+QUERIES: dict[str, Query] = {
+    "points_events": events(lambda p: p.select("spectrum_id", "i", "n", rounded("mz"), rounded("intensity"))),
+    "points_embeddings": embeddings(lambda p: p.select("spectrum_id", "i", "n", rounded("mz"), rounded("intensity"))),
+    "points_lineitem": lines(lambda p: p.select("spectrum_id", "i", "n", rounded("mz"), rounded("intensity"))),
+    "crop_mz": events(lambda p: select.crop_mz(p, 500.0, 1500.0).select("spectrum_id", "i", "n", rounded("mz"), rounded("intensity"))),
+    "is_sorted": events(select.is_sorted),
+    "spatial_window": spatial,
+    "pixel_upsert": pixel_upsert,
+    "rows_slice": lambda s, d: select.rows_slice(t.embedding_spectra(s, d), 10, 200, 3).select("spectrum_id", "x", "y"),
+    "clamp_negative": events(lambda p: curve(select.clamp_negative(p.withColumn("intensity", F.col("intensity") - 20)))),
+    "spectrum_stats": events(statistics),
+    "norm_tic": events(lambda p: curve(normalize.normalize(p, "tic"))),
+    "norm_rms": events(lambda p: curve(normalize.normalize(p, "rms"))),
+    "norm_ref": events(lambda p: curve(normalize.normalize(p, "ref", ref=1000.0, ref_tolerance=20.0))),
+    "norm_median": events(lambda p: curve(normalize.normalize(p, "median"))),
+    "smooth_ma": events(lambda p: curve(smooth.moving_average(p, 5))),
+    "smooth_ma_coef": events(lambda p: curve(smooth.moving_average(p, coef=[1.0, 2.0, 4.0]))),
+    "smooth_gaussian": events(lambda p: curve(smooth.gaussian(p, 5))),
+    "smooth_savgol": embeddings(lambda p: curve(smooth.savgol(p, 7, 2))),
+    "smooth_wavelet": arrays(lambda s: s.withColumn("value", udfs.wavelet(F.col("intensity")))),
+    "smooth_gaussian_ns": arrays(lambda s: s.withColumn("value", udfs.neighbour_smooth(F.col("mz"), F.col("intensity"), 5))),
+    "smooth_bi_ns": arrays(lambda s: s.withColumn("value", udfs.neighbour_smooth(F.col("mz"), F.col("intensity"), 5, bilateral=True))),
+    "noise_sd": events(noise_of("sd")),
+    "noise_mad": events(noise_of("mad")),
+    "noise_quantile": events(noise_of("quantile")),
+    "noise_diff": events(noise_of("diff")),
+    "noise_bins_sd": events(lambda p: noise.binned_noise(p, 4).select("spectrum_id", "b", "mid", rounded("noise"))),
+    "noise_bins_overlap": events(lambda p: noise.binned_noise(p, 4, 0.5, "quantile").select("spectrum_id", "b", "mid", rounded("noise"))),
+    "noise_curve": events(noise_curve),
+    "snr_spectrum": events(lambda p: noise.snr(p).select("spectrum_id", rounded("signal"), rounded("noise"), rounded("snr", 4))),
+    "baseline_locmin": events(lambda p: curve(baseline.locmin(p, 5), "baseline")),
+    "baseline_locmin_upper": events(lambda p: curve(baseline.locmin(p, 5, upper=True), "baseline")),
+    "baseline_snip_m5": lines(lambda p: curve(baseline.snip(p, 5), "baseline")),
+    "baseline_corrected": events(lambda p: curve(baseline.corrected(baseline.locmin(p, 5), scale=0.9))),
+    "baseline_asls": arrays(lambda s: s.withColumn("value", udfs.asls(F.col("intensity"), 1e4))),
+    "baseline_snip_auto": arrays(lambda s: s.withColumn("value", udfs.snip(F.col("intensity")))),
+    "baseline_lowess": arrays(lambda s: s.withColumn("value", udfs.lowess(F.col("mz"), F.col("intensity"), 0.3))),
+    "peaks_sd": events(peaks_of("sd")),
+    "peaks_mad": events(peaks_of("mad")),
+    "peaks_quantile": events(peaks_of("quantile")),
+    "peaks_diff": events(peaks_of("diff")),
+    "peaks_relheight": lines(lambda p: peak_list(peaks.pick(p, 3, None, relheight=0.8))),
+    "peaks_prominence": events(peaks_prominence),
+    "peaks_area": events(peaks_area),
+    "peaks_origin": events(peaks_origin),
+    "align_resolution": lines(lambda p: align.resolution(p).select("spectrum_id", rounded("resolution", 9), rounded("low"), rounded("high"))),
+    "align_domain": lines(align_domain),
+    "align_bins": lines(align_bins),
+    "align_merge": lines(align_merge),
+    "align_down": lines(align_down),
+    "align_up": events(align_up),
+    "infer_type": embeddings(lambda p: summary.infer_type(p).select("spectra", rounded("score", 4), "spectrum_type")),
+    "type_scores": events(summary.type_scores),
+    "mask": lambda s, d: summary.mask(t.embedding_spectra(s, d)),
+    "dense_mask": dense,
+    "dedup_summary": dedup,
+    "ion_image": ion_image,
+    "before_after_metrics": events(metrics),
+    "plot_frame": events(lambda p: summary.plot_frame(p, 200.0, 400.0).select("spectrum_id", "i", rounded("intensity"), rounded("y_limit"))),
+    "pipeline_full": events(full_pipeline),
+}
