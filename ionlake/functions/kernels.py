@@ -96,7 +96,7 @@ def lowess(x: np.ndarray, y: np.ndarray, f: float = 0.1, robust_steps: int = 3,
             break
         off = np.abs(y - fitted)
         limit = 6 * np.median(off)
-        if limit < 1e-7 * off.mean():
+        if limit <= 1e-7 * off.mean():
             break
         robust = np.where(off <= 0.001 * limit, 1.0, np.where(off <= 0.999 * limit, (1 - (off / limit) ** 2) ** 2, 0.0))
     return fitted

@@ -7,11 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import spectrum_udfs
 
-SPECTRA = T.StructType.fromDDL("spectrum_id bigint, x int, y int, z int, mz array<double>, intensity array<double>")
+SPECTRA = "spectrum_id bigint, x int, y int, z int, mz array<double>, intensity array<double>"
 
 
 def read_spectra(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
