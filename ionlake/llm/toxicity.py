@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 #: Labelled documents of each label that a model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE_PER_LABEL = 4_000
-#: A feature counts if at least so many sampled documents hold it, and no more than this share of them.
+#: A feature counts if at least so many sampled documents hold it, and no more than this share of those of label 0.
 LEAST_DOCUMENTS, MOST_SHARE = 4, 0.1
 #: L1 penalty and steps of the fit, the leak, and the logistic function's argument without evidence.
 PENALTY, STEPS, LEAK, BIAS = 5e-5, 150, 0.05, -4.0
@@ -108,9 +108,10 @@ def fit(bags: list[tuple[int, bytes, bytes]]) -> NoisyOr:
     doc_of = np.repeat(np.arange(n_doc), [len(x) for x in sizes])
     sent_of = np.repeat(np.arange(n_sent, dtype=np.int32), np.concatenate(sizes))
     names, feats = np.unique(raw, return_inverse=True)
-    once = np.unique(feats.astype(np.int64) * n_doc + doc_of[sent_of]) // n_doc
-    spread = np.bincount(once, minlength=len(names))
-    keep = (spread >= LEAST_DOCUMENTS) & (spread <= max(LEAST_DOCUMENTS, MOST_SHARE * n_doc))
+    once = np.unique(feats.astype(np.int64) * n_doc + doc_of[sent_of])
+    spread = np.bincount(once // n_doc, minlength=len(names))
+    plain = np.bincount(once // n_doc, labels[once % n_doc] == 0, minlength=len(names))
+    keep = (spread >= LEAST_DOCUMENTS) & (plain <= max(LEAST_DOCUMENTS, MOST_SHARE * (labels == 0).sum()))
     place = np.cumsum(keep) - 1
     used = keep[feats]
     feats, sent_of, names = place[feats[used]], sent_of[used], names[keep]
