@@ -5,8 +5,9 @@ with equal sets are one class. The order of tokens that all sets share puts freq
 otherwise, and a set's prefix is so long that two linked sets share a token of their prefixes.
 
 1. Linking: every class is compared with the classes that lead the prefix tokens it shares (the smallest
-   and the largest member of each token); the links found join most near copies, and with them the groups
-   of similar documents, at a cost in proportion to the tokens.
+   member of each token and the one with most frequent tokens, as the common origin of edited copies has),
+   then once more with leaders in other components; the links found join most near copies, and with them
+   the groups of similar documents, at a cost in proportion to the tokens.
 2. Token-group matrix: a row for each prefix token and group (a component so far, in parts of bounded size),
    the group's token union. Matching a class's own prefix tokens with the unions of other groups gives an upper
    bound of its overlap with any member; only qualifying groups are opened, and there the union of whole
@@ -35,7 +36,7 @@ from .shingles import shingle_sets
 
 WIDTH, PART, WHOLE = 5, 4, 5
 #: A token is frequent above this many prefixes; there are never more than MOST_FREQUENT such tokens.
-FREQUENT, MOST_FREQUENT = 48, 400_000
+FREQUENT, MOST_FREQUENT = 12, 400_000
 #: Members of a group's part, and queries that meet it in one task.
 GROUP_MEMBERS, TASK_QUERIES = 64, 256
 #: Up to this many ids (8 bytes each) the texts to compare are picked with a broadcast list, else by a shuffle.
@@ -57,7 +58,7 @@ def _ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, frequent: np.ndarray, width: int) -> DataFrame:
-    """(id, n, digest, prefix) of every row."""
+    """(id, n, digest, hub, prefix) of every row; hub: how many tokens in a thousand of the prefix are frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,11 +66,12 @@ def _sketch(docs: DataFrame, frequent: np.ndarray, width: int) -> DataFrame:
                 part = batch.slice(at, 256)
                 sets = [_ordered(s, frequent) for s in shingle_sets(part.column(1).to_pylist(), width)]
                 prefixes = [s[: _prefix_size(len(s))] if len(s) else s for s in sets]
+                hubs = [1000 * int((x >= 1 << 62).sum()) // max(1, len(x)) for x in prefixes]
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))], ["id", "n", "digest", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests, pa.binary()), pa.array(hubs, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))], ["id", "n", "digest", "hub", "prefix"])
 
-    return docs.mapInArrow(run, "id long, n int, digest binary, prefix array<long>")
+    return docs.mapInArrow(run, "id long, n int, digest binary, hub int, prefix array<long>")
 
 
 def _open(docs: DataFrame, wanted: DataFrame, members: DataFrame, width: int) -> DataFrame:
@@ -121,6 +123,25 @@ def _open(docs: DataFrame, wanted: DataFrame, members: DataFrame, width: int) ->
     return parts.join(texts, "id").select("g", "task", "id", "role", "text").groupBy("g", "task").applyInArrow(compare, "u long, v long")
 
 
+def _candidates(led: DataFrame) -> DataFrame:
+    """(x, g): for each class the two leaders with most tokens in common, of those a link to is likely."""
+    near = led.where(WHOLE * F.least("n", "y.n") >= PART * F.greatest("n", "y.n")).groupBy("id", "n", F.col("y.id").alias("y")).agg(F.count(F.lit(1)).alias("common"))
+    near = near.where(F.col("common") * 3 >= _prefix(F.col("n")))
+    best = near.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("common", "y")), asc=False), 1, 2).alias("best"))
+    return best.select(F.col("id").alias("x"), F.explode("best.y").alias("g"))
+
+
+def _as_groups(pairs: DataFrame) -> DataFrame:
+    return pairs.select("g").distinct().select("g", F.col("g").alias("y"))
+
+
+def _split(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Shared tokens with their component c, without the tokens that one component holds alone."""
+    token = Window.partitionBy("t")
+    mine = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    return mine.withColumn("c0", F.min("c").over(token)).withColumn("c1", F.max("c").over(token)).where(F.col("c0") != F.col("c1")).drop("c0", "c1")
+
+
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(key, n_shingles, component_id) of every row; component_id is the smallest key reachable by links."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -136,29 +157,28 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     sketch = materialize(_sketch(rows, frequent, width))
     linkable = sketch.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = materialize(linkable.groupBy("digest").agg(F.min(F.struct("id", "n", "prefix")).alias("c")).select("digest", "c.id", "c.n", "c.prefix"))
+    classes = materialize(linkable.groupBy("digest").agg(F.min(F.struct("id", "n", "hub", "prefix")).alias("c")).select("digest", "c.id", "c.n", "c.hub", "c.prefix"))
 
     token = Window.partitionBy("t")
-    me = F.struct("id", "n")
-    shared = classes.select("id", "n", F.explode("prefix").alias("t")).select("*", F.count(F.lit(1)).over(token).alias("held"), F.min(me).over(token).alias("low"), F.max(me).over(token).alias("high"))
-    shared = materialize(shared.where(F.col("held") > 1).select("t", "id", "n", "low", "high"))
-
-    # 1. linking with leaders
-    led = shared.select("id", "n", F.explode(F.array("low", "high")).alias("y")).where(F.col("id") != F.col("y.id"))
-    led = led.where((WHOLE * F.least("n", "y.n") >= PART * F.greatest("n", "y.n")))
-    led = led.groupBy("id", "n", F.col("y.id").alias("y")).agg(F.count(F.lit(1)).alias("common")).where(F.col("common") * 3 >= _prefix(F.col("n")))
-    led = led.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("common", "y")), asc=False), 1, 2).alias("best"))
-    pairs = materialize(led.select(F.col("id").alias("x"), F.explode("best.y").alias("g")))
-    leaders = pairs.select("g").distinct().select("g", F.col("g").alias("y"))
-    first = materialize(_open(rows, pairs, leaders, width))
+    shared = classes.select("id", "n", "hub", F.explode("prefix").alias("t")).withColumn("held", F.count(F.lit(1)).over(token))
+    shared = materialize(shared.where(F.col("held") > 1).select("t", "id", "n", "hub"))
+
+    # 1. linking with leaders, then with leaders of other components
+    led = shared.withColumn("low", F.min(F.struct("id", "n")).over(token)).withColumn("top", F.max(F.struct("hub", (-F.col("id")).alias("o"), "id", "n")).over(token))
+    led = led.select("id", "n", F.explode(F.array("low", F.struct("top.id", "top.n"))).alias("y"))
+    pairs = materialize(_candidates(led.where(F.col("id") != F.col("y.id"))))
+    links = materialize(_open(rows, pairs, _as_groups(pairs), width))
+    mine = _split(shared, connected(links))
+    lead = F.struct("hub", (-F.col("id")).alias("o"), "id", "n", "c")
+    mine = mine.withColumn("a", F.max(lead).over(token)).withColumn("b", F.max(F.when(F.col("c") != F.col("a.c"), lead)).over(token))
+    led = mine.select("id", "n", F.when(F.col("c") != F.col("a.c"), F.col("a")).otherwise(F.col("b")).alias("y"))
+    pairs = materialize(_candidates(led).join(pairs, ["x", "g"], "left_anti"))
+    first = materialize(links.unionByName(_open(rows, pairs, _as_groups(pairs), width)))
     labels = connected(first)
 
     # 2. the token-group matrix over the components so far
-    sizes = materialize(labels.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
-    placed = materialize(labels.join(sizes, "component"))
-    mine = shared.select("t", "id", "n").join(placed.withColumnRenamed("node", "id"), "id", "left")
-    mine = mine.select("t", "id", "n", F.coalesce("component", "id").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
-    mine = mine.select("*", F.min("c").over(token).alias("c0"), F.max("c").over(token).alias("c1")).where(F.col("c0") != F.col("c1")).drop("c0", "c1")
+    sizes = materialize(labels.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("component", "c"))
+    mine = _split(shared, labels).join(sizes, "c", "left").withColumn("size", F.coalesce("size", F.lit(1)))
     mine = materialize(mine.withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / GROUP_MEMBERS)).cast("int")))
     group = F.struct("c", "part")
     facts = mine.select("c", "part", "id", "n").distinct().groupBy("c", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
