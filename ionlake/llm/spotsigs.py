@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bucket_bounds, bucket_of
+from .shared import bucket_bounds, bucket_of, materialize
 
 # Common words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -122,3 +122,34 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["k", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     return sent.select("k", "s", "t", "b", "guest").mapInArrow(run, "k long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("k", key)
+
+
+def near_duplicates(prints: DataFrame, key: str = "doc_id", part: int = 4, whole: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members) of fingerprints at least part / whole alike.
+
+    pairs: (a, b, likeness) between the smallest keys of equal fingerprints, a < b; members: (key, class).
+    Sets are partitioned by length so that alike ones lie in the same or the next partition; within it a
+    class meets others only through its rarest signatures, and the sizes are compared before the sets are.
+    """
+    known = prints.where(F.col(key).isNotNull() & (F.length("fingerprint") > 0)).select(F.col(key).alias("k"), "fingerprint")
+    classes = materialize(known.groupBy("fingerprint").agg(F.min("k").alias("c")))
+    members = known.join(classes, "fingerprint").select(F.col("k").alias(key), F.col("c").alias("class"))
+    n = (F.length("fingerprint") / 8).cast("int")
+    sets = classes.select("c", n.alias("n"), F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.col("fingerprint").substr(i * 8 + 1, F.lit(8))).alias("s"))
+    rare = sets.select("c", "n", F.explode("s").alias("t"))
+    spread = materialize(rare.groupBy("t").agg(F.count(F.lit(1)).alias("held")))
+    # a set's rarest signatures, so many that two alike sets share one
+    place = F.row_number().over(Window.partitionBy("c").orderBy("held", "t"))
+    first = rare.join(spread, "t").withColumn("at", place).where((F.col("at") <= F.col("n") - F.ceil(F.lit(part) * F.col("n") / whole) + 1) & (F.col("held") > 1))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(whole / part)) + 1e-9)
+    first = first.withColumn("band", band)
+    left = first.select("t", F.col("c").alias("a"), F.col("n").alias("na"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    right = first.select("t", F.col("c").alias("b"), F.col("n").alias("nb"), "band")
+    met = left.join(right, ["band", "t"]).where(((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (whole * F.col("na") >= part * F.col("nb")))
+    met = materialize(met.select("a", "b").distinct())
+    sized = sets.select("c", "s")
+    both = met.join(sized.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(sized.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    alike = (common / (F.size("x") + F.size("y") - common)).alias("likeness")
+    found = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), alike)
+    return found.where(F.col("likeness") >= part / whole), members

@@ -220,3 +220,26 @@ def test_spot_signatures_by_hand():
     assert len(spotsigs.signatures("the big house was by the small river bank")) == 4
     assert spotsigs.likeness("", "") == 1 and spotsigs.likeness("", "00000001") == 0
     assert spotsigs.likeness("0000000100000002", "0000000200000003") == pytest.approx(1 / 3)
+
+
+def test_spot_join_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for f in range(6):
+        base = prose(rng, "en", 90).split()
+        for v in range(6):
+            words = list(base)
+            for _ in range(rng.randrange(6)):
+                words[rng.randrange(90)] = f"new{rng.randrange(99)}"
+            rows.append((10 * f + v, " ".join(words), "en", "a"))
+    rows += [(70, rows[0][1], "en", "a"), (71, "", "en", "a"), (None, rows[0][1], "en", "a")]
+    prints = spotsigs.fingerprints(docs_frame(spark, rows))
+    pairs, members = spotsigs.near_duplicates(prints)
+    sigs = {i: spotsigs.fingerprint(spotsigs.signatures(t)) for i, t, _, _ in rows if i is not None and t}
+    first = {}
+    for i in sorted(sigs):
+        first.setdefault(sigs[i], i)
+    reps = sorted(first.values())
+    want = {(a, b): spotsigs.likeness(sigs[a], sigs[b]) for k, a in enumerate(reps) for b in reps[k + 1 :]}
+    assert {(r["a"], r["b"]): pytest.approx(r["likeness"]) for r in pairs.collect()} == {k: v for k, v in want.items() if v >= 0.8}
+    assert {r["doc_id"]: r["class"] for r in members.collect()} == {i: first[s] for i, s in sigs.items()}
