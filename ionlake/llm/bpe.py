@@ -125,7 +125,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         self.encode = tokenizer(path).encode_batch_fast
-        self.inner = Pieces(path, " ")
+        self.inner = Pieces(path, " ", PIECES // 2)
         self.chunks: dict[bytes, tuple[str, bytes | None, str]] = {}
         self.held = self.asked = self.reused = 0
 
