@@ -328,3 +328,49 @@ def noise_curve(mids: np.ndarray, values: np.ndarray, n: int, degree: int = 3) -
                 term *= (grid - mids[first + l_]) / (mids[first + j] - mids[first + l_])
         out += term
     return out
+
+
+class LineFits:
+    """Squared errors of straight-line fits to any stretch of a signal, from running sums."""
+
+    def __init__(self, x: np.ndarray):
+        x = np.asarray(x, dtype=float)
+        t = np.arange(len(x), dtype=float)
+        self.sums = [np.concatenate(([0.0], np.cumsum(v))) for v in (np.ones(len(x)), t, t * t, x, t * x, x * x)]
+
+    def error(self, low, stop):
+        """Of the samples low to stop (exclusive); arrays give arrays."""
+        n, t, tt, x, tx, xx = (s[stop] - s[low] for s in self.sums)
+        n = np.maximum(n, 1)
+        ct, cx, cc = tt - t * t / n, tx - t * x / n, xx - x * x / n
+        return np.maximum(cc - np.where(ct > 0, cx * cx / np.where(ct > 0, ct, 1), 0.0), 0.0)
+
+
+def dynamic_bins(x: np.ndarray, bins: int = 4, iterations: int = 10) -> list[tuple[int, int]]:
+    """Bins (first, last sample) that follow the signal: in turn the neighbouring pair with least error is joined
+    and the worst bin split where two lines fit best, as long as the total error falls. At least 3 bins."""
+    n, bins = len(x), max(3, bins)
+    if n == 0:
+        return []
+    fits = LineFits(x)
+    edges = sorted({k * n // bins for k in range(bins + 1)})
+    cost = lambda e: fits.error(np.array(e[:-1]), np.array(e[1:]))
+    best = cost(edges)
+    for _ in range(iterations):
+        if len(edges) < 3:
+            break
+        p = int(np.argmin(best[:-1] + best[1:]))
+        joined = edges[: p + 1] + edges[p + 2 :]
+        for k in np.argsort(-cost(joined), kind="stable").tolist():
+            low, stop = joined[k], joined[k + 1]
+            if stop - low >= 2:
+                at = np.arange(low + 1, stop)
+                cut = int(at[np.argmin(fits.error(low, at) + fits.error(at, stop))])
+                break
+        else:
+            break
+        new = joined[: k + 1] + [cut] + joined[k + 1 :]
+        if cost(new).sum() >= best.sum():
+            break
+        edges, best = new, cost(new)
+    return [(a, b - 1) for a, b in zip(edges, edges[1:])]

@@ -78,3 +78,11 @@ def origin(mz: Column, intensity: Column, noise: Column, **how) -> Column:
         return pd.Series(out)
 
     return run(mz, intensity, noise)
+
+
+def dynamic_bins(intensity: Column, bins: int = 4, iterations: int = 10) -> Column:
+    @F.pandas_udf("array<struct<low:int,high:int>>")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([[{"low": a, "high": b} for a, b in kernels.dynamic_bins(np.asarray(v, dtype=float), bins, iterations)] for v in x])
+
+    return run(intensity)

@@ -143,6 +143,20 @@ def noise_curve(points: DataFrame) -> DataFrame:
     return out.select("spectrum_id", "i", F.round("noise", 6).alias("noise"))
 
 
+def smoothed_baseline(points: DataFrame) -> DataFrame:
+    """The local-minimum baseline, then LOWESS over m/z."""
+    held = layout.nest_points(baseline.locmin(points, 5), "mz", "baseline").withColumn("value", udfs.lowess(F.col("mz"), F.col("baseline"), 0.2))
+    return held.select("spectrum_id", F.posexplode("value").alias("i", "baseline")).select("spectrum_id", "i", rounded("baseline"))
+
+
+def dynamic_bins(points: DataFrame) -> DataFrame:
+    """Bins that follow the signal, with the noise of the smoothing residual in each."""
+    held = layout.nest_points(points.withColumn("r", noise.residual(F.col("intensity"))), "intensity", "r")
+    at = held.select("spectrum_id", "r", F.explode(udfs.dynamic_bins(F.col("intensity"))).alias("b"))
+    r = at.select("spectrum_id", "b.low", "b.high", F.explode(F.slice("r", F.col("b.low") + 1, F.col("b.high") - F.col("b.low") + 1)).alias("r"))
+    return r.groupBy("spectrum_id", "low", "high").agg(F.round(F.greatest(F.coalesce(F.stddev_samp("r"), F.lit(noise.FLOOR)), F.lit(noise.FLOOR)), 6).alias("noise"))
+
+
 def metrics(points: DataFrame) -> DataFrame:
     out = summary.before_after(points, smooth.gaussian(points, 5))
     return out.select("spectrum_id", rounded("correlation"), rounded("tic_ratio"))
@@ -189,6 +203,7 @@ QUERIES: dict[str, Query] = {
     "noise_bins_sd": events(lambda p: noise.binned_noise(p, 4).select("spectrum_id", "b", "mid", rounded("noise"))),
     "noise_bins_overlap": events(lambda p: noise.binned_noise(p, 4, 0.5, "quantile").select("spectrum_id", "b", "mid", rounded("noise"))),
     "noise_curve": events(noise_curve),
+    "noise_bins_dynamic": events(dynamic_bins),
     "snr_spectrum": events(lambda p: noise.snr(p).select("spectrum_id", rounded("signal"), rounded("noise"), rounded("snr", 4))),
     "baseline_locmin": events(lambda p: curve(baseline.locmin(p, 5), "baseline")),
     "baseline_locmin_upper": events(lambda p: curve(baseline.locmin(p, 5, upper=True), "baseline")),
@@ -197,6 +212,7 @@ QUERIES: dict[str, Query] = {
     "baseline_asls": arrays(lambda s: s.withColumn("value", udfs.asls(F.col("intensity"), 1e4))),
     "baseline_snip_auto": arrays(lambda s: s.withColumn("value", udfs.snip(F.col("intensity")))),
     "baseline_lowess": arrays(lambda s: s.withColumn("value", udfs.lowess(F.col("mz"), F.col("intensity"), 0.3))),
+    "baseline_locmin_lowess": lambda spark, d: smoothed_baseline(t.event_points(spark, d)),
     "peaks_sd": events(peaks_of("sd")),
     "peaks_mad": events(peaks_of("mad")),
     "peaks_quantile": events(peaks_of("quantile")),

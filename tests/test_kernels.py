@@ -119,3 +119,21 @@ def test_nearest_ties_go_down():
 def test_noise_curve_passes_through_its_nodes():
     got = kernels.noise_curve(np.array([0.0, 3, 6, 9]), np.array([1.0, 4, 2, 5]), 10)
     assert np.allclose(got[[0, 3, 6, 9]], [1, 4, 2, 5])
+
+
+def test_line_fits_against_polyfit():
+    x = np.random.default_rng(1).random(30)
+    fits = kernels.LineFits(x)
+    for a, b in ((0, 30), (3, 9), (4, 6), (7, 8)):
+        line = np.polyval(np.polyfit(np.arange(a, b), x[a:b], 1), np.arange(a, b)) if b - a > 1 else x[a:b]
+        assert np.isclose(fits.error(a, b), ((x[a:b] - line) ** 2).sum(), atol=1e-9)
+
+
+def test_dynamic_bins_cover_the_signal_and_find_a_kink():
+    x = np.concatenate((np.zeros(37), np.arange(23) * 2.0))
+    got = kernels.dynamic_bins(x, 3)
+    assert got[0][0] == 0 and got[-1][1] == 59 and all(b[0] == a[1] + 1 for a, b in zip(got, got[1:]))
+    fits = kernels.LineFits(x)
+    static = sum(fits.error(k * 20, k * 20 + 20) for k in range(3))
+    assert sum(fits.error(a, b + 1) for a, b in got) <= static
+    assert kernels.dynamic_bins(np.zeros(0)) == [] and kernels.dynamic_bins(np.ones(1)) == [(0, 0)]
