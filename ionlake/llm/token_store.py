@@ -31,6 +31,7 @@ from .shared import bucket_bounds, bucket_of, materialize, shared_folder
 from .shingles import mix64
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, first_key long, last_key long"
+SPELLINGS = 600_000  # that a process keeps at hand
 GAMMA = 2.0  # bits of a level for each key it gets
 
 
@@ -145,11 +146,19 @@ class Shard:
         self.payload.close()
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _words(text: str) -> list[str]:
     """The text's words as a tokenizer that lower-cases and drops white space sees them: what lies between two
-    spaces or line ends is encoded alike in any surroundings. Plain ASCII is lower-cased at once, unless a
-    special token could come of it."""
-    if text.isascii() and "<|" not in text:
+    spaces or line ends is encoded alike in any surroundings. Text of Latin-1 characters, which normalising
+    leaves as they are, is lower-cased at once, unless a special token could come of it."""
+    if "<|" not in text and _latin(text):
         text = text.lower()
     return text.replace("\n", " ").split(" ")
 
@@ -162,7 +171,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "d
     rows = rows.repartition(max(1, len(bounds) + 1), "b").sortWithinPartitions("b", F.asc_nulls_first("k"), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = bpe._LOADED.setdefault((tokenizer_path, "words"), None) or bpe.Pieces(tokenizer_path)
+        spelled = bpe._LOADED.setdefault((tokenizer_path, "words"), None) or bpe.Pieces(tokenizer_path, most=SPELLINGS)
         bpe._LOADED[tokenizer_path, "words"] = spelled
         end = np.array([end_id], dtype="<u4").tobytes()
         width = 2 if max(end_id + 1, bpe.tokenizer(tokenizer_path).get_vocab_size()) <= 1 << 16 else 4
