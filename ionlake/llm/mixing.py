@@ -33,9 +33,10 @@ BUCKET_ROWS, LEAST_BUCKETS = 50_000, 256
 
 
 class Mix(NamedTuple):
-    documents: DataFrame  # one row a document: carried columns, size, source_size, target, taken, spans
+    documents: DataFrame  # one row a document: doc_id, size, source_size, target, taken; if carried rid and spans
     counts: DataFrame  # shard, source_no, n: the draws
     sources: DataFrame  # source, source_no, source_size, weight, target, blocks, slots
+    rows: DataFrame  # if carried: rid and the struct row of all columns of docs
 
 
 def permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
@@ -69,10 +70,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], total_share: fl
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share: float = 1.5, most_repeats: int = 2, key: str = "doc_id", text: str = "text", source: str = "source", carry: bool = False, seed: int = 1) -> Mix:
-    """Plan the mix. ``carry`` keeps all columns of docs as a struct ``row``, else only the key comes along."""
-    kept = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.lit(None)
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(key), F.lit(seed)).alias("h"), *([kept.alias("row")] if carry else []))
-    sized = materialize(sized)  # texts are read and counted once
+    """Plan the mix. ``carry`` writes the rows of docs beside a row number, to find them again; whole
+    rows take no part in the work in between."""
+    extra = [F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+    rid = ["rid"] if carry else []
+    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(key), F.lit(seed)).alias("h"), *extra)
+    base = materialize(sized)  # texts are read and counted once
+    sized = base.drop("row")
     n = sized.count()
     buckets = max(LEAST_BUCKETS, -(-n // BUCKET_ROWS))
     sized = sized.withColumn("bucket", F.pmod("h", F.lit(buckets)))
@@ -91,7 +95,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share: fl
     held = sized.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     # groups are at most sources x buckets rows
     placed = held.alias("d").join(starts.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")) & (F.col("d.bucket") == F.col("g.bucket")))
-    placed = materialize(placed.select("d.doc_id", "source_no", "size", "source_size", "target", (F.col("base") + F.col("within")).alias("first_word"), *(["row"] if carry else [])))
+    placed = materialize(placed.select("d.doc_id", "source_no", "size", "source_size", "target", (F.col("base") + F.col("within")).alias("first_word"), *rid))
 
     total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     shards = -(-total // SHARD_SLOTS)
@@ -120,8 +124,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share: fl
     # rows of size 0 share their first word with the next document and take nothing
     got = got.withColumn("some", F.lit(True))
     out = placed.withColumn("some", F.col("size") > 0).join(got, ["source_no", "first_word", "some"], "left")
-    documents = out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(["row", "spans"] if carry else []))
-    return Mix(documents, counts, sources)
+    documents = out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *([*rid, "spans"] if carry else []))
+    return Mix(documents, counts, sources, base.select("rid", "row") if carry else base)
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
@@ -133,6 +137,6 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     cut = lambda spans: F.flatten(F.transform(spans, lambda s: F.slice(F.col("words"), (s["at"] + 1).cast("int"), s["words"].cast("int"))))
     again = F.filter("spans", lambda s: s["copies"] > 1)
     mixed = F.array_join(F.concat(cut(F.col("spans")), cut(again)), " ")
-    out = plan.documents.where(F.col("taken") > 0).withColumn("words", words).withColumn("mixed", mixed)
+    out = plan.documents.where(F.col("taken") > 0).select("rid", "spans").join(plan.rows, "rid").withColumn("words", words).withColumn("mixed", mixed)
     new = {text: F.col("mixed")} | ({chars: F.length("mixed").cast(docs.schema[chars].dataType)} if chars in docs.columns else {})
     return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
