@@ -16,6 +16,7 @@ vector counts; ties go to the smaller key; a query without ``k`` lists' candidat
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -40,6 +41,7 @@ def _distances(a: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Centroids(NamedTuple):
     points: np.ndarray  # of the lists, with the added component
     graph: np.ndarray  # each one's nearest others
+    entries: np.ndarray  # where searches start: centroids far from each other, so that no dense group is cut off
     length: float  # the common length
     ratio: float
 
@@ -59,11 +61,14 @@ class Centroids(NamedTuple):
         """The lists to scan for one query: best first through the graph, until all open ones are too far."""
         ratio = self.ratio if ratio is None else ratio
         # a query's added component is 0: the order of distances is then that of inner products
-        far = np.sqrt(np.maximum((q * q).sum() + (self.points**2).sum(1) - 2 * self.points[:, :-1] @ q, 0)) if len(self.points) <= 64 else None
-        dist = (lambda i: far[i]) if far is not None else (lambda i: np.sqrt(max(0.0, (q * q).sum() + (self.points[i] ** 2).sum() - 2 * self.points[i, :-1] @ q)))
-        start = [0, *range(0, len(self.points), max(1, len(self.points) // 8))]
-        seen = set(start)
-        open_ = [(dist(i), i) for i in seen]
+        square = float((q * q).sum())
+
+        def dist(at):
+            c = self.points[at]
+            return np.sqrt(np.maximum(square + (c * c).sum(-1) - 2 * c[..., :-1] @ q, 0)).tolist()
+
+        seen = set(self.entries.tolist())
+        open_ = list(zip(dist(self.entries), self.entries.tolist(), strict=True))
         heapq.heapify(open_)
         best, out = min(open_)[0], []
         while open_:
@@ -74,17 +79,27 @@ class Centroids(NamedTuple):
             else:
                 out.append((d, i))
             best = min(best, d)
-            for j in self.graph[i].tolist():
-                if j not in seen:
-                    seen.add(j)
-                    heapq.heappush(open_, (dist(j), j))
+            new = [j for j in self.graph[i].tolist() if j not in seen]
+            if new:
+                seen.update(new)
+                for x in zip(dist(np.array(new)), new, strict=True):
+                    heapq.heappush(open_, x)
         return [i for d, i in out if d <= best * ratio + 1e-12] or [out[0][1]]
 
 
+def _spread_out(points: np.ndarray, n: int) -> np.ndarray:
+    """n points, each the farthest from those before it."""
+    picked, far = [0], _distances(points, points[:1])[:, 0]
+    while len(picked) < min(n, len(points)):
+        picked.append(int(np.argmax(far)))
+        far = np.minimum(far, _distances(points, points[picked[-1:]])[:, 0])
+    return np.array(sorted(set(picked)))
+
+
 def fit_centroids(sample: np.ndarray, n: int, length: float, k: int, target_recall: float, seed: int = 5) -> Centroids:
     """Balanced centroids, their graph and the search ratio from a bounded sample."""
     rng = np.random.default_rng(seed)
-    bare = Centroids(np.zeros((0, 0)), np.zeros((0, 0), np.int64), length, 1.0)
+    bare = Centroids(np.zeros((0, 0)), np.zeros((0, 0), np.int64), np.zeros(0, np.int64), length, 1.0)
     a = bare.lift(sample)
     want = max(1, min(MOST_LISTS, -(-n // LIST_SIZE), len(a) // 8))
     points = a[np.sort(rng.choice(len(a), want, replace=False))]
@@ -113,7 +128,7 @@ def fit_centroids(sample: np.ndarray, n: int, length: float, k: int, target_reca
         todo += [i, len(points) - 1]
     d = _distances(points, points)
     graph = np.argsort(d, axis=1, kind="stable")[:, 1 : 1 + min(24, len(points) - 1)]
-    got = Centroids(points, graph, length, 1.0)
+    got = Centroids(points, graph, _spread_out(points, max(16, 2 * math.isqrt(len(points)))), length, 1.0)
     # the ratio: by the sample's own neighbours
     tests = sample[:200]
     score = tests @ sample.T

@@ -119,3 +119,16 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[300] == got[120] == 100 and got[202] == 200
     assert components.connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_a_dense_group_far_from_all_is_found(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x)
+    centre = unit(rng.normal(size=24))
+    vectors = {i: unit(centre + 0.01 * rng.normal(size=24)) if i % 4 == 0 else unit(rng.normal(size=24)) for i in range(2400)}
+    got = ann.nearest(vectors_frame(spark, vectors), F.col("vec_id") % 20 == 0).collect()
+    want = brute_nearest(vectors, [i for i in vectors if i % 20 == 0], 20)
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(found[q] & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
