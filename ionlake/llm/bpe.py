@@ -1,8 +1,8 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut into chunks where a rolling hash over its last 32 bytes meets a mask, so that a passage
-shared by documents is cut alike in all of them. A chunk is encoded once for all documents that an executor
-process meets it in (a bounded memo), kept as its inner token ids and the two fringes that a neighbour may
+shared by documents is cut alike in all of them. A chunk is encoded once for all documents that a task
+meets it in (a bounded memo), kept as its inner token ids and the two fringes that a neighbour may
 change: the part before its first safe cut and the part after its last one. A safe cut lies before a single
 space between two non-space characters: the tokenizer's own pre-splitting always cuts there, so what lies
 between two safe cuts is encoded alike in any surroundings. Joining two chunks, the fringes that meet are
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import numbered
+
 #: Mean chunk size is about 1 << CHUNK_BITS bytes, between the bounds.
 CHUNK_BITS, LEAST_CHUNK, MOST_CHUNK = 10, 256, 8192
 #: Bounds of what a process keeps at hand: pieces, and bytes of chunks.
@@ -187,24 +189,21 @@ def _spellings(path: str) -> list[bytes]:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", slice_rows: int = 128) -> DataFrame:
-    """docs with a column ``ids`` (array of int) beside its own."""
+    """docs with a column ``ids`` (array of int) beside its own; the text column is one of them."""
     names = docs.columns
-    kinds = [f.dataType.simpleString() for f in docs.schema.fields]
+    work, kinds, at = numbered(docs, names, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (path, "chunks")
-        if key not in _LOADED:
-            _LOADED[key] = ChunkEncoder(path)
+        encoder = ChunkEncoder(path)  # let go at the task's end: workers live on for other stages
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
-                ids = _LOADED[key].ids(part.column(len(names)).to_pylist())
+            for first in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(first, slice_rows)
+                ids = encoder.ids(part.column(at).to_pylist())
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), flat)], [*(f"c{i}" for i in range(len(names))), "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), flat)], [*(f"c{i}" for i in range(len(names))), "ids"])
 
-    work = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(text).alias("t"))
-    out = work.mapInArrow(run, ", ".join([*(f"c{i} {k}" for i, k in enumerate(kinds)), "ids array<int>"]))
+    out = work.mapInArrow(run, f"{kinds}, ids array<int>")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "ids")
 
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import numbered
+
 UNDETERMINED = "und"
 #: N-grams of a language profile, and of a document.
 PROFILE_SIZE, DOCUMENT_SIZE = 400, 300
@@ -126,12 +128,12 @@ class RankOrder:
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The named columns with lang_pred and score of every row; work of one row depends on its text alone."""
     model = RankOrder(profiles)
+    work, kinds, at = numbered(docs, list(columns), text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said = [model.predict(x.as_py()) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], [*(f"c{i}" for i in range(len(columns))), "lang_pred", "score"])
+            said = [model.predict(x.as_py()) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], [*(f"c{i}" for i in range(len(columns))), "lang_pred", "score"])
 
-    kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
-    out = docs.select(F.col(text).alias("t"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(columns))).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    out = work.mapInArrow(run, f"{kinds}, lang_pred string, score double")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), "lang_pred", "score")

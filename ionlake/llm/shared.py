@@ -46,6 +46,14 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
+def numbered(df: DataFrame, columns: list[str], text: str) -> tuple[DataFrame, str, int]:
+    """The columns as c0, c1, ... (no name clashes), their schema, and the text's place among them; the text is
+    added at the end if it isn't one of them."""
+    wanted = [*columns, *([] if text in columns else [text])]
+    kinds = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
+    return df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(wanted))), kinds, wanted.index(text)
+
+
 def bucket_bounds(df: DataFrame, key: str, rows_per_bucket: int, most: int = 20_000) -> tuple[list[int], int]:
     """Ascending bounds (at most ``most`` of them) that cut the key's range into buckets of about equal rows,
     and the number of rows. Only the key column is read."""

@@ -48,7 +48,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix64(value + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def shingle_sets(texts: list[str | None], width: int = 5, slice_bytes: int = 1 << 22) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], width: int = 5, slice_bytes: int = 1 << 20) -> list[np.ndarray]:
     """The sorted distinct shingle hashes (uint64) of each text, worked through in slices of bytes."""
     out: list[np.ndarray] = []
     part: list[bytes] = []

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import numbered
+
 #: Labelled documents of each label that a model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE_PER_LABEL = 4_000
 #: A feature counts if at least so many sampled documents hold it, and no more than this share of those of label 0.
@@ -156,15 +158,13 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score_documents(docs: DataFrame, model: NoisyOr, text: str = "text", columns: tuple[str, ...] = ("doc_id",), locate: bool = False) -> DataFrame:
     """The named columns with score and predicted of every row, and with ``locate`` the offending sentences:
     those that alone reach the threshold, in text order."""
+    work, kinds, at = numbered(docs, list(columns), text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            score = np.array([model.score(t) for t in texts], dtype=np.float64)
-            more = [pa.array([[s.strip() for s, p in model.sentence_scores(t) if p >= THRESHOLD] for t in texts], pa.list_(pa.string()))] if locate else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), *more], [*(f"c{i}" for i in range(len(columns))), "score", "predicted", *(["offending"] if locate else [])])
-
-    kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
-    out = docs.select(F.col(text).alias("t"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)))
-    out = out.mapInArrow(run, f"{kinds}, score double, predicted int" + ", offending array<string>" * locate)
+            score = np.array([model.score(t.as_py()) for t in batch.column(at)], dtype=np.float64)
+            more = [pa.array([[s.strip() for s, p in model.sentence_scores(t.as_py()) if p >= THRESHOLD] for t in batch.column(at)], pa.list_(pa.string()))] if locate else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), *more], [*(f"c{i}" for i in range(len(columns))), "score", "predicted", *(["offending"] if locate else [])])
+
+    out = work.mapInArrow(run, f"{kinds}, score double, predicted int" + ", offending array<string>" * locate)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), "score", "predicted", *(["offending"] if locate else []))
