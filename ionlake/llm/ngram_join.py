@@ -8,8 +8,8 @@ otherwise, and a set's prefix is so long that two linked sets share a token of t
    member of each token and the one with most frequent tokens, as the common origin of edited copies has),
    then once more with leaders in other components; the links found join most near copies, and with them
    the groups of similar documents, at a cost in proportion to the tokens.
-2. Token-group matrix: a row for each prefix token and group (a component so far, in parts of bounded size),
-   the group's token union. Matching a class's own prefix tokens with the unions of other groups gives an upper
+2. Token-group matrix: a row for each prefix token and group (a component so far, or unlinked classes
+   around the leader they came nearest, in parts of bounded size), the group's token union. Matching a class's own prefix tokens with the unions of other groups gives an upper
    bound of its overlap with any member; only qualifying groups are opened, and there the union of whole
    sets bounds the overlap again before members are compared one by one.
 
@@ -77,12 +77,11 @@ def _sketch(docs: DataFrame, frequent: np.ndarray, width: int) -> DataFrame:
 def _open(docs: DataFrame, wanted: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """Links (u, v) between queries and members of the groups they open.
 
-    wanted: (x, g); members: (g, y). Queries of a group are dealt to tasks of about TASK_QUERIES, each with
+    wanted: (x, g) and members: (g, y), tables or cheap to compute. Queries of a group are dealt to tasks of about TASK_QUERIES, each with
     the group's members (at most a part's).
     """
-    wanted = materialize(wanted)
-    held = wanted.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / TASK_QUERIES).cast("int").alias("tasks"))
-    held = materialize(held)
+    # a table of its own: a join of two tables can be split where one leader has very many queries
+    held = materialize(wanted.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / TASK_QUERIES).cast("int").alias("tasks")))
     asked = wanted.join(held, "g").select("g", F.pmod(F.xxhash64("x"), "tasks").cast("int").alias("task"), F.col("x").alias("id"), F.lit(1).alias("role"))
     holding = members.join(held, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.col("y").alias("id"), F.lit(0).alias("role"))
     parts = materialize(asked.unionByName(holding))
@@ -172,20 +171,29 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     lead = F.struct("hub", (-F.col("id")).alias("o"), "id", "n", "c")
     mine = mine.withColumn("a", F.max(lead).over(token)).withColumn("b", F.max(F.when(F.col("c") != F.col("a.c"), lead)).over(token))
     led = mine.select("id", "n", F.when(F.col("c") != F.col("a.c"), F.col("a")).otherwise(F.col("b")).alias("y"))
-    pairs = materialize(_candidates(led).join(pairs, ["x", "g"], "left_anti"))
-    first = materialize(links.unionByName(_open(rows, pairs, _as_groups(pairs), width)))
+    again = materialize(_candidates(led).join(pairs, ["x", "g"], "left_anti"))
+    first = materialize(links.unionByName(_open(rows, again, _as_groups(again), width)))
+    tried = pairs.unionByName(again)
     labels = connected(first)
 
-    # 2. the token-group matrix over the components so far
+    # 2. the token-group matrix: groups are components so far, and single classes around the leader they came nearest
     sizes = materialize(labels.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("component", "c"))
-    mine = _split(shared, labels).join(sizes, "c", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    mine = materialize(mine.withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / GROUP_MEMBERS)).cast("int")))
-    group = F.struct("c", "part")
-    facts = mine.select("c", "part", "id", "n").distinct().groupBy("c", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    around = tried.groupBy("x").agg(F.min("g").alias("near")).withColumnRenamed("x", "id")
+    mine = _split(shared, labels).join(sizes, "c", "left").join(around, "id", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    mine = materialize(mine.withColumn("single", F.col("size") == 1).withColumn("key", F.when(F.col("single"), F.coalesce("near", "c")).otherwise(F.col("c"))).drop("near"))
+    held = mine.select("single", "key", "id").distinct().groupBy("single", "key").agg(F.count(F.lit(1)).alias("held"))
+    mine = mine.join(materialize(held), ["single", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("held") / GROUP_MEMBERS)).cast("int"))
+    mine = materialize(mine)
+    group = F.struct("single", "key", "part")
+    facts = mine.select("single", "key", "part", "id", "n").distinct().groupBy("single", "key", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     slack = lambda n: n - _prefix(n)
-    matrix = mine.select("t", "c", "part", "size").distinct().join(materialize(facts), ["c", "part"]).select("t", group.alias("g"), F.col("size").alias("g_size"), "least", "most")
-    q = mine.select("t", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("c").alias("x_c"), F.col("size").alias("x_size"))
-    met = q.join(matrix, "t").where((F.col("x_c") != F.col("g.c")) & (F.struct("x_size", "x_c") < F.struct("g_size", "g.c")))
+    union = mine.select("t", "single", "key", "part", "size", "held").distinct().join(materialize(facts), ["single", "key", "part"])
+    matrix = union.select("t", group.alias("g"), F.col("size").alias("g_size"), F.col("held").alias("g_held"), "least", "most")
+    q = mine.select("t", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("c").alias("x_c"), F.col("size").alias("x_size"), F.col("key").alias("x_key"))
+    # smaller components ask larger ones; single classes also ask each other's groups, in one direction
+    larger = ~F.col("g.single") & (F.col("x_c") != F.col("g.key")) & (F.struct("x_size", "x_c") < F.struct("g_size", "g.key"))
+    peers = F.col("g.single") & (F.col("x_size") == 1) & ((F.col("x_key") < F.col("g.key")) | ((F.col("x_key") == F.col("g.key")) & (F.col("g_held") > 1)))
+    met = q.join(matrix, "t").where(larger | peers)
     met = met.where((WHOLE * F.col("x_n") >= PART * F.col("least")) & (PART * F.col("x_n") <= WHOLE * F.col("most")))
     met = met.groupBy("x", "g", "x_n", "least", "most").agg(F.count(F.lit(1)).alias("common"))
     most = F.col("common") + F.greatest(slack(F.col("x_n")), slack(F.col("most")))
