@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import numbered
+from .shared import numbered, small_batches
 
 #: Mean chunk size is about 1 << CHUNK_BITS bytes, between the bounds.
 CHUNK_BITS, LEAST_CHUNK, MOST_CHUNK = 10, 256, 8192
@@ -218,4 +218,4 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             said = [b"".join(map(spell, x.values.to_numpy().tolist())).decode("utf-8", "replace") for x in batch.column(names.index(ids))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], [*names, "decoded"])
 
-    return tokens.mapInArrow(run, ", ".join([*(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)), "decoded string"]))
+    return small_batches(tokens).mapInArrow(run, ", ".join([*(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)), "decoded string"]))

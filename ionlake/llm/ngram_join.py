@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import materialize
+from .shared import materialize, small_batches
 from .shingles import shingle_sets
 
 WIDTH, PART, WHOLE = 5, 4, 5
@@ -71,7 +71,7 @@ def _sketch(docs: DataFrame, frequent: np.ndarray, width: int) -> DataFrame:
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests, pa.binary()), pa.array(hubs, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))], ["id", "n", "digest", "hub", "prefix"])
 
-    return docs.mapInArrow(run, "id long, n int, digest binary, hub int, prefix array<long>")
+    return small_batches(docs).mapInArrow(run, "id long, n int, digest binary, hub int, prefix array<long>")
 
 
 def _open(docs: DataFrame, wanted: DataFrame, members: DataFrame, width: int) -> DataFrame:

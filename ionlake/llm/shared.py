@@ -46,12 +46,25 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
+#: Rows of an Arrow batch where whole texts pass through Python: a batch of long texts then stays in megabytes.
+BATCH_ROWS = 1_000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches bounded for whole texts (a smaller setting stays)."""
+    spark = df.sparkSession
+    if int(spark.conf.get(BATCH_CONF, "10000")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+    return df
+
+
 def numbered(df: DataFrame, columns: list[str], text: str) -> tuple[DataFrame, str, int]:
     """The columns as c0, c1, ... (no name clashes), their schema, and the text's place among them; the text is
     added at the end if it isn't one of them."""
     wanted = [*columns, *([] if text in columns else [text])]
     kinds = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
-    return df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(wanted))), kinds, wanted.index(text)
+    return small_batches(df).select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(wanted))), kinds, wanted.index(text)
 
 
 def bucket_bounds(df: DataFrame, key: str, rows_per_bucket: int, most: int = 20_000) -> tuple[list[int], int]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bucket_bounds, bucket_of, materialize
+from .shared import bucket_bounds, bucket_of, materialize, small_batches
 
 # Common words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -92,7 +92,7 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Texts are moved once, into ordered buckets; the first row of every bucket also goes to the bucket before.
     """
-    bounds, _ = bucket_bounds(docs, key, rows_per_bucket)
+    bounds, _ = bucket_bounds(small_batches(docs), key, rows_per_bucket)
     least = -(1 << 63)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.withColumn("s", F.coalesce("k", F.lit(least))).withColumn("b", F.when(F.col("k").isNull(), 0).otherwise(bucket_of("k", bounds)))
