@@ -30,7 +30,7 @@ from .shared import numbered, small_batches
 #: Mean chunk size is about 1 << CHUNK_BITS bytes, between the bounds.
 CHUNK_BITS, LEAST_CHUNK, MOST_CHUNK = 10, 256, 8192
 #: Bounds of what a process keeps at hand: pieces, and bytes of chunks.
-PIECES, CHUNK_BYTES = 300_000, 32 << 20
+PIECES, CHUNK_BYTES = 300_000, 16 << 20
 
 _GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(17)).astype(np.uint32)
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -127,7 +127,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         self.encode = tokenizer(path).encode_batch_fast
-        self.inner = Pieces(path, " ", PIECES // 2)
+        self.inner = Pieces(path, " ", PIECES // 4)
         self.chunks: dict[bytes, tuple[str, bytes | None, str]] = {}
         self.held = self.asked = self.reused = 0
 
