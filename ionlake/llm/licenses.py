@@ -1,13 +1,15 @@
 """Licence scans by sentence-rule recognition.
 
-A text is cut into sentences, each sentence is normalised (lower case, letters and digits only, variant
-spellings unified), and normalised sentences are mapped to known licence-sentence identifiers. The
+A text becomes a sequence of normalised words (lower case, letters and digits only, variant spellings
+unified), so that line breaks, punctuation and comment marks count as spaces. Known licence sentences are
+found in it as word sequences, wherever they stand, the longest first, none over another; a sentence doesn't
+count after a negation, or where its last word goes on ("MIT-0", "version 3.1", "version 3 or"). The
 document's identifiers in order are then matched against ordered licence rules: a rule fits where its
 identifiers stand in that order with at most ``gap`` other known sentences between two of them. Rules
 are tried from the most specific (longest) on, and a sentence used by one rule is not used by a later one.
 
 Defined cases: null, empty and licence-free texts give empty arrays; repeated rows stay repeated;
-very long texts are worked through whole, sentence by sentence.
+very long texts are worked through whole.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("mit-short", "Released under the MIT License."),
     ("mit-licensed", "Licensed under the MIT License."),
     ("mit-title", "The MIT License (MIT)"),
-    ("mit-grant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.'),
+    ("mit-grant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
     ("mit-notice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("gpl3-short", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl-redistribute-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
@@ -46,6 +48,9 @@ SENTENCES: list[tuple[str, str]] = [
     ("spdx-apache2", "SPDX-License-Identifier: Apache-2.0"),
     ("spdx-mit", "SPDX-License-Identifier: MIT"),
     ("spdx-gpl3", "SPDX-License-Identifier: GPL-3.0-only"),
+    # second forms: the grant cut short, and the endorsement with a named holder
+    ("mit-grant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.'),
+    ("bsd-endorse", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
 ]
 # Ordered licence rules (licence, sentence identifiers in order).
 RULES: list[tuple[str, tuple[str, ...]]] = [
@@ -72,48 +77,56 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MPL-2.0", ("mpl2-short",)),
 ]
 # Spellings that count as one word.
-VARIANTS = {"licence": "license", "licenced": "licensed", "licences": "licenses"}
+VARIANTS = {"licence": "license", "licenced": "licensed", "licences": "licenses", "https": "http"}
+
+# A sentence doesn't count behind these words ("isn't" ends in a word t), or with these behind it.
+NEGATIONS = {"not", "never", "t"}
+NOT_BEFORE = {"gpl3-short": {"or"}}
 
-#: A sentence ends at a line end, or at . ! ? ; : before white space.
-_END = re.compile(r"(?<=[.!?;:])\s+|[\r\n]+")
 _WORD = re.compile(r"[a-z0-9]+")
+#: What makes a last word another one: a further part of its name or number.
+_GOES_ON = re.compile(r"[-_][a-z0-9]|\.[0-9]|\+")
+#: Comment marks that are words.
+_MARK = re.compile(r"^[ \t]*@?(?:dnl|rem)\b", re.MULTILINE)
 
 
 def normalise(sentence: str) -> str:
     return " ".join(VARIANTS.get(w, w) for w in _WORD.findall(sentence.lower()))
 
 
-def _pieces(sentence: str) -> list[str]:
-    return [n for p in _END.split(sentence) if (n := normalise(p))]
-
-
 class Recognizer:
-    """Known sentences by their normalised pieces, and the rules over their identifiers."""
+    """Known sentences by their first words, and the rules over their identifiers."""
 
     def __init__(self, sentences=None, rules=None, gap: int = 2):
         self.rules = sorted(rules or RULES, key=lambda r: (-len(r[1]), r[0], r[1]))
         self.gap = gap
-        self.known = sorted(((_pieces(s), name) for name, s in sentences or SENTENCES), key=lambda x: (-len(x[0]), x[1]))
-        self.by_first: dict[str, list[tuple[list[str], str]]] = {}
-        for pieces, name in self.known:
-            self.by_first.setdefault(pieces[0], []).append((pieces, name))
+        self.known = sorted(((normalise(s).split(), name) for name, s in sentences or SENTENCES), key=lambda x: (-len(x[0]), x[1]))
+        self.width = min(3, *(len(words) for words, _ in self.known))
+        self.by_first: dict[tuple[str, ...], list[tuple[list[str], str]]] = {}
+        for words, name in self.known:
+            self.by_first.setdefault(tuple(words[: self.width]), []).append((words, name))
         # a text without one of these words holds no known sentence
-        self.cues = sorted({min(p[0].split(), key=lambda w: (-len(w), w))[:6] for p, _ in self.known})
+        self.cues = sorted({min(words, key=lambda w: (-len(w), w))[:6] for words, _ in self.known})
 
     def identifiers(self, text: str | None) -> list[str]:
-        """Known sentences of the text in order, a sentence of several pieces where they follow each other."""
-        low = text.lower().replace("licence", "license") if text else ""
-        if not any(cue in low for cue in self.cues):
+        """Known sentences of the text in order."""
+        low = text.lower() if text else ""
+        held = low.replace("licence", "license")
+        if not any(cue in held for cue in self.cues):
             return []
-        pieces, out, i = _pieces(text), [], 0
-        while i < len(pieces):
-            for want, name in self.by_first.get(pieces[i], ()):
-                if pieces[i : i + len(want)] == want:
+        low = _MARK.sub("", low)
+        found = list(_WORD.finditer(low))
+        words = [VARIANTS.get(w, w) for w in (m[0] for m in found)]
+        out, i = [], 0
+        for at, first in enumerate(zip(*(words[k:] for k in range(self.width)), strict=False)):
+            if at < i or first not in self.by_first or at and words[at - 1] in NEGATIONS:
+                continue
+            for want, name in self.by_first[first]:
+                end = at + len(want)
+                if words[at:end] == want and not _GOES_ON.match(low, found[end - 1].end()) and not (end < len(words) and words[end] in NOT_BEFORE.get(name, ())):
                     out.append(name)
-                    i += len(want)
+                    i = end
                     break
-            else:
-                i += 1
         return out
 
     def licences(self, ids: list[str]) -> list[str]:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -170,6 +171,50 @@ def test_licence_sentences_are_all_recognised():
         assert rec.identifiers(f"Before it.\n{sentence}\nAfter.") == [name]
 
 
+def wrapped(text, mark, width=60):
+    return "\n".join(mark + line for line in textwrap.wrap(text, width - len(mark), break_long_words=False))
+
+
+MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+GPL = "Copyright 2020 A. This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+GPL_END = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_1 = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+BSD_3 = "3. Neither the name of %s nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+APACHE = 'Copyright 2020 A. Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'
+APACHE_END = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language.'
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// ", "dnl ", ";; "])
+@pytest.mark.parametrize(
+    ("parts", "want"),
+    [
+        (["MIT License", "Copyright (c) 2020 A", MIT_GRANT, MIT_NOTICE], "MIT"),
+        ([GPL, GPL_END], "GPL-3.0-or-later"),
+        ([GPL.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2"), GPL_END], "GPL-2.0-or-later"),
+        ([BSD, BSD_1], "BSD-2-Clause"),
+        ([BSD, BSD_1, BSD_3 % "the copyright holder"], "BSD-3-Clause"),
+        ([BSD, BSD_1, BSD_3 % "Example Inc."], "BSD-3-Clause"),
+        ([MPL], "MPL-2.0"),
+        ([APACHE, "    https://www.apache.org/licenses/LICENSE-2.0", APACHE_END], "Apache-2.0"),
+    ],
+)
+def test_hard_wrapped_licence_headers(mark, parts, want):
+    rec = licenses.Recognizer()
+    for width in (40, 60, 76):
+        ids = rec.identifiers(f"\n{mark.rstrip()}\n".join(wrapped(p, mark, width) for p in parts))
+        assert rec.licences(ids) == [want] and (want != "Apache-2.0" or len(ids) == 5)
+
+
+def test_licence_sentences_within_others():
+    rec = licenses.Recognizer()
+    assert rec.identifiers("Copyright A; this file is licensed under the MIT\n# License, see there") == ["mit-licensed"]
+    for text in ("SPDX-License-Identifier: MIT-0", "It is not licensed under the MIT License.", "This work is licensed under the GNU General Public License, version 3 or later.", "Licensed under CC BY 4.0.1"):
+        assert rec.identifiers(text) == []
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_ngram_join_against_brute_force(spark, seed):
     rng = random.Random(seed)
