@@ -6,7 +6,8 @@ vectors the same length. Centroids come from a bounded sample, lists that would
 a list that is long all the same (many equal vectors) is stored in parts. A query walks a neighbour graph of
 the centroids in memory from near to far and takes the lists whose centroids are within a ratio of the
 nearest one's distance; the ratio is the smallest that finds ``target_recall`` of the sample's own
-neighbours. Whole lists are scanned, and scores are computed in double precision on the original vectors.
+neighbours. Whole lists are scanned, and scores are computed in double precision on the original vectors. A
+group of lists and its queries meet in tasks of bounded size: the queries are dealt, the vectors copied to each.
 
 Defined cases: vectors that are null, empty, zero, of another than the commonest dimension, or hold null or
 non-finite components take no part, and neither does a null key; of several rows with one key the greatest
@@ -29,11 +30,19 @@ from .shared import materialize
 
 #: Bounds: vectors of the sample, posting lists; vectors of a list in the mean, of a stored part, of a group of parts.
 SAMPLE, MOST_LISTS, LIST_SIZE, PART_SIZE, GROUP_SIZE = 12_000, 2_048, 256, 4_096, 8_192
+#: Queries of a group in one task (in the mean; they are dealt by hash), and rows of a batch of routed queries.
+TASK_QUERIES, ROUTED_ROWS = 8_192, 4_096
 #: A vector goes to at most so many lists, those within this ratio of the nearest centroid's distance.
 REPLICAS, BOUNDARY = 2, 1.02
 RATIOS = (1.02, 1.05, 1.08, 1.1, 1.12, 1.14, 1.16, 1.18, 1.2, 1.25, 1.3, 1.4, 1.6, 2.0, 4.0)
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Lists of dim numbers each as rows, from the Arrow buffers."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return np.concatenate([np.zeros(0), *(c.flatten().to_numpy(zero_copy_only=False) for c in chunks)]).reshape(-1, dim)
+
+
 def _distances(a: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (c * c).sum(1) - 2 * a @ c.T, 0))
 
@@ -167,7 +176,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).values.to_numpy().reshape(-1, dim) if batch.column(1).offset == 0 else np.array(batch.column(1).to_pylist())
+            x = _matrix(batch.column(1), dim)
             for at in range(0, batch.num_rows, 2048):
                 lists = index.lists_of(x[at : at + 2048])
                 r, c = np.nonzero(lists >= 0)
@@ -189,50 +198,89 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id
     piece = F.element_at(place, F.col("list") + 1) + F.pmod(F.xxhash64("id"), F.element_at(many, F.col("list") + 1)).cast("int")
     stored = posted.withColumn("g", F.element_at(groups, piece + 1)).select("g", "list", "id", "v")
 
-    def route(everything: bool):
+    def search(everything: bool):
+        """The lists that each query opens."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = []
-                for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    lists = range(len(index.points)) if everything else index.search(np.array(v))
-                    to: dict[int, set[int]] = {}
-                    for j in lists:
-                        for p in range(first[j], first[j] + parts[j]):
-                            to.setdefault(group_of[p], set()).add(j)
-                    out += [(g, i, v, sorted(js)) for g, js in sorted(to.items())]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.float64())), pa.array([x[3] for x in out], pa.list_(pa.int32()))], ["g", "id", "v", "lists"])
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    lists = [list(range(len(index.points))) if everything else sorted(index.search(v)) for v in _matrix(part.column(1), dim)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int32()))], ["id", "v", "lists"])
 
         return run
 
+    def groups_of(lists: np.ndarray) -> dict[int, list[int]]:
+        """The groups that hold these lists, with the lists in each."""
+        to: dict[int, list[int]] = {}
+        for j in lists.tolist():
+            for g in sorted(set(group_of[first[j] : first[j] + parts[j]])):
+                to.setdefault(g, []).append(j)
+        return to
+
+    def each(column: pa.ListArray) -> Iterator[np.ndarray]:
+        at, values = column.offsets.to_numpy(), column.values.to_numpy()
+        return (values[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries a group."""
+        n = np.zeros(group_of[-1] + 1, dtype=np.int64)
+        for batch in batches:
+            for lists in each(batch.column(0)):
+                n[list(groups_of(lists))] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["g", "n"])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each group that a query opens, in batches of about ROUTED_ROWS."""
+        for batch in batches:
+            rows_: list[int] = []
+            gs: list[int] = []
+            opened: list[list[int]] = []
+            for r, lists in enumerate(each(batch.column(2))):
+                for g, js in groups_of(lists).items():
+                    rows_.append(r)
+                    gs.append(g)
+                    opened.append(js)
+                if len(rows_) >= ROUTED_ROWS or r == batch.num_rows - 1:
+                    at = pa.array(rows_, pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(opened, pa.list_(pa.int32()))], ["g", "id", "v", "lists"])
+                    rows_, gs, opened = [], [], []
+
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The best k of one group's vectors for each of its queries."""
+        """The best k of one group's vectors for each of a task's queries."""
         found: tuple[list, list, list] = ([], [], [])
         if left.num_rows and right.num_rows:
             left = left.sort_by("id")
-            lists, ids = left.column("list").to_numpy(), left.column("id").to_numpy()
-            x = np.array(left.column("v").to_pylist(), dtype=np.float64)
-            for q, v, js in zip(right.column("id").to_pylist(), right.column("v").to_pylist(), right.column("lists").to_pylist(), strict=True):
-                v = np.array(v)
-                mine = np.flatnonzero(np.isin(lists, js) & (ids != q))
-                if not len(mine):
-                    continue
-                mine = mine[np.concatenate(([True], ids[mine][1:] != ids[mine][:-1]))]  # replicas
-                rough = x[mine] @ v
-                if len(mine) > k:
-                    edge = np.partition(rough, len(rough) - k)[len(rough) - k]
-                    mine = mine[rough >= edge - 1e-9 * max(1.0, abs(edge))]
-                exact = (x[mine] * v).sum(1)  # equal vectors get equal scores
-                order = np.lexsort((ids[mine], -exact))[:k]
-                found[0].extend([q] * len(order))
-                found[1].extend(ids[mine[order]].tolist())
-                found[2].extend(exact[order].tolist())
+            lists, ids, x = left.column("list").to_numpy(), left.column("id").to_numpy(), _matrix(left.column("v"), dim)
+            for batch in right.to_batches():
+                for q, v, js in zip(batch.column("id").to_pylist(), _matrix(batch.column("v"), dim), each(batch.column("lists")), strict=True):
+                    mine = np.flatnonzero(np.isin(lists, js) & (ids != q))
+                    if not len(mine):
+                        continue
+                    mine = mine[np.concatenate(([True], ids[mine][1:] != ids[mine][:-1]))]  # replicas
+                    rough = x[mine] @ v
+                    if len(mine) > k:
+                        edge = np.partition(rough, len(rough) - k)[len(rough) - k]
+                        mine = mine[rough >= edge - 1e-9 * max(1.0, abs(edge))]
+                    exact = (x[mine] * v).sum(1)  # equal vectors get equal scores
+                    order = np.lexsort((ids[mine], -exact))[:k]
+                    found[0].extend([q] * len(order))
+                    found[1].extend(ids[mine[order]].tolist())
+                    found[2].extend(exact[order].tolist())
         return pa.table({"query_id": pa.array(found[0], pa.int64()), key: pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
 
     def answer(asked: DataFrame, everything: bool) -> DataFrame:
-        sent = asked.select("id", "v").mapInArrow(route(everything), "g int, id long, v array<double>, lists array<int>")
-        near = stored.groupBy("g").cogroup(sent.groupBy("g")).applyInArrow(scan, f"query_id long, {key} long, score double")
+        opened = materialize(asked.select("id", "v").mapInArrow(search(everything), "id long, v array<double>, lists array<int>"))
+        asking = opened.select("lists").mapInArrow(tally, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
+        needed = {r["g"]: -(-r["n"] // TASK_QUERIES) for r in asking}
+        tasks = F.element_at(F.array(*(F.lit(needed.get(g, 0)) for g in range(group_of[-1] + 1))), F.col("g") + 1)
+        sent = opened.mapInArrow(route, "g int, id long, v array<double>, lists array<int>")
+        sent = sent.withColumn("task", F.pmod(F.xxhash64("id"), tasks).cast("int"))
+        held = stored.where(tasks > 0).withColumn("task", F.explode(F.sequence(F.lit(0), tasks - 1)))
+        near = held.groupBy("g", "task").cogroup(sent.groupBy("g", "task")).applyInArrow(scan, f"query_id long, {key} long, score double")
         once = near.groupBy("query_id", key).agg(F.max("score").alias("score"))
         return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
 

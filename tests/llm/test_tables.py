@@ -2,8 +2,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from ionlake.llm import ann, components, mixing
 
@@ -102,6 +104,31 @@ def test_nearest_recall_and_order(spark):
         assert near == sorted(near, key=lambda x: (-x[1], x[0])) and all(abs(s - float((vectors[q] * vectors[i]).sum())) < 1e-9 for i, s in near)
 
 
+def test_nearest_deals_a_groups_queries_to_tasks(spark, monkeypatch):
+    """Without clusters every query opens a group; the tasks stay bounded and the answer is the same."""
+    rng = np.random.default_rng(8)
+    frame = vectors_frame(spark, {i: rng.normal(size=8) for i in range(900)}).cache()
+    whole = sorted(map(tuple, ann.nearest(frame, F.col("vec_id") % 3 == 0, 5).collect()))
+    sizes, apply = [], PandasCogroupedOps.applyInArrow
+
+    def counted(ops, *args):
+        sizes.append([[r["count"] for r in side.count().collect()] for side in (ops._gd1, ops._gd2)])
+        return apply(ops, *args)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", counted)
+    monkeypatch.setattr(ann, "TASK_QUERIES", 20, raising=False)
+    monkeypatch.setattr(ann, "GROUP_SIZE", 200)
+    got = sorted(map(tuple, ann.nearest(frame, F.col("vec_id") % 3 == 0, 5).collect()))
+    assert [x[:3] for x in got] == [x[:3] for x in whole] and np.allclose([x[3] for x in got], [x[3] for x in whole], atol=1e-12)
+    vectors, queries = sizes[0]
+    assert sum(queries) >= 300 and max(queries) <= 45 and max(vectors) <= 600
+
+
+def test_matrix_of_sliced_lists():
+    lists = pa.array([[1.0, 2], [3, 4], [5, 6]])
+    assert ann._matrix(lists.slice(1, 2), 2).tolist() == [[3, 4], [5, 6]] == ann._matrix(pa.chunked_array([lists.slice(1, 1), lists.slice(2)]), 2).tolist()
+
+
 def test_nearest_of_few_and_equal_vectors(spark):
     few = {i: np.array([1.0, 0.5]) if i != 3 else np.array([2.0, 1.0]) for i in range(0, 30)}
     got = ann.nearest(vectors_frame(spark, few), F.col("vec_id") == 20).orderBy("rank").collect()
