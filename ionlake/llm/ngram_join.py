@@ -16,8 +16,8 @@ otherwise, and a set's prefix is so long that two linked sets share a token of t
 No link between different components is lost: a linked pair shares a prefix token, and both bounds are sound.
 
 Defined cases: texts without words have the empty set, n_shingles 0, and are linked with nothing; a row with
-a null key has a null component and links nothing; rows that share a key count as one node; repeated rows
-stay repeated in the result; an empty table gives no rows.
+a null key has a null component and links nothing; rows that share a key count as one node, whatever their
+texts; repeated rows stay repeated in the result; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -202,11 +202,22 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     members = mine.select(group.alias("g"), F.col("id").alias("y")).distinct()
     second = materialize(_open(rows, opened, members, width))
 
-    final = connected(first.unionByName(second)) if second.take(1) else labels
+    # a key with several sets ties their classes together
+    known = sketch.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
+    several = materialize(known.where(F.col("a") != F.col("b")).select("id"))
+    ties = several.join(linkable.select("id", "digest").distinct(), "id").join(classes.select("digest", F.col("id").alias("v")), "digest")
+    ties = materialize(ties.select(F.col("id").alias("u"), "v", "digest"))
+    tied = bool(ties.take(1))
+    final = connected(first.unionByName(second).unionByName(ties.select("u", "v"))) if tied or second.take(1) else labels
     named = classes.select("digest", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     named = materialize(named)
     out = sketch.select("id", "n", "digest").join(named, "digest", "left")
-    alone = F.col("id").isNull() | (F.col("n") == 0)
+    if tied:  # also for such a key's texts without words
+        whole = materialize(ties.join(named, "digest").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("whole")))
+        out = out.join(whole, "id", "left").withColumn("component", F.coalesce("whole", "component"))
+        alone = F.col("id").isNull() | ((F.col("n") == 0) & F.col("whole").isNull())
+    else:
+        alone = F.col("id").isNull() | (F.col("n") == 0)
     return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
 
@@ -217,10 +228,23 @@ def _prefix(n):
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """One document of each group: the one whose key is its component's smallest (of several rows with that key
-    the smallest row), and all rows with a null key."""
+    the smallest row), and all rows with a null key. Where a key has different texts, each (key, text) is a document
+    of its own and each group keeps its smallest, so that no text goes because another one of its key is a near copy."""
+    said = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("kept"), F.xxhash64(F.col(text)).alias("h"))
+    if said.groupBy("kept").agg(F.min("h").alias("a"), F.max("h").alias("b")).where(F.col("a") != F.col("b")).take(1):
+        return _deduplicated_texts(docs, key, text, width)
     found = similar_components(docs, key, text, width)
     keep = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
     names = [f"`{c}`" for c in docs.columns]
     known = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("kept"), F.struct(*names).alias("row"))
     once = known.join(materialize(keep.withColumnRenamed(key, "kept")), "kept", "left_semi").groupBy("kept").agg(F.min("row").alias("row"))
     return once.select(*(F.col(f"row.{c}") for c in names)).union(docs.where(F.col(key).isNull()).select(*names))
+
+
+def _deduplicated_texts(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """deduplicated where keys have different texts: nodes are the hashes of (key, text)."""
+    names = [f"`{c}`" for c in docs.columns]
+    known = docs.where(F.col(key).isNotNull()).select(F.xxhash64(key, text).alias("node"), F.col(text).alias("text"), F.col(key).alias("kept"), F.struct(*names).alias("row"))
+    found = materialize(similar_components(known.select("node", "text"), "node", "text", width).select("node", "component_id").distinct())
+    once = known.join(found, "node").groupBy("component_id").agg(F.min(F.struct("kept", "row")).alias("best"))
+    return once.select(*(F.col(f"best.row.{c}") for c in names)).union(docs.where(F.col(key).isNull()).select(*names))

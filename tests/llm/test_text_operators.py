@@ -240,6 +240,19 @@ def test_ngram_join_against_brute_force(spark, seed):
     assert kept == sorted(set(want.values()))
 
 
+def test_ngram_join_of_keys_with_several_texts(spark):
+    rng = random.Random(7)
+    a, b, c, d = ([f"{n}{rng.randrange(10**6)}" for _ in range(80)] for n in "abcd")
+    near = " ".join(a[:79] + ["other"])
+    a, b, c, d = map(" ".join, (a, b, c, d))
+    rows = [(1, a, None, None), (5, near, None, None), (5, b, None, None), (5, "", None, None), (7, b, None, None), (9, c, None, None), (9, d, None, None), (12, d, None, None)]
+    docs = docs_frame(spark, rows)
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.similar_components(docs).collect())
+    assert got == [(1, 1), (5, 1), (5, 1), (5, 1), (7, 1), (9, 9), (9, 9), (12, 9)]
+    kept = sorted((r["doc_id"], r["text"]) for r in ngram_join.deduplicated(docs).collect())
+    assert kept == sorted([(1, a), (5, b), (5, ""), (9, c), (9, d)])
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.similar_components(docs_frame(spark, [])).count() == 0
     assert [r["component_id"] for r in ngram_join.similar_components(docs_frame(spark, [(7, None, None, None)])).collect()] == [7]
