@@ -47,6 +47,9 @@ def ranked_ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(n-gram keys, counts), most frequent first, ties by key. A key holds up to three 10-bit letter codes."""
     raw = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     code = np.where(raw < 0x10000, _codes()[np.minimum(raw, 0xFFFF)], np.uint32(0x3FF))
+    high = raw[raw >= 0x10000]
+    if len(high):  # emoji and symbols are no letters
+        code = np.where(np.isin(raw, [cp for cp in np.unique(high).tolist() if not chr(cp).isalpha()]), np.uint32(0), code)
     code = np.concatenate(([np.uint32(0)], code, [np.uint32(0)])).astype(np.uint32)
     keep = np.ones(len(code), dtype=bool)
     keep[1:] = (code[1:] != 0) | (code[:-1] != 0)  # one boundary between words

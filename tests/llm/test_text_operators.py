@@ -171,6 +171,15 @@ def test_licence_sentences_are_all_recognised():
         assert rec.identifiers(f"Before it.\n{sentence}\nAfter.") == [name]
 
 
+def test_language_of_emoji_alone():
+    keys, _ = language.ranked_ngrams("some words \U00010437")
+    model = language.RankOrder({"x": keys, "y": keys[:3]})
+    for text in ("\U0001f600\U0001f680 \U0001f600", "\U0001d7ce \U0001f3fd", "\U0001f600!"):
+        assert model.predict(text) == ("und", 0.0)
+    assert model.predict("\U00010437\U00010438")[0] in ("x", "y")  # letters beyond the BMP
+    assert language.ranked_ngrams("a\U0001f600b")[0].tolist() == language.ranked_ngrams("a b")[0].tolist()
+
+
 def wrapped(text, mark, width=60):
     return "\n".join(mark + line for line in textwrap.wrap(text, width - len(mark), break_long_words=False))
 
