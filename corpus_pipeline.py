@@ -23,7 +23,8 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without a letter (or text) go."""
+    """Documents whose language can be told: those without a letter (or text) go. Repeated rows stay repeated, very long
+    texts are read whole, null keys are no reason to go; an empty table stays empty; other columns pass unread."""
     profiles = language.learn_profiles(docs, where=~held_out("k", 4, 2))
     work, text = _numbered(docs)
     said = language.identify(work, profiles, text=text, columns=tuple(work.columns))
@@ -31,7 +32,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted to be toxic."""
+    """Documents that are not predicted to be toxic; null and empty texts score 0 and stay. The other cases as in
+    ``identify_language``; without labels nothing goes."""
     model = toxicity.learn(docs, read(spark, sf_dir, "labels"), where=~held_out("doc_id", 3, 1))
     work, text = _numbered(docs)
     said = toxicity.score_documents(work, model, text=text, columns=tuple(work.columns))
@@ -39,20 +41,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies; rows with a null key and texts without words stay (see ``deduplicated``)."""
     return ngram_join.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the words that the mix takes of them; those it takes nothing of go."""
+    """Documents with the words that the mix takes of them; those it takes nothing of (null and empty texts too) go. A null
+    source is a source of its own, a null key no hindrance, and repeated rows count each for itself."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
-    path = tokenizer_file("byte_bpe_50k.json")
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("intact"))
+    """Token ids of every document, and whether they decode to its text; a null text is encoded as the empty one, and
+    other columns than these are left out."""
+    out = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), tokenizer_file("byte_bpe_50k.json"))
+    intact = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", intact.alias("intact"))
 
 
 STAGES = [

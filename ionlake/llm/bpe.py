@@ -1,41 +1,49 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut into chunks where a rolling hash over its last 32 bytes meets a mask, so that a passage
-shared by documents is cut alike in all of them. A chunk is encoded once for all documents that a task
-meets it in (a bounded memo), kept as its inner token ids and the two fringes that a neighbour may
-change: the part before its first safe cut and the part after its last one. A safe cut lies before a single
-space between two non-space characters: the tokenizer's own pre-splitting always cuts there, so what lies
-between two safe cuts is encoded alike in any surroundings. Joining two chunks, the fringes that meet are
-put together, over further chunks as long as there is no safe cut, and encoded anew; the result agrees
-exactly with the encoding of the whole text.
-
-Defined cases: a null text is encoded as the empty one; an empty text has no ids; ids outside the
-vocabulary and a null list of ids cannot be decoded and raise; repeated rows stay repeated.
+shared by documents is cut alike in all of them. A chunk is encoded once for all documents that a worker
+meets it in (a memo bounded in bytes), and kept as its inner token ids and its two open ends: what stands before its first
+safe cut and after its last one. A safe cut lies before a single space between two non-space characters.
+
+Joining two chunks, the open ends that meet are encoded anew together with one known piece of the chunk on either
+side. The new ids must begin and end with the known pieces' ids: then they agree with what is kept of both chunks. Where
+they don't, the repair is widened to the text as a whole, whose encoding agrees by itself.
+
+A chunk's own text is encoded piece by piece (a piece lies between two safe cuts), each spelling once as long as it stays
+in a second memo; new spellings are encoded together in one call.
+
+Reuse reaches as far as a worker's memo: chunks that two workers meet are encoded by both. Sharing them through a
+shuffle would have to move distinct chunks, ids and whole texts, over twice the input.
+
+Defined cases: a null text is encoded as the empty one; an empty text has no ids; very long texts are worked through
+whole; ids outside the vocabulary cannot be decoded and raise; a null list of ids decodes to null; repeated rows stay
+repeated; an empty table gives no rows; columns named like a result (``ids``, ``decoded``) are replaced by it.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .shared import numbered, small_batches
+from .shared import from_text, slices
 
 #: Mean chunk size is about 1 << CHUNK_BITS bytes, between the bounds.
 CHUNK_BITS, LEAST_CHUNK, MOST_CHUNK = 10, 256, 8192
-#: Bounds of what a process keeps at hand: pieces, and bytes of chunks.
-PIECES, CHUNK_BYTES = 300_000, 16 << 20
+#: Bounds of what a worker keeps at hand, each in two generations: spellings, characters of theirs, bytes of chunks.
+SPELLINGS, SPELLED, CHUNK_BYTES = 150_000, 4 << 20, 12 << 20
+#: New spellings that are encoded in one text.
+TOGETHER = 2_048
+MARK = "\x01"
 
 _GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(17)).astype(np.uint32)
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _RARE_SPACE = [chr(c) for c in range(1, 0x3001) if chr(c).isspace() and chr(c) not in " \n"]
-_HEAD = re.compile(r"[^\W_]+(?=[!-/:-@\[-`{-~])")
 _LOADED: dict = {}
 
 
@@ -53,49 +61,62 @@ def tokenizer(path: str):
 
 
 class Pieces:
-    """Ids of spellings, each encoded by the library once and kept as little-endian 32-bit integers.
+    """Ids of spellings, each encoded by the library once as long as it stays at hand.
 
-    A spelling of letters or digits before an ASCII punctuation mark is encoded in two parts, as the
-    tokenizers here always split there; the parts are far fewer than their combinations.
+    What is at hand is kept in two generations: when the younger one is full, the older one goes, and what is asked for
+    again moves to the younger. New spellings are encoded together in one text and cut apart again: ``spaced`` ones, each
+    with its space before it, at the ids that begin with a space; others at a mark put between them. Spellings for
+    which the cuts aren't sure are encoded one by one.
     """
 
-    def __init__(self, path: str, prefix: str = "", most: int = PIECES):
-        self.encode_batch = tokenizer(path).encode_batch_fast
-        self.prefix, self.most = prefix, most
+    def __init__(self, path: str, spaced: bool = False, kind: str = "<u4", most: int = SPELLINGS):
+        tok = tokenizer(path)
+        self.encode_batch = tok.encode_batch_fast
+        self.kind, self.most = np.dtype(kind), most
+        self.lead, self.glue = (" ", " ") if spaced else ("", f" {MARK} ")
+        self.unsure = self.glue.strip() or self.glue  # a spelling with this in it could be taken for the glue
+        mark = [] if spaced else tok.encode(MARK, add_special_tokens=False).ids
+        self.opens = np.array([x[:1] == b" " for x in _spellings(path)]) if spaced else np.isin(np.arange(tok.get_vocab_size()), mark)
+        self.dropped = len(mark)
         self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
-
-    def _encode(self, held: dict[str, bytes], prefix: str, new: set[str]) -> None:
-        for p, e in zip(new, self.encode_batch([prefix + p for p in new], add_special_tokens=False), strict=True):
-            held[p] = np.array(e.ids, dtype="<u4").tobytes()
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def _single(self, pieces: list[str]) -> None:
+        for p, e in zip(pieces, self.encode_batch([self.lead + p for p in pieces], add_special_tokens=False), strict=True):
+            self.known[p] = np.array(e.ids, dtype=self.kind).tobytes()
+
+    def _together(self, pieces: list[str]) -> None:
+        ids = np.array(self.encode_batch([self.lead + self.glue.join(pieces)], add_special_tokens=False)[0].ids, dtype=self.kind)
+        at = np.flatnonzero(self.opens[ids])
+        starts, ends = ([0, *(at + self.dropped).tolist()], [*at.tolist(), len(ids)]) if self.dropped else (at.tolist(), [*at[1:].tolist(), len(ids)])
+        if len(starts) != len(pieces):
+            return self._single(pieces)
+        data, wide = ids.tobytes(), self.kind.itemsize
+        self.known.update(zip(pieces, [data[a * wide : b * wide] for a, b in zip(starts, ends, strict=True)], strict=True))
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode what of the pieces isn't known yet, in two calls of the library."""
-        for held in (self.known, self.heads, self.tails):
-            if len(held) >= self.most:
-                held.clear()
-                self.tails[""] = b""
-        cut = {p: _halves(p) for p in pieces.difference(self.known)}
-        self._encode(self.heads, self.prefix, {h for h, _ in cut.values()}.difference(self.heads))
-        self._encode(self.tails, "", {t for _, t in cut.values()}.difference(self.tails))
-        heads, tails = self.heads, self.tails
-        for p, (head, tail) in cut.items():
-            self.known[p] = heads[head] + tails[tail]
+        """Have the ids of all these pieces at hand."""
+        if len(self.known) >= self.most or self.held >= SPELLED:
+            self.known, self.older, self.held = {}, self.known, 0
+        missing = pieces.difference(self.known)
+        if self.older:
+            again = missing.intersection(self.older)
+            self.known.update((p, self.older[p]) for p in again)
+            missing -= again
+        self.held += sum(map(len, missing))
+        odd = [p for p in missing if self.unsure in p or not p]
+        sure = list(missing.difference(odd))
+        if odd:
+            self._single(odd)
+        for at in range(0, len(sure), TOGETHER):
+            self._together(sure[at : at + TOGETHER])
 
     def ids(self, pieces: list[str]) -> bytes:
         """The ids of pieces learned before, one after the other."""
         return b"".join(map(self.known.__getitem__, pieces))
 
 
-def _halves(piece: str) -> tuple[str, str]:
-    """The piece cut before its first punctuation mark, where normalising and lower-casing keep the cut."""
-    m = _HEAD.match(piece)
-    if not m or not (piece.isascii() or (piece[m.end() - 1] != "\u0130" and unicodedata.is_normalized("NFC", piece))):
-        return piece, ""
-    return piece[: m.end()], piece[m.end() :]
-
-
 def cuts(data: bytes) -> list[int]:
     """Where a text's bytes are cut into chunks (the end is the last cut); never inside a character."""
     n = len(data)
@@ -122,14 +143,28 @@ def cuts(data: bytes) -> list[int]:
     return out
 
 
+class Chunk(NamedTuple):
+    """A chunk as it is kept: the ids between its outer safe cuts, its first and last piece there with their ids, and
+    its open ends. Without two inner pieces it has no ids and is one open text (``head``)."""
+
+    head: str
+    ids: bytes | None = None
+    first: str = ""
+    first_ids: bytes = b""
+    last: str = ""
+    last_ids: bytes = b""
+    tail: str = ""
+
+
 class ChunkEncoder:
-    """Encodes texts by their chunks; exact for byte-level tokenizers that pre-split before single spaces."""
+    """Encodes texts by their chunks; exact for byte-level tokenizers, which pre-split before single spaces."""
 
     def __init__(self, path: str):
         self.encode = tokenizer(path).encode_batch_fast
-        self.inner = Pieces(path, " ", PIECES // 4)
-        self.chunks: dict[bytes, tuple[str, bytes | None, str]] = {}
-        self.held = self.asked = self.reused = 0
+        self.inner = Pieces(path, spaced=True)
+        self.chunks: dict[bytes, Chunk] = {}
+        self.older: dict[bytes, Chunk] = {}
+        self.held = self.asked = self.reused = self.disagreed = 0
 
     def parts(self, data: bytes) -> list[str]:
         """A chunk's text cut at its safe cuts, without the spaces there."""
@@ -137,40 +172,62 @@ class ChunkEncoder:
         single = text[0] != " " != text[-1] and "  " not in text and " \n" not in text and "\n " not in text
         return text.split(" ") if single and not any(c in text for c in _RARE_SPACE) else _SAFE.split(text)
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers. New chunks and seams of all texts are encoded together."""
+    def _learn(self, wanted: set[bytes]) -> None:
         if self.held > CHUNK_BYTES:
-            self.chunks.clear()
-            self.held = 0
+            self.chunks, self.older, self.held = {}, self.chunks, 0
+        new = wanted.difference(self.chunks)
+        again = new.intersection(self.older)
+        self.chunks.update((c, self.older[c]) for c in again)
+        cut = {c: self.parts(c) for c in new - again}
+        self.inner.learn({p for parts in cut.values() for p in parts[1:-1]})
+        known = self.inner.known
+        for c, parts in cut.items():
+            if len(parts) < 4:
+                self.chunks[c] = Chunk(" ".join(parts))
+            else:
+                self.chunks[c] = Chunk(parts[0], self.inner.ids(parts[1:-1]), parts[1], known[parts[1]], parts[-2], known[parts[-2]], parts[-1])
+        self.held += sum(3 * len(c) + 700 for c in new)
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers. New chunks and repairs of all texts are encoded together."""
         cut: list[list[bytes]] = []
         for text in texts:
             data = (text or "").encode("utf-8", "surrogatepass")
             stops = cuts(data)
             cut.append([data[a:b] for a, b in zip([0, *stops], stops)])
-        new = {c: self.parts(c) for c in {c for chunks in cut for c in chunks}.difference(self.chunks)}
+        wanted = {c for chunks in cut for c in chunks}
         self.asked += sum(map(len, cut))
-        self.reused += sum(map(len, cut)) - len(new)
-        self.inner.learn({p for parts in new.values() for p in parts[1:-1]})
-        for c, parts in new.items():
-            # text before the first safe cut, ids between the safe cuts, text after the last one
-            self.chunks[c] = (parts[0], self.inner.ids(parts[1:-1]), " " + parts[-1]) if len(parts) > 1 else (parts[0], None, "")
-            self.held += 3 * len(c) + 300
-        plans, seams = [], []
+        self.reused += sum(map(len, cut)) - len(wanted.difference(self.chunks, self.older))
+        self._learn(wanted)
+        repairs: list[str] = []
+        plans: list[list[tuple[bytes, bytes, bytes]]] = []  # of each repair: ids that it begins and ends with, ids that follow it
         for chunks in cut:
-            plan, open_ = [], []
-            for c in chunks:
-                head, mid, tail = self.chunks[c]
-                open_.append(head)
-                if mid is not None:  # safe cuts close what is open and open anew
-                    seams.append("".join(open_))
-                    plan += [None, mid]
-                    open_ = [tail]
-            if open_:
-                seams.append("".join(open_))
-                plan.append(None)
+            plan, before, open_ = [], b"", ""
+            for c in map(self.chunks.__getitem__, chunks):
+                if c.ids is None:
+                    open_ += c.head
+                    continue
+                repairs.append(f"{open_}{c.head} {c.first}")
+                plan.append((before, c.first_ids, c.ids))
+                before, open_ = c.last_ids, f" {c.last} {c.tail}"
+            repairs.append(open_)
+            plan.append((before, b"", b""))
             plans.append(plan)
-        ready = iter([np.array(e.ids, dtype="<u4").tobytes() for e in self.encode(seams, add_special_tokens=False)])
-        return [b"".join(next(ready) if x is None else x for x in plan) for plan in plans]
+        said = iter(self.encode(repairs, add_special_tokens=False))
+        out = []
+        for text, plan in zip(texts, plans, strict=True):
+            whole: list[bytes] | None = []
+            for before, after, then in plan:
+                got = np.array(next(said).ids, dtype="<u4").tobytes()
+                if whole is None or len(got) < len(before) + len(after) or not (got.startswith(before) and got.endswith(after)):
+                    whole = None
+                else:
+                    whole += [got[len(before) : len(got) - len(after)], then]
+            if whole is None:  # no agreement: the repair is the whole text
+                self.disagreed += 1
+                whole = [np.array(self.encode([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()]
+            out.append(b"".join(whole))
+        return out
 
 
 def _spellings(path: str) -> list[bytes]:
@@ -188,34 +245,64 @@ def _spellings(path: str) -> list[bytes]:
     return _LOADED[key]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", slice_rows: int = 128) -> DataFrame:
-    """docs with a column ``ids`` (array of int) beside its own; the text column is one of them."""
-    names = docs.columns
-    work, kinds, at = numbered(docs, names, text)
+def _encoder(path: str) -> ChunkEncoder:
+    """The worker's encoder: what it has at hand serves all tasks that the worker runs."""
+    if (path, "chunks") not in _LOADED:
+        _LOADED[path, "chunks"] = ChunkEncoder(path)
+    return _LOADED[path, "chunks"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)  # let go at the task's end: workers live on for other stages
-        for batch in batches:
-            for first in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(first, slice_rows)
-                ids = encoder.ids(part.column(at).to_pylist())
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), flat)], [*(f"c{i}" for i in range(len(names))), "ids"])
 
-    out = work.mapInArrow(run, f"{kinds}, ids array<int>")
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "ids")
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+    flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+    return pa.ListArray.from_arrays(pa.array(ends), flat)
+
+
+def _said(ids: list[bytes | None], path: str) -> pa.Array:
+    """The texts that ids stand for; bytes that are no UTF-8 become U+FFFD, as the library has it."""
+    spell = _spellings(path).__getitem__
+    return pa.array([None if x is None else b"".join(map(spell, np.frombuffer(x, dtype="<u4").tolist())).decode("utf-8", "replace") for x in ids], pa.string())
+
+
+def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """docs with a column ``ids`` (array of int) beside its own."""
+
+    def make():
+        encoder = _encoder(path)
+
+        def run(texts: pa.Array) -> Iterator[pa.StructArray]:
+            for part in slices(texts):
+                yield pa.StructArray.from_arrays([_lists(encoder.ids(part.to_pylist()))], ["ids"])
+
+        return run
+
+    return from_text(docs, docs.columns, text, "ids array<int>", make)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """tokens with a column ``decoded`` (text; bytes that are no UTF-8 become U+FFFD) beside its own."""
-    names = tokens.columns
-    kinds = [f.dataType.simpleString() for f in tokens.schema.fields]
+    """tokens with a column ``decoded`` beside its own: the text of its ids."""
+
+    def make():
+        def run(lists: pa.Array) -> Iterator[pa.StructArray]:
+            held = [None if x is None else x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() for x in (lists[i] if lists[i].is_valid else None for i in range(len(lists)))]
+            yield pa.StructArray.from_arrays([_said(held, path)], ["decoded"])
+
+        return run
+
+    return from_text(tokens, tokens.columns, ids, "decoded string", make)
+
+
+def encode_and_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """docs with ``ids`` and the text ``decoded`` from them, in one pass: ids don't travel to be decoded."""
+
+    def make():
+        encoder = _encoder(path)
+
+        def run(texts: pa.Array) -> Iterator[pa.StructArray]:
+            for part in slices(texts):
+                ids = encoder.ids(part.to_pylist())
+                yield pa.StructArray.from_arrays([_lists(ids), _said(ids, path)], ["ids", "decoded"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = _spellings(path).__getitem__
-        for batch in batches:
-            said = [b"".join(map(spell, x.values.to_numpy().tolist())).decode("utf-8", "replace") for x in batch.column(names.index(ids))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], [*names, "decoded"])
+        return run
 
-    return small_batches(tokens).mapInArrow(run, ", ".join([*(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)), "decoded string"]))
+    return from_text(docs, docs.columns, text, "ids array<int>, decoded string", make)

@@ -6,19 +6,21 @@ the out-of-place distance: the sum of rank differences, with a fixed penalty for
 lacks. The nearest profile names the language.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the smaller
-language name; without any profile everything is ``und``; repeated rows stay repeated.
+language name; without any profile everything is ``und``; repeated rows stay repeated; very long texts are read whole;
+an empty table gives no rows; columns named like a result (``lang_pred``, ``score``) are replaced by it.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import numbered
+from .shared import from_text, slices
 
 UNDETERMINED = "und"
 #: N-grams of a language profile, and of a document.
@@ -74,13 +76,10 @@ def learn_profiles(docs: DataFrame, key: str = "doc_id", text: str = "text", lan
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull())
     rows = rows if where is None else rows.where(where)
     order = F.xxhash64("k", F.lit(7))
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return {}
-    span = F.lit(0)
-    for name, n in sorted(sizes.items()):
-        span = F.when(F.col("l") == name, F.lit(min(1 << 40, int(0.9 * SAMPLE_PER_LANGUAGE / n * (1 << 40))))).otherwise(span)
-    sample = rows.where(F.shiftrightunsigned(order, 24) < span)
+    sizes = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    span = F.least(F.lit(1 << 40), F.floor(F.lit(0.9 * SAMPLE_PER_LANGUAGE) / F.col("n") * F.lit(float(1 << 40)))).cast("long")
+    # a row a language, fewer than the profiles that every task holds
+    sample = rows.join(F.broadcast(sizes.select("l", span.alias("span"))), "l").where(F.shiftrightunsigned(order, 24) < F.col("span"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[int, int]] = {}
@@ -94,8 +93,9 @@ def learn_profiles(docs: DataFrame, key: str = "doc_id", text: str = "text", lan
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(mine)), pa.array(list(mine), pa.int64()), pa.array(list(mine.values()), pa.int64())], ["l", "g", "c"])
 
     totals = sample.select("t", "l").mapInArrow(count, "l string, g long, c long").groupBy("l", "g").agg(F.sum("c").alias("c"))
-    best = totals.groupBy("l").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "g"))), 1, PROFILE_SIZE)["g"].alias("g"))
-    return {r["l"]: np.array(r["g"], dtype=np.uint32) for r in best.collect()}
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("c"), "g"))
+    best = totals.withColumn("at", place).where(F.col("at") <= PROFILE_SIZE).orderBy("l", "at").collect()
+    return {name: np.array([r["g"] for r in rows_], dtype=np.uint32) for name, rows_ in itertools.groupby(best, key=lambda r: r["l"])}
 
 
 class RankOrder:
@@ -131,12 +131,13 @@ class RankOrder:
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The named columns with lang_pred and score of every row; work of one row depends on its text alone."""
     model = RankOrder(profiles)
-    work, kinds, at = numbered(docs, list(columns), text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            said = [model.predict(x.as_py()) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], [*(f"c{i}" for i in range(len(columns))), "lang_pred", "score"])
+    def make():
+        def run(texts: pa.Array) -> Iterator[pa.StructArray]:
+            for part in slices(texts):
+                said = [model.predict(x) for x in part.to_pylist()]
+                yield pa.StructArray.from_arrays([pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], ["lang_pred", "score"])
+
+        return run
 
-    out = work.mapInArrow(run, f"{kinds}, lang_pred string, score double")
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), "lang_pred", "score")
+    return from_text(docs, columns, text, "lang_pred string, score double", make)

@@ -53,7 +53,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("byte_bpe_50k.json")
-    out = bpe.decode(bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    out = bpe.encode_and_decode(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
     text = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

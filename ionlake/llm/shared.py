@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -19,9 +22,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names in spark.checkpoint.dir (a local one only where unset)."""
+    """A new folder below the one the cluster names in spark.checkpoint.dir. Where that is unset, a local folder on a
+    single machine (as in tests); on a cluster it raises, as a machine's own folder is not there for the others."""
     base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set(CHECKPOINT_DIR, base)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
@@ -46,25 +52,43 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
-#: Rows of an Arrow batch where whole texts pass through Python: a batch of long texts then stays in megabytes.
-BATCH_ROWS = 1_000
-BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of text, about, that an operator works through before it hands on results. Arrow batches themselves are bounded
+#: by the session's spark.sql.execution.arrow.maxBytesPerBatch (64 MB where unset), which is left as it is.
+SLICE_BYTES = 2 << 20
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches bounded for whole texts (a smaller setting stays)."""
-    spark = df.sparkSession
-    if int(spark.conf.get(BATCH_CONF, "10000")) not in range(1, BATCH_ROWS + 1):
-        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
-    return df
+def slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 1_024) -> Iterator[pa.Array]:
+    """A batch of texts in pieces of about so many bytes; one longer text is a piece of its own."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    at = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > at and (held + n > most or i - at == rows):
+            yield column.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < len(column):
+        yield column.slice(at)
+
 
+def from_text(docs: DataFrame, columns: Sequence[str], text: str, kind: str, make: Callable[[], Callable[[pa.Array], Iterable[pa.StructArray]]]) -> DataFrame:
+    """The named columns and, beside them, what a function makes of the text column: the fields of the struct ``kind``.
 
-def numbered(df: DataFrame, columns: list[str], text: str) -> tuple[DataFrame, str, int]:
-    """The columns as c0, c1, ... (no name clashes), their schema, and the text's place among them; the text is
-    added at the end if it isn't one of them."""
-    wanted = [*columns, *([] if text in columns else [text])]
-    kinds = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
-    return small_batches(df).select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(wanted))), kinds, wanted.index(text)
+    Only texts go through Python; the rows stay in the JVM. ``make`` gives a task its function, which takes a batch of
+    texts and gives one or more struct arrays of as many rows in all. Columns that bear a field's name are replaced.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        fn = make()
+        for batch in batches:
+            yield from fn(batch)
+
+    # not deterministic for the optimizer: a later filter must not have the function run twice
+    said = F.arrow_udf(run, kind).asNondeterministic()
+    fields = StructType.fromDDL(kind).fieldNames()
+    kept = [c for c in columns if c not in fields]
+    one = f"said_{uuid.uuid4().hex}"
+    out = docs.select(*(F.col(f"`{c}`") for c in kept), said(F.col(f"`{text}`")).alias(one))
+    return out.select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"{one}.{f}").alias(f) for f in fields))
 
 
 def bucket_bounds(df: DataFrame, key: str, rows_per_bucket: int, most: int = 20_000) -> tuple[list[int], int]:

@@ -7,7 +7,8 @@ everywhere in running text and rare in lists and menus, so that a fingerprint fo
 
 Defined cases: a null text is the empty one; a text without a word has the empty fingerprint; a text with
 words but no complete chain has one signature, that of all its words; two empty fingerprints are alike by 1,
-an empty and another one by 0; rows with equal keys stay all, ordered by text; a null key comes first.
+an empty and another one by 0; rows with equal keys stay all, ordered by text; a null key comes first; very long texts
+are read whole; columns beside key and text are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bucket_bounds, bucket_of, materialize, small_batches
+from .shared import bucket_bounds, bucket_of, materialize
 
 # Common words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -92,7 +93,7 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Texts are moved once, into ordered buckets; the first row of every bucket also goes to the bucket before.
     """
-    bounds, _ = bucket_bounds(small_batches(docs), key, rows_per_bucket)
+    bounds, _ = bucket_bounds(docs, key, rows_per_bucket)
     least = -(1 << 63)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.withColumn("s", F.coalesce("k", F.lit(least))).withColumn("b", F.when(F.col("k").isNull(), 0).otherwise(bucket_of("k", bounds)))

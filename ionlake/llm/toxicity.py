@@ -8,7 +8,8 @@ located. An L1 penalty keeps only features that the labels bear out, and a leak,
 sentence's sake, takes up label noise; the leak is no part of a score.
 
 Defined cases: null and empty texts score as no sentence does (0); without a label of either kind every
-score is 0; repeated rows stay repeated; very long texts are scored whole.
+score is 0; repeated rows stay repeated; very long texts are scored whole; an empty table gives no rows; columns named like
+a result (``score``, ``predicted``, ``offending``) are replaced by it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import numbered
+from .shared import from_text, slices
 
 #: Labelled documents of each label that a model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE_PER_LABEL = 4_000
@@ -158,13 +159,18 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score_documents(docs: DataFrame, model: NoisyOr, text: str = "text", columns: tuple[str, ...] = ("doc_id",), locate: bool = False) -> DataFrame:
     """The named columns with score and predicted of every row, and with ``locate`` the offending sentences:
     those that alone reach the threshold, in text order."""
-    work, kinds, at = numbered(docs, list(columns), text)
+    kind = "score double, predicted int" + ", offending array<string>" * locate
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = np.array([model.score(t.as_py()) for t in batch.column(at)], dtype=np.float64)
-            more = [pa.array([[s.strip() for s, p in model.sentence_scores(t.as_py()) if p >= THRESHOLD] for t in batch.column(at)], pa.list_(pa.string()))] if locate else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), *more], [*(f"c{i}" for i in range(len(columns))), "score", "predicted", *(["offending"] if locate else [])])
+    def make():
+        def run(texts: pa.Array) -> Iterator[pa.StructArray]:
+            for part in slices(texts):
+                held = part.to_pylist()
+                score = np.array([model.score(t) for t in held], dtype=np.float64)
+                said = [pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))]
+                if locate:
+                    said.append(pa.array([[s.strip() for s, p in model.sentence_scores(t) if p >= THRESHOLD] for t in held], pa.list_(pa.string())))
+                yield pa.StructArray.from_arrays(said, ["score", "predicted", "offending"][: len(said)])
+
+        return run
 
-    out = work.mapInArrow(run, f"{kinds}, score double, predicted int" + ", offending array<string>" * locate)
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), "score", "predicted", *(["offending"] if locate else []))
+    return from_text(docs, columns, text, kind, make)
