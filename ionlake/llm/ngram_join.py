@@ -17,7 +17,8 @@ No link between different components is lost: a linked pair shares a prefix toke
 
 Defined cases: texts without words have the empty set, n_shingles 0, and are linked with nothing; a row with
 a null key has a null component and links nothing; rows that share a key count as one node, whatever their
-texts; repeated rows stay repeated in the result; an empty table gives no rows.
+texts; repeated rows stay repeated in the result; of equally good leaders the smaller key leads; very long texts are
+worked through whole; columns beside key and text are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,16 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import materialize, small_batches
+from .shared import materialize, slices
 from .shingles import shingle_sets
 
 WIDTH, PART, WHOLE = 5, 4, 5
-#: A token is frequent above this many prefixes; there are never more than MOST_FREQUENT such tokens.
+#: A token is frequent above this many sets; there are never more than MOST_FREQUENT such tokens.
 FREQUENT, MOST_FREQUENT = 12, 400_000
+#: Tokens that a task counts at a time.
+COUNTED = 2_000_000
+#: The bit that puts frequent tokens behind all others.
+RAISED = 1 << 62
 #: Members of a group's part, and queries that meet it in one task.
 GROUP_MEMBERS, TASK_QUERIES = 64, 256
 #: Up to this many ids (8 bytes each) the texts to compare are picked with a broadcast list, else by a shuffle.
@@ -48,30 +53,62 @@ def _prefix_size(n):
     return n - (PART * n + WHOLE - 1) // WHOLE + 1
 
 
-def _ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Tokens as 62-bit hashes, the frequent ones raised above all others, in ascending order."""
+def _ordered(tokens: np.ndarray, frequent: np.ndarray, tiers: np.ndarray) -> np.ndarray:
+    """Tokens as 62-bit hashes in ascending order, the frequent ones raised above all others, by tiers of frequency."""
     keys = np.unique((tokens >> np.uint64(2)).astype(np.int64))
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
-        keys = np.sort(np.where(frequent[at] == keys, keys | np.int64(1 << 62), keys))
+        keys = np.sort(np.where(frequent[at] == keys, np.int64(RAISED) | (tiers[at] << np.int64(56)) | (keys >> np.int64(6)), keys))
     return keys
 
 
-def _sketch(docs: DataFrame, frequent: np.ndarray, width: int) -> DataFrame:
-    """(id, n, digest, hub, prefix) of every row; hub: how many tokens in a thousand of the prefix are frequent."""
+def _counts(docs: DataFrame, width: int) -> DataFrame:
+    """(t, n): how many sets hold a token. All tokens of prefixes (in order of hashes) count, and of the others those
+    that meet again within COUNTED tokens of a task: what is held by many sets is found wherever it stands in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        first: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            keep = (counts > 1) | np.isin(tokens, np.concatenate(first))
+            held.clear()
+            first.clear()
+            return pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(counts[keep].astype(np.int64))], ["t", "n"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [_ordered(s, frequent) for s in shingle_sets(part.column(1).to_pylist(), width)]
+            for part in slices(batch.column(0), rows=256):
+                for s in shingle_sets(part.to_pylist(), width):
+                    keys = np.unique((s >> np.uint64(2)).astype(np.int64))
+                    held.append(keys)
+                    first.append(keys[: _prefix_size(len(keys))] if len(keys) else keys)
+                if sum(map(len, held)) >= COUNTED:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+
+
+def _sketch(docs: DataFrame, frequent: np.ndarray, tiers: np.ndarray, width: int) -> DataFrame:
+    """(id, n, digest, hub, hot, prefix) of every row; hot: how many tokens of the prefix are frequent; hub: in a thousand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in slices(batch.column(1), rows=256):
+                ids = batch.column(0).slice(at, len(part))
+                at += len(part)
+                sets = [_ordered(s, frequent, tiers) for s in shingle_sets(part.to_pylist(), width)]
                 prefixes = [s[: _prefix_size(len(s))] if len(s) else s for s in sets]
-                hubs = [1000 * int((x >= 1 << 62).sum()) // max(1, len(x)) for x in prefixes]
+                hots = [int((x >= RAISED).sum()) for x in prefixes]
+                hubs = [1000 * h // max(1, len(x)) for h, x in zip(hots, prefixes, strict=True)]
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(digests, pa.binary()), pa.array(hubs, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))], ["id", "n", "digest", "hub", "prefix"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int32()), pa.array(digests, pa.binary()), pa.array(hubs, pa.int32()), pa.array(hots, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))], ["id", "n", "digest", "hub", "hot", "prefix"])
 
-    return small_batches(docs).mapInArrow(run, "id long, n int, digest binary, hub int, prefix array<long>")
+    return docs.mapInArrow(run, "id long, n int, digest binary, hub int, hot int, prefix array<long>")
 
 
 def _open(docs: DataFrame, wanted: DataFrame, members: DataFrame, width: int) -> DataFrame:
@@ -141,26 +178,56 @@ def _split(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return mine.withColumn("c0", F.min("c").over(token)).withColumn("c1", F.max("c").over(token)).where(F.col("c0") != F.col("c1")).drop("c0", "c1")
 
 
+def _qualifying(mine: DataFrame, group: Column) -> DataFrame:
+    """(x, g): the groups that a class has to open, by the token-group matrix.
+
+    A token that many prefixes hold stands behind all others in every set. Where a pair's first common token is such a
+    one, all they have in common lies at it or behind it; so at these tokens a class meets a group only if what both
+    have left there can still suffice. Rows at such tokens are then no count of common tokens, but a class has few of
+    them in its prefix, and the bound takes them all for common.
+    """
+    facts = mine.select("single", "key", "part", "id", "n", "hot").distinct().groupBy("single", "key", "part")
+    facts = facts.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("hot").alias("g_hot"))
+    union = mine.groupBy("t", "single", "key", "part", "size", "held").agg(F.max("onward").alias("g_onward"), F.min("n").alias("g_n"))
+    union = union.join(materialize(facts), ["single", "key", "part"])
+    matrix = union.select("t", group.alias("g"), F.col("size").alias("g_size"), F.col("held").alias("g_held"), "least", "most", "g_hot", "g_onward", "g_n")
+    names = {"id": "x", "n": "x_n", "c": "x_c", "size": "x_size", "key": "x_key", "hot": "x_hot", "onward": "x_onward"}
+    q = mine.select("t", *(F.col(a).alias(b) for a, b in names.items()))
+    # smaller components ask larger ones; single classes also ask each other's groups, in one direction
+    larger = ~F.col("g.single") & (F.col("x_c") != F.col("g.key")) & (F.struct("x_size", "x_c") < F.struct("g_size", "g.key"))
+    peers = F.col("g.single") & (F.col("x_size") == 1) & ((F.col("x_key") < F.col("g.key")) | ((F.col("x_key") == F.col("g.key")) & (F.col("g_held") > 1)))
+    alike = (WHOLE * F.col("x_n") >= PART * F.col("least")) & (PART * F.col("x_n") <= WHOLE * F.col("most"))
+    needed = PART * (F.col("x_n") + F.col("g_n"))  # (WHOLE + PART) times the overlap that a link takes
+    left = ((WHOLE + PART) * F.col("x_onward") >= needed) & ((WHOLE + PART) * F.col("g_onward") >= needed)
+    met = q.join(matrix, "t").where((larger | peers) & alike & ((F.col("t") < RAISED) | left))
+    met = met.groupBy("x", "g", "x_n", "x_hot", "least", "most", "g_hot").agg(F.count_if(F.col("t") < RAISED).alias("common"))
+    slack = lambda n: n - _prefix(n)
+    most = F.col("common") + F.least("x_hot", "g_hot") + F.greatest(slack(F.col("x_n")), slack(F.col("most")))
+    return met.where((WHOLE + PART) * most >= PART * (F.col("x_n") + F.col("least"))).select("x", "g")
+
+
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(key, n_shingles, component_id) of every row; component_id is the smallest key reachable by links."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
-    # tokens that many prefixes hold
-    counted = _sketch(rows, np.zeros(0, dtype=np.int64), width).select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    many = materialize(counted.where(F.col("n") > FREQUENT))
+    # tokens that many sets hold
+    many = materialize(_counts(rows, width).where(F.col("n") > FREQUENT))
     bound, level = many.count(), FREQUENT
     while bound > MOST_FREQUENT:
         level *= 2
         bound = many.where(F.col("n") > level).count()
-    frequent = np.array(sorted(r["t"] for r in many.where(F.col("n") > level).select("t").toLocalIterator()), dtype=np.int64)
+    found = sorted((r["t"], r["n"]) for r in many.where(F.col("n") > level).toLocalIterator())
+    frequent = np.array([t for t, _ in found], dtype=np.int64)
+    tiers = np.array([min(63, n.bit_length()) for _, n in found], dtype=np.int64)
 
-    sketch = materialize(_sketch(rows, frequent, width))
+    sketch = materialize(_sketch(rows, frequent, tiers, width))
     linkable = sketch.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = materialize(linkable.groupBy("digest").agg(F.min(F.struct("id", "n", "hub", "prefix")).alias("c")).select("digest", "c.id", "c.n", "c.hub", "c.prefix"))
+    classes = materialize(linkable.groupBy("digest").agg(F.min(F.struct("id", "n", "hub", "hot", "prefix")).alias("c")).select("digest", "c.id", "c.n", "c.hub", "c.hot", "c.prefix"))
 
     token = Window.partitionBy("t")
-    shared = classes.select("id", "n", "hub", F.explode("prefix").alias("t")).withColumn("held", F.count(F.lit(1)).over(token))
-    shared = materialize(shared.where(F.col("held") > 1).select("t", "id", "n", "hub"))
+    shared = classes.select("id", "n", "hub", "hot", F.posexplode("prefix").alias("p", "t")).withColumn("held", F.count(F.lit(1)).over(token))
+    # onward: how much of the set lies at the token and behind it
+    shared = materialize(shared.where(F.col("held") > 1).select("t", "id", "n", "hub", "hot", (F.col("n") - F.col("p")).alias("onward")))
 
     # 1. linking with leaders, then with leaders of other components
     led = shared.withColumn("low", F.min(F.struct("id", "n")).over(token)).withColumn("top", F.max(F.struct("hub", (-F.col("id")).alias("o"), "id", "n")).over(token))
@@ -185,20 +252,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     mine = mine.join(materialize(held), ["single", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("held") / GROUP_MEMBERS)).cast("int"))
     mine = materialize(mine)
     group = F.struct("single", "key", "part")
-    facts = mine.select("single", "key", "part", "id", "n").distinct().groupBy("single", "key", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    slack = lambda n: n - _prefix(n)
-    union = mine.select("t", "single", "key", "part", "size", "held").distinct().join(materialize(facts), ["single", "key", "part"])
-    matrix = union.select("t", group.alias("g"), F.col("size").alias("g_size"), F.col("held").alias("g_held"), "least", "most")
-    q = mine.select("t", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("c").alias("x_c"), F.col("size").alias("x_size"), F.col("key").alias("x_key"))
-    # smaller components ask larger ones; single classes also ask each other's groups, in one direction
-    larger = ~F.col("g.single") & (F.col("x_c") != F.col("g.key")) & (F.struct("x_size", "x_c") < F.struct("g_size", "g.key"))
-    peers = F.col("g.single") & (F.col("x_size") == 1) & ((F.col("x_key") < F.col("g.key")) | ((F.col("x_key") == F.col("g.key")) & (F.col("g_held") > 1)))
-    met = q.join(matrix, "t").where(larger | peers)
-    met = met.where((WHOLE * F.col("x_n") >= PART * F.col("least")) & (PART * F.col("x_n") <= WHOLE * F.col("most")))
-    met = met.groupBy("x", "g", "x_n", "least", "most").agg(F.count(F.lit(1)).alias("common"))
-    most = F.col("common") + F.greatest(slack(F.col("x_n")), slack(F.col("most")))
-    opened = met.where((WHOLE + PART) * most >= PART * (F.col("x_n") + F.col("least"))).select("x", "g")
-    opened = materialize(opened)
+    opened = materialize(_qualifying(mine, group))
     members = mine.select(group.alias("g"), F.col("id").alias("y")).distinct()
     second = materialize(_open(rows, opened, members, width))
 
@@ -226,6 +280,16 @@ def _prefix(n):
     return n - F.ceil(F.lit(PART) * n / WHOLE) + 1
 
 
+def _smallest(docs: DataFrame, *before: str) -> Column:
+    """Of the structs ``row`` of docs' columns the smallest, by other columns first; maps, which have no order, are
+    compared as JSON."""
+    maps = {f.name for f in docs.schema.fields if "map<" in f.dataType.simpleString()}
+    if not maps:
+        return F.min(F.struct(*before, "row"))["row"]
+    order = [F.to_json(F.struct(F.col(f"row.`{c}`"))) if c in maps else F.col(f"row.`{c}`") for c in docs.columns]
+    return F.min_by("row", F.struct(*before, *order))
+
+
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """One document of each group: the one whose key is its component's smallest (of several rows with that key
     the smallest row), and all rows with a null key. Where a key has different texts, each (key, text) is a document
@@ -237,7 +301,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     keep = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
     names = [f"`{c}`" for c in docs.columns]
     known = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("kept"), F.struct(*names).alias("row"))
-    once = known.join(materialize(keep.withColumnRenamed(key, "kept")), "kept", "left_semi").groupBy("kept").agg(F.min("row").alias("row"))
+    once = known.join(materialize(keep.withColumnRenamed(key, "kept")), "kept", "left_semi").groupBy("kept").agg(_smallest(docs).alias("row"))
     return once.select(*(F.col(f"row.{c}") for c in names)).union(docs.where(F.col(key).isNull()).select(*names))
 
 
@@ -246,5 +310,5 @@ def _deduplicated_texts(docs: DataFrame, key: str, text: str, width: int) -> Dat
     names = [f"`{c}`" for c in docs.columns]
     known = docs.where(F.col(key).isNotNull()).select(F.xxhash64(key, text).alias("node"), F.col(text).alias("text"), F.col(key).alias("kept"), F.struct(*names).alias("row"))
     found = materialize(similar_components(known.select("node", "text"), "node", "text", width).select("node", "component_id").distinct())
-    once = known.join(found, "node").groupBy("component_id").agg(F.min(F.struct("kept", "row")).alias("best"))
-    return once.select(*(F.col(f"best.row.{c}") for c in names)).union(docs.where(F.col(key).isNull()).select(*names))
+    once = known.join(found, "node").groupBy("component_id").agg(_smallest(docs, "kept").alias("best"))
+    return once.select(*(F.col(f"best.{c}") for c in names)).union(docs.where(F.col(key).isNull()).select(*names))

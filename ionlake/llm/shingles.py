@@ -79,10 +79,10 @@ def _sets(part: list[bytes], width: int) -> list[np.ndarray]:
         if n >= width:
             sets.append(np.unique(chained[first : first + n - width + 1]))
         elif n:
-            short = np.uint64(n)
-            for w in words[first : first + n]:
-                short = mix64(np.array([short * np.uint64(31) + w], dtype=np.uint64))[0]
-            sets.append(np.array([short], dtype=np.uint64))
+            short = np.array([n], dtype=np.uint64)
+            for i in range(first, first + n):
+                short = mix64(short * np.uint64(31) + words[i : i + 1])
+            sets.append(short)
         else:
             sets.append(np.zeros(0, dtype=np.uint64))
     return sets
