@@ -10,28 +10,32 @@ fingerprint with probability 1 - 2**-32.
 Shards hold consecutive keys in ascending order; the manifest (a DataFrame, one row a shard) is what Spark
 commits, and names only files of tasks that ended well, so retried and speculative tasks leave no doubt.
 
-Defined cases: a null text is stored as the empty one; rows with equal keys stay all, in order of text, and
-keyed access gives the first; rows with a null key come first and are reached by scans only; an empty table
-has no shard.
+Defined cases: a null text is stored as the empty one; rows with equal keys stay all, in order of text (where one key
+fills several shards, in order of a hash's ranges and of text within each), and keyed access gives the first; rows with a
+null key come first, in the same order, and are reached by scans only; very long texts are stored whole; columns beside key and text are not read, whatever their
+names; an empty table has no shard.
 """
 
 from __future__ import annotations
 
+import collections
 import io
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .shared import bucket_bounds, bucket_of, materialize, shared_folder
+from .shared import bucket_of, materialize, shared_folder, slices
 from .shingles import mix64
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, first_key long, last_key long"
-SPELLINGS = 600_000  # that a process keeps at hand
+SPELLINGS = 300_000  # of a generation that a worker keeps at hand
+FLUSH = 1 << 20  # bytes of payload that are written at once
+MOST_BUCKETS = 20_000
 GAMMA = 2.0  # bits of a level for each key it gets
 
 
@@ -88,17 +92,27 @@ class ShardWriter:
         self.shard, self.width, self.path = shard, width, f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}"
         self.keys: list[int | None] = []
         self.sizes: list[int] = []
+        self.waiting: list[bytes] = []
+        self.bytes = 0
         self.files, at = _files(folder)
         self.files.create_dir(at, recursive=True)
         self.at = f"{at}/{self.path.rpartition('/')[2]}"
         self.out = self.files.open_output_stream(f"{self.at}.ids")
 
-    def add(self, key: int | None, ids: np.ndarray) -> None:
+    def add(self, key: int | None, ids: bytes) -> None:
         self.keys.append(key)
-        self.sizes.append(len(ids))
-        self.out.write(ids.astype(f"<u{self.width}").tobytes())
+        self.sizes.append(len(ids) // self.width)
+        self.waiting.append(ids)
+        self.bytes += len(ids)
+        if self.bytes >= FLUSH:
+            self.flush()
+
+    def flush(self) -> None:
+        self.out.write(b"".join(self.waiting))
+        self.waiting, self.bytes = [], 0
 
     def close(self) -> tuple:
+        self.flush()
         self.out.close()
         n = len(self.keys)
         known = np.array([k is not None for k in self.keys], dtype=bool)
@@ -137,6 +151,15 @@ class Shard:
         ok[ok] = self.prints[slots[ok]] == _fingerprint(keys[ok])
         return np.where(ok, self.row_of[np.where(ok, slots, 0)] if len(self.row_of) else -1, -1)
 
+    def repeated_rows(self, first: int, last: int) -> np.ndarray:
+        """The rows of the keys at first to last (exclusive), a repeated key's later ones following its first."""
+        found = self.rows(self.keys[first:last])
+        if (found[self.known[first:last]] < 0).any():
+            raise ValueError("token store: the index lacks a stored key")
+        new = np.concatenate(([True], (self.keys[1:last] != self.keys[: last - 1]) | (self.known[1:last] != self.known[: last - 1])))
+        begins = np.maximum.accumulate(np.where(new, np.arange(last), 0))
+        return found + (np.arange(last) - begins)[first:last]
+
     def ids(self, first: int, last: int) -> np.ndarray:
         """The ids of rows first to last (exclusive), read at their offset."""
         start, stop = int(self.offsets[first]), int(self.offsets[last])
@@ -163,30 +186,68 @@ def _words(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
+def _speller(path: str, width: int) -> bpe.Pieces:
+    """The worker's spellings: what it has at hand serves all tasks that the worker runs."""
+    if (path, "words") not in bpe._LOADED:
+        bpe._LOADED[path, "words"] = bpe.Pieces(path, kind=f"<u{width}", most=SPELLINGS)
+    return bpe._LOADED[path, "words"]
+
+
+def _in_buckets(rows: DataFrame, rows_per_bucket: int) -> tuple[DataFrame, int]:
+    """rows (k, h, ...) with their bucket b, and the number of buckets: ascending in k, null keys first, of about
+    rows_per_bucket rows each. A key with more rows than a bucket gets buckets of its own, by ranges of h; these and
+    the buckets' bounds are percentiles of the key, at most MOST_BUCKETS of them, as the driver's share of the work."""
+    n, empty = rows.agg(F.count(F.lit(1)), F.count_if(F.col("k").isNull())).first()
+    nulls = min(MOST_BUCKETS, -(-empty // rows_per_bucket))
+    pieces = max(1, min(MOST_BUCKETS, -(-(n - empty) // rows_per_bucket)))
+    got = rows.agg(F.percentile_approx("k", F.array(*(F.lit(i / pieces) for i in range(1, pieces))), F.lit(max(10_000, 20 * pieces)))).first()[0] if pieces > 1 and n > empty else []
+    times = collections.Counter(got or [])
+    bounds = sorted(times)
+    # behind each bound: the buckets of its own key, if it fills some, then one up to the next bound
+    own = [times[x] if times[x] > 1 else 0 for x in bounds]
+    first, at = [], nulls + 1
+    for x in own:
+        first.append(at)
+        at += x + 1
+    where = F.lit(nulls)
+    if bounds:
+        place = bucket_of("k", bounds)
+        held = F.try_element_at(F.array(*map(F.lit, own)), place)
+        is_bound = F.try_element_at(F.array(*(F.lit(x).cast("long") for x in bounds)), place) == F.col("k")
+        base = F.try_element_at(F.array(*map(F.lit, first)), place)
+        where = F.when(place == 0, F.lit(nulls)).when((held > 0) & is_bound, base + _range_of("h", held)).otherwise(base + held)
+    if nulls:
+        where = F.when(F.col("k").isNull(), _range_of("h", F.lit(nulls))).otherwise(where)
+    return rows.withColumn("b", where.cast("int")), at
+
+
+def _range_of(h: str, parts: Column) -> Column:
+    """Which of so many equal ranges of 64-bit integers h lies in."""
+    return F.floor((F.shiftright(F.col(h), 32) + (1 << 31)) * parts / F.lit(float(1 << 32))).cast("int")
+
+
 def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", rows_per_shard: int = 4096) -> DataFrame:
     """Encode all texts, each followed by end_id, into shards in ascending order of the key; the manifest."""
     folder = shared_folder(docs.sparkSession)
-    bounds, n = bucket_bounds(docs, key, rows_per_shard)
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).withColumn("b", bucket_of("k", bounds))
-    rows = rows.repartition(max(1, len(bounds) + 1), "b").sortWithinPartitions("b", F.asc_nulls_first("k"), "t")
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
+    rows, buckets = _in_buckets(rows, rows_per_shard)
+    rows = rows.repartitionById(buckets, "b").sortWithinPartitions("b", F.asc_nulls_first("k"), "t").select("k", "t", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = bpe._LOADED.setdefault((tokenizer_path, "words"), None) or bpe.Pieces(tokenizer_path, most=SPELLINGS)
-        bpe._LOADED[tokenizer_path, "words"] = spelled
-        end = np.array([end_id], dtype="<u4").tobytes()
         width = 2 if max(end_id + 1, bpe.tokenizer(tokenizer_path).get_vocab_size()) <= 1 << 16 else 4
+        speller = _speller(tokenizer_path, width)
+        end = np.array([end_id], dtype=f"<u{width}").tobytes()
         out, done = None, []
         for batch in batches:
-            buckets, keys = batch.column(2).to_pylist(), batch.column(0).to_pylist()
-            texts: list[list[str]] = []
-            for i, (b, k) in enumerate(zip(buckets, keys, strict=True)):
-                if i % 64 == 0:  # new words of some documents at a time
-                    texts = [_words(t.as_py() or "") for t in batch.column(1).slice(i, 64)]
-                    spelled.learn({w for words in texts for w in words})
-                if out is None or out.shard != b:
-                    done += [out.close()] if out else []
-                    out = ShardWriter(folder, b, width)
-                out.add(k, np.frombuffer(spelled.ids(texts[i % 64]) + end, dtype="<u4"))
+            rest = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            for part in slices(batch.column(1)):
+                texts = [_words(t or "") for t in part.to_pylist()]
+                speller.learn(set().union(*texts))
+                for words, (k, b) in zip(texts, rest, strict=False):
+                    if out is None or out.shard != b:
+                        done += [out.close()] if out else []
+                        out = ShardWriter(folder, b, width)
+                    out.add(k, speller.ids(words) + end)
         done += [out.close()] if out else []
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], kind) for i, kind in enumerate((pa.int32(), pa.string(), *[pa.int64()] * 4))], ["shard", "path", "n_docs", "n_tokens", "first_key", "last_key"])
 
@@ -194,9 +255,10 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "d
 
 
 def read_store(manifest: DataFrame, batch_docs: int = 512) -> DataFrame:
-    """(key, start, n_tokens, ids as little-endian unsigned 32-bit integers) of every stored document."""
+    """(key, start, n_tokens, ids as little-endian unsigned 32-bit integers) of every stored document. A key's row comes
+    from the index alone (hash, fingerprint, row); a key that it doesn't hold raises."""
     shards = manifest.count()
-    # one row a shard, at most as many as bucket_bounds allows
+    # one row a shard, at most as many as there are buckets
     placed = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,11 +268,11 @@ def read_store(manifest: DataFrame, batch_docs: int = 512) -> DataFrame:
                 for at in range(0, len(shard.keys), batch_docs):
                     stop = min(len(shard.keys), at + batch_docs)
                     keys, known = shard.keys[at:stop], shard.known[at:stop]
-                    found = shard.rows(keys)  # keyed access; a repeated key's later rows follow its first
-                    rows = np.where(known & (found >= at) & (np.concatenate(([True], keys[1:] != keys[:-1]))), found, np.arange(at, stop))
-                    ids = shard.ids(at, stop).astype("<u4")
-                    base = shard.offsets[at]
-                    cut = [ids[shard.offsets[r] - base : shard.offsets[r + 1] - base].tobytes() for r in rows.tolist()]
+                    rows = np.where(known, shard.repeated_rows(at, stop), np.arange(at, stop))  # null keys: a scan
+                    low, high = int(rows.min()), int(rows.max()) + 1
+                    ids = shard.ids(low, high).astype("<u4")
+                    base = shard.offsets[low]
+                    cut = [ids[a:b].tobytes() for a, b in zip((shard.offsets[rows] - base).tolist(), (shard.offsets[rows + 1] - base).tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(keys, mask=~known), pa.array(start + shard.offsets[rows]), pa.array(shard.offsets[rows + 1] - shard.offsets[rows]), pa.array(cut, pa.binary())], ["key", "start", "n_tokens", "ids"])
                 shard.close()
 
@@ -220,7 +282,10 @@ def read_store(manifest: DataFrame, batch_docs: int = 512) -> DataFrame:
 def lookup(manifest: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     """(key, ids) of those keys that the store holds, by keyed access. The list of shard ranges, one entry a
     shard, goes along; the keys are brought together by shard."""
-    ranges = [(r["shard"], r["path"], r["first_key"]) for r in manifest.where(F.col("first_key").isNotNull()).orderBy("shard").collect()]
+    ranges: list[tuple] = []
+    for r in manifest.where(F.col("first_key").isNotNull()).orderBy("shard").collect():
+        if not ranges or ranges[-1][2] != r["first_key"]:  # of the shards of one key its first
+            ranges.append((r["shard"], r["path"], r["first_key"]))
     firsts = [r[2] for r in ranges]
     if not ranges:
         return keys.select(F.col(key).cast("long").alias("key"), F.lit(None).cast("binary").alias("ids")).where(F.lit(False))
@@ -231,12 +296,16 @@ def lookup(manifest: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
             ks, bs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for b in np.unique(bs).tolist():
                 if b != shard:
+                    if opened:
+                        opened.close()
                     opened = Shard(ranges[b - 1][1])
                     shard = b
                 mine = ks[bs == b]
                 rows = opened.rows(mine)
                 hit = rows >= 0
                 yield pa.RecordBatch.from_arrays([pa.array(mine[hit]), pa.array([opened.ids(r, r + 1).astype("<u4").tobytes() for r in rows[hit].tolist()], pa.binary())], ["key", "ids"])
+        if opened:
+            opened.close()
 
     wanted = keys.select(F.col(key).cast("long").alias("k")).where(F.col("k").isNotNull()).withColumn("b", bucket_of("k", firsts)).where(F.col("b") > 0)
-    return wanted.repartition(min(len(firsts), 2048), "b").sortWithinPartitions("b").mapInArrow(run, "key long, ids binary")
+    return wanted.repartition(min(len(firsts), 2_048), "b").sortWithinPartitions("b").mapInArrow(run, "key long, ids binary")
