@@ -11,7 +11,8 @@ group of lists and its queries meet in tasks of bounded size: the queries are de
 
 Defined cases: vectors that are null, empty, zero, of another than the commonest dimension, or hold null or
 non-finite components take no part, and neither does a null key; of several rows with one key the greatest
-vector counts; ties go to the smaller key; a query without ``k`` lists' candidates is searched over all lists.
+vector counts; ties go to the smaller key; a query without ``k`` lists' candidates is searched over all lists; columns
+beside key and vector are not read, whatever their names; an empty table, or one with a single vector, gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .shared import materialize
 SAMPLE, MOST_LISTS, LIST_SIZE, PART_SIZE, GROUP_SIZE = 12_000, 2_048, 256, 4_096, 8_192
 #: Queries of a group in one task (in the mean; they are dealt by hash), and rows of a batch of routed queries.
 TASK_QUERIES, ROUTED_ROWS = 8_192, 4_096
+#: Vectors and queries whose rough scores are held at once, and candidates whose scores are taken at once.
+SCAN, CUT = 1_024, 65_536
 #: A vector goes to at most so many lists, those within this ratio of the nearest centroid's distance.
 REPLICAS, BOUNDARY = 2, 1.02
 RATIOS = (1.02, 1.05, 1.08, 1.1, 1.12, 1.14, 1.16, 1.18, 1.2, 1.25, 1.3, 1.4, 1.6, 2.0, 4.0)
@@ -248,27 +251,46 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id
                     rows_, gs, opened = [], [], []
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The best k of one group's vectors for each of a task's queries."""
-        found: tuple[list, list, list] = ([], [], [])
-        if left.num_rows and right.num_rows:
-            left = left.sort_by("id")
-            lists, ids, x = left.column("list").to_numpy(), left.column("id").to_numpy(), _matrix(left.column("v"), dim)
-            for batch in right.to_batches():
-                for q, v, js in zip(batch.column("id").to_pylist(), _matrix(batch.column("v"), dim), each(batch.column("lists")), strict=True):
-                    mine = np.flatnonzero(np.isin(lists, js) & (ids != q))
-                    if not len(mine):
-                        continue
-                    mine = mine[np.concatenate(([True], ids[mine][1:] != ids[mine][:-1]))]  # replicas
-                    rough = x[mine] @ v
-                    if len(mine) > k:
-                        edge = np.partition(rough, len(rough) - k)[len(rough) - k]
-                        mine = mine[rough >= edge - 1e-9 * max(1.0, abs(edge))]
-                    exact = (x[mine] * v).sum(1)  # equal vectors get equal scores
-                    order = np.lexsort((ids[mine], -exact))[:k]
-                    found[0].extend([q] * len(order))
-                    found[1].extend(ids[mine[order]].tolist())
-                    found[2].extend(exact[order].tolist())
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), key: pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+        """The best k of one group's vectors for each of a task's queries: list by list, all its queries at once."""
+        none = pa.table({"query_id": pa.array([], pa.int64()), key: pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return none
+        left = left.sort_by([("list", "ascending"), ("id", "ascending")])
+        lists, ids, x = left.column("list").to_numpy(), left.column("id").to_numpy(), _matrix(left.column("v"), dim)
+        right = right.combine_chunks()
+        asking, v = right.column("id").to_numpy(), _matrix(right.column("v"), dim)
+        at = [o for o in each(right.column("lists").chunk(0))]
+        of_query, of_list = np.repeat(np.arange(len(at)), [len(o) for o in at]), np.concatenate(at)
+        order = np.argsort(of_list, kind="stable")
+        of_query, of_list = of_query[order], of_list[order]
+        # the best rough scores so far; with replicas, so many of them hold k vectors at least
+        tops = np.full((len(asking), REPLICAS * k), -np.inf)
+        qs, rows_ = [], []
+        for j in np.unique(of_list).tolist():
+            a, b = np.searchsorted(lists, [j, j + 1])
+            mine = of_query[np.searchsorted(of_list, j) : np.searchsorted(of_list, j + 1)]
+            for first in range(a, b, SCAN):
+                last = min(b, first + SCAN)
+                for q0 in range(0, len(mine), SCAN):
+                    q = mine[q0 : q0 + SCAN]
+                    rough = v[q] @ x[first:last].T
+                    rough[ids[first:last] == asking[q][:, None]] = -np.inf
+                    both = np.concatenate((tops[q], rough), axis=1)
+                    tops[q] = np.partition(both, both.shape[1] - tops.shape[1], axis=1)[:, -tops.shape[1] :]
+                    edge = tops[q].min(axis=1)
+                    slack = np.where(np.isfinite(edge), 1e-9 * np.maximum(1.0, np.abs(edge)), 0.0)
+                    r, c = np.nonzero((rough >= (edge - slack)[:, None]) & (rough > -np.inf))
+                    qs.append(q[r])
+                    rows_.append(c + first)
+        q, r = np.concatenate(qs), np.concatenate(rows_)
+        near = np.concatenate([(x[r[i : i + CUT]] * v[q[i : i + CUT]]).sum(1) for i in range(0, len(q), CUT)] or [np.zeros(0)])  # equal vectors get equal scores
+        order = np.lexsort((ids[r], -near, q))
+        q, r, near = q[order], r[order], near[order]
+        once = np.concatenate(([True], (q[1:] != q[:-1]) | (ids[r[1:]] != ids[r[:-1]])))[: len(q)]  # replicas
+        q, r, near = q[once], r[once], near[once]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        q, r, near = q[place < k], r[place < k], near[place < k]
+        return pa.table({"query_id": pa.array(asking[q]), key: pa.array(ids[r]), "score": pa.array(near)})
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
 

@@ -2,18 +2,19 @@
 
 Every source's words, document after document, are packed into blocks of a fixed number of words. Source
 weights become word targets (a source gives at most ``most_repeats`` times its own words; what lies above is
-shared out again by weight), targets become numbers of blocks. The slots of all output shards are dealt to
-sources by a pseudorandom permutation of slot numbers: each shard's source counts are multinomial draws
-given that every source's total meets its target. A source's k-th slot takes the block that a pseudorandom
-permutation of its block numbers (another one for every round through the source) puts at k, and blocks are
-joined by source and number.
+shared out again by weight), targets become numbers of blocks. Each output shard's source counts are one multinomial
+draw: every slot of the shard draws a source by a seeded hash. A source's slots over all shards are numbered and sent
+through a pseudorandom permutation of their numbers. Drawn more often than its target has it, a source gives up the slots
+whose place lies beyond the target, wherever they are, to sources drawn too seldom; so the totals meet the targets. A
+slot's place, modulo the source's number of blocks, is its block, and blocks are joined by source and number.
 
 The permutation is swap-or-not: in each round x and its partner (key - x) mod n change places if a hash bit
 of their larger one says so; a bijection on any range.
 
 Defined cases: null and empty texts have size 0 and take 0; a null source is a source of its own, last in
-order; an empty table gives no rows; a source without words has target 0; repeated rows count each for
-itself; sources whose share is under half a block may take nothing.
+order; an empty table gives no rows; a source without words has target 0; rows with equal keys are ordered by size and a
+hash of the text, repeated rows count each for itself; sources whose share is under half a block may take nothing; very
+long texts are counted whole; columns beside key, text and source are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from .shared import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS, SHARD_SLOTS = 64, 1024
-ROUNDS = 6
+ROUNDS = 20
+#: Shards whose counts are summed up together.
+SHARD_GROUP = 1024
 #: Rows that share a packing bucket, about, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 50_000, 256
 
@@ -69,12 +72,29 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], total_share: fl
     return full.withColumn("target", F.least(F.col("most"), F.coalesce(F.col("water") * F.col("weight"), F.col("most")))).select("source", "source_no", "source_size", "weight", "target")
 
 
+#: Into how many cells numbers are cut, about, to find the range that holds one by a join on equality.
+CELLS = 4096
+
+
+def _cell(x: Column, total: int) -> Column:
+    return F.floor(x / max(1, -(-total // CELLS)))
+
+
+def _in_cells(ranges: DataFrame, first: str, n: str, total: int) -> DataFrame:
+    """Each range in every cell that it reaches into."""
+    return ranges.withColumn("cell", F.explode(F.sequence(_cell(F.col(first), total), _cell(F.col(first) + F.col(n) - 1, total))))
+
+
+def _within(x: Column, first: str, n: str) -> Column:
+    return (x >= F.col(first)) & (x < F.col(first) + F.col(n))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share: float = 1.5, most_repeats: int = 2, key: str = "doc_id", text: str = "text", source: str = "source", carry: bool = False, seed: int = 1) -> Mix:
     """Plan the mix. ``carry`` writes the rows of docs beside a row number, to find them again; whole
     rows take no part in the work in between."""
     extra = [F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
     rid = ["rid"] if carry else []
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(key), F.lit(seed)).alias("h"), *extra)
+    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(key), F.col(text), F.lit(seed)).alias("h"), *extra)
     base = materialize(sized)  # texts are read and counted once
     sized = base.drop("row")
     n = sized.count()
@@ -98,16 +118,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share: fl
     placed = materialize(placed.select("d.doc_id", "source_no", "size", "source_size", "target", (F.col("base") + F.col("within")).alias("first_word"), *rid))
 
     total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
-    shards = -(-total // SHARD_SLOTS)
     spark = docs.sparkSession
-    slots = spark.range(total).select("id", F.floor(F.col("id") / SHARD_SLOTS).alias("shard"), permuted(F.col("id"), F.lit(max(1, total)), F.lit(seed)).alias("drawn"))
-    # the source whose range of slots holds the draw: ranges are cut at multiples of the stride to join by equality
-    stride = max(1, -(-total // 4096))
-    ranges = sources.where(F.col("slots") > 0).select("source_no", "blocks", "first_slot", "slots", F.explode(F.sequence(F.floor(F.col("first_slot") / stride), F.floor((F.col("first_slot") + F.col("slots") - 1) / stride))).alias("cell"))
-    dealt = slots.withColumn("cell", F.floor(F.col("drawn") / stride)).join(ranges, "cell").where((F.col("drawn") >= F.col("first_slot")) & (F.col("drawn") < F.col("first_slot") + F.col("slots")))
-    dealt = dealt.withColumn("k", F.col("drawn") - F.col("first_slot"))
-    turn = F.floor(F.col("k") / F.col("blocks"))
-    dealt = dealt.select("shard", "source_no", permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.col("source_no") * 64 + turn + seed + 1).alias("block"))
+    slots = spark.range(total).select(F.floor(F.col("id") / SHARD_SLOTS).alias("shard"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, total))).alias("drawn"))
+    ranges = _in_cells(sources.where(F.col("slots") > 0), "first_slot", "slots", total).select("source_no", "first_slot", "slots", "cell")
+    draws = slots.withColumn("cell", _cell(F.col("drawn"), total)).join(ranges, "cell").where(_within(F.col("drawn"), "first_slot", "slots"))
+    draws = materialize(draws.groupBy("shard", "source_no").agg(F.count(F.lit(1)).alias("n")).withColumn("group", F.floor(F.col("shard") / SHARD_GROUP)))
+    whole = materialize(draws.groupBy("source_no", "group").agg(F.sum("n").alias("n")))
+    drawn = whole.groupBy("source_no").agg(F.sum("n").alias("drawn"))
+    met = sources.join(drawn, "source_no", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    met = met.withColumn("over", F.greatest(F.col("drawn") - F.col("slots"), F.lit(0))).withColumn("short", F.greatest(F.col("slots") - F.col("drawn"), F.lit(0)))
+    before = lambda c: F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_before")
+    met = materialize(met.select("source_no", "blocks", "slots", "drawn", "over", "short", before("over"), before("short")))
+    # a source's slots are numbered over all shards: sums of groups of shards, then within the group
+    earlier = Window.partitionBy("source_no").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups_ = whole.select("source_no", "group", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("source_no", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = draws.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(groups_, ["source_no", "group"]).join(met, "source_no")
+    first = F.col("base") + F.col("first")
+    numbered = numbered.select("shard", "source_no", "blocks", "slots", "drawn", "over_before", F.explode(F.sequence(first, first + F.col("n") - 1)).alias("k"))
+    placed_slots = materialize(numbered.select("shard", "source_no", "blocks", "slots", "over_before", permuted(F.col("k"), F.col("drawn"), F.col("source_no") + seed).alias("place")))
+    kept = placed_slots.where(F.col("place") < F.col("slots")).select("shard", "source_no", (F.col("place") % F.col("blocks")).alias("block"))
+    given_up = placed_slots.where(F.col("place") >= F.col("slots")).select("shard", (F.col("over_before") + F.col("place") - F.col("slots")).alias("r"))
+    short = _in_cells(met.where(F.col("short") > 0), "short_before", "short", total).select("source_no", "blocks", "drawn", "short_before", "short", "cell")
+    moved = given_up.withColumn("cell", _cell(F.col("r"), total)).join(short, "cell").where(_within(F.col("r"), "short_before", "short"))
+    moved = moved.select("shard", "source_no", ((F.col("drawn") + F.col("r") - F.col("short_before")) % F.col("blocks")).alias("block"))
+    dealt = kept.unionByName(moved)
     counts = dealt.groupBy("shard", "source_no").agg(F.count(F.lit(1)).alias("n"))
     uses = dealt.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("copies"))
 

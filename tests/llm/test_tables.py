@@ -159,3 +159,31 @@ def test_a_dense_group_far_from_all_is_found(spark):
     for r in got:
         found.setdefault(r["query_id"], set()).add(r["vec_id"])
     assert np.mean([len(found[q] & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_shard_counts_are_draws_that_meet_the_targets(spark, monkeypatch):
+    """Each shard's counts scatter as multinomial draws do; over all shards they are the sources' slots."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 2)
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 100)
+    monkeypatch.setattr(mixing, "SHARD_GROUP", 16)
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(1, 60))), "en", rng.choice("aaab")) for i in range(600)]
+    rows += [(1000, "a few words of a small source", "en", "z"), (1001, None, "en", "y")]
+    plan = mixing.mix(docs_frame(spark, rows))
+    sources = {r["source_no"]: r for r in plan.sources.collect()}
+    counts = {}
+    for r in plan.counts.collect():
+        counts.setdefault(r["source_no"], {})[r["shard"]] = r["n"]
+    shards = sorted({s for by_shard in counts.values() for s in by_shard})
+    sizes = [sum(counts[i].get(s, 0) for i in counts) for s in shards]
+    assert sizes[:-1] == [100] * (len(shards) - 1) and len(shards) > 40
+    for i, r in sources.items():
+        assert sum(counts.get(i, {}).values()) == r["slots"]
+    share = sources[0]["slots"] / sum(r["slots"] for r in sources.values())
+    of_a = [counts[0].get(s, 0) for s in shards[:-1]]
+    assert 0.6 < np.var(of_a) / (100 * share * (1 - share)) < 1.6
+
+
+def test_few_places_of_the_permutation_are_pinned(spark):
+    got = [r[0] for r in spark.range(5000).select(mixing.permuted(F.col("id"), F.lit(5000), F.lit(3))).collect()]
+    assert sorted(got) == list(range(5000)) and sum(x == i for i, x in enumerate(got)) < 12
