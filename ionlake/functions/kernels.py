@@ -283,36 +283,86 @@ def nearest(axis: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(np.abs(axis[right] - values) < np.abs(values - axis[left]), right, left)
 
 
-def align(mz: np.ndarray, x: np.ndarray, reference: np.ndarray, tolerance: float, relative: bool = True, fill_holes: bool = False) -> np.ndarray:
-    """Intensities on the reference axis, 0 where no peak is near.
+def matches(mz: np.ndarray, x: np.ndarray, reference: np.ndarray, tolerance: float, relative: bool = True, mode: str = "auto", fill_holes: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(positions on the reference axis, intensities there) of the references that a spectrum reaches.
 
-    Up to twice as many references as peaks: each reference takes its nearest peak within the tolerance. More:
-    each peak in turn spreads over the references around it, right then left, as far as the tolerance reaches,
-    stopping at references taken before; fill_holes takes every reference within the tolerance of a peak.
+    Down: each reference takes its nearest peak within the tolerance. Up: each peak in turn spreads over the references
+    around its nearest one, right then left, as far as the tolerance reaches, stopping at references taken before; each
+    takes the peak nearest to it. fill_holes takes every reference within the tolerance of a peak. Auto goes up where
+    there are more than twice as many references as peaks.
     """
-    out = np.zeros(len(reference))
     if not len(mz) or not len(reference):
-        return out
-    best = nearest(mz, reference)
-    if len(reference) <= 2 * len(mz):
+        return np.zeros(0, dtype=int), np.zeros(0)
+    if mode == "down" or (mode == "auto" and len(reference) <= 2 * len(mz)):
+        best = nearest(mz, reference)
         off = np.abs(mz[best] - reference) / (np.abs(reference) if relative else 1.0)
-        return np.where(off <= tolerance, x[best], 0.0)
+        at = np.flatnonzero(off <= tolerance)
+        return at, x[best[at]]
     reach = np.abs(mz) * tolerance if relative else np.full(len(mz), tolerance)
-    if fill_holes:
-        return np.where(np.abs(mz[best] - reference) <= reach[best], x[best], 0.0)
-    home, taken = nearest(reference, mz), np.zeros(len(reference), dtype=bool)
+    first, last = np.searchsorted(reference, mz - 2 * reach), np.searchsorted(reference, mz + 2 * reach)
+    home = nearest(reference, mz)
+    held: list[np.ndarray] = []
+    end = -1  # the last reference taken: peaks come in ascending order, so what is taken lies at or before it
     for j, h in enumerate(home.tolist()):
-        if abs(reference[h] - mz[j]) > reach[j]:
-            continue
-        for walk in (range(h, len(reference)), range(h - 1, -1, -1)):
-            for i in walk:
-                if taken[i] or abs(reference[i] - mz[j]) > reach[j]:
-                    break
-                out[i] = x[best[i]]
-                taken[i] = True
+        near = np.arange(first[j], last[j])
+        near = near[np.abs(reference[near] - mz[j]) <= reach[j]]
+        if len(near) and fill_holes:
+            held.append(near)
+        elif len(near) and h > end and near[0] <= h <= near[-1]:
+            held.append(near[near > end])
+            end = int(near[-1])
+    at = np.unique(np.concatenate(held)) if held else np.zeros(0, dtype=int)
+    best = nearest(mz, reference[at])
+    if fill_holes:
+        ok = np.abs(mz[best] - reference[at]) <= reach[best]
+        at, best = at[ok], best[ok]
+    return at, x[best]
+
+
+def align(mz: np.ndarray, x: np.ndarray, reference: np.ndarray, tolerance: float, relative: bool = True, fill_holes: bool = False) -> np.ndarray:
+    """Intensities on the whole reference axis, 0 where no peak is near (see ``matches``)."""
+    out = np.zeros(len(reference))
+    at, values = matches(mz, x, reference, tolerance, relative, "auto", fill_holes)
+    out[at] = values
     return out
 
 
+def bin_ranges(n: int, bins: int, overlap: float) -> list[tuple[int, int]]:
+    """(first, last sample) of the bins of n samples."""
+    bins = min(bins, n)
+    if overlap == 0:
+        return [(b * n // bins, (b + 1) * n // bins - 1) for b in range(bins)]
+    width = n / (bins * (1 - overlap) + overlap)
+    step = width * (1 - overlap)
+    return [(max(0, math.floor(b * step)), min(n - 1, math.ceil(b * step + width) - 1)) for b in range(bins)]
+
+
+def binned_noise(signal: np.ndarray, method: str, bins: int, overlap: float) -> np.ndarray:
+    """The noise curve of a smoothing residual (of the signal itself for "diff") from estimates in bins."""
+    n = len(signal)
+    if n == 0:
+        return np.zeros(0)
+    ranges = bin_ranges(n, bins, overlap)
+    steps = np.diff(signal)
+    values = []
+    for k, (a, b) in enumerate(ranges):
+        part = signal[a : b + 1]
+        part = part[np.isfinite(part)]
+        if method == "sd":
+            v = part.std(ddof=1) if len(part) > 1 else math.nan
+        elif method == "quantile":
+            v = np.quantile(part, 0.95) if len(part) else math.nan
+        elif method == "mad":
+            v = 1.4826 * np.median(np.abs(part - np.median(part))) if len(part) else math.nan
+        else:
+            low, high = bin_ranges(n - 1, bins, overlap)[min(k, min(bins, n - 1) - 1)] if n > 1 else (0, -1)
+            d = steps[low : high + 1]
+            d = d[np.isfinite(d)]
+            v = np.abs(part - d.mean()).mean() if len(part) and len(d) else math.nan
+        values.append(0.0 if math.isnan(v) else float(v))
+    return noise_curve(np.array([(a + b) / 2 for a, b in ranges]), np.array(values), n)
+
+
 def noise_curve(mids: np.ndarray, values: np.ndarray, n: int, degree: int = 3) -> np.ndarray:
     """The curve through bin estimates at all n samples, by local polynomials of at most the degree."""
     mids, at = np.unique(mids, return_inverse=True)

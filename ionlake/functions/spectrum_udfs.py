@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ def two(fn: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: str = DOUBLES)
     return run
 
 
-def snip(intensity: Column, m: int | None = None) -> Column:
-    return one(lambda x: kernels.snip(x, m))(intensity)
+def snip(intensity: Column, m: int | None = None, decreasing: bool = True) -> Column:
+    return one(lambda x: kernels.snip(x, m, decreasing))(intensity)
 
 
 def asls(intensity: Column, lam: float = 1e7, p: float = 0.01, iterations: int = 15) -> Column:
@@ -54,6 +55,53 @@ def prominence(intensity: Column, peaks: Column) -> Column:
     return two(lambda x, p: kernels.prominences(x, p.astype(int)))(intensity, peaks)
 
 
+def marked_prominences(intensity: Column, peak: Column) -> Column:
+    """The prominence of the samples marked as peaks, 0 of the others."""
+
+    def run(x: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(marks > 0)
+        out = np.zeros(len(x))
+        out[at] = kernels.prominences(x, at)
+        return out
+
+    return two(run)(intensity, peak)
+
+
+def marked_areas(mz: Column, intensity: Column, peak: Column) -> Column:
+    """The area of the samples marked as peaks, 0 of the others."""
+
+    @F.pandas_udf(DOUBLES)
+    def run(m: pd.Series, x: pd.Series, p: pd.Series) -> pd.Series:
+        out = []
+        for a, b, c in zip(m, x, p, strict=True):
+            at = np.flatnonzero(np.asarray(c, dtype=float) > 0)
+            held = np.zeros(len(b))
+            held[at] = kernels.areas(np.asarray(a), np.asarray(b), at)
+            out.append(held)
+        return pd.Series(out)
+
+    return run(mz, intensity, peak)
+
+
+def binned_noise(signal: Column, method: str, bins: int, overlap: float, floor: float) -> Column:
+    return one(lambda x: np.maximum(kernels.binned_noise(x, method, bins, overlap), floor))(signal)
+
+
+def matches(mz: Column, intensity: Column, reference: Broadcast, tolerance: float, relative: bool = True, mode: str = "auto", fill_holes: bool = False) -> Column:
+    """The references that a spectrum reaches, with their intensities; the axis is a broadcast array."""
+
+    @F.pandas_udf("array<struct<peak:int,intensity:double>>")
+    def run(m: pd.Series, x: pd.Series) -> pd.Series:
+        axis = reference.value
+        out = []
+        for a, b in zip(m, x, strict=True):
+            at, values = kernels.matches(np.asarray(a, dtype=float), np.asarray(b, dtype=float), axis, tolerance, relative, mode, fill_holes)
+            out.append([{"peak": i, "intensity": v} for i, v in zip(at.tolist(), values.tolist(), strict=True)])
+        return pd.Series(out)
+
+    return run(mz, intensity)
+
+
 def align(mz: Column, intensity: Column, reference: list[float], tolerance: float, relative: bool = True, fill_holes: bool = False) -> Column:
     axis = np.array(reference)
     return two(lambda m, x: kernels.align(m, x, axis, tolerance, relative, fill_holes))(mz, intensity)

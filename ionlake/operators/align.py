@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spectrum_udfs
-from .layout import per_spectrum, finite, nest_points
+from .layout import as_arrays, finite, nest_points
 
 EPS = 2.220446049250313e-16
 LEAST_RELATIVE, LEAST_ABSOLUTE = 5e-7, 1e-4
+#: References that an executor holds at most: 128 MB. A relative axis of the finest grid over m/z 50 to 100,000 has fewer.
+MOST_REFERENCES = 16_000_000
 
 
 class Domain(NamedTuple):
@@ -49,22 +56,78 @@ def _relative(units: str) -> bool:
     return units in ("ppm", "relative")
 
 
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, m/z, place in its spectrum) of all finite points of a batch whose second column is m/z arrays."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    mz = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    i = np.arange(len(mz)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    ok = np.isfinite(mz)
+    return row[ok], mz[ok], i[ok]
+
+
 def resolution(points: DataFrame, units: str = "ppm") -> DataFrame:
-    """(spectrum_id, resolution, low, high): the smallest gap between neighbours, null where there is none."""
-    by_mz = per_spectrum().orderBy("mz")
-    before = F.lag("mz").over(by_mz)
-    gap = 2 * (F.col("mz") - before) / (F.col("mz") + before) if _relative(units) else F.col("mz") - before
-    gaps = points.where(finite(F.col("mz"))).withColumn("gap", gap)
-    return gaps.groupBy("spectrum_id").agg(F.min(F.when(F.col("gap") > EPS, F.col("gap"))).alias("resolution"), F.min("mz").alias("low"), F.max("mz").alias("high"))
+    """(spectrum_id, resolution, low, high): the smallest gap between neighbours, null where there is none. Takes
+    points or spectra with arrays; whole batches of spectra are worked through at once."""
+    relative = _relative(units)
+    spectra = as_arrays(points, "mz").select("spectrum_id", F.col("mz").cast("array<double>").alias("mz"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, mz, _ = _flat(batch)
+            order = np.lexsort((mz, row))
+            row, mz = row[order], mz[order]
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            gap = np.full(len(mz), np.inf)
+            gap[1:] = mz[1:] - mz[:-1]
+            if relative:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gap[1:] = 2 * gap[1:] / (mz[1:] + mz[:-1])
+            gap[first] = np.inf
+            gap[~(gap > EPS)] = np.inf
+            least = np.minimum.reduceat(gap, first) if len(first) else np.zeros(0)
+            last = np.r_[first[1:], len(mz)] - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[first])), pa.array(least, mask=~np.isfinite(least)), pa.array(mz[first]), pa.array(mz[last]) if len(first) else pa.array([], pa.float64())], ["spectrum_id", "resolution", "low", "high"])
+
+    kind = spectra.schema["spectrum_id"].dataType.simpleString()
+    return spectra.mapInArrow(run, f"spectrum_id {kind}, resolution double, low double, high double")
+
+
+def _median(values: DataFrame) -> float | None:
+    """The exact median of a column ``v`` in two rounds: approximate bounds a few millionths around it, then the distinct
+    values between them; no task holds more."""
+    n, around = values.agg(F.count("v"), F.percentile_approx("v", F.array(F.lit(0.5 - 2e-6), F.lit(0.5 + 2e-6)), F.lit(1_000_000))).first()
+    if not n:
+        return None
+    low, high = around
+    band = values.groupBy(F.when(F.col("v") < low, F.lit(None)).otherwise(F.col("v")).alias("v")).agg(F.count("v").alias("n"), F.count(F.lit(1)).alias("all"))
+    below, at = 0, []
+    for r in band.where(F.col("v").isNull() | (F.col("v") <= high)).orderBy(F.asc_nulls_first("v")).collect():
+        if r["v"] is None:
+            below = r["all"]
+        else:
+            at.append((r["v"], r["n"]))
+    found, seen, want = [], below, [(n - 1) // 2, n // 2]
+    for v, c in at:
+        found += [v for w in want if seen <= w < seen + c]
+        seen += c
+    return sum(found) / 2
 
 
 def domain(points: DataFrame, units: str = "ppm", binfun: str = "median", binratio: float = 2.0) -> Domain:
-    """The grid of all spectra; one row of scalars comes to the driver."""
-    pick = {"median": F.median, "min": F.min, "max": F.max}.get(binfun, F.avg)
-    got = resolution(points, units).agg(pick("resolution"), F.min("low"), F.max("high")).first()
-    if got[0] is None:
+    """The grid of all spectra; scalars come to the driver."""
+    spread = resolution(points, units)
+    if binfun == "median":
+        spread = spread.persist()  # a row a spectrum, read three times
+    pick = {"median": lambda c: F.lit(None).cast("double"), "min": F.min, "max": F.max}.get(binfun, F.avg)
+    got = spread.agg(pick("resolution"), F.min("low"), F.max("high")).first()
+    step = got[0]
+    if binfun == "median":
+        step = _median(spread.select(F.col("resolution").alias("v")).where(F.col("v").isNotNull()))
+        spread.unpersist()
+    if step is None:
         raise ValueError("align: no spectrum has two points")
-    step, low, high = got[0], float(math.floor(got[1])), float(math.ceil(got[2]))
+    low, high = float(math.floor(got[1])), float(math.ceil(got[2]))
     if _relative(units):
         step = max(LEAST_RELATIVE, round(2.0 * step, 6) * 0.5)
         return Domain(low, high, step, round(2.0 * (step * binratio), 6) * 0.5, True)
@@ -74,14 +137,28 @@ def domain(points: DataFrame, units: str = "ppm", binfun: str = "median", binrat
 
 def bins(points: DataFrame, grid: Domain) -> DataFrame:
     """(bin, mz, count): in each spectrum the peak nearest a bin, then their mean and number over spectra."""
-    mz = F.col("mz")
-    k = grid.place(mz)
-    up = F.least(k + 1, F.lit(float(grid.count - 1)))
-    held = points.select("spectrum_id", "i", "mz", k.alias("k"), up.alias("up"))
-    a, b = F.abs(mz - grid.value(F.col("k"))), F.abs(mz - grid.value(F.col("up")))
-    held = held.select("spectrum_id", "i", "mz", F.when(b < a, F.col("up")).otherwise(F.col("k")).cast("long").alias("bin"), (F.least(a, b) / (F.abs(mz) if grid.relative else F.lit(1.0))).alias("off"))
-    best = held.where(F.col("off") <= grid.tolerance).groupBy("spectrum_id", "bin").agg(F.min_by("mz", F.struct("off", "i")).alias("mz"))
-    return best.groupBy("bin").agg(F.avg("mz").alias("mz"), F.count(F.lit(1)).alias("count"))
+    spectra = as_arrays(points, "mz").select("spectrum_id", F.col("mz").cast("array<double>").alias("mz"))
+    most = grid.count - 1
+
+    def value(k: np.ndarray) -> np.ndarray:
+        return grid.low * np.power(grid.ratio, k) if grid.relative else grid.low + k * grid.step
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, mz, i = _flat(batch)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                k = np.floor((np.log(mz) - math.log(grid.low)) / math.log(grid.ratio)) if grid.relative else np.floor((mz - grid.low) / grid.step)
+                k = np.clip(np.nan_to_num(k), 0, most)
+                up = np.minimum(k + 1, most)
+                a, b = np.abs(mz - value(k)), np.abs(mz - value(up))
+                off = np.minimum(a, b) / (np.abs(mz) if grid.relative else 1.0)
+            at = np.where(b < a, up, k).astype(np.int64)
+            near = np.flatnonzero(off <= grid.tolerance)
+            near = near[np.lexsort((i[near], off[near], at[near], row[near]))]
+            best = near[np.concatenate(([True], (row[near][1:] != row[near][:-1]) | (at[near][1:] != at[near][:-1])))[: len(near)]]
+            yield pa.RecordBatch.from_arrays([pa.array(at[best]), pa.array(mz[best])], ["bin", "mz"])
+
+    return spectra.mapInArrow(run, "bin long, mz double").groupBy("bin").agg(F.avg("mz").alias("mz"), F.count(F.lit(1)).alias("count"))
 
 
 def merge(binned: DataFrame, grid: Domain) -> DataFrame:
@@ -102,10 +179,18 @@ def merge(binned: DataFrame, grid: Domain) -> DataFrame:
 
 def reference(points: DataFrame, units: str = "ppm", binfun: str = "median", binratio: float = 2.0, tolerance: float | None = None) -> tuple[DataFrame, Domain]:
     """The reference peaks and the grid; tolerance in ppm or m/z overrides the estimate."""
-    grid = domain(points, units, binfun, binratio)
+    spectra = as_arrays(points, "mz")
+    nested = spectra is not points
+    if nested:
+        spectra = spectra.persist(StorageLevel.DISK_ONLY)  # for the grid and for the bins
+    grid = domain(spectra, units, binfun, binratio)
     if tolerance is not None:
         grid = grid._replace(tolerance=tolerance * 1e-6 if units == "ppm" else tolerance)
-    return merge(bins(points, grid), grid), grid
+    axis = merge(bins(spectra, grid), grid).persist()  # as small as the axis: found once, used often
+    axis.count()
+    if nested:
+        spectra.unpersist()
+    return axis, grid
 
 
 def align_down(points: DataFrame, peaks: DataFrame, grid: Domain) -> DataFrame:
@@ -123,6 +208,45 @@ def align_down(points: DataFrame, peaks: DataFrame, grid: Domain) -> DataFrame:
     return met.groupBy("spectrum_id", "peak").agg(F.min_by("intensity", F.struct("off", "i")).alias("intensity"))
 
 
+def on_axis(points: DataFrame, axis: DataFrame | list[float], tolerance: float, relative: bool = True, mode: str = "auto", fill_holes: bool = False) -> DataFrame:
+    """(spectrum_id, peak, intensity) of the references that a spectrum reaches, each spectrum by itself; ``auto`` takes
+    the downward or the upward way by its number of peaks. No shuffle where spectra come as arrays.
+
+    axis: a list, or the reference peaks (peak, mz), of which there are MOST_REFERENCES at most (8 bytes each); every
+    executor holds them once.
+    """
+    if mode not in ("auto", "down", "up"):
+        raise ValueError(f"align: unknown mode {mode}")
+    spark = points.sparkSession
+    if isinstance(axis, DataFrame):
+        if axis.count() > MOST_REFERENCES:
+            raise ValueError(f"align: more than {MOST_REFERENCES} references; take a larger tolerance or binratio")
+        held = axis.orderBy("peak").select("mz").toArrow().column(0).to_numpy()
+    else:
+        held = np.array(axis, dtype=float)
+    spectra = by_mz(as_arrays(points))
+    found = spectrum_udfs.matches(F.col("mz"), F.col("intensity"), spark.sparkContext.broadcast(held), tolerance, relative, mode, fill_holes)
+    return spectra.select("spectrum_id", F.explode(found).alias("p")).select("spectrum_id", "p.peak", "p.intensity")
+
+
+def by_mz(spectra: DataFrame) -> DataFrame:
+    """Spectra in ascending m/z without points whose m/z is not finite; equal m/z keep their order."""
+    pairs = F.filter(F.arrays_zip("mz", "intensity"), lambda p: finite(p["mz"]))
+    # spectra that are in order already, which is the rule, aren't sorted again
+    placed = F.transform(pairs, lambda p, i: F.struct(p["mz"].alias("mz"), i.alias("i"), p["intensity"].alias("intensity")))
+    mz = F.transform(pairs, lambda p: p["mz"])
+    sorted_ = F.when(mz == F.array_sort(mz), placed).otherwise(F.array_sort(placed))
+    held = spectra.select("spectrum_id", sorted_.alias("p"))
+    return held.select("spectrum_id", F.col("p.mz").cast("array<double>").alias("mz"), F.col("p.intensity").cast("array<double>").alias("intensity"))
+
+
+def dense(aligned: DataFrame, references: int) -> DataFrame:
+    """(spectrum_id, aligned): sparse matches as arrays over the whole axis, 0 where a reference is not reached."""
+    held = aligned.groupBy("spectrum_id").agg(F.map_from_entries(F.collect_list(F.struct("peak", "intensity"))).alias("m"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(references - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
+    return held.select("spectrum_id", (cells if references else F.array().cast("array<double>")).alias("aligned"))
+
+
 def align(points: DataFrame, axis: list[float], tolerance: float, relative: bool = True, fill_holes: bool = False) -> DataFrame:
     """(spectrum_id, aligned array): all spectra on a given axis, by the kernel that also spreads few peaks over
     many references."""

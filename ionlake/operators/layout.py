@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def per_spectrum() -> WindowSpec:
@@ -31,6 +34,19 @@ def nest_points(points: DataFrame, *values: str) -> DataFrame:
     return held.select("spectrum_id", *(F.col(f"p.{v}").alias(v) for v in names))
 
 
+def as_arrays(spectra: DataFrame, *values: str) -> DataFrame:
+    """Spectra with arrays as they are, points nested."""
+    return spectra if isinstance(spectra.schema["mz"].dataType, ArrayType) else nest_points(spectra, *values)
+
+
+def through_arrays(points: DataFrame, value: Callable[[Column, Column], Column], into: str = "intensity") -> DataFrame:
+    """Points with a value for each that a function of whole spectra (arrays mz and intensity) gives. Points that a window
+    has partitioned by spectrum are nested and exploded again without a further shuffle."""
+    held = nest_points(points).withColumn("value", value(F.col("mz"), F.col("intensity")))
+    at = held.select("spectrum_id", F.size("mz").alias("n"), F.posexplode(F.arrays_zip("mz", "intensity", "value")).alias("i", "p"))
+    return at.select("spectrum_id", "i", "n", "p.mz", "p.intensity", F.col("p.value").alias("new")).withColumn(into, F.col("new")).drop("new")
+
+
 def attach_axis(spectra: DataFrame, axis: list[float]) -> DataFrame:
     """Give spectra of a shared axis their m/z array: a literal, stored nowhere per row."""
     return spectra.withColumn("mz", F.array(*map(F.lit, axis)))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import weights
-from .layout import per_spectrum, in_order
+from ..functions import spectrum_udfs, weights
+from .layout import finite, in_order, nest_points, per_spectrum
 from .smooth import convolved
 
 METHODS = ("sd", "mad", "quantile", "diff")
@@ -21,17 +21,34 @@ def _floored(v: Column) -> Column:
     return F.greatest(F.coalesce(F.nanvl(v, F.lit(None).cast("double")), F.lit(FLOOR)), F.lit(FLOOR))
 
 
+def with_noise_curve(points: DataFrame, method: str = "sd", bins: int = 4, overlap: float = 0.5) -> DataFrame:
+    """Points with the noise at each: estimates in bins (see ``bin_bounds``), put at their midpoints and joined by local
+    cubic polynomials, never below the floor. Non-finite samples take no part."""
+    if method not in METHODS:
+        raise ValueError(f"noise: unknown method {method}")
+    bin_bounds(F.col("n"), bins, overlap)  # checks the parameters
+    signal = F.col("intensity") if method == "diff" else residual(F.col("intensity"))
+    held = points.withColumn("own", F.col("intensity")).withColumn("intensity", signal)
+    own = held.select("spectrum_id", "i", "n", "mz", F.col("own").alias("intensity"), F.col("intensity").alias("s"))
+    nested = nest_points(own, "mz", "intensity", "s").withColumn("noise", spectrum_udfs.binned_noise(F.col("s"), method, bins, overlap, FLOOR))
+    at = nested.select("spectrum_id", F.size("mz").alias("n"), F.posexplode(F.arrays_zip("mz", "intensity", "noise")).alias("i", "p"))
+    return at.select("spectrum_id", "i", "n", "p.mz", "p.intensity", "p.noise")
+
+
 def with_noise(points: DataFrame, method: str = "sd") -> DataFrame:
-    """Points with their spectrum's noise; every window runs over the same partitions."""
+    """Points with their spectrum's noise; every window runs over the same partitions. Non-finite samples take no part."""
     if method not in METHODS:
         raise ValueError(f"noise: unknown method {method}")
     x = F.col("intensity")
     if method == "diff":
+        # the mean step of finite neighbours: from end to end where all samples are finite
         ends = F.max_by(x, "i").over(per_spectrum()) - F.min_by(x, "i").over(per_spectrum())
-        mean = F.when(F.col("n") > 1, ends / (F.col("n") - 1))
-        held = points.withColumn("mean_step", mean)
-        return held.withColumn("noise", _floored(F.avg(F.abs(x - F.col("mean_step"))).over(per_spectrum()))).drop("mean_step")
-    held = points.withColumn("r", residual(x))
+        step = x - F.lag(x).over(in_order())
+        held = points.withColumn("step", F.when(finite(step), step)).withColumn("whole", F.min(finite(x)).over(per_spectrum()))
+        held = held.withColumn("mean_step", F.when(F.col("whole"), F.when(F.col("n") > 1, ends / (F.col("n") - 1))).otherwise(F.avg("step").over(per_spectrum())))
+        off = F.when(finite(x), F.abs(x - F.col("mean_step")))
+        return held.withColumn("noise", _floored(F.avg(off).over(per_spectrum()))).drop("mean_step", "step", "whole")
+    held = points.withColumn("r", residual(x)).withColumn("r", F.when(finite(F.col("r")), F.col("r")))  # the others take no part
     r = F.col("r")
     if method == "sd":
         out = held.withColumn("noise", _floored(F.stddev_samp(r).over(per_spectrum())))

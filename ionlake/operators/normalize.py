@@ -20,7 +20,7 @@ def normalize(points: DataFrame, method: str = "tic", scale: float | None = None
     if method == "tic":
         base = F.sum(x).over(per_spectrum())
     elif method == "rms":
-        base = F.sqrt(F.avg(x * x).over(per_spectrum()))
+        base = F.sqrt(F.avg(F.when(~F.isnan(x), x * x)).over(per_spectrum()))  # NaN samples take no part
     elif method == "median":
         base = F.median(x).over(per_spectrum())
     else:

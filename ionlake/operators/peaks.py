@@ -5,21 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import spectrum_udfs
 from .baseline import local_maxima
-from .layout import per_spectrum
-from .noise import with_noise
+from .layout import nest_points, per_spectrum
+from .noise import with_noise, with_noise_curve
 
 
-def pick(points: DataFrame, width: int = 5, snr: float | None = 2.0, noise: str = "sd", relheight: float | None = None) -> DataFrame:
-    """(spectrum_id, i, mz, intensity) of the peaks by window functions; noise is computed only if asked for."""
+def pick(
+    points: DataFrame,
+    width: int = 5,
+    snr: float | None = 2.0,
+    noise: str = "sd",
+    relheight: float | None = None,
+    prominence: float | None = None,
+    return_type: str = "height",
+    nbins: int = 1,
+    overlap: float = 0.5,
+) -> DataFrame:
+    """(spectrum_id, i, mz, intensity) of the peaks; noise is computed only if asked for, along the spectrum if nbins > 1.
+
+    return_type "area" puts the area between a peak's feet in place of its height. Prominence and area need the whole
+    spectrum around a peak: the points, already together by spectrum, are then nested once.
+    """
+    if return_type not in ("height", "area"):
+        raise ValueError("pick: return_type is height or area")
+    if width < 1 or nbins < 1:
+        raise ValueError("pick: width and nbins must be positive")
     wanted = snr is not None and 0 < snr < float("inf")
-    held = with_noise(points, noise) if wanted else points
+    held = points
+    if wanted:
+        held = with_noise(points, noise) if nbins == 1 else with_noise_curve(points, noise, nbins, overlap)
     r = width // 2
     peaks = held.withColumn("peak", local_maxima(F.col("intensity"), r, r - 1))
+    if prominence is not None or return_type == "area":
+        peaks = _measured(peaks, prominence is not None, return_type == "area", wanted)
+    if prominence is not None:
+        peaks = peaks.withColumn("peak", F.col("peak") & (F.col("prominence") >= prominence))
     if relheight is not None:
         top = F.max(F.when(F.col("peak"), F.col("intensity"))).over(per_spectrum())
         peaks = peaks.withColumn("top", top).where((F.col("top") > 0) & (F.col("intensity") / F.col("top") >= relheight)).drop("top")
     peaks = peaks.where("peak")
     if wanted:
         peaks = peaks.where(F.col("intensity") / F.col("noise") >= snr)
-    return peaks.select("spectrum_id", "i", "mz", "intensity")
+    value = F.col("area") if return_type == "area" else F.col("intensity")
+    return peaks.select("spectrum_id", "i", "mz", value.alias("intensity"))
+
+
+def _measured(points: DataFrame, prominence: bool, area: bool, noise: bool) -> DataFrame:
+    """Points with the prominence and the area of those marked as peaks."""
+    kept = ["mz", "intensity", "peak", *(["noise"] if noise else [])]
+    held = nest_points(points, *kept)
+    new = []
+    if prominence:
+        held = held.withColumn("prominence", spectrum_udfs.marked_prominences(F.col("intensity"), F.col("peak")))
+        new.append("prominence")
+    if area:
+        held = held.withColumn("area", spectrum_udfs.marked_areas(F.col("mz"), F.col("intensity"), F.col("peak")))
+        new.append("area")
+    at = held.select("spectrum_id", F.size("mz").alias("n"), F.posexplode(F.arrays_zip(*kept, *new)).alias("i", "p"))
+    return at.select("spectrum_id", "i", "n", *(f"p.{c}" for c in (*kept, *new)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import noise
 from .layout import in_order, finite
 
 EPS = 2.220446049250313e-16
@@ -73,12 +74,15 @@ def duplicates(spectra: DataFrame, *content: str) -> DataFrame:
 
 
 def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(spectrum_id, correlation, tic_ratio): points paired by position; correlation 0 where one side is flat."""
+    """(spectrum_id, correlation, tic_ratio, snr_before, snr_after, snr_gain): points paired by position; correlation 0 where
+    one side is flat."""
     a = before.select("spectrum_id", "i", F.col("intensity").alias("a"))
     b = after.select("spectrum_id", "i", F.col("intensity").alias("b"))
     g = a.join(b, ["spectrum_id", "i"]).groupBy("spectrum_id").agg(F.corr("a", "b").alias("r"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"), F.sum("a").alias("ta"), F.sum("b").alias("tb"))
     flat = (F.col("sa") <= 1e-12) | (F.col("sb") <= 1e-12)
-    return g.select("spectrum_id", F.when(flat, 0.0).otherwise(F.col("r")).alias("correlation"), F.when(F.abs("ta") <= 1e-12, 1.0).otherwise(F.col("tb") / F.col("ta")).alias("tic_ratio"))
+    g = g.join(noise.snr(before).select("spectrum_id", F.col("snr").alias("snr_before")), "spectrum_id").join(noise.snr(after).select("spectrum_id", F.col("snr").alias("snr_after")), "spectrum_id")
+    gain = F.when(F.col("snr_before") <= 0, float("inf")).otherwise(F.col("snr_after") / F.col("snr_before"))
+    return g.select("spectrum_id", F.when(flat, 0.0).otherwise(F.col("r")).alias("correlation"), F.when(F.abs("ta") <= 1e-12, 1.0).otherwise(F.col("tb") / F.col("ta")).alias("tic_ratio"), "snr_before", "snr_after", gain.alias("snr_gain"))
 
 
 def ion_image(points: DataFrame, pixels: DataFrame, mz: float, tolerance: float) -> DataFrame:

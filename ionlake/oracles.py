@@ -136,6 +136,73 @@ MERGE = BINS + """, numbered as (select row_number() over (order by bin) as pos,
     select * from w),
   merged as (select seg, sum(cnt * mz) / sum(cnt) as mz, sum(cnt)::bigint as cnt from scan group by seg)"""
 
+#: Spectra on the reference axis: the references each peak can reach, the upward walk from peak to peak, the nearest peaks.
+ON_AXIS = MERGE + """, g as (select spectrum_id, list(mz order by i) as ms, list(intensity order by i) as xs, count(*)::int as n from p group by spectrum_id),
+  refs as (select seg as r, mz as ref from merged), nr as (select count(*) as n_ref from merged),
+  cand as (select p.spectrum_id, p.i, p.mz, refs.r, refs.ref from p, refs, dom where refs.ref between p.mz * (1 - 1.2 * dom.tolerance) and p.mz * (1 + 1.2 * dom.tolerance)),
+  reach as (select spectrum_id, i, min(r) as lo, max(r) as hi, arg_min(r, {'off': abs(ref - mz), 'r': r}) as home from cand, dom where abs(ref - mz) <= mz * dom.tolerance group by spectrum_id, i),
+  line as (select *, row_number() over (partition by spectrum_id order by i) as pos from reach),
+  walk as (with recursive w as (
+      select spectrum_id, pos, lo as a, hi as b, hi as e from line where pos = 1
+      union all
+      select l.spectrum_id, l.pos, case when l.home > w.e then greatest(l.lo, w.e + 1) end, case when l.home > w.e then l.hi end, case when l.home > w.e then l.hi else w.e end
+      from w join line l on l.spectrum_id = w.spectrum_id and l.pos = w.pos + 1)
+    select * from w),
+  up as (select distinct w.spectrum_id, unnest(range(w.a, w.b + 1)) as r from walk w join g using (spectrum_id), nr where w.a is not null and GOES_UP),
+  down as (select distinct c.spectrum_id, c.r from cand c join g using (spectrum_id), nr, dom where not GOES_UP and abs(c.mz - c.ref) / abs(c.ref) <= dom.tolerance),
+  hit as (select spectrum_id, r from up union all select spectrum_id, r from down),
+  spot as (select h.spectrum_id, h.r, refs.ref, g.ms, g.xs, least(len(list_filter(g.ms, lambda m: m < refs.ref)), g.n - 1) as k from hit h join g using (spectrum_id) join refs on refs.r = h.r),
+  found as (select spectrum_id, r, ref, case when abs(ms[k + 1] - ref) < abs(ref - ms[greatest(k, 1)]) then xs[k + 1] else xs[greatest(k, 1)] end as intensity from spot)"""
+AUTO = ON_AXIS.replace("GOES_UP", "nr.n_ref > 2 * g.n")
+UP = ON_AXIS.replace("GOES_UP", "true").replace(LINES, EVENTS)
+
+
+def neighbour_smoothed(k: int, bilateral: bool) -> str:
+    """Means over the k nearest points by m/z, weighted by their distance and, bilateral, by the difference in height."""
+    at = "starts[i + 1] + 1 + j"
+    weight = f"exp(greatest(-0.5 * pow((ms[{at}] - ms[i + 1]) / sd, 2), -88))"
+    if bilateral:
+        weight += f" * case when wide > 0 then exp(greatest(-0.5 * pow((xs[{at}] - xs[i + 1]) / wide, 2), -88)) else 1 end"
+    return nested(
+        EVENTS,
+        step("n0", "g", "k", f"least({k}, n)"),
+        step("n1", "n0", "starts", each("len(list_filter(range(n - k), lambda s: ms[i + 1] - ms[s + 1] > ms[s + k + 1] - ms[i + 1]))")),
+        step("n2", "n1", "far", each("greatest(ms[i + 1] - ms[starts[i + 1] + 1], ms[starts[i + 1] + k] - ms[i + 1])")),
+        step("n3", "n2", "sd", "list_aggregate(far, 'median') / 2"),
+        step("n4", "n3", "mid", "list_aggregate(xs, 'median')"),
+        step("n5", "n4", "wide", "1.4826::double * list_aggregate(list_transform(xs, lambda v: abs(v - mid)), 'median')"),
+        step("n6", "n5", "value", each(f"list_sum(list_transform(range(k), lambda j: {weight} * xs[{at}])) / list_sum(list_transform(range(k), lambda j: {weight}))")),
+    ) + curve("n6", "value", "value")
+
+
+#: A noise curve: estimates in four half-overlapping bins, and the cubic through them.
+NOISE_CURVE = [
+    step("c0", "s1", "w", "n / 2.5::double"),
+    step("c1", "c0", "lows", "list_transform(range(4), lambda b: greatest(0, floor(b * w * 0.5))::int)"),
+    step("c2", "c1", "highs", "list_transform(range(4), lambda b: (least(n - 1, ceil(b * w * 0.5 + w) - 1))::int)"),
+    step("c3", "c2", "mids", "list_transform(range(4), lambda b: (lows[b + 1] + highs[b + 1]) / 2)"),
+    step("c4", "c3", "vals", "list_transform(range(4), lambda b: coalesce(list_aggregate(r[lows[b + 1] + 1 : highs[b + 1] + 1], 'stddev_samp'), 0))"),
+    step("c5", "c4", "along", each("greatest(0.001, " + " + ".join(f"vals[{j}]" + "".join(f" * (i - mids[{m}]) / (mids[{j}] - mids[{m}])" for m in range(1, 5) if m != j) for j in range(1, 5)) + ")")),
+]
+PROMINENT = [
+    f"k as (select *, unnest(list_filter(range(n), lambda i: {is_peak('xs', 2, 1)})) as pk from s)",
+    "e as (select *, coalesce(list_max(list_filter(range(pk), lambda j: xs[j + 1] > xs[pk + 1])), -1) as a, coalesce(list_min(list_filter(range(pk + 1, n), lambda j: xs[j + 1] > xs[pk + 1])), n) as b from k)",
+    "f as (select *, xs[pk + 1] - greatest(list_min(xs[a + 2 : pk + 1]), list_min(xs[pk + 1 : b])) as prominence from e)",
+]
+
+
+def foot(name: str, base: str, xs: str, pk: str, column: str) -> list[str]:
+    """Where a peak ends to the right: the first new low after which the next other sample is higher, and not a sample's
+    spike; else the last new low."""
+    other = f"list_min(list_filter(range(q + 1, n), lambda j: {xs}[j + 1] <> {xs}[q + 1]))"
+    spike = f"({other} = q + 1 and q + 2 < n and {xs}[q + 3] < {xs}[q + 1])"
+    return [
+        step(f"{name}0", base, f"{name}_lows", f"list_filter(range({pk} + 1, n), lambda q: {xs}[q + 1] < list_min({xs}[{pk} + 1 : q]))"),
+        step(f"{name}1", f"{name}0", f"{name}_ends", f"list_filter({name}_lows, lambda q: coalesce({xs}[{other} + 1] > {xs}[q + 1] and not {spike}, false))"),
+        step(name, f"{name}1", column, f"coalesce({name}_ends[1], {name}_lows[len({name}_lows)], {pk})"),
+    ]
+
+
 SMOOTH5 = convolved("flat", weights.gaussian(5))
 
 ORACLES: dict[str, str] = {
@@ -145,8 +212,9 @@ ORACLES: dict[str, str] = {
     "crop_mz": f"select spectrum_id, (row_number() over (partition by spectrum_id order by i) - 1)::int as i, (count(*) over (partition by spectrum_id))::int as n, round(mz, 6) as mz, round(intensity, 6) as intensity from ({EVENTS}) where mz between 500 and 1500",
     "is_sorted": nested(EVENTS) + " select spectrum_id, ms = list_sort(ms) as is_sorted from g",
     "spatial_window": f"select spectrum_id, x, y, z from ({PIXELS}) where x between 3 and 12 and y between 2 and 6",
-    "pixel_upsert": """select min(vec_id) as spectrum_id, (vec_id % 5)::int as x, (vec_id % 7)::int as y, 1 as z, arg_max(label, vec_id) as region,
-      round(arg_max(abs(embedding[1]::double), vec_id), 6) as first_value from embeddings group by vec_id % 5, vec_id % 7""",
+    "pixel_upsert": """with last as (select min(vec_id) as spectrum_id, (vec_id % 5)::int as x, (vec_id % 7)::int as y, 1 as z, arg_max(label, vec_id) as region,
+      arg_max(embedding, vec_id) as e from embeddings group by vec_id % 5, vec_id % 7)
+      select spectrum_id, x, y, z, region, unnest(range(len(e)))::int as i, round(abs(unnest(e)::double), 6) as intensity from last""",
     "rows_slice": f"select spectrum_id, x, y from ({PIXELS}) where spectrum_id between 10 and 199 and (spectrum_id - 10) % 3 = 0",
     "clamp_negative": f"select spectrum_id, i, round(greatest(intensity - 20, 0), 6) as intensity from ({EVENTS})",
     "spectrum_stats": nested(EVENTS) + " select spectrum_id, n::bigint as n, round(list_min(ms), 6) as mz_min, round(list_max(ms), 6) as mz_max, round(ms[list_position(xs, list_max(xs))], 6) as base_mz, round(list_max(xs), 6) as base_intensity, round(list_sum(xs), 4) as tic from g",
@@ -182,14 +250,44 @@ ORACLES: dict[str, str] = {
     "align_down": MERGE + """, cand as (select p.spectrum_id, m.seg, p.intensity, abs(p.mz - m.mz) / abs(m.mz) as off, p.i from p, merged m, dom
         where p.mz between m.mz * (1 - 1.001 * dom.tolerance) and m.mz * (1 + 1.001 * dom.tolerance) and abs(p.mz - m.mz) / abs(m.mz) <= dom.tolerance)
       select spectrum_id, seg::int as peak, round(arg_min(intensity, {'off': off, 'i': i}), 6) as intensity from cand group by spectrum_id, seg""",
+    "align_auto": AUTO + " select spectrum_id, r::int as peak, round(intensity, 6) as intensity from found",
+    "align_up": UP + " select spectrum_id, r::int as peak, round(intensity, 6) as intensity from found",
+    "smooth_gaussian_ns": neighbour_smoothed(5, False),
+    "smooth_bi_ns": neighbour_smoothed(5, True),
+    "noise_curve": nested(EVENTS, *noisy("sd"), *NOISE_CURVE) + curve("c5", "along", "noise"),
+    "peaks_noise_curve": nested(EVENTS, *noisy("sd"), *NOISE_CURVE) + picked("c5", "xs", 2, "xs[pk.i + 1] / along[pk.i + 1] >= 2"),
+    "peaks_pick_prominence": nested(EVENTS, *noisy("sd"), *PROMINENT, "top as (select *, max(xs[pk + 1]) over (partition by spectrum_id) as high from f where prominence >= 20)")
+    + " select spectrum_id, pk::int as i, round(ms[pk + 1], 6) as mz, round(xs[pk + 1], 6) as intensity from top where high > 0 and xs[pk + 1] / high >= 0.5 and xs[pk + 1] / noise >= 2",
+    "peaks_area": nested(
+        EVENTS, *noisy("sd"),
+        f"k as (select *, list_reverse(xs) as back, unnest(list_filter(range(n), lambda i: {is_peak('xs', 2, 1)})) as pk from s)",
+        *foot("fr", "k", "xs", "pk", "stop"), *foot("fl", "fr", "back", "(n - 1 - pk)", "behind"),
+    ) + """ select spectrum_id, pk::int as i, round(coalesce(list_sum(list_transform(range(n - 1 - behind, stop), lambda j: 0.5 * (xs[j + 2] + xs[j + 1]) * (ms[j + 2] - ms[j + 1]))), 0), 6) as area
+      from fl where xs[pk + 1] / noise >= 2""",
+    "baseline_snip_auto": nested(EVENTS) + """, w as (with recursive s as (
+        select spectrum_id, n, xs as y, least((n - 1) // 2, least(100, greatest(10, n // 10))) as p from g
+        union all
+        select spectrum_id, n, list_transform(range(n), lambda i: case when i >= p and i < n - p then least(y[i + 1], (y[i + 1 - p] + y[i + 1 + p]) / 2) else y[i + 1] end), p - 1 from s where p >= 1)
+      select * from s where p = 0), v as (select *, list_transform(y, lambda v: v + 1e-9) as shifted from w)""" + curve("v", "shifted", "value"),
     "mask": f"select distinct x, y from ({PIXELS})",
-    "dense_mask": f"""with s as (select * from ({PIXELS}) where spectrum_id % 3 = 0), box as (select max(x) as w, max(y) as h from s)
+    "dense_mask": f"""with s as (select * from ({PIXELS})), box as (select max(x) as w, max(y) as h from s)
       select a.x::int as x, b.y::int as y, case when exists (select 1 from s where s.x = a.x and s.y = b.y) then 1 else 0 end as occupied
       from range(1, (select w + 1 from box)) a(x), range(1, (select h + 1 from box)) b(y)""",
-    "dedup_summary": "select count(*) as total, count(distinct (label, floor(abs(embedding[1]::double) * 100))) as unique, count(*) - count(distinct (label, floor(abs(embedding[1]::double) * 100))) as duplicate from embeddings",
+    "dedup_summary": f"select count(*) as total, count(distinct (region, xs)) as unique, count(*) - count(distinct (region, xs)) as duplicate from ({PIXELS})",
     "ion_image": f"select x, y, round(list_sum(xs[19 : 23]), 6) as intensity from ({PIXELS})",
-    "before_after_metrics": nested(EVENTS, step("a", "g", "ys", convolved("xs", weights.gaussian(5))), "f as (select spectrum_id, unnest(xs) as x, unnest(ys) as y from a)")
-    + " select spectrum_id, round(corr(x, y), 6) as correlation, round(sum(y) / sum(x), 6) as tic_ratio from f group by spectrum_id",
+    "before_after_metrics": nested(
+        EVENTS,
+        *noisy("sd"),
+        step("bq", "s", "before", "list_aggregate(xs, 'quantile_cont', 0.95) / noise"),
+        "bs as (select spectrum_id, xs, ms, n, before from bq)",
+        step("ba", "bs", "ys", convolved("xs", weights.gaussian(5))),
+        step("a0", "ba", "yg", convolved("ys", weights.gaussian(9, 2.0))),
+        step("a1", "a0", "yr", each("abs(yg[i + 1] - ys[i + 1])")),
+        step("a2", "a1", "yn", "greatest(coalesce(list_aggregate(yr, 'stddev_samp'), 0.001), 0.001)"),
+        step("a3", "a2", "after", "list_aggregate(ys, 'quantile_cont', 0.95) / yn"),
+        "f as (select spectrum_id, before, after, unnest(xs) as x, unnest(ys) as y from a3)",
+    )
+    + " select spectrum_id, round(corr(x, y), 6) as correlation, round(sum(y) / sum(x), 6) as tic_ratio, round(any_value(before), 4) as snr_before, round(any_value(after), 4) as snr_after, round(any_value(after) / any_value(before), 4) as snr_gain from f group by spectrum_id",
     "plot_frame": f"with w as (select * from ({EVENTS}) where mz between 200 and 400) select spectrum_id, i, round(intensity, 6) as intensity, round(greatest(1.05::double * max(intensity) over (partition by spectrum_id), 1), 6) as y_limit from w",
     "pipeline_full": nested(
         EVENTS,
@@ -219,3 +317,9 @@ def _scores(source: str) -> str:
 
 ORACLES["type_scores"] = _scores(EVENTS) + " select spectrum_id, score from scores"
 ORACLES["infer_type"] = _scores(EMBEDDINGS) + " select count(*) as spectra, round(avg(score), 4) as score, case when avg(score) > 0 then 'profile' else 'centroid' end as spectrum_type from scores"
+#: Picking at radius 1 on the points themselves, then the alignment of what is left.
+ORACLES["pipeline_aligned"] = (AUTO + " select spectrum_id, r::int as peak, round(ref, 9) as mz, round(intensity, 6) as intensity from found").replace(
+    f"with p as ({LINES})",
+    f"""with q as (select *, lag(intensity) over (partition by spectrum_id order by i) as before, lead(intensity) over (partition by spectrum_id order by i) as after from ({LINES})),
+  p as (select spectrum_id, i, mz, intensity from q where i >= 1 and before < intensity and coalesce(after, '-inf'::double) <= intensity)""",
+)

@@ -14,13 +14,36 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import spectrum_udfs as udfs
 from ..operators import align as aligning
-from ..operators import baseline, normalize, peaks, smooth
+from ..operators import baseline, layout, normalize, peaks, smooth
 
 RANKS = {"baseline": 10, "noise": 20, "normalization": 30, "custom": 35, "picking": 40, "alignment": 50}
 PROFILE_ONLY = ("baseline", "noise", "picking")
 
 
+def _snip(points: DataFrame, m: int | None = None, decreasing: bool = True) -> DataFrame:
+    """A window a step for few steps, else the array form."""
+    if m is not None and m <= 8:
+        return baseline.snip(points, m, decreasing)
+    return layout.through_arrays(points, lambda _, x: udfs.snip(x, m, decreasing), "baseline")
+
+
+BASELINES = {
+    "locmin": baseline.locmin,
+    "snip": _snip,
+    "asls": lambda p, **how: layout.through_arrays(p, lambda _, x: udfs.asls(x, **how), "baseline"),
+}
+SMOOTHERS = {
+    "ma": smooth.moving_average,
+    "gaussian": smooth.gaussian,
+    "savgol": smooth.savgol,
+    "wavelet": lambda p, **how: layout.through_arrays(p, lambda _, x: udfs.wavelet(x, **how)),
+    "gaussian_ns": lambda p, **how: layout.through_arrays(p, lambda m, x: udfs.neighbour_smooth(m, x, **how)),
+    "bi_ns": lambda p, **how: layout.through_arrays(p, lambda m, x: udfs.neighbour_smooth(m, x, bilateral=True, **how)),
+}
+
+
 class Step(NamedTuple):
     kind: str
     fn: Callable[[DataFrame], DataFrame]
@@ -37,17 +60,29 @@ class Pipeline:
         self.steps.append(Step(kind, fn))
         return self
 
-    def baseline_correction(self, method: str = "locmin", scale: float = 1.0, **how) -> Pipeline:
-        ways = {"locmin": baseline.locmin, "snip": baseline.snip}
-        if method not in ways:
+    def baseline_correction(self, method: str = "locmin", scale: float = 1.0, smooth: str = "none", span: float = 0.1, **how) -> Pipeline:
+        """locmin (with smooth="lowess" its baseline smoothed over m/z), snip (m=None: by the spectrum's length) or asls."""
+        if method not in BASELINES:
             raise ValueError(f"baseline_correction: unknown method {method}")
-        return self._add("baseline", lambda p: baseline.corrected(ways[method](p, **how), scale=scale).drop("baseline"))
+        if smooth not in ("none", "lowess"):
+            raise ValueError(f"baseline_correction: unknown smooth {smooth}")
+
+        def run(points: DataFrame) -> DataFrame:
+            held = BASELINES[method](points, **how)
+            if smooth == "lowess":
+                keyed = held.select("spectrum_id", "i", "n", "mz", F.col("baseline").alias("intensity"), F.col("intensity").alias("own"))
+                nested = layout.nest_points(keyed, "mz", "intensity", "own").withColumn("value", udfs.lowess(F.col("mz"), F.col("intensity"), span))
+                at = nested.select("spectrum_id", F.size("mz").alias("n"), F.posexplode(F.arrays_zip("mz", "own", "value")).alias("i", "p"))
+                held = at.select("spectrum_id", "i", "n", "p.mz", F.col("p.own").alias("intensity"), F.col("p.value").alias("baseline"))
+            return baseline.corrected(held, scale=scale).drop("baseline")
+
+        return self._add("baseline", run)
 
     def noise_reduction(self, method: str = "ma", **how) -> Pipeline:
-        ways = {"ma": smooth.moving_average, "gaussian": smooth.gaussian, "savgol": smooth.savgol}
-        if method not in ways:
+        """ma, gaussian and savgol by windows; wavelet, and gaussian_ns and bi_ns over the nearest points by m/z, by arrays."""
+        if method not in SMOOTHERS:
             raise ValueError(f"noise_reduction: unknown method {method}")
-        return self._add("noise", lambda p: ways[method](p, **how))
+        return self._add("noise", lambda p: SMOOTHERS[method](p, **how))
 
     def normalization(self, method: str = "tic", **how) -> Pipeline:
         if method not in normalize.METHODS:
@@ -57,10 +92,21 @@ class Pipeline:
     def peak_pick(self, **how) -> Pipeline:
         return self._add("picking", lambda p: peaks.pick(p, **how))
 
-    def peak_align(self, units: str = "ppm", binfun: str = "median", tolerance: float | None = None) -> Pipeline:
+    def peak_align(self, reference: list[float] | None = None, tolerance: float | None = None, units: str = "ppm", binfun: str = "median", binratio: float = 2.0, mode: str = "auto") -> Pipeline:
+        """Spectra on a given reference axis (tolerance in the units then needed), or on the one that all spectra give.
+        The result has a row for each reference that a spectrum reaches (``align.dense`` makes arrays of it)."""
+        if reference is not None and tolerance is None:
+            raise ValueError("peak_align: a given axis needs a tolerance")
+
         def run(points: DataFrame) -> DataFrame:
-            axis, grid = aligning.reference(points, units, binfun, tolerance=tolerance)
-            found = aligning.align_down(points, axis, grid)
+            relative = units in ("ppm", "relative")
+            if reference is not None:
+                axis = points.sparkSession.createDataFrame(list(enumerate(sorted(map(float, reference)))), "peak int, mz double")
+                near = tolerance * 1e-6 if units == "ppm" else tolerance
+            else:
+                axis, grid = aligning.reference(points, units, binfun, binratio, tolerance)
+                near, relative = grid.tolerance, grid.relative
+            found = aligning.on_axis(points, axis, near, relative, mode)
             return found.join(axis.select("peak", "mz"), "peak").select("spectrum_id", F.col("peak").alias("i"), "mz", "intensity")
 
         return self._add("alignment", run)

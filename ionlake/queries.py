@@ -58,17 +58,16 @@ def spatial(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pixel_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors dealt to fewer pixels than there are, so that later ones replace earlier ones."""
     s = t.embedding_spectra(spark, sf_dir).withColumn("x", (F.col("spectrum_id") % 5).cast("int")).withColumn("y", (F.col("spectrum_id") % 7).cast("int"))
-    out = select.upsert(s.withColumn("first_value", F.col("intensity")[0]).drop("intensity"))
-    return out.select("spectrum_id", "x", "y", "z", "region", rounded("first_value"))
+    out = select.upsert(s)
+    return out.select("spectrum_id", "x", "y", "z", "region", F.posexplode("intensity").alias("i", "intensity")).withColumn("intensity", rounded("intensity"))
 
 
 def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = t.embedding_spectra(spark, sf_dir).withColumn("kind", F.floor(F.col("intensity")[0] * 100))
-    return summary.duplicates(s, "region", "kind")
+    return summary.duplicates(t.embedding_spectra(spark, sf_dir), "region", "intensity")
 
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.dense_mask(t.embedding_spectra(spark, sf_dir).where(F.col("spectrum_id") % 3 == 0))
+    return summary.dense_mask(t.embedding_spectra(spark, sf_dir))
 
 
 def ion_image(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +93,19 @@ def align_down(points: DataFrame) -> DataFrame:
     return align.align_down(points, axis, grid).select("spectrum_id", "peak", rounded("intensity"))
 
 
-def align_up(points: DataFrame) -> DataFrame:
-    grid = align.domain(points)
-    axis = [grid.low + (grid.high - grid.low) * k / 255 for k in range(256)]
-    out = align.align(points, axis, 2e-3)
-    return out.select("spectrum_id", F.posexplode("aligned").alias("i", "intensity")).where("intensity <> 0").select("spectrum_id", "i", rounded("intensity"))
+def on_axis(mode: str) -> Callable[[DataFrame], DataFrame]:
+    """Spectra on the reference axis that they give."""
+
+    def run(points: DataFrame) -> DataFrame:
+        axis, grid = align.reference(points)
+        return align.on_axis(points, axis, grid.tolerance, grid.relative, mode).select("spectrum_id", "peak", rounded("intensity"))
+
+    return run
+
+
+def aligned_pipeline(points: DataFrame) -> DataFrame:
+    out = Pipeline(points).peak_align().peak_pick(width=3, snr=None).start()
+    return out.select("spectrum_id", F.col("i").cast("int").alias("peak"), rounded("mz", 9), rounded("intensity"))
 
 
 def full_pipeline(points: DataFrame) -> DataFrame:
@@ -108,15 +115,12 @@ def full_pipeline(points: DataFrame) -> DataFrame:
 
 
 def peaks_area(points: DataFrame) -> DataFrame:
-    found = layout.nest_points(peaks.pick(points, 5, 2.0, "sd").select("spectrum_id", "i", F.col("i").alias("at")), "at")
-    held = layout.nest_points(points).join(found, "spectrum_id").withColumn("area", udfs.areas(F.col("mz"), F.col("intensity"), F.col("at")))
-    return held.select("spectrum_id", F.explode(F.arrays_zip("at", "area")).alias("p")).select("spectrum_id", F.col("p.at").alias("i"), F.round("p.area", 6).alias("area"))
+    return peaks.pick(points, 5, 2.0, "sd", return_type="area").select("spectrum_id", "i", F.round("intensity", 6).alias("area"))
 
 
 def peaks_prominence(points: DataFrame) -> DataFrame:
-    found = layout.nest_points(peaks.pick(points, 5, None).select("spectrum_id", "i", F.col("i").alias("at")), "at")
-    held = layout.nest_points(points).join(found, "spectrum_id").withColumn("prominence", udfs.prominence(F.col("intensity"), F.col("at")))
-    out = held.select("spectrum_id", F.explode(F.arrays_zip("at", "prominence")).alias("p")).select("spectrum_id", F.col("p.at").alias("i"), F.round("p.prominence", 6).alias("prominence"))
+    marked = points.withColumn("peak", baseline.local_maxima(F.col("intensity"), 2, 1))
+    out = peaks._measured(marked, True, False, False).where("peak").select("spectrum_id", "i", F.round("prominence", 6).alias("prominence"))
     return out.where(F.col("prominence") >= 20)
 
 
@@ -127,20 +131,7 @@ def peaks_origin(points: DataFrame) -> DataFrame:
 
 
 def noise_curve(points: DataFrame) -> DataFrame:
-    from .functions import kernels
-
-    binned = noise.binned_noise(points, 4, 0.5)
-    nested = binned.join(points.groupBy("spectrum_id").agg(F.first("n").alias("n")), "spectrum_id").groupBy("spectrum_id", "n").agg(F.array_sort(F.collect_list(F.struct("mid", "noise"))).alias("p"))
-
-    @F.pandas_udf("array<double>")
-    def through(mids, values, n):
-        import numpy as np
-        import pandas as pd
-
-        return pd.Series([kernels.noise_curve(np.array(a), np.array(b), int(c)) for a, b, c in zip(mids, values, n, strict=True)])
-
-    out = nested.select("spectrum_id", F.posexplode(through(F.col("p.mid"), F.col("p.noise"), F.col("n"))).alias("i", "noise"))
-    return out.select("spectrum_id", "i", F.round("noise", 6).alias("noise"))
+    return noise.with_noise_curve(points, "sd", 4, 0.5).select("spectrum_id", "i", rounded("noise"))
 
 
 def smoothed_baseline(points: DataFrame) -> DataFrame:
@@ -159,7 +150,7 @@ def dynamic_bins(points: DataFrame) -> DataFrame:
 
 def metrics(points: DataFrame) -> DataFrame:
     out = summary.before_after(points, smooth.gaussian(points, 5))
-    return out.select("spectrum_id", rounded("correlation"), rounded("tic_ratio"))
+    return out.select("spectrum_id", rounded("correlation"), rounded("tic_ratio"), rounded("snr_before", 4), rounded("snr_after", 4), rounded("snr_gain", 4))
 
 
 def statistics(points: DataFrame) -> DataFrame:
@@ -210,7 +201,8 @@ QUERIES: dict[str, Query] = {
     "baseline_snip_m5": lines(lambda p: curve(baseline.snip(p, 5), "baseline")),
     "baseline_corrected": events(lambda p: curve(baseline.corrected(baseline.locmin(p, 5), scale=0.9))),
     "baseline_asls": arrays(lambda s: s.withColumn("value", udfs.asls(F.col("intensity"), 1e4))),
-    "baseline_snip_auto": arrays(lambda s: s.withColumn("value", udfs.snip(F.col("intensity")))),
+    # halved again and again, values lie on the edge of rounding; shifted a little they don't
+    "baseline_snip_auto": arrays(lambda s: s.withColumn("value", F.transform(udfs.snip(F.col("intensity")), lambda v: v + 1e-9))),
     "baseline_lowess": arrays(lambda s: s.withColumn("value", udfs.lowess(F.col("mz"), F.col("intensity"), 0.3))),
     "baseline_locmin_lowess": lambda spark, d: smoothed_baseline(t.event_points(spark, d)),
     "peaks_sd": events(peaks_of("sd")),
@@ -220,13 +212,17 @@ QUERIES: dict[str, Query] = {
     "peaks_relheight": lines(lambda p: peak_list(peaks.pick(p, 3, None, relheight=0.8))),
     "peaks_prominence": events(peaks_prominence),
     "peaks_area": events(peaks_area),
+    "peaks_pick_prominence": events(lambda p: peak_list(peaks.pick(p, 5, 2.0, "sd", relheight=0.5, prominence=20.0))),
+    "peaks_noise_curve": events(lambda p: peak_list(peaks.pick(p, 5, 2.0, "sd", nbins=4, overlap=0.5))),
     "peaks_origin": events(peaks_origin),
     "align_resolution": lines(lambda p: align.resolution(p).select("spectrum_id", rounded("resolution", 9), rounded("low"), rounded("high"))),
     "align_domain": lines(align_domain),
     "align_bins": lines(align_bins),
     "align_merge": lines(align_merge),
     "align_down": lines(align_down),
-    "align_up": events(align_up),
+    "align_up": events(on_axis("up")),
+    "align_auto": lines(on_axis("auto")),
+    "pipeline_aligned": lines(aligned_pipeline),
     "infer_type": embeddings(lambda p: summary.infer_type(p).select("spectra", rounded("score", 4), "spectrum_type")),
     "type_scores": events(summary.type_scores),
     "mask": lambda s, d: summary.mask(t.embedding_spectra(s, d)),
