@@ -9,12 +9,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import spectrum_udfs
-from .layout import as_arrays, finite, nest_points
+from .layout import as_arrays, explode_points, finite, nest_points
 
 EPS = 2.220446049250313e-16
 LEAST_RELATIVE, LEAST_ABSOLUTE = 5e-7, 1e-4
@@ -136,29 +136,17 @@ def domain(points: DataFrame, units: str = "ppm", binfun: str = "median", binrat
 
 
 def bins(points: DataFrame, grid: Domain) -> DataFrame:
-    """(bin, mz, count): in each spectrum the peak nearest a bin, then their mean and number over spectra."""
-    spectra = as_arrays(points, "mz").select("spectrum_id", F.col("mz").cast("array<double>").alias("mz"))
-    most = grid.count - 1
-
-    def value(k: np.ndarray) -> np.ndarray:
-        return grid.low * np.power(grid.ratio, k) if grid.relative else grid.low + k * grid.step
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, mz, i = _flat(batch)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                k = np.floor((np.log(mz) - math.log(grid.low)) / math.log(grid.ratio)) if grid.relative else np.floor((mz - grid.low) / grid.step)
-                k = np.clip(np.nan_to_num(k), 0, most)
-                up = np.minimum(k + 1, most)
-                a, b = np.abs(mz - value(k)), np.abs(mz - value(up))
-                off = np.minimum(a, b) / (np.abs(mz) if grid.relative else 1.0)
-            at = np.where(b < a, up, k).astype(np.int64)
-            near = np.flatnonzero(off <= grid.tolerance)
-            near = near[np.lexsort((i[near], off[near], at[near], row[near]))]
-            best = near[np.concatenate(([True], (row[near][1:] != row[near][:-1]) | (at[near][1:] != at[near][:-1])))[: len(near)]]
-            yield pa.RecordBatch.from_arrays([pa.array(at[best]), pa.array(mz[best])], ["bin", "mz"])
-
-    return spectra.mapInArrow(run, "bin long, mz double").groupBy("bin").agg(F.avg("mz").alias("mz"), F.count(F.lit(1)).alias("count"))
+    """(bin, mz, count): in each spectrum the peak nearest a bin, then their mean and number over spectra. Points that a
+    window has partitioned by spectrum are not shuffled again before the sums."""
+    points = explode_points(points) if isinstance(points.schema["mz"].dataType, ArrayType) else points
+    mz = F.col("mz")
+    k = grid.place(mz)
+    up = F.least(k + 1, F.lit(float(grid.count - 1)))
+    held = points.where(finite(mz)).select("spectrum_id", "i", "mz", k.alias("k"), up.alias("up"))
+    a, b = F.abs(mz - grid.value(F.col("k"))), F.abs(mz - grid.value(F.col("up")))
+    held = held.select("spectrum_id", "i", "mz", F.when(b < a, F.col("up")).otherwise(F.col("k")).cast("long").alias("bin"), (F.least(a, b) / (F.abs(mz) if grid.relative else F.lit(1.0))).alias("off"))
+    best = held.where(F.col("off") <= grid.tolerance).groupBy("spectrum_id", "bin").agg(F.min_by("mz", F.struct("off", "i")).alias("mz"))
+    return best.groupBy("bin").agg(F.avg("mz").alias("mz"), F.count(F.lit(1)).alias("count"))
 
 
 def merge(binned: DataFrame, grid: Domain) -> DataFrame:
@@ -179,17 +167,10 @@ def merge(binned: DataFrame, grid: Domain) -> DataFrame:
 
 def reference(points: DataFrame, units: str = "ppm", binfun: str = "median", binratio: float = 2.0, tolerance: float | None = None) -> tuple[DataFrame, Domain]:
     """The reference peaks and the grid; tolerance in ppm or m/z overrides the estimate."""
-    spectra = as_arrays(points, "mz")
-    nested = spectra is not points
-    if nested:
-        spectra = spectra.persist(StorageLevel.DISK_ONLY)  # for the grid and for the bins
-    grid = domain(spectra, units, binfun, binratio)
+    grid = domain(points, units, binfun, binratio)
     if tolerance is not None:
         grid = grid._replace(tolerance=tolerance * 1e-6 if units == "ppm" else tolerance)
-    axis = merge(bins(spectra, grid), grid).persist()  # as small as the axis: found once, used often
-    axis.count()
-    if nested:
-        spectra.unpersist()
+    axis = merge(bins(points, grid), grid).persist()  # as small as the axis: found once, used often
     return axis, grid
 
 

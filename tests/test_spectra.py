@@ -161,3 +161,89 @@ def test_plan_order_pruning_and_shuffles(spark):
 def test_binned_noise_covers_the_spectrum(spark):
     got = noise.binned_noise(frame(spark), 4).where("spectrum_id = 6").orderBy("b").collect()
     assert [r["mid"] for r in got] == [4.5, 14.5, 24.5, 34.5]
+
+
+def _points(spark, spectra):
+    """Points of {id: [(mz, intensity), ...]}."""
+    rows = [(k, i, len(v), float(m), float(x)) for k, v in spectra.items() for i, (m, x) in enumerate(v)]
+    return spark.createDataFrame(rows, "spectrum_id long, i int, n int, mz double, intensity double")
+
+
+def test_alignment_mode_is_chosen_for_each_spectrum(spark):
+    axis = [100.0 + k for k in range(10)]
+    few = [(103.2, 5.0)]  # up: spreads over the references within the tolerance
+    many = [(100.0 + k, 1.0 + k) for k in range(6)]  # down
+    got = align.on_axis(_points(spark, {1: few, 2: many}), axis, 0.02).collect()
+    by = {k: {r["peak"]: r["intensity"] for r in got if r["spectrum_id"] == k} for k in (1, 2)}
+    assert by[1] == {2: 5.0, 3: 5.0, 4: 5.0, 5: 5.0}
+    assert by[2] == {k: 1.0 + min(k, 5) for k in range(6 + 2)}
+    down = align.on_axis(_points(spark, {1: few}), axis, 0.02, mode="down").collect()
+    assert {r["peak"] for r in down} == {2, 3, 4, 5}
+    with pytest.raises(ValueError):
+        align.on_axis(_points(spark, {1: few}), axis, 0.02, mode="sideways")
+    dense = {r["spectrum_id"]: r["aligned"] for r in align.dense(align.on_axis(_points(spark, {1: few}), axis, 0.005), 10).collect()}
+    assert dense == {1: [0.0, 0.0, 0.0, 5.0, *[0.0] * 6]}
+
+
+def test_arrays_align_as_points_do_without_a_shuffle(spark):
+    points = _points(spark, {k: [(100 + 7.1 * j + 0.001 * k, j + k) for j in range(20)] for k in range(9)})
+    axis, grid = align.reference(points)
+    flat = align.on_axis(points, axis, grid.tolerance)
+    spectra = spark.createDataFrame(layout.nest_points(points).toArrow())
+    nested = align.on_axis(spectra, axis, grid.tolerance)
+    assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, nested.collect())) and flat.count()
+    assert "Exchange" not in nested._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_median_of_resolutions_is_exact(spark):
+    for values in ([3.0, 1.0, 2.0], [4.0, 1.0, 2.0, 2.0], [5.0] * 7, [1.0]):
+        frame = spark.createDataFrame([(v,) for v in values], "v double")
+        assert align._median(frame) == sorted(values)[(len(values) - 1) // 2] / 2 + sorted(values)[len(values) // 2] / 2
+    assert align._median(spark.createDataFrame([], "v double")) is None
+
+
+def test_noise_leaves_out_samples_that_are_not_finite(spark):
+    import random
+
+    rng = random.Random(3)
+    clean = [(float(k), rng.random() * 10) for k in range(60)]
+    broken = [*clean[:30], (30.0, float("nan")), *[(m + 1, x) for m, x in clean[30:]]]
+    for method in noise.METHODS:
+        got = {r["spectrum_id"]: r["noise"] for r in noise.noise(_points(spark, {1: clean, 2: broken}), method).collect()}
+        assert got[1] > 0.1 and abs(got[1] - got[2]) < 0.35 * got[1], method
+
+
+def test_picking_by_prominence_area_and_noise_curve(spark):
+    x = [0, 1, 5, 1, 4.5, 1, 0, 9, 0, 0, 2, 0, 0]
+    points = _points(spark, {1: [(10.0 + k, v) for k, v in enumerate(x)]})
+    pick = lambda **how: {r["i"]: r["intensity"] for r in peaks.pick(points, 3, None, **how).collect()}
+    assert pick() == {2: 5.0, 4: 4.5, 7: 9.0, 10: 2.0}
+    assert set(pick(prominence=4.0)) == {2, 7} and set(pick(prominence=4.0, relheight=0.6)) == {7}
+    assert pick(return_type="area")[7] == 9.0
+    with pytest.raises(ValueError):
+        pick(return_type="width")
+    curve = {r["i"]: r["noise"] for r in noise.with_noise_curve(points, "sd", 4, 0.5).collect()}
+    assert len(curve) == len(x) and min(curve.values()) >= noise.FLOOR
+    assert set(peaks.pick(points, 3, 1.0, nbins=3).columns) == {"spectrum_id", "i", "mz", "intensity"}
+
+
+@pytest.mark.parametrize("method", ["ma", "gaussian", "savgol", "wavelet", "gaussian_ns", "bi_ns"])
+def test_the_plan_reaches_every_smoother(spark, method):
+    points = _points(spark, {k: [(100.0 + j, (j * 7 + k) % 11) for j in range(30)] for k in range(3)})
+    out = Pipeline(points).noise_reduction(method).start()
+    assert out.count() == 90 and out.columns == ["spectrum_id", "i", "n", "mz", "intensity"]
+
+
+@pytest.mark.parametrize("how", [{"method": "locmin"}, {"method": "locmin", "smooth": "lowess", "span": 0.3}, {"method": "snip"}, {"method": "snip", "m": 4}, {"method": "asls", "lam": 1e3}])
+def test_the_plan_reaches_every_baseline(spark, how):
+    points = _points(spark, {k: [(100.0 + j, 5 + (j * 7 + k) % 11) for j in range(30)] for k in range(3)})
+    out = Pipeline(points).baseline_correction(**how).start()
+    assert out.count() == 90 and out.where("intensity < 0").count() == 0 and out.columns == ["spectrum_id", "i", "n", "mz", "intensity"]
+
+
+def test_the_plan_aligns_to_a_given_axis(spark):
+    points = _points(spark, {1: [(100.0, 1.0), (200.0, 2.0)], 2: [(100.01, 3.0)]})
+    out = Pipeline(points, "centroid").peak_align(reference=[200.0, 100.0], tolerance=200.0).start().collect()
+    assert sorted(map(tuple, out)) == [(1, 0, 100.0, 1.0), (1, 1, 200.0, 2.0), (2, 0, 100.0, 3.0)]
+    with pytest.raises(ValueError):
+        Pipeline(points).peak_align(reference=[1.0])
