@@ -17,6 +17,19 @@ from ionlake.llm.shared import materialize, read
 ORACLE_SQL = None
 
 
+#: The pipeline's session: whole texts pass through Python in Arrow batches of so many bytes and rows at most, as executors
+#: run stages of every kind one after the other and have to hold the batches beside all else.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.execution.arrow.maxRecordsPerBatch": 1_000}
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Set the bounds of BATCHES for this pipeline's session, where it hasn't got smaller ones."""
+    for name, most in BATCHES.items():
+        now = int(spark.conf.get(name).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with its columns renamed c_0, c_1, ..., so that no name clashes, and the text's new name."""
     return docs.toDF(*(f"c_{i}" for i in range(len(docs.columns)))), f"c_{docs.columns.index('text')}"
@@ -25,6 +38,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: those without a letter (or text) go. Repeated rows stay repeated, very long
     texts are read whole, null keys are no reason to go; an empty table stays empty; other columns pass unread."""
+    _bound_batches(spark)
     profiles = language.learn_profiles(docs, where=~held_out("k", 4, 2))
     work, text = _numbered(docs)
     said = language.identify(work, profiles, text=text, columns=tuple(work.columns))
@@ -34,6 +48,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic; null and empty texts score 0 and stay. The other cases as in
     ``identify_language``; without labels nothing goes."""
+    _bound_batches(spark)
     model = toxicity.learn(docs, read(spark, sf_dir, "labels"), where=~held_out("doc_id", 3, 1))
     work, text = _numbered(docs)
     said = toxicity.score_documents(work, model, text=text, columns=tuple(work.columns))
@@ -42,6 +57,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; rows with a null key and texts without words stay (see ``deduplicated``)."""
+    _bound_batches(spark)
     return ngram_join.deduplicated(docs)
 
 
@@ -54,6 +70,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text; a null text is encoded as the empty one, and
     other columns than these are left out."""
+    _bound_batches(spark)
     out = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), tokenizer_file("byte_bpe_50k.json"))
     intact = F.col("decoded") == F.coalesce("text", F.lit(""))
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", intact.alias("intact"))

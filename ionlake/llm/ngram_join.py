@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import materialize, slices
+from .shared import let_go, materialize, slices
 from .shingles import shingle_sets
 
 WIDTH, PART, WHOLE = 5, 4, 5
@@ -87,6 +87,7 @@ def _counts(docs: DataFrame, width: int) -> DataFrame:
                     yield flush()
         if held:
             yield flush()
+        let_go()
 
     return docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
 
@@ -107,6 +108,7 @@ def _sketch(docs: DataFrame, frequent: np.ndarray, tiers: np.ndarray, width: int
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int32()), pa.array(digests, pa.binary()), pa.array(hubs, pa.int32()), pa.array(hots, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))], ["id", "n", "digest", "hub", "hot", "prefix"])
+            let_go()
 
     return docs.mapInArrow(run, "id long, n int, digest binary, hub int, hot int, prefix array<long>")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -70,6 +71,14 @@ def slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 1_024) -> Iter
         yield column.slice(at)
 
 
+def let_go() -> None:
+    """Give memory that is free in this worker back to the machine: Arrow's pool, and the C library's where it can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def from_text(docs: DataFrame, columns: Sequence[str], text: str, kind: str, make: Callable[[], Callable[[pa.Array], Iterable[pa.StructArray]]]) -> DataFrame:
     """The named columns and, beside them, what a function makes of the text column: the fields of the struct ``kind``.
 
@@ -81,6 +90,8 @@ def from_text(docs: DataFrame, columns: Sequence[str], text: str, kind: str, mak
         fn = make()
         for batch in batches:
             yield from fn(batch)
+            del batch
+            let_go()
 
     # not deterministic for the optimizer: a later filter must not have the function run twice
     said = F.arrow_udf(run, kind).asNondeterministic()
