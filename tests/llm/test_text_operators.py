@@ -310,3 +310,105 @@ def test_spot_join_against_brute_force(spark):
     want = {(a, b): spotsigs.likeness(sigs[a], sigs[b]) for k, a in enumerate(reps) for b in reps[k + 1 :]}
     assert {(r["a"], r["b"]): pytest.approx(r["likeness"]) for r in pairs.collect()} == {k: v for k, v in want.items() if v >= 0.8}
     assert {r["doc_id"]: r["class"] for r in members.collect()} == {i: first[s] for i, s in sigs.items()}
+
+
+def brute_identifiers(text):
+    """Known sentences as runs of words: at each place the longest, none over another."""
+    sentences = licenses.SENTENCES + licenses.named()[0]
+    known = sorted(((licenses.normalise(s).split(), n) for n, s in sentences), key=lambda x: (-len(x[0]), x[1]))
+    words = licenses.normalise(text).split()
+    out, i = [], 0
+    while i < len(words):
+        hit = next(((w, n) for w, n in known if words[i : i + len(w)] == w), None)
+        out += [hit[1]] if hit else []
+        i += len(hit[0]) if hit else 1
+    return out
+
+
+def test_licence_sentences_against_brute_force():
+    sentences, rules = licenses.named()
+    assert len(sentences) > 300 and {n for _, want in licenses.RULES + rules for n in want} <= {n for n, _ in licenses.SENTENCES + sentences}
+    rec, rng = licenses.Recognizer(), random.Random(2)
+    for _ in range(60):
+        picked = [rng.choice(licenses.SENTENCES + sentences)[1] for _ in range(rng.randrange(6))]
+        text = "\n".join(x for s in picked for x in (prose(rng, "en", rng.randrange(6)), s, "Then."))
+        assert rec.identifiers(text) == brute_identifiers(text)
+    assert rec.licences(rec.identifiers("Released under the ISC License. SPDX-License-Identifier: EPL-2.0")) == ["ISC", "EPL-2.0"]
+
+
+def test_bpe_columns_that_clash(spark):
+    rows = corpus(8) + ODD
+    docs = docs_frame(spark, rows, extra=True).withColumn("decoded", F.lit("x"))
+    tok = bpe.tokenizer(BYTE)
+    want = sorted((str(i), tok.encode(t or "", add_special_tokens=False).ids, t or "") for i, t, _, _ in rows)
+    both = bpe.encode_and_decode(docs, BYTE)
+    apart = bpe.decode(bpe.encode(docs, BYTE), BYTE)
+    for got in (both, apart):
+        assert got.columns.count("ids") == got.columns.count("decoded") == 1 and "score" in got.columns
+        assert sorted((str(r["doc_id"]), r["ids"], r["decoded"]) for r in got.collect()) == want
+    scored = language.identify(docs, {}, columns=("doc_id", "score"))
+    assert scored.columns == ["doc_id", "lang_pred", "score"] and scored.where("score <> 0").count() == 0
+
+
+def test_token_store_splits_a_hot_key(spark):
+    rows = [(7, f"text number {k % 40}", "en", "a") for k in range(90)] + [(None, f"no key {k}", "en", "a") for k in range(40)] + [(k, "other", "en", "a") for k in range(30)]
+    manifest = token_store.write_store(docs_frame(spark, rows), WORDS, 1, rows_per_shard=16)
+    assert manifest.agg(F.max("n_docs")).first()[0] <= 60 and manifest.count() > 7
+    got = sorted(token_store.read_store(manifest).collect(), key=lambda r: r["start"])
+    assert [r["key"] for r in got] == [None] * 40 + sorted(i for i, _, _, _ in rows if i is not None)
+    tok = bpe.tokenizer(WORDS)
+    assert sorted(bytes(r["ids"]) for r in got) == sorted(np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for _, t, _, _ in rows)
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+    found = {r["key"] for r in token_store.lookup(manifest, spark.createDataFrame([(k,) for k in range(-2, 33)], "key long")).collect()}
+    assert found == set(range(30))
+
+
+def test_deduplicated_of_rows_with_maps(spark):
+    docs = docs_frame(spark, [(1, "a b c d e f g", "en", "a"), (1, "a b c d e f g", "en", "b"), (2, "a b c d e f g", "en", "a"), (3, "other words", "en", "a")])
+    held = docs.withColumn("m", F.create_map("source", "text"))
+    got = ngram_join.deduplicated(held).collect()
+    assert sorted((r["doc_id"], r["source"]) for r in got) == [(1, "a"), (3, "a")]
+
+
+def test_hot_tokens_meet_few_groups(spark, monkeypatch):
+    """Texts that share a long passage without being near copies: the matrix's rows grow with the texts, not with pairs."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(60))
+    sizes, qualifying = [], ngram_join._qualifying
+
+    def counted(mine, group):
+        out = qualifying(mine, group)
+        sizes.append((mine.select("id").distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_qualifying", counted)
+    for n in (60, 240):
+        rows = [(i, passage + " " + " ".join(f"u{rng.randrange(10**7)}" for _ in range(25)), None, None) for i in range(n)]
+        got = ngram_join.similar_components(docs_frame(spark, rows)).collect()
+        assert all(r["doc_id"] == r["component_id"] for r in got)
+    assert all(opened <= texts for texts, opened in sizes)
+
+
+def test_toxicity_gradient_by_differences():
+    """The fit lowers the likelihood's loss: no small step of a single weight does better by more than the penalty."""
+    rng = random.Random(5)
+    bags = [(int(k % 3 == 0), *toxicity.bag(prose(rng, "en", 12) + (". vile thing" if k % 3 == 0 else ". nice thing"))) for k in range(90)]
+    model = toxicity.fit(bags)
+
+    def loss(weights):
+        total = 0.0
+        for y, f, s in bags:
+            feats, left, at = np.frombuffer(f, np.uint32), 1.0, 0
+            for n in np.frombuffer(s, np.int32):
+                z = sum(weights.get(int(x), 0.0) for x in feats[at : at + n])
+                left *= 1 - min(float(toxicity._rise(z)[0]), 1 - 1e-9)
+                at += n
+            gone = left * (1 - toxicity.LEAK)
+            total -= np.log(1 - gone if y else gone) * (0.5 / 30 if y else 0.5 / 60)
+        return total + toxicity.PENALTY * sum(weights.values())
+
+    best = loss(model.weights)
+    assert model.weights and best < loss({})
+    for f in list(model.weights)[:6]:
+        for step in (-0.5, 0.5):
+            assert loss(model.weights | {f: max(0.0, model.weights[f] + step)}) > best - 0.02
