@@ -1,7 +1,7 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut into chunks where a rolling hash over its last 32 bytes meets a mask, so that a passage
-shared by documents is cut alike in all of them. A chunk is encoded once for all documents that a worker
+shared by documents is cut alike in all of them. A chunk is encoded once for all documents that a task
 meets it in (a memo bounded in bytes), and kept as its inner token ids and its two open ends: what stands before its first
 safe cut and after its last one. A safe cut lies before a single space between two non-space characters.
 
@@ -12,7 +12,7 @@ they don't, the repair is widened to the text as a whole, whose encoding agrees
 A chunk's own text is encoded piece by piece (a piece lies between two safe cuts), each spelling once as long as it stays
 in a second memo; new spellings are encoded together in one call.
 
-Reuse reaches as far as a worker's memo: chunks that two workers meet are encoded by both. Sharing them through a
+Reuse reaches as far as a task's memo: chunks that two tasks meet are encoded by both. Sharing them through a
 shuffle would have to move distinct chunks, ids and whole texts, over twice the input.
 
 Defined cases: a null text is encoded as the empty one; an empty text has no ids; very long texts are worked through
@@ -35,7 +35,7 @@ from .shared import from_text, slices
 
 #: Mean chunk size is about 1 << CHUNK_BITS bytes, between the bounds.
 CHUNK_BITS, LEAST_CHUNK, MOST_CHUNK = 10, 256, 8192
-#: Bounds of what a worker keeps at hand, each in two generations: spellings, characters of theirs, bytes of chunks.
+#: Bounds of what a task keeps at hand, each in two generations: spellings, characters of theirs, bytes of chunks.
 SPELLINGS, SPELLED, CHUNK_BYTES = 150_000, 4 << 20, 12 << 20
 #: New spellings that are encoded in one text.
 TOGETHER = 2_048
@@ -69,10 +69,10 @@ class Pieces:
     which the cuts aren't sure are encoded one by one.
     """
 
-    def __init__(self, path: str, spaced: bool = False, kind: str = "<u4", most: int = SPELLINGS):
+    def __init__(self, path: str, spaced: bool = False, kind: str = "<u4", most: int = SPELLINGS, letters: int = SPELLED):
         tok = tokenizer(path)
         self.encode_batch = tok.encode_batch_fast
-        self.kind, self.most = np.dtype(kind), most
+        self.kind, self.most, self.letters = np.dtype(kind), most, letters
         self.lead, self.glue = (" ", " ") if spaced else ("", f" {MARK} ")
         self.unsure = self.glue.strip() or self.glue  # a spelling with this in it could be taken for the glue
         mark = [] if spaced else tok.encode(MARK, add_special_tokens=False).ids
@@ -97,7 +97,7 @@ class Pieces:
 
     def learn(self, pieces: set[str]) -> None:
         """Have the ids of all these pieces at hand."""
-        if len(self.known) >= self.most or self.held >= SPELLED:
+        if len(self.known) >= self.most or self.held >= self.letters:
             self.known, self.older, self.held = {}, self.known, 0
         missing = pieces.difference(self.known)
         if self.older:
@@ -245,13 +245,6 @@ def _spellings(path: str) -> list[bytes]:
     return _LOADED[key]
 
 
-def _encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder: what it has at hand serves all tasks that the worker runs."""
-    if (path, "chunks") not in _LOADED:
-        _LOADED[path, "chunks"] = ChunkEncoder(path)
-    return _LOADED[path, "chunks"]
-
-
 def _lists(ids: list[bytes]) -> pa.ListArray:
     ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
     flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
@@ -268,7 +261,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs with a column ``ids`` (array of int) beside its own."""
 
     def make():
-        encoder = _encoder(path)
+        encoder = ChunkEncoder(path)  # goes at the task's end: workers live on for other stages
 
         def run(texts: pa.Array) -> Iterator[pa.StructArray]:
             for part in slices(texts):
@@ -296,7 +289,7 @@ def encode_and_decode(docs: DataFrame, path: str, text: str = "text") -> DataFra
     """docs with ``ids`` and the text ``decoded`` from them, in one pass: ids don't travel to be decoded."""
 
     def make():
-        encoder = _encoder(path)
+        encoder = ChunkEncoder(path)  # goes at the task's end: workers live on for other stages
 
         def run(texts: pa.Array) -> Iterator[pa.StructArray]:
             for part in slices(texts):

@@ -39,7 +39,7 @@ WIDTH, PART, WHOLE = 5, 4, 5
 #: A token is frequent above this many sets; there are never more than MOST_FREQUENT such tokens.
 FREQUENT, MOST_FREQUENT = 12, 400_000
 #: Tokens that a task counts at a time.
-COUNTED = 2_000_000
+COUNTED = 1_000_000
 #: The bit that puts frequent tokens behind all others.
 RAISED = 1 << 62
 #: Members of a group's part, and queries that meet it in one task.
@@ -85,6 +85,7 @@ def _counts(docs: DataFrame, width: int) -> DataFrame:
                     first.append(keys[: _prefix_size(len(keys))] if len(keys) else keys)
                 if sum(map(len, held)) >= COUNTED:
                     yield flush()
+                    let_go()
         if held:
             yield flush()
         let_go()

@@ -92,6 +92,8 @@ def from_text(docs: DataFrame, columns: Sequence[str], text: str, kind: str, mak
             yield from fn(batch)
             del batch
             let_go()
+        del fn
+        let_go()
 
     # not deterministic for the optimizer: a later filter must not have the function run twice
     said = F.arrow_udf(run, kind).asNondeterministic()

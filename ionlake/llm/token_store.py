@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import collections
 import io
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ from .shared import bucket_of, materialize, shared_folder, slices
 from .shingles import mix64
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, first_key long, last_key long"
-SPELLINGS = 300_000  # of a generation that a worker keeps at hand
+SPELLINGS, SPELLED = 600_000, 12 << 20  # of a generation that a worker keeps at hand, and characters of theirs
 FLUSH = 1 << 20  # bytes of payload that are written at once
 MOST_BUCKETS = 20_000
 GAMMA = 2.0  # bits of a level for each key it gets
@@ -169,6 +170,9 @@ class Shard:
         self.payload.close()
 
 
+_MARK = re.compile(r"(?<=[a-z0-9\u00e0-\u00f6\u00f8-\u00ff])([,.;:!?])(?= )")
+
+
 def _latin(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -182,14 +186,15 @@ def _words(text: str) -> list[str]:
     spaces or line ends is encoded alike in any surroundings. Text of Latin-1 characters, which normalising
     leaves as they are, is lower-cased at once, unless a special token could come of it."""
     if "<|" not in text and _latin(text):
-        text = text.lower()
+        # a mark between a letter or digit and a space is a token by itself: apart from it, spellings are far fewer
+        text = _MARK.sub(r" \1", text.lower())
     return text.replace("\n", " ").split(" ")
 
 
 def _speller(path: str, width: int) -> bpe.Pieces:
     """The worker's spellings: what it has at hand serves all tasks that the worker runs."""
     if (path, "words") not in bpe._LOADED:
-        bpe._LOADED[path, "words"] = bpe.Pieces(path, kind=f"<u{width}", most=SPELLINGS)
+        bpe._LOADED[path, "words"] = bpe.Pieces(path, kind=f"<u{width}", most=SPELLINGS, letters=SPELLED)
     return bpe._LOADED[path, "words"]
 
 
