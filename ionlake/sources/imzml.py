@@ -2,8 +2,10 @@
 
 A data set is one ``.imzML`` file with its ``.ibd`` beside it, or a folder of such pairs. Tasks parse the header
 of their file themselves, keep the spectra of their slice (and of the spatial window asked for by the options
-x1, y1, x2, y2) and only then read binary arrays, neighbouring ones in one go. The sink writes one pair a task;
-a pair of a task that fails is removed.
+x1, y1, x2, y2) and only then read binary arrays, adjoining ones in one go, and of these only the columns of the
+schema that is asked for: ``spark.read.format("imzml").schema("x int, y int, intensity array<double>")`` never
+touches m/z. The sink writes one pair a task under a hidden name; the job's commit gives the pairs of its tasks
+their names, so that neither failed nor repeated tasks leave anything that is read.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "spectrum_id bigint, x int, y int, z int, mz array<double>, intensity array<double>"
+COLUMNS = {"spectrum_id": pa.int64(), "x": pa.int32(), "y": pa.int32(), "z": pa.int32(), "mz": pa.list_(pa.float64()), "intensity": pa.list_(pa.float64())}
 # Controlled-vocabulary accessions of the format.
 DTYPES = {"MS:1000521": "<f4", "MS:1000523": "<f8", "MS:1000519": "<i4", "MS:1000522": "<i8"}
 ZLIB, MZ, INTENSITY = "MS:1000574", "MS:1000514", "MS:1000515"
@@ -36,6 +39,10 @@ METADATA = {
 }
 
 
+#: Spectra and bytes (about) that a task reads at a time.
+BATCH, BLOCK = 256, 16 << 20
+
+
 @dataclass
 class Layout:
     """Where a spectrum's arrays are."""
@@ -58,6 +65,7 @@ def scan_header(path: str) -> Iterator[Layout | dict]:
     group = None
     now: Layout | None = None
     array: dict | None = None
+    holder: ET.Element | None = None
     given = False
 
     def note(acc: str, value: str) -> None:
@@ -80,6 +88,8 @@ def scan_header(path: str) -> Iterator[Layout | dict]:
         if event == "start":
             if tag == "referenceableParamGroup":
                 group = groups.setdefault(e.get("id", ""), [])
+            elif tag == "spectrumList":
+                holder = e
             elif tag == "spectrum":
                 if not given:
                     given = True
@@ -107,11 +117,21 @@ def scan_header(path: str) -> Iterator[Layout | dict]:
         elif tag == "spectrum":
             yield now
             now = None
-            e.clear()
+            (e if holder is None else holder).clear()  # else the list grows with the file
     if not given:
         yield meta
 
 
+def count_spectra(path: str) -> int:
+    """The number of spectra by the header, which ends where the list of spectra begins; counted where it isn't given."""
+    for _, e in ET.iterparse(path, events=("start",)):
+        if _name(e.tag) == "spectrumList" and e.get("count", "").isdigit():
+            return int(e.get("count"))
+        if _name(e.tag) == "spectrum":
+            break
+    return sum(1 for _ in scan_header(path)) - 1
+
+
 def _array(raw: bytes, a: dict) -> np.ndarray:
     return np.frombuffer(zlib.decompress(raw) if a["zlib"] else raw, dtype=a["dtype"]).astype(np.float64)
 
@@ -120,11 +140,42 @@ def _size(a: dict) -> int:
     return a["bytes"] if "bytes" in a else a["length"] * np.dtype(a["dtype"]).itemsize
 
 
-def read_spectra(path: str, start: int = 0, stop: int | None = None, box: tuple[int, int, int, int] | None = None) -> Iterator[tuple]:
-    """(index, x, y, z, mz, intensity) of a slice of the file's spectra."""
+def read_blocks(ibd, wanted: set[tuple[int, int]]) -> dict[tuple[int, int], bytes]:
+    """The bytes of (offset, size) ranges: adjoining ones, up to BLOCK bytes in all, by a single read."""
+    ranges, out, at = sorted(wanted), {}, 0
+    while at < len(ranges):
+        begin, end, last = ranges[at][0], sum(ranges[at]), at + 1
+        while last < len(ranges) and ranges[last][0] <= end and sum(ranges[last]) - begin <= BLOCK:
+            end, last = max(end, sum(ranges[last])), last + 1
+        ibd.seek(begin)
+        raw = ibd.read(end - begin)
+        out |= {(o, n): raw[o - begin : o - begin + n] for o, n in ranges[at:last]}
+        at = last
+    return out
+
+
+def read_spectra(path: str, start: int = 0, stop: int | None = None, box: tuple[int, int, int, int] | None = None, kinds: Sequence[str] = ("mz", "intensity")) -> Iterator[tuple]:
+    """(index, x, y, z, mz, intensity) of a slice of the file's spectra; arrays that ``kinds`` leaves out are None and not read."""
     axis: tuple[tuple, np.ndarray] | None = None
-    index = -1
+    held: list[tuple[int, Layout]] = []
+    size, index = 0, -1
     with open(path[: -len("imzML")] + "ibd", "rb") as ibd:
+
+        def flush() -> Iterator[tuple]:
+            nonlocal axis
+            ranges = {(a["offset"], _size(a)) for _, s in held for kind, a in s.arrays.items() if kind in kinds}
+            raw = read_blocks(ibd, ranges - {axis[0] if axis else None})
+            for number, s in held:
+                got: dict[str, np.ndarray] = {}
+                for kind in kinds:
+                    a = s.arrays[kind]
+                    key = (a["offset"], _size(a))
+                    if kind == "mz" and not (axis and axis[0] == key and key not in raw):
+                        axis = axis if axis and axis[0] == key else (key, _array(raw[key], a))
+                    got[kind] = axis[1] if kind == "mz" else _array(raw[key], a)  # a shared axis is read once
+                yield number, s.x, s.y, s.z, got.get("mz"), got.get("intensity")
+            held.clear()
+
         for s in scan_header(path):
             if isinstance(s, dict):
                 continue
@@ -133,17 +184,12 @@ def read_spectra(path: str, start: int = 0, stop: int | None = None, box: tuple[
                 break
             if index < start or (box and not (box[0] <= s.x <= box[2] and box[1] <= s.y <= box[3])):
                 continue
-            got = {}
-            for kind, a in s.arrays.items():
-                key = (a["offset"], _size(a))
-                if kind == "mz" and axis and axis[0] == key:
-                    got[kind] = axis[1]  # a shared axis is read once
-                    continue
-                ibd.seek(a["offset"])
-                got[kind] = _array(ibd.read(key[1]), a)
-                if kind == "mz":
-                    axis = (key, got[kind])
-            yield index, s.x, s.y, s.z, got["mz"], got["intensity"]
+            held.append((index, s))
+            size += sum(_size(a) for kind, a in s.arrays.items() if kind in kinds)
+            if len(held) == BATCH or size >= BLOCK:
+                yield from flush()
+                size = 0
+        yield from flush()
 
 
 def files_of(path: str) -> list[str]:
@@ -163,8 +209,12 @@ class Slice(InputPartition):
 
 
 class ImzMLReader(DataSourceReader):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, columns: Sequence[str] = tuple(COLUMNS)):
         self.path = options["path"]
+        self.columns = list(columns)
+        unknown = [c for c in self.columns if c not in COLUMNS]
+        if unknown:
+            raise ValueError(f"imzml: no columns {unknown}")
         self.slices = int(options.get("slices", "1"))
         corners = [options.get(k) for k in ("x1", "y1", "x2", "y2")]
         self.box = tuple(map(int, corners)) if all(corners) else None
@@ -177,25 +227,31 @@ class ImzMLReader(DataSourceReader):
             if self.slices == 1:
                 out.append(Slice(file, number, 0, None))
                 continue
-            n = sum(1 for s in scan_header(file)) - 1
-            edges = [k * n // self.slices for k in range(self.slices + 1)]
-            out += [Slice(file, number, a, b) for a, b in zip(edges, edges[1:]) if b > a]
+            n = count_spectra(file)
+            edges = [k * n // self.slices for k in range(self.slices)]
+            # the last slice is open, should the header count too few
+            out += [Slice(file, number, a, b) for a, b in zip(edges, [*edges[1:], None]) if b is None or b > a]
         return out
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        kinds = [c for c in ("mz", "intensity") if c in self.columns]
 
         def batch() -> pa.RecordBatch:
-            cols = list(zip(*held, strict=True))
-            ids = [(partition.number << 32) + i for i in cols[0]]
-            lists = pa.list_(pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:4]), pa.array(list(cols[4]), lists), pa.array(list(cols[5]), lists)], ["spectrum_id", "x", "y", "z", "mz", "intensity"])
-
-        for row in read_spectra(partition.file, partition.start, partition.stop, self.box):
+            made = []
+            for c in self.columns:
+                values = [row[list(COLUMNS).index(c)] for row in held]
+                made.append(pa.array([(partition.number << 32) + i for i in values] if c == "spectrum_id" else values, COLUMNS[c]))
+            return pa.RecordBatch.from_arrays(made, self.columns)
+
+        size = 0
+        for row in read_spectra(partition.file, partition.start, partition.stop, self.box, kinds):
             held.append(row)
-            if len(held) == 256:
+            size += sum(a.nbytes for a in row[4:] if a is not None)
+            if len(held) == BATCH or size >= BLOCK:
                 yield batch()
                 held.clear()
+                size = 0
         if held:
             yield batch()
 
@@ -211,42 +267,62 @@ class ImzMLWriter(DataSourceWriter):
         self.folder = options["path"].removeprefix("file://")
         self.mode = options.get("mode", "processed")
         self.profile = options.get("profile", "true") == "true"
-        if self.mode not in ("continuous", "processed"):
-            raise ValueError("imzml: mode is continuous or processed")
-        if os.path.isdir(self.folder) and glob.glob(os.path.join(self.folder, "*.imzML")):
-            if not overwrite:
-                raise FileExistsError(f"imzml: {self.folder} holds spectra")
-            for f in glob.glob(os.path.join(self.folder, "part-*.i*")):
-                os.remove(f)
+        self.stats = options.get("stats", "false") == "true"
+        self.overwrite = overwrite
+        self.job = f".job-{uuid.uuid4().hex}-"
+        if self.mode not in MODES:
+            raise ValueError(f"imzml: mode is one of {MODES}")
+        if not overwrite and glob.glob(os.path.join(glob.escape(self.folder), "*.imzML")):
+            raise FileExistsError(f"imzml: {self.folder} holds spectra")
         os.makedirs(self.folder, exist_ok=True)
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
-        stem = os.path.join(self.folder, f"part-{uuid.uuid4().hex}")
-        return Written(stem, write_pair(stem, iterator, self.mode, self.profile))
+        stem = os.path.join(self.folder, f"{self.job}{uuid.uuid4().hex}")
+        return Written(stem, write_pair(stem, iterator, self.mode, self.profile, self.stats))
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        if self.overwrite:
+            self._remove("part-*.i*")
         for m in messages:
-            if m and m.spectra == 0:
-                _remove(m.stem)
+            if m and m.spectra:
+                named = os.path.join(self.folder, f"part-{m.stem.rpartition('-')[2]}")
+                for end in (".ibd", ".imzML"):  # the header last: a header that is read has its data
+                    os.replace(m.stem + end, named + end)
+        self._remove(f"{self.job}*")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        for m in messages:
-            if m:
-                _remove(m.stem)
+        self._remove(f"{self.job}*")
+
+    def _remove(self, pattern: str) -> None:
+        for f in glob.glob(os.path.join(glob.escape(self.folder), pattern)):
+            os.remove(f)
+
+
+MODES = ("continuous", "processed", "auto")
+
 
+def mode_of(meta: dict) -> str:
+    """The mode that a header's metadata name, auto where they name none."""
+    return next((m for m in MODES[:2] if meta.get(m)), "auto")
 
-def _remove(stem: str) -> None:
-    for end in (".imzML", ".ibd"):
-        if os.path.exists(stem + end):
-            os.remove(stem + end)
 
+def options_from(path: str) -> dict[str, str]:
+    """Options for writing as the file (or the first of the folder's files) at path was written: its mode, and profile only
+    where it says so."""
+    meta = next(iter(scan_header(files_of(path)[0])))
+    return {"mode": mode_of(meta), "profile": "true" if meta.get("profile") else "false"}
 
-def write_pair(stem: str, rows: Iterator, mode: str = "processed", profile: bool = True) -> int:
-    """Write rows (x, y, z, mz, intensity) as one pair: arrays as they come, the header at the end."""
+
+def write_pair(stem: str, rows: Iterator, mode: str = "processed", profile: bool = True, stats: bool = False) -> int:
+    """Write rows (x, y, z, mz, intensity) as one pair: arrays as they come, the header at the end.
+
+    auto: an axis that equals the one before is not written again, and the pair is continuous if it has a single one.
+    stats: each spectrum's least and greatest m/z, base peak and total ion current go into the header.
+    """
     token = uuid.uuid4()
     digest = hashlib.sha1(token.bytes)
     spectra: list[str] = []
-    at, width, height = 16, 0, 0
+    at, width, height, axes = 16, 0, 0, 0
     axis: tuple[bytes, int, int] | None = None
     with open(f"{stem}.ibd", "wb") as ibd:
         ibd.write(token.bytes)
@@ -255,22 +331,25 @@ def write_pair(stem: str, rows: Iterator, mode: str = "processed", profile: bool
             if len(mz) != len(x):
                 raise ValueError("imzml: mz and intensity differ in length")
             raw = mz.tobytes()
-            if mode == "continuous" and axis is not None:
-                if raw != axis[0]:
-                    raise ValueError("imzml: spectra of a continuous file share one axis")
+            if mode != "processed" and axis is not None and raw == axis[0]:
                 where = axis[1:]
+            elif mode == "continuous" and axis is not None:
+                raise ValueError("imzml: spectra of a continuous file share one axis")
             else:
                 where = (at, len(mz))
                 axis = (raw, *where)
+                axes += 1
                 ibd.write(raw)
                 digest.update(raw)
                 at += len(raw)
             low = x.astype("<f4").tobytes()
             ibd.write(low)
             digest.update(low)
-            spectra.append(_spectrum(len(spectra) + 1, row, where, (at, len(x))))
+            spectra.append(_spectrum(len(spectra) + 1, row, where, (at, len(x)), _stats(mz, x) if stats else ""))
             at += len(low)
             width, height = max(width, row["x"]), max(height, row["y"])
+    if mode == "auto":
+        mode = "continuous" if axes == 1 else "processed"
     with open(f"{stem}.imzML", "w", encoding="utf-8") as out:
         out.write(_header(token, digest.hexdigest(), mode, profile, width, height, len(spectra)))
         out.writelines(spectra)
@@ -286,10 +365,18 @@ def _external(ref: str, offset: int, length: int, item: int) -> str:
     return f'<binaryDataArray encodedLength="0"><referenceableParamGroupRef ref="{ref}"/>{_cv("IMS:1000102", offset)}{_cv("IMS:1000103", length)}{_cv("IMS:1000104", length * item)}<binary/></binaryDataArray>'
 
 
-def _spectrum(number: int, row, mz: tuple[int, int], x: tuple[int, int]) -> str:
+def _stats(mz: np.ndarray, x: np.ndarray) -> str:
+    if not len(mz):
+        return ""
+    top = int(np.argmax(x))
+    found = {"MS:1000528": mz.min(), "MS:1000527": mz.max(), "MS:1000504": mz[top], "MS:1000505": x[top], "MS:1000285": x.sum()}
+    return "".join(_cv(acc, float(v)) for acc, v in found.items())
+
+
+def _spectrum(number: int, row, mz: tuple[int, int], x: tuple[int, int], stats: str = "") -> str:
     place = _cv("IMS:1000050", row["x"]) + _cv("IMS:1000051", row["y"]) + _cv("IMS:1000052", row["z"])
     arrays = _external("mzArray", *mz, 8) + _external("intensities", *x, 4)
-    return f'<spectrum id="Scan={number}" defaultArrayLength="0" index="{number}"><referenceableParamGroupRef ref="spectrum"/><scanList count="1"><scan>{place}</scan></scanList><binaryDataArrayList count="2">{arrays}</binaryDataArrayList></spectrum>\n'
+    return f'<spectrum id="Scan={number}" defaultArrayLength="0" index="{number}"><referenceableParamGroupRef ref="spectrum"/>{stats}<scanList count="1"><scan>{place}</scan></scanList><binaryDataArrayList count="2">{arrays}</binaryDataArrayList></spectrum>\n'
 
 
 def _header(token: uuid.UUID, sha1: str, mode: str, profile: bool, width: int, height: int, n: int) -> str:
@@ -317,7 +404,7 @@ class ImzML(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return ImzMLReader(dict(self.options))
+        return ImzMLReader(dict(self.options), schema.fieldNames())
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return ImzMLWriter(dict(self.options), overwrite)

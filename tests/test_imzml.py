@@ -30,6 +30,75 @@ def test_slices_of_one_file(tmp_path):
     assert np.allclose(next(imzml.read_spectra(f"{stem}.imzML", 5))[4], [100.0, 101.0, 102.5])
 
 
+def test_columns_that_are_not_asked_for_are_not_read(spark, tmp_path, monkeypatch):
+    stem = str(tmp_path / "one")
+    rows = [dict(zip(("spectrum_id", "x", "y", "z", "mz", "intensity"), r, strict=True)) for r in ROWS]
+    imzml.write_pair(stem, iter(rows))
+    asked = []
+    plain = imzml.read_blocks
+    monkeypatch.setattr(imzml, "read_blocks", lambda ibd, wanted: asked.extend(wanted) or plain(ibd, wanted))
+    got = list(imzml.read_spectra(f"{stem}.imzML", kinds=["intensity"]))
+    assert [r[4] for r in got] == [None] * 6 and [r[5][0] for r in got] == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]
+    assert {n for _, n in asked} == {12} and len(asked) == 6  # intensities are of 4 bytes, m/z of 8
+    imzml.register(spark)
+    df = spark.read.format("imzml").schema("y int, intensity array<double>").load(f"{stem}.imzML")
+    assert sorted((r["y"], r["intensity"][0]) for r in df.collect()) == [(i // 3 + 1, float(i)) for i in range(6)]
+
+
+def test_adjoining_arrays_are_read_at_once(tmp_path):
+    class Seeks:
+        def __init__(self, f):
+            self.f, self.n = f, 0
+
+        def seek(self, at):
+            self.n += 1
+            self.f.seek(at)
+
+        def read(self, n):
+            return self.f.read(n)
+
+    (tmp_path / "x").write_bytes(bytes(range(100)))
+    with open(tmp_path / "x", "rb") as f:
+        s = Seeks(f)
+        got = imzml.read_blocks(s, {(0, 10), (10, 5), (15, 5), (40, 4)})
+    assert s.n == 2 and got == {(0, 10): bytes(range(10)), (10, 5): bytes(range(10, 15)), (15, 5): bytes(range(15, 20)), (40, 4): bytes(range(40, 44))}
+
+
+def test_only_committed_pairs_are_read(tmp_path):
+    rows = [dict(zip(("spectrum_id", "x", "y", "z", "mz", "intensity"), r, strict=True)) for r in ROWS]
+    out = str(tmp_path / "out")
+    w = imzml.ImzMLWriter({"path": out}, False)
+    lost = w.write(iter(rows))  # a task that was run again
+    kept, empty = w.write(iter(rows)), w.write(iter([]))
+    with pytest.raises(FileNotFoundError):
+        imzml.files_of(out)
+    w.commit([kept, empty])
+    assert len(imzml.files_of(out)) == 1 and len(list((tmp_path / "out").iterdir())) == 2 and lost.stem != kept.stem
+    with pytest.raises(FileExistsError):
+        imzml.ImzMLWriter({"path": out}, False)
+    # a failed job that would overwrite leaves the old spectra, a committed one replaces them
+    w = imzml.ImzMLWriter({"path": out}, True)
+    w.write(iter(rows))
+    w.abort([None])
+    assert len(list(imzml.read_spectra(imzml.files_of(out)[0]))) == 6 and len(list((tmp_path / "out").iterdir())) == 2
+    w = imzml.ImzMLWriter({"path": out}, True)
+    w.commit([w.write(iter(rows[:2]))])
+    assert len(list(imzml.read_spectra(imzml.files_of(out)[0]))) == 2
+
+
+def test_auto_mode_and_statistics(tmp_path):
+    rows = [dict(zip(("spectrum_id", "x", "y", "z", "mz", "intensity"), r, strict=True)) for r in ROWS]
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    imzml.write_pair(one, iter(rows), "auto", False, stats=True)
+    imzml.write_pair(two, iter([*rows, {**rows[0], "mz": [1.0, 2.0, 3.0]}]), "auto")
+    assert imzml.options_from(f"{one}.imzML") == {"mode": "continuous", "profile": "false"}
+    assert imzml.options_from(f"{two}.imzML") == {"mode": "processed", "profile": "true"}
+    assert [list(r[4]) for r in imzml.read_spectra(f"{two}.imzML")] == [[100.0, 101.0, 102.5]] * 6 + [[1.0, 2.0, 3.0]]
+    header = open(f"{one}.imzML").read()
+    assert 'accession="MS:1000285" name="" value="7.5"' in header and 'accession="MS:1000504" name="" value="100.0"' in header
+    assert [list(r[5]) for r in imzml.read_spectra(f"{one}.imzML")] == [r["intensity"] for r in rows]
+
+
 def test_unequal_lengths_are_refused(tmp_path):
     with pytest.raises(ValueError):
         imzml.write_pair(str(tmp_path / "bad"), iter([{"x": 1, "y": 1, "z": 1, "mz": [1.0], "intensity": []}]))
