@@ -47,6 +47,18 @@ def through_arrays(points: DataFrame, value: Callable[[Column, Column], Column],
     return at.select("spectrum_id", "i", "n", "p.mz", "p.intensity", F.col("p.value").alias("new")).withColumn(into, F.col("new")).drop("new")
 
 
+def padded(spectra: DataFrame, width: int | None = None) -> DataFrame:
+    """Rows of a matrix: (spectrum_id, n, mz, intensity) with arrays of one width, zeros behind a spectrum's n points. The
+    width is that of the longest spectrum (one number comes to the driver), or given; a longer spectrum then raises."""
+    held = as_arrays(spectra).select("spectrum_id", "mz", "intensity")
+    if width is None:
+        width = held.agg(F.max(F.size("intensity"))).first()[0] or 0
+    n = F.size("intensity")
+    n = F.when(n <= width, n).otherwise(F.raise_error(F.lit("padded: a spectrum is longer than the width")).cast("int"))
+    fill = lambda c: F.concat(F.col(c).cast("array<double>"), F.array_repeat(F.lit(0.0), F.lit(width) - n)).alias(c)
+    return held.select("spectrum_id", F.size("intensity").alias("n"), fill("mz"), fill("intensity"))
+
+
 def attach_axis(spectra: DataFrame, axis: list[float]) -> DataFrame:
     """Give spectra of a shared axis their m/z array: a literal, stored nowhere per row."""
     return spectra.withColumn("mz", F.array(*map(F.lit, axis)))

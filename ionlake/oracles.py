@@ -209,6 +209,8 @@ ORACLES: dict[str, str] = {
     "points_events": f"select spectrum_id, i, n, round(mz, 6) as mz, round(intensity, 6) as intensity from ({EVENTS})",
     "points_embeddings": f"select spectrum_id, i, n, round(mz, 6) as mz, round(intensity, 6) as intensity from ({EMBEDDINGS})",
     "points_lineitem": f"select spectrum_id, i, n, round(mz, 6) as mz, round(intensity, 6) as intensity from ({LINES})",
+    "matrix_scan": nested(EVENTS, "w as (select max(n) as wide from g)", "c as (select g.*, unnest(range(wide)) as i from g, w)")
+    + " select spectrum_id, i::int as i, round(coalesce(ms[i + 1], 0), 6) as mz, round(coalesce(xs[i + 1], 0), 6) as intensity from c",
     "crop_mz": f"select spectrum_id, (row_number() over (partition by spectrum_id order by i) - 1)::int as i, (count(*) over (partition by spectrum_id))::int as n, round(mz, 6) as mz, round(intensity, 6) as intensity from ({EVENTS}) where mz between 500 and 1500",
     "is_sorted": nested(EVENTS) + " select spectrum_id, ms = list_sort(ms) as is_sorted from g",
     "spatial_window": f"select spectrum_id, x, y, z from ({PIXELS}) where x between 3 and 12 and y between 2 and 6",

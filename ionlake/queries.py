@@ -134,6 +134,12 @@ def noise_curve(points: DataFrame) -> DataFrame:
     return noise.with_noise_curve(points, "sd", 4, 0.5).select("spectrum_id", "i", rounded("noise"))
 
 
+def matrix(points: DataFrame) -> DataFrame:
+    """The padded matrix, cell by cell."""
+    cells = layout.padded(points).select("spectrum_id", F.posexplode(F.arrays_zip("mz", "intensity")).alias("i", "c"))
+    return cells.select("spectrum_id", "i", "c.mz", "c.intensity").select("spectrum_id", "i", rounded("mz"), rounded("intensity"))
+
+
 def smoothed_baseline(points: DataFrame) -> DataFrame:
     """The local-minimum baseline, then LOWESS over m/z."""
     held = layout.nest_points(baseline.locmin(points, 5), "mz", "baseline").withColumn("value", udfs.lowess(F.col("mz"), F.col("baseline"), 0.2))
@@ -169,6 +175,7 @@ QUERIES: dict[str, Query] = {
     "points_events": events(lambda p: p.select("spectrum_id", "i", "n", rounded("mz"), rounded("intensity"))),
     "points_embeddings": embeddings(lambda p: p.select("spectrum_id", "i", "n", rounded("mz"), rounded("intensity"))),
     "points_lineitem": lines(lambda p: p.select("spectrum_id", "i", "n", rounded("mz"), rounded("intensity"))),
+    "matrix_scan": events(matrix),
     "crop_mz": events(lambda p: select.crop_mz(p, 500.0, 1500.0).select("spectrum_id", "i", "n", rounded("mz"), rounded("intensity"))),
     "is_sorted": events(select.is_sorted),
     "spatial_window": spatial,

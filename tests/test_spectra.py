@@ -148,6 +148,15 @@ def test_types(spark):
         summary.resolve_type(False, True)
 
 
+def test_padded_matrix(spark):
+    rows = {r["spectrum_id"]: r for r in layout.padded(frame(spark)).collect()}
+    assert {k: r["n"] for k, r in rows.items()} == {k: len(x) for k, x in SPECTRA.items()}
+    assert all(r["intensity"] == [*SPECTRA[k], *[0.0] * (40 - len(SPECTRA[k]))] and len(r["mz"]) == 40 for k, r in rows.items())
+    assert layout.padded(frame(spark).where("false")).collect() == []
+    with pytest.raises(Exception, match="longer than the width"):
+        layout.padded(frame(spark), 12).collect()
+
+
 def test_plan_order_pruning_and_shuffles(spark):
     p = Pipeline(frame(spark)).peak_pick().normalization("tic").baseline_correction("snip", m=3).noise_reduction("gaussian")
     assert [s.kind for s in p.plan()] == ["baseline", "noise", "normalization", "picking"] and p.output_type() == "centroid"
