@@ -7,7 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from helpers import LOWER, ODD, corpus, docs_frame
+from .helpers import LOWER, ODD, corpus, docs_frame
 from pyspark.sql import functions as F
 
 from ionlake.llm import decontamination, divergence, prefix_trie
