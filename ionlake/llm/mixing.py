@@ -164,14 +164,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share: fl
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The columns of docs, the text of each row being the words that the mix takes of it in their order, one
-    space between, first those of single use, then those taken again; rows without any are left out."""
+    """The columns of docs, the text of each row being the words that the mix takes of it, in their order and with all that
+    stands between them in the text: a text whose words are all taken once stays as it is, to the last blank. A word
+    brings what follows it up to the next word, but for the last one taken, unless it ends the text; the text's first word also
+    brings what stands before it. Words taken a second time follow behind a blank, in the same way. Rows without any word
+    taken are left out."""
     text, chars = how.get("text", "text"), "n_chars"
     plan = mix(docs, carry=True, **how)
-    words = F.regexp_extract_all(F.col(f"row.`{text}`"), F.lit(f"({WORD})"), F.lit(1))
-    cut = lambda spans: F.flatten(F.transform(spans, lambda s: F.slice(F.col("words"), (s["at"] + 1).cast("int"), s["words"].cast("int"))))
+    own = F.col(f"row.`{text}`")
+    gaps = F.split(own, WORD, -1)  # one more than there are words
+    pieces = F.zip_with(F.regexp_extract_all(own, F.lit(f"({WORD})"), F.lit(1)), F.slice("gaps", 2, F.size("gaps")), lambda w, g: F.concat(w, g))
+    cut = lambda spans: F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(F.col("pieces"), (s["at"] + 1).cast("int"), s["words"].cast("int")))), "")
+    ends = lambda spans: F.element_at(spans, -1)["at"] + F.element_at(spans, -1)["words"] == F.size("pieces")
+    shut = lambda spans: F.when(ends(spans), cut(spans)).otherwise(F.regexp_replace(cut(spans), r"[\x20\x09-\x0D]+\z", ""))
+    whole = lambda spans: F.concat(F.when(F.get(spans, F.lit(0))["at"] == 0, F.get("gaps", F.lit(0))).otherwise(""), shut(spans))
     again = F.filter("spans", lambda s: s["copies"] > 1)
-    mixed = F.array_join(F.concat(cut(F.col("spans")), cut(again)), " ")
-    out = plan.documents.where(F.col("taken") > 0).select("rid", "spans").join(plan.rows, "rid").withColumn("words", words).withColumn("mixed", mixed)
+    mixed = F.concat(whole(F.col("spans")), F.when(F.size(again) > 0, F.concat(F.lit(" "), whole(again))).otherwise(""))
+    out = plan.documents.where(F.col("taken") > 0).select("rid", "spans").join(plan.rows, "rid").withColumn("gaps", gaps).withColumn("pieces", pieces).withColumn("mixed", mixed)
     new = {text: F.col("mixed")} | ({chars: F.length("mixed").cast(docs.schema[chars].dataType)} if chars in docs.columns else {})
     return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

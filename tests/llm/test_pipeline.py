@@ -52,6 +52,8 @@ def test_stages_and_run(spark, table, tmp_path):
             assert set(ids) <= set(kept)
             mixed = {r["doc_id"]: r["text"] for r in docs.collect()}
             assert all(set(t.split(" ")) <= set(kept[i].split()) for i, t in mixed.items())
+            # what is taken whole and once stays as it is, and no text loses what stands between words that it keeps
+            assert any(t == kept[i] for i, t in mixed.items())
         else:
             tok = bpe.tokenizer(tokenizer_file("byte_bpe_50k.json"))
             assert {r["doc_id"]: r["ids"] for r in docs.collect()} == {i: tok.encode(t, add_special_tokens=False).ids for i, t in mixed.items()}
@@ -65,6 +67,8 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     for name, query in QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name

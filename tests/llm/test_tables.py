@@ -57,6 +57,35 @@ def test_mixed_documents_hold_their_own_words(spark):
         assert r["n_chars"] == len(r["text"]) and set(r["text"].split(" ")) <= set(own) and len(r["text"].split(" ")) <= 2 * len(own)
 
 
+def test_mixed_documents_keep_what_stands_between_words(spark):
+    """Brute force: the taken words of each use, each with what follows it, from the plan's own counts."""
+    rng = random.Random(6)
+    blanks = [" ", "\n", "\n\n  ", "\t", "  "]
+    rows = [(i, rng.choice(["", " ", "\n"]) + "".join(f"w{i}x{k}{rng.choice(blanks)}" for k in range(rng.randrange(1, 150))), "en", rng.choice("abcd")) for i in range(60)] + ODD
+    docs = docs_frame(spark, rows, extra=True)
+    plan = {r["doc_id"]: r for r in mixing.mix(docs, carry=True).documents.collect()}
+    got = {r["doc_id"]: r["text"] for r in mixing.mixed_documents(docs).collect()}
+    assert set(got) == {i for i, r in plan.items() if r["taken"] > 0}
+    whole = 0
+    for i, text, *_ in rows:
+        if i not in got:
+            continue
+        words, gaps = re.findall(r"[^\x20\x09-\x0D]+", text), re.split(r"[^\x20\x09-\x0D]+", text)
+        uses = [0] * len(words)
+        for s in plan[i]["spans"]:
+            for k in range(s["at"], s["at"] + s["words"]):
+                uses[k] += s["copies"]
+        def cut(least):
+            held = "".join(w + g for w, g, n in zip(words, gaps[1:], uses) if n >= least)  # noqa: B023
+            return (gaps[0] if uses[0] >= least else "") + (held if uses[-1] >= least else held.rstrip(" \t\n\v\f\r"))  # noqa: B023
+
+        assert got[i] == cut(1) + (" " + cut(2) if max(uses) > 1 else "")
+        whole += got[i] == text
+        assert set(uses) != {1} or got[i] == text
+    assert whole > 0
+
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(docs_frame(spark, [])).documents.count() == 0
     assert [r["taken"] for r in mixing.mix(docs_frame(spark, ODD[:2])).documents.collect()] == [0, 0]
