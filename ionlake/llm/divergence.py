@@ -20,6 +20,7 @@ other columns take no part.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,26 +28,57 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .decontamination import words_of
 from .shared import materialize
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of UTF-8 as terms have them: ASCII letters in lower case, all beyond ASCII as it is, else a blank.
+TERM_BYTES = bytes(c if c >= 0x80 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 0x20 for c in range(256))
+#: Entries that a task counts in before it hands them on: about 100 MB.
+HELD_TERMS = 1 << 18
 LEAST_DOCUMENTS = 10
 UNIT = 1_000_000_000
 #: Cells (group, term) of a block, about, and the most terms that it should have.
 BLOCK_CELLS, BLOCK_TERMS = 1 << 17, 1 << 13
 
 
+def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """(lang, source, term, n, documents): occurrences and documents of each term. A task counts its own rows in at most
+    HELD_TERMS entries at a time, Spark adds up what tasks hand on, first within the task."""
+    name = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(""))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held = 0
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            for (a, b), (words, having) in groups.items():
+                terms = list(words)
+                columns = [pa.array([a] * len(terms), pa.string()), pa.array([b] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(list(words.values()), pa.int64()), pa.array([having[t] for t in terms], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "documents"])
+            groups.clear()
+
+        for batch in batches:
+            for a, b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                words, having = groups.setdefault((a, b), (Counter(), Counter()))
+                found = raw.as_buffer().to_pybytes().translate(TERM_BYTES).split()
+                held -= len(words)
+                words.update(found)
+                having.update(set(found))
+                held += len(words)
+                if held > HELD_TERMS:
+                    yield from handed()
+                    held = 0
+        yield from handed()
+
+    rows = docs.select(name(lang).alias("lang"), name(source).alias("source"), name(text).cast("binary").alias("text"))
+    counted = rows.mapInArrow(run, "lang string, source string, term string, n long, documents long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+
+
 def kept_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, term, n, whole, lead) of the kept terms: occurrences in the group and in the language; lead marks one
-    row a term. Each task sums its own counts before anything is moved."""
-    name = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(""))
-    held = docs.select(name(lang).alias("lang"), name(source).alias("source"), F.sort_array(words_of(F.col(f"`{text}`"), TERM)).alias("terms"))
-    at = held.select("lang", "source", "terms", F.posexplode("terms").alias("i", "term"))
-    first = (F.col("i") == 0) | (F.col("term") != F.get("terms", F.col("i") - 1))  # in its document
-    counts = at.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum(first.cast("long")).alias("documents"))
+    row a term."""
     one = Window.partitionBy("lang", "term")
-    summed = counts.withColumn("all", F.sum("documents").over(one)).withColumn("whole", F.sum("n").over(one)).withColumn("least", F.min("source").over(one))
+    summed = term_counts(docs, text, lang, source).withColumn("all", F.sum("documents").over(one)).withColumn("whole", F.sum("n").over(one)).withColumn("least", F.min("source").over(one))
     return summed.where(F.col("all") >= least).select("lang", "source", "term", "n", "whole", (F.col("source") == F.col("least")).alias("lead"))
 
 

@@ -59,6 +59,7 @@ def test_divergence_agrees_with_brute_force(spark, least):
 
 def test_divergence_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(divergence, "BLOCK_TERMS", 70)
+    monkeypatch.setattr(divergence, "HELD_TERMS", 90)
     rng = random.Random(3)
     common = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
     rows = [(i, " ".join(rng.choices(common, weights=range(400, 0, -1), k=60)) + " seldom" * (i % 7), "en", rng.choice("abcd")) for i in range(80)] + [(900, "", "en", "empty")]
