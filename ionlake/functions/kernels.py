@@ -102,6 +102,32 @@ def lowess(x: np.ndarray, y: np.ndarray, f: float = 0.1, robust_steps: int = 3,
     return fitted
 
 
+def natural_spline(y: np.ndarray, knots: int = 5) -> np.ndarray:
+    """The natural cubic spline over sample numbers through every ``knots``-th sample and the last one; its second
+    derivatives at the knots solve a tridiagonal system."""
+    y = np.asarray(y, dtype=float)
+    n = len(y)
+    if knots < 1:
+        raise ValueError("spline: knots must be positive")
+    t = np.unique(np.r_[np.arange(0, n, knots), max(n - 1, 0)]) if n else np.zeros(0, dtype=int)
+    k = len(t)
+    if k < 3:
+        return y.copy() if n < 2 else np.interp(np.arange(n), t, y[t])
+    h, rise = np.diff(t).astype(float), np.diff(y[t]) / np.diff(t)
+    # forward elimination and back substitution of (h[i-1], 2 (h[i-1] + h[i]), h[i]) m = 6 (rise[i] - rise[i-1])
+    c, d, m = np.zeros(k), np.zeros(k), np.zeros(k)
+    for i in range(1, k - 1):
+        w = 2 * (h[i - 1] + h[i]) - h[i - 1] * c[i - 1]
+        c[i] = h[i] / w
+        d[i] = (6 * (rise[i] - rise[i - 1]) - h[i - 1] * d[i - 1]) / w
+    for i in range(k - 2, 0, -1):
+        m[i] = d[i] - c[i] * m[i + 1]
+    at = np.arange(n)
+    j = np.minimum(np.searchsorted(t, at, side="right") - 1, k - 2)
+    a, b, g = t[j + 1] - at, at - t[j], h[j]
+    return (m[j] * a**3 + m[j + 1] * b**3) / (6 * g) + (y[t[j]] / g - m[j] * g / 6) * a + (y[t[j + 1]] / g - m[j + 1] * g / 6) * b
+
+
 # Scaling filters of the Haar and the 4-moment Daubechies wavelet.
 WAVELETS = {
     "haar": [0.7071067811865476, 0.7071067811865476],

@@ -47,8 +47,12 @@ def lowess(mz: Column, intensity: Column, f: float = 0.1, robust_steps: int = 3)
     return two(lambda m, x: kernels.lowess(m, x, f, robust_steps))(mz, intensity)
 
 
-def neighbour_smooth(mz: Column, intensity: Column, window: int = 5, sd: float | None = None, bilateral: bool = False) -> Column:
-    return two(lambda m, x: kernels.neighbour_smooth(m, x, window, sd, bilateral))(mz, intensity)
+def neighbour_smooth(mz: Column, intensity: Column, window: int = 5, sd: float | None = None, bilateral: bool = False, sd_intensity: float | None = None) -> Column:
+    return two(lambda m, x: kernels.neighbour_smooth(m, x, window, sd, bilateral, sd_intensity))(mz, intensity)
+
+
+def natural_spline(values: Column, knots: int = 5) -> Column:
+    return one(lambda x: kernels.natural_spline(x, knots))(values)
 
 
 def prominence(intensity: Column, peaks: Column) -> Column:

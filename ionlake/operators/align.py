@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -11,10 +11,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from ..functions import spectrum_udfs
-from .layout import as_arrays, explode_points, finite, nest_points
+from ..functions import ragged, spectrum_udfs
+from .layout import as_arrays, finite, nest_points
 
 EPS = 2.220446049250313e-16
 LEAST_RELATIVE, LEAST_ABSOLUTE = 5e-7, 1e-4
@@ -93,22 +93,23 @@ def resolution(points: DataFrame, units: str = "ppm") -> DataFrame:
     return spectra.mapInArrow(run, f"spectrum_id {kind}, resolution double, low double, high double")
 
 
-def _median(values: DataFrame) -> float | None:
-    """The exact median of a column ``v`` in two rounds: approximate bounds a few millionths around it, then the distinct
+def _around(c: str) -> tuple[Column, Column]:
+    """The number of a column's values, and bounds a few millionths of them around the median."""
+    return F.count(c), F.percentile_approx(c, F.array(F.lit(0.5 - 2e-6), F.lit(0.5 + 2e-6)), F.lit(1_000_000))
+
+
+def _median(values: DataFrame, n: int | None = None, around: list[float] | None = None) -> float | None:
+    """The exact median of a column ``v`` in two rounds: approximate bounds around it (unless known), then the distinct
     values between them; no task holds more."""
-    n, around = values.agg(F.count("v"), F.percentile_approx("v", F.array(F.lit(0.5 - 2e-6), F.lit(0.5 + 2e-6)), F.lit(1_000_000))).first()
+    values = values.where(F.col("v").isNotNull())
+    if n is None:
+        n, around = values.agg(*_around("v")).first()
     if not n:
         return None
     low, high = around
-    band = values.groupBy(F.when(F.col("v") < low, F.lit(None)).otherwise(F.col("v")).alias("v")).agg(F.count("v").alias("n"), F.count(F.lit(1)).alias("all"))
-    below, at = 0, []
-    for r in band.where(F.col("v").isNull() | (F.col("v") <= high)).orderBy(F.asc_nulls_first("v")).collect():
-        if r["v"] is None:
-            below = r["all"]
-        else:
-            at.append((r["v"], r["n"]))
-    found, seen, want = [], below, [(n - 1) // 2, n // 2]
-    for v, c in at:
+    band = values.groupBy(F.when(F.col("v") < low, F.lit(None)).otherwise(F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    found, seen, want = [], 0, [(n - 1) // 2, n // 2]
+    for v, c in band.where(F.col("v").isNull() | (F.col("v") <= high)).orderBy(F.asc_nulls_first("v")).collect():
         found += [v for w in want if seen <= w < seen + c]
         seen += c
     return sum(found) / 2
@@ -118,16 +119,20 @@ def domain(points: DataFrame, units: str = "ppm", binfun: str = "median", binrat
     """The grid of all spectra; scalars come to the driver."""
     spread = resolution(points, units)
     if binfun == "median":
-        spread = spread.persist()  # a row a spectrum, read three times
-    pick = {"median": lambda c: F.lit(None).cast("double"), "min": F.min, "max": F.max}.get(binfun, F.avg)
-    got = spread.agg(pick("resolution"), F.min("low"), F.max("high")).first()
-    step = got[0]
-    if binfun == "median":
-        step = _median(spread.select(F.col("resolution").alias("v")).where(F.col("v").isNotNull()))
+        spread = spread.persist()  # a row a spectrum, read twice
+        n, around, low, high = spread.agg(*_around("resolution"), F.min("low"), F.max("high")).first()
+        step = _median(spread.select(F.col("resolution").alias("v")), n, around)
         spread.unpersist()
+    else:
+        step, low, high = spread.agg({"min": F.min, "max": F.max}.get(binfun, F.avg)("resolution"), F.min("low"), F.max("high")).first()
+    return grid_of(step, low, high, units, binratio)
+
+
+def grid_of(step: float | None, low: float, high: float, units: str = "ppm", binratio: float = 2.0) -> Domain:
+    """The grid of a resolution between two m/z."""
     if step is None:
         raise ValueError("align: no spectrum has two points")
-    low, high = float(math.floor(got[1])), float(math.ceil(got[2]))
+    low, high = float(math.floor(low)), float(math.ceil(high))
     if _relative(units):
         step = max(LEAST_RELATIVE, round(2.0 * step, 6) * 0.5)
         return Domain(low, high, step, round(2.0 * (step * binratio), 6) * 0.5, True)
@@ -135,34 +140,109 @@ def domain(points: DataFrame, units: str = "ppm", binfun: str = "median", binrat
     return Domain(low, high, step, round(step * binratio, 4), False)
 
 
+def _best_bins(batch: pa.RecordBatch, grid: Domain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bin, m/z) of the peak of a row's m/z array that lies nearest to each bin within the tolerance."""
+    row, mz, i = _flat(batch)
+    top = grid.count - 1
+    values = lambda k: grid.low * grid.ratio**k if grid.relative else grid.low + k * grid.step
+    with np.errstate(divide="ignore", invalid="ignore"):
+        k = np.floor((np.log(mz) - math.log(grid.low)) / math.log(grid.ratio) if grid.relative else (mz - grid.low) / grid.step)
+    k = np.clip(np.nan_to_num(k), 0, top)
+    up = np.minimum(k + 1, top)
+    a, b = np.abs(mz - values(k)), np.abs(mz - values(up))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        off = np.minimum(a, b) / (np.abs(mz) if grid.relative else 1.0)
+    near = np.flatnonzero(off <= grid.tolerance)
+    place = np.where(b < a, up, k)[near].astype(np.int64)
+    row, mz, i, off = row[near], mz[near], i[near], off[near]
+    order = np.lexsort((i, off, place, row))
+    row, mz, place = row[order], mz[order], place[order]
+    best = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
+    return row[best], place[best], mz[best]
+
+
 def bins(points: DataFrame, grid: Domain) -> DataFrame:
-    """(bin, mz, count): in each spectrum the peak nearest a bin, then their mean and number over spectra. Points that a
-    window has partitioned by spectrum are not shuffled again before the sums."""
-    points = explode_points(points) if isinstance(points.schema["mz"].dataType, ArrayType) else points
-    mz = F.col("mz")
-    k = grid.place(mz)
-    up = F.least(k + 1, F.lit(float(grid.count - 1)))
-    held = points.where(finite(mz)).select("spectrum_id", "i", "mz", k.alias("k"), up.alias("up"))
-    a, b = F.abs(mz - grid.value(F.col("k"))), F.abs(mz - grid.value(F.col("up")))
-    held = held.select("spectrum_id", "i", "mz", F.when(b < a, F.col("up")).otherwise(F.col("k")).cast("long").alias("bin"), (F.least(a, b) / (F.abs(mz) if grid.relative else F.lit(1.0))).alias("off"))
-    best = held.where(F.col("off") <= grid.tolerance).groupBy("spectrum_id", "bin").agg(F.min_by("mz", F.struct("off", "i")).alias("mz"))
-    return best.groupBy("bin").agg(F.avg("mz").alias("mz"), F.count(F.lit(1)).alias("count"))
-
-
-def merge(binned: DataFrame, grid: Domain) -> DataFrame:
+    """(bin, mz, count): in each spectrum the peak nearest a bin, then their mean and number over spectra. Spectra are
+    worked through batch by batch, and a batch hands on one row a bin."""
+    spectra = as_arrays(points, "mz").select("spectrum_id", F.col("mz").cast("array<double>").alias("mz"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, place, mz = _best_bins(batch, grid)
+            found, at = np.unique(place, return_inverse=True)
+            count = np.bincount(at, minlength=len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(at, mz, minlength=len(found))), pa.array(count.astype(np.int64))], ["bin", "total", "count"])
+
+    got = spectra.mapInArrow(run, "bin long, total double, count long").groupBy("bin").agg(F.sum("total").alias("total"), F.sum("count").alias("count"))
+    return got.select("bin", (F.col("total") / F.col("count")).alias("mz"), "count")
+
+
+class _Carry(NamedTuple):
+    """What a range of bins needs of those before it, and where its groups are numbered from."""
+
+    part: int
+    offset: int  # the number of the range's first piece
+    opens: bool  # the first bin begins a group
+    falls: bool  # the first rise of the range ends a fall that began before it
+
+
+def merge(binned: DataFrame, grid: Domain, parts: int | None = None) -> DataFrame:
     """(peak, mz, count): neighbouring bins joined while gaps stay within the tolerance and counts do not rise
-    after a fall. The windows run over occupied bins, which the axis bounds, not the number of spectra."""
-    line = Window.orderBy("bin")
-    gap = F.col("mz") - F.lag("mz").over(line)
-    far = gap / F.abs(F.col("mz")) if grid.relative else gap
-    held = binned.withColumn("run", F.sum(F.when(far > grid.tolerance, 1).otherwise(0)).over(line))
-    inside = Window.partitionBy("run").orderBy("bin")
-    held = held.withColumn("turn", F.signum(F.col("count") - F.lag("count").over(inside)))
-    earlier = F.last(F.when(F.col("turn") != 0, F.col("turn")), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    held = held.withColumn("valley", F.coalesce((F.col("turn") > 0) & (earlier < 0), F.lit(False)))
-    held = held.withColumn("part", F.sum(F.col("valley").cast("int")).over(inside))
-    joined = held.groupBy("run", "part").agg((F.sum(F.col("count") * F.col("mz")) / F.sum("count")).alias("mz"), F.sum("count").alias("count"))
-    return joined.select((F.row_number().over(Window.orderBy("run", "part")) - 1).alias("peak"), "mz", "count")
+    after a fall.
+
+    A scan over the axis in ranges of bins: each range is cut into pieces by itself, at gaps, at valleys, and at the
+    two places where the ranges before decide (its first bin, and its first rise if no fall or gap of its own comes before);
+    of each range, one summary row comes to the driver, which settles these places from range to range; then
+    pieces that belong together are added up. No window runs over more than one range.
+    """
+    parts = parts or max(1, min(4096, -(-grid.count // 100_000)))
+    held = binned.withColumn("part", F.floor(F.col("bin") * parts / F.lit(max(1, grid.count))).cast("int"))
+    line = Window.partitionBy("part").orderBy("bin")
+    step = F.col("mz") - F.lag("mz").over(line)
+    far = (step / F.abs(F.col("mz")) if grid.relative else step) > grid.tolerance
+    held = held.withColumn("far", F.coalesce(far, F.lit(False))).withColumn("opens", F.row_number().over(line) == 1)
+    held = held.withColumn("run", F.sum(F.col("far").cast("int")).over(line))
+    turn = F.when(~F.col("far") & ~F.col("opens"), F.signum(F.col("count") - F.lag("count").over(line)).cast("int"))
+    held = held.withColumn("turn", F.when(turn != 0, turn))
+    inside = Window.partitionBy("part", "run").orderBy("bin")
+    earlier = F.last("turn", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    rise = F.col("turn") > 0
+    held = held.withColumn("unsettled", F.coalesce((F.col("run") == 0) & rise & earlier.isNull(), F.lit(False))).withColumn("valley", F.coalesce(rise & (earlier < 0), F.lit(False)))
+    cut = F.col("opens") | F.col("far") | F.col("valley") | F.col("unsettled")
+    held = held.withColumn("piece", F.sum(cut.cast("int")).over(line))
+    last = F.max_by(F.struct("mz", "count", "run", "piece"), "bin")
+    summary = held.groupBy("part").agg(
+        F.min_by(F.struct("mz", "count"), "bin").alias("first"), last.alias("last"),
+        F.max_by("turn", F.when(F.col("turn").isNotNull(), F.struct("run", "bin"))).alias("turn"), F.max(F.when(F.col("turn").isNotNull(), F.col("run"))).alias("turn_run"),
+        F.max(F.when(F.col("unsettled"), F.col("piece"))).alias("unsettled"))
+    carries, offset, before = [], 0, None
+    for r in sorted(summary.collect(), key=lambda r: r["part"]):
+        fall = 0  # the last turn before the range's second bin, in the run that reaches into it
+        opens = True
+        if before is not None:
+            mz, count, fall = before
+            gap = r["first"]["mz"] - mz
+            opens = (gap / abs(r["first"]["mz"]) if grid.relative else gap) > grid.tolerance
+            if opens:
+                fall = 0
+            elif r["first"]["count"] != count:
+                rises = r["first"]["count"] > count
+                opens, fall = rises and fall < 0, 1 if rises else -1
+        falls = r["unsettled"] is not None and fall < 0
+        carries.append(_Carry(r["part"], offset, opens, falls))
+        # pieces, less those whose cut is none
+        offset += r["last"]["piece"] - (not opens) - (r["unsettled"] is not None and not falls)
+        turned = r["turn"] if r["turn_run"] == r["last"]["run"] else None
+        before = r["last"]["mz"], r["last"]["count"], turned or (fall if r["last"]["run"] == 0 else 0)
+    spark = binned.sparkSession
+    known = F.broadcast(spark.createDataFrame(carries, "part int, offset long, opens boolean, falls boolean"))
+    pieces = held.groupBy("part", "piece").agg(F.sum(F.col("count") * F.col("mz")).alias("total"), F.sum("count").alias("count"), F.max("unsettled").alias("unsettled"))
+    # the number of cuts so far that are real: all but an unreal first one and an unreal unsettled one
+    passed = F.max(F.when(F.col("unsettled"), F.col("piece"))).over(Window.partitionBy("part"))
+    pieces = pieces.withColumn("at", passed).join(known, "part")
+    number = F.col("offset") + F.col("piece") - 1 - F.when(F.col("opens"), 0).otherwise(1) - F.when(~F.col("falls") & (F.col("at") <= F.col("piece")), 1).otherwise(0)
+    joined = pieces.withColumn("peak", number).groupBy("peak").agg((F.sum("total") / F.sum("count")).alias("mz"), F.sum("count").alias("count"))
+    return joined.select(F.col("peak").cast("int").alias("peak"), "mz", "count")
 
 
 def reference(points: DataFrame, units: str = "ppm", binfun: str = "median", binratio: float = 2.0, tolerance: float | None = None) -> tuple[DataFrame, Domain]:
@@ -170,23 +250,46 @@ def reference(points: DataFrame, units: str = "ppm", binfun: str = "median", bin
     grid = domain(points, units, binfun, binratio)
     if tolerance is not None:
         grid = grid._replace(tolerance=tolerance * 1e-6 if units == "ppm" else tolerance)
-    axis = merge(bins(points, grid), grid).persist()  # as small as the axis: found once, used often
-    return axis, grid
+    return found_axis(bins(points, grid), grid), grid
+
+
+def found_axis(binned: DataFrame, grid: Domain) -> DataFrame:
+    """The merged axis, found once as it is used often; it is as small as the axis. The caller may unpersist it."""
+    binned = binned.persist()
+    axis = merge(binned, grid).persist()
+    axis.count()
+    binned.unpersist()
+    return axis
 
 
 def align_down(points: DataFrame, peaks: DataFrame, grid: Domain) -> DataFrame:
-    """(spectrum_id, peak, intensity) of the references that have a peak of the spectrum within the tolerance.
+    """(spectrum_id, peak, intensity) of the references that have a peak of the spectrum within the tolerance."""
+    return on_axis(points, peaks, grid.tolerance, grid.relative, "down")
 
-    Each point's candidates are the references whose tolerance cell or a neighbouring one it falls into: an
-    equi-join on cells, which Spark broadcasts if the axis is small, then the nearest point for each reference.
-    """
-    width = max(grid.tolerance, 1e-12)
-    cell = (lambda m: F.floor(F.log(m) / math.log1p(width))) if grid.relative else (lambda m: F.floor(m / width))
-    refs = peaks.select("peak", F.col("mz").alias("ref"), F.explode(F.array(*(cell(F.col("mz")) + d for d in (-1, 0, 1)))).alias("cell"))
-    met = points.withColumn("cell", cell(F.col("mz"))).join(refs, "cell")
-    off = F.abs(F.col("mz") - F.col("ref")) / (F.abs(F.col("ref")) if grid.relative else F.lit(1.0))
-    met = met.withColumn("off", off).where(F.col("off") <= grid.tolerance)
-    return met.groupBy("spectrum_id", "peak").agg(F.min_by("intensity", F.struct("off", "i")).alias("intensity"))
+
+def _held(spark, axis: DataFrame | list[float] | np.ndarray) -> np.ndarray:
+    """The references' m/z in their order; MOST_REFERENCES at most."""
+    if not isinstance(axis, DataFrame):
+        return np.array(axis, dtype=float)
+    held = axis.select("peak", "mz").limit(MOST_REFERENCES + 1).toArrow()
+    if held.num_rows > MOST_REFERENCES:
+        raise ValueError(f"align: more than {MOST_REFERENCES} references; take a larger tolerance or binratio")
+    return held.sort_by("peak").column("mz").to_numpy().astype(float)
+
+
+def _matched(spectra: DataFrame, axis, tolerance: float, relative: bool, mode: str, fill_holes: bool, out: Callable, schema) -> DataFrame:
+    """One pass over batches of spectra: ``out`` makes a batch of the matches of some spectra."""
+    if mode not in ("auto", "down", "up"):
+        raise ValueError(f"align: unknown mode {mode}")
+    shared = spectra.sparkSession.sparkContext.broadcast(_held(spectra.sparkSession, axis))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, r in ragged.ragged_slices(batch):
+                r = ragged.in_order(r)
+                yield from out(part, r, shared.value, *ragged.matches(r, shared.value, tolerance, relative, mode, fill_holes))
+
+    return spectra.mapInArrow(run, schema)
 
 
 def on_axis(points: DataFrame, axis: DataFrame | list[float], tolerance: float, relative: bool = True, mode: str = "auto", fill_holes: bool = False) -> DataFrame:
@@ -196,18 +299,82 @@ def on_axis(points: DataFrame, axis: DataFrame | list[float], tolerance: float,
     axis: a list, or the reference peaks (peak, mz), of which there are MOST_REFERENCES at most (8 bytes each); every
     executor holds them once.
     """
-    if mode not in ("auto", "down", "up"):
-        raise ValueError(f"align: unknown mode {mode}")
-    spark = points.sparkSession
-    if isinstance(axis, DataFrame):
-        if axis.count() > MOST_REFERENCES:
-            raise ValueError(f"align: more than {MOST_REFERENCES} references; take a larger tolerance or binratio")
-        held = axis.orderBy("peak").select("mz").toArrow().column(0).to_numpy()
-    else:
-        held = np.array(axis, dtype=float)
-    spectra = by_mz(as_arrays(points))
-    found = spectrum_udfs.matches(F.col("mz"), F.col("intensity"), spark.sparkContext.broadcast(held), tolerance, relative, mode, fill_holes)
-    return spectra.select("spectrum_id", F.explode(found).alias("p")).select("spectrum_id", "p.peak", "p.intensity")
+    spectra = as_arrays(points).select("spectrum_id", "mz", "intensity")
+
+    def rows(part: pa.RecordBatch, r, reference, row, peak, point) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(peak.astype(np.int32)), pa.array(r.x[point])], ["spectrum_id", "peak", "intensity"])
+
+    kind = spectra.schema["spectrum_id"].dataType.simpleString()
+    return _matched(spectra, axis, tolerance, relative, mode, fill_holes, rows, f"spectrum_id {kind}, peak int, intensity double")
+
+
+def aligned_arrays(spectra: DataFrame, axis: DataFrame | list[float], tolerance: float, relative: bool = True, mode: str = "auto") -> DataFrame:
+    """Spectra with arrays mz and intensity of the references that they reach, and ``i``, the numbers of these; other columns
+    stay."""
+    kept = [c for c in spectra.columns if c != "i"]
+    spectra = spectra.select(*(F.col(f"`{c}`") for c in kept))
+
+    def rows(part: pa.RecordBatch, r, reference, row, peak, point) -> Iterator[pa.RecordBatch]:
+        bounds = np.r_[0, np.cumsum(np.bincount(row, minlength=r.rows))]
+        new = {"mz": ragged.as_list(reference[peak], bounds), "intensity": ragged.as_list(r.x[point], bounds)}
+        yield pa.RecordBatch.from_arrays([*(new.get(c, part.column(c)) for c in kept), ragged.as_list(peak.astype(np.int32), bounds)], [*kept, "i"])
+
+    doubles = ArrayType(DoubleType())
+    fields = [StructField(f.name, doubles if f.name in ("mz", "intensity") else f.dataType, f.nullable, f.metadata) for f in spectra.schema]
+    return _matched(spectra, axis, tolerance, relative, mode, False, rows, StructType([*fields, StructField("i", ArrayType(IntegerType()))]))
+
+
+#: Bytes of one batch of dense blocks, about.
+DENSE_BYTES = 16 << 20
+
+
+def _blocks(ids: pa.Array, rows: int, row: np.ndarray, peak: np.ndarray, values: np.ndarray, references: int, block: int | None) -> Iterator[pa.RecordBatch]:
+    """Matches, ascending by row, scattered into arrays of the axis's blocks, a buffer of DENSE_BYTES at a time."""
+    wide = block or max(1, references)
+    for number, first in enumerate(range(0, references, wide)):
+        size = min(wide, references - first)
+        here = np.flatnonzero((peak >= first) & (peak < first + size))
+        at_once = max(1, DENSE_BYTES // (8 * size))
+        for low in range(0, rows, at_once):
+            n = min(at_once, rows - low)
+            mine = here[np.searchsorted(row[here], low) : np.searchsorted(row[here], low + n)]
+            cells = np.zeros(n * size)
+            cells[(row[mine] - low) * size + peak[mine] - first] = values[mine]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * size, size, dtype=np.int32)), pa.array(cells))
+            yield pa.RecordBatch.from_arrays([ids.slice(low, n), pa.array(np.full(n, number, dtype=np.int32)), pa.array(np.full(n, first, dtype=np.int32)), lists], ["spectrum_id", "block", "first", "aligned"])
+
+
+def dense_blocks(points: DataFrame, axis: DataFrame | list[float], tolerance: float, relative: bool = True, mode: str = "auto", fill_holes: bool = False, block: int | None = 4096) -> DataFrame:
+    """(spectrum_id, block, first, aligned): all spectra over the whole axis, 0 where a reference is not reached, in blocks of
+    so many references (None: all in one). Work goes with spectra times references, which is what comes out."""
+    if block is not None and block < 1:
+        raise ValueError("dense: a block has one reference at least")
+    spectra = as_arrays(points).select("spectrum_id", "mz", "intensity")
+
+    def rows(part: pa.RecordBatch, r, reference, row, peak, point) -> Iterator[pa.RecordBatch]:
+        yield from _blocks(part.column(0), r.rows, row, peak, r.x[point], len(reference), block)
+
+    kind = spectra.schema["spectrum_id"].dataType.simpleString()
+    return _matched(spectra, axis, tolerance, relative, mode, fill_holes, rows, f"spectrum_id {kind}, block int, first int, aligned array<double>")
+
+
+def dense(aligned: DataFrame, references: int) -> DataFrame:
+    """(spectrum_id, aligned): sparse matches (spectrum_id, peak, intensity) as arrays over the whole axis, 0 where a
+    reference is not reached."""
+    held = aligned.groupBy("spectrum_id").agg(F.sort_array(F.collect_list(F.struct("peak", "intensity"))).alias("m")).select("spectrum_id", "m.peak", "m.intensity")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not references:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[]] * batch.num_rows, pa.list_(pa.float64()))], ["spectrum_id", "aligned"])
+                continue
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            peak, values = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (1, 2))
+            for out in _blocks(batch.column(0), batch.num_rows, row, peak, values, references, None):
+                yield out.select(["spectrum_id", "aligned"])
+
+    kind = held.schema["spectrum_id"].dataType.simpleString()
+    return held.mapInArrow(run, f"spectrum_id {kind}, aligned array<double>")
 
 
 def by_mz(spectra: DataFrame) -> DataFrame:
@@ -221,13 +388,6 @@ def by_mz(spectra: DataFrame) -> DataFrame:
     return held.select("spectrum_id", F.col("p.mz").cast("array<double>").alias("mz"), F.col("p.intensity").cast("array<double>").alias("intensity"))
 
 
-def dense(aligned: DataFrame, references: int) -> DataFrame:
-    """(spectrum_id, aligned): sparse matches as arrays over the whole axis, 0 where a reference is not reached."""
-    held = aligned.groupBy("spectrum_id").agg(F.map_from_entries(F.collect_list(F.struct("peak", "intensity"))).alias("m"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(references - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
-    return held.select("spectrum_id", (cells if references else F.array().cast("array<double>")).alias("aligned"))
-
-
 def align(points: DataFrame, axis: list[float], tolerance: float, relative: bool = True, fill_holes: bool = False) -> DataFrame:
     """(spectrum_id, aligned array): all spectra on a given axis, by the kernel that also spreads few peaks over
     many references."""

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from ..functions import spectrum_udfs
+
 
 def per_spectrum() -> WindowSpec:
     return Window.partitionBy("spectrum_id")
@@ -59,9 +61,16 @@ def padded(spectra: DataFrame, width: int | None = None) -> DataFrame:
     return held.select("spectrum_id", F.size("intensity").alias("n"), fill("mz"), fill("intensity"))
 
 
-def attach_axis(spectra: DataFrame, axis: list[float]) -> DataFrame:
-    """Give spectra of a shared axis their m/z array: a literal, stored nowhere per row."""
-    return spectra.withColumn("mz", F.array(*map(F.lit, axis)))
+def smoothed_baseline(points: DataFrame, way: str, span: float = 0.1, over: str = "index", knots: int = 5) -> DataFrame:
+    """Points with their column ``baseline`` smoothed by LOWESS (over the samples' numbers or m/z) or by a spline."""
+    nested = nest_points(points, "mz", "intensity", "baseline")
+    if way == "lowess":
+        axis = F.col("mz") if over == "mz" else F.transform("mz", lambda _, i: i.cast("double"))
+        value = spectrum_udfs.lowess(axis, F.col("baseline"), span)
+    else:
+        value = spectrum_udfs.natural_spline(F.col("baseline"), knots)
+    at = nested.withColumn("value", value).select("spectrum_id", F.size("mz").alias("n"), F.posexplode(F.arrays_zip("mz", "intensity", "value")).alias("i", "p"))
+    return at.select("spectrum_id", "i", "n", "p.mz", "p.intensity", F.col("p.value").alias("baseline"))
 
 
 def finite(x):

@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import spectrum_udfs
 from .baseline import local_maxima
 from .layout import nest_points, per_spectrum
-from .noise import with_noise, with_noise_curve
+from .noise import METHODS, with_noise, with_noise_curve
+
+
+def checked(width: int, nbins: int, return_type: str, noise: str) -> None:
+    if return_type not in ("height", "area"):
+        raise ValueError("pick: return_type is height or area")
+    if width < 1 or nbins < 1:
+        raise ValueError("pick: width and nbins must be positive")
+    if noise not in METHODS:
+        raise ValueError(f"pick: unknown noise {noise}")
 
 
 def pick(
     points: DataFrame,
     width: int = 5,
     snr: float | None = 2.0,
-    noise: str = "sd",
+    noise: str = "quantile",
     relheight: float | None = None,
     prominence: float | None = None,
     return_type: str = "height",
@@ -27,10 +36,7 @@ def pick(
     return_type "area" puts the area between a peak's feet in place of its height. Prominence and area need the whole
     spectrum around a peak: the points, already together by spectrum, are then nested once.
     """
-    if return_type not in ("height", "area"):
-        raise ValueError("pick: return_type is height or area")
-    if width < 1 or nbins < 1:
-        raise ValueError("pick: width and nbins must be positive")
+    checked(width, nbins, return_type, noise)
     wanted = snr is not None and 0 < snr < float("inf")
     held = points
     if wanted:

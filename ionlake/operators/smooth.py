@@ -46,7 +46,7 @@ def convolved(x: Column, kernel: list[float]) -> Column:
     return reduce(add, (F.lit(w) * at(k - r) for k, w in enumerate(kernel)))
 
 
-def savgol(points: DataFrame, window: int = 5, polyorder: int = 2, deriv: int = 0, delta: float = 1.0) -> DataFrame:
+def savgol(points: DataFrame, window: int = 5, polyorder: int = 3, deriv: int = 0, delta: float = 1.0) -> DataFrame:
     """Least-squares polynomial smoothing; the first and last half window take the outermost window's
     polynomial; spectra shorter than the window stay as they are."""
     rows = weights.savgol(window, polyorder, deriv, delta)

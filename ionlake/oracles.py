@@ -325,3 +325,13 @@ ORACLES["pipeline_aligned"] = (AUTO + " select spectrum_id, r::int as peak, roun
     f"""with q as (select *, lag(intensity) over (partition by spectrum_id order by i) as before, lead(intensity) over (partition by spectrum_id order by i) as after from ({LINES})),
   p as (select spectrum_id, i, mz, intensity from q where i >= 1 and before < intensity and coalesce(after, '-inf'::double) <= intensity)""",
 )
+
+#: Blocks of the filled axis: every spectrum with every block, also those that it doesn't reach.
+ORACLES["align_dense"] = AUTO + """, blocks as (select r // 1000 as block, count(*)::int as n from refs group by 1)
+  select g.spectrum_id, b.block::int as block, any_value(b.n) as "references", count(f.intensity) filter (f.intensity <> 0)::int as reached, round(coalesce(sum(f.intensity order by f.r), 0), 6) as total
+  from g cross join blocks b left join found f on f.spectrum_id = g.spectrum_id and f.r // 1000 = b.block group by g.spectrum_id, b.block"""
+SHIFTED = """select vec_id as spectrum_id, unnest(range(len(embedding)))::int as i, len(embedding)::int as n,
+  100 + 0.5::double * unnest(range(len(embedding))) + (vec_id % 3) * 0.01::double as mz, abs(unnest(embedding)::double) as intensity from embeddings"""
+ORACLES["align_shared_axis"] = AUTO.replace(LINES, SHIFTED).replace("(step * 2)", "(step * 0.6)") + " select spectrum_id, r::int as peak, round(intensity, 6) as intensity from found"
+for _name in ("norm_tic", "norm_rms", "norm_ref", "norm_median", "smooth_ma", "smooth_gaussian", "smooth_savgol", "baseline_locmin", "baseline_snip_m5", "pipeline_full", "peaks_sd", "peaks_quantile"):
+    ORACLES[f"{_name}_points"] = ORACLES[_name]

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import ragged
 from .functions import spectrum_udfs as udfs
-from .operators import align, baseline, layout, noise, normalize, peaks, select, smooth, summary
+from .operators import align, baseline, layout, noise, normalize, peaks, select, shared_axis, smooth, summary
 from .oracles import ORACLES  # noqa: F401
-from .plans.pipeline import Pipeline
+from .plans.pipeline import Pipeline, fused
 from .sources import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +39,40 @@ def lines(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(t.lineitem_points(spark, sf_dir))
 
 
+def event_arrays(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: fn(t.event_spectra(spark, sf_dir))
+
+
+def line_arrays(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: fn(t.lineitem_spectra(spark, sf_dir))
+
+
+def vector_arrays(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    """Over embeddings with their shared axis in each row."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        held = t.embedding_spectra(spark, sf_dir)
+        return fn(held.withColumn("mz", F.transform("intensity", lambda _, i: F.lit(100.0) + F.lit(0.5) * i)))
+
+    return run
+
+
+def array_curve(spectra: DataFrame, value: str = "intensity") -> DataFrame:
+    """Spectra with arrays, point by point."""
+    out = spectra.select("spectrum_id", F.posexplode("intensity").alias("i", value))
+    return out.select("spectrum_id", "i", rounded(value))
+
+
+def array_peaks(found: DataFrame) -> DataFrame:
+    out = found.select("spectrum_id", F.explode(F.arrays_zip("i", "mz", "intensity")).alias("p"))
+    return out.select("spectrum_id", "p.i", F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity")).select("spectrum_id", "i", rounded("mz"), rounded("intensity"))
+
+
+def baseline_of(fn: Callable[[ragged.Ragged], np.ndarray]) -> Callable[[DataFrame], DataFrame]:
+    """The estimate itself, in one pass over batches."""
+    return lambda s: array_curve(fused(s, [lambda r: r.with_x(fn(r))]), "baseline")
+
+
 def embeddings(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(t.embedding_points(spark, sf_dir))
 
@@ -103,15 +139,34 @@ def on_axis(mode: str) -> Callable[[DataFrame], DataFrame]:
     return run
 
 
-def aligned_pipeline(points: DataFrame) -> DataFrame:
-    out = Pipeline(points).peak_align().peak_pick(width=3, snr=None).start()
-    return out.select("spectrum_id", F.col("i").cast("int").alias("peak"), rounded("mz", 9), rounded("intensity"))
+def align_dense(spectra: DataFrame) -> DataFrame:
+    """The filled axis of every spectrum, summed up by block."""
+    axis, grid = align.reference(spectra)
+    blocks = align.dense_blocks(spectra, axis, grid.tolerance, grid.relative, block=1000)
+    reached = F.aggregate("aligned", F.lit(0), lambda n, v: n + (v != 0).cast("int"))
+    total = F.aggregate("aligned", F.lit(0.0), lambda n, v: n + v)
+    return blocks.select("spectrum_id", "block", F.size("aligned").alias("references"), reached.alias("reached"), F.round(total, 6).alias("total"))
+
 
+def align_shared_axis(spectra: DataFrame) -> DataFrame:
+    """Spectra on three axes, each stored, binned and matched once."""
+    held, axes = shared_axis.dictionary(spectra)
+    axes = axes.persist()
+    axis, grid = shared_axis.reference(held, axes, binratio=0.6)
+    out = shared_axis.on_axis(held, shared_axis.gather_index(axes, axis, grid.tolerance, grid.relative))
+    at = out.select("spectrum_id", F.explode(F.arrays_zip("peaks", "intensity")).alias("p"))
+    return at.select("spectrum_id", F.col("p.peaks").alias("peak"), F.col("p.intensity").alias("intensity")).select("spectrum_id", "peak", rounded("intensity"))
 
-def full_pipeline(points: DataFrame) -> DataFrame:
+
+def aligned_pipeline(spectra: DataFrame) -> DataFrame:
+    out = Pipeline(spectra).peak_align().peak_pick(width=3, snr=None).start()
+    at = out.select("spectrum_id", F.explode(F.arrays_zip("i", "mz", "intensity")).alias("p"))
+    return at.select("spectrum_id", F.col("p.i").alias("peak"), F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity")).select("spectrum_id", "peak", rounded("mz", 9), rounded("intensity"))
+
+
+def full_plan(spectra: DataFrame) -> DataFrame:
     """Called out of order on purpose: the plan sorts its steps."""
-    plan = Pipeline(points).peak_pick(width=5, snr=2.0, noise="sd").normalization("tic").noise_reduction("gaussian", window=5).baseline_correction("locmin", width=5)
-    return peak_list(plan.start())
+    return Pipeline(spectra).peak_pick(width=5, snr=2.0, noise="sd").normalization("tic").noise_reduction("gaussian", window=5).baseline_correction("locmin", width=5).start()
 
 
 def peaks_area(points: DataFrame) -> DataFrame:
@@ -141,9 +196,8 @@ def matrix(points: DataFrame) -> DataFrame:
 
 
 def smoothed_baseline(points: DataFrame) -> DataFrame:
-    """The local-minimum baseline, then LOWESS over m/z."""
-    held = layout.nest_points(baseline.locmin(points, 5), "mz", "baseline").withColumn("value", udfs.lowess(F.col("mz"), F.col("baseline"), 0.2))
-    return held.select("spectrum_id", F.posexplode("value").alias("i", "baseline")).select("spectrum_id", "i", rounded("baseline"))
+    """The local-minimum baseline, then LOWESS over the samples' numbers."""
+    return curve(layout.smoothed_baseline(baseline.locmin(points, 5), "lowess", 0.2), "baseline")
 
 
 def dynamic_bins(points: DataFrame) -> DataFrame:
@@ -167,6 +221,10 @@ def noise_of(method: str) -> Callable[[DataFrame], DataFrame]:
     return lambda p: noise.noise(p, method).select("spectrum_id", rounded("noise"))
 
 
+def picked_by(method: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda s: array_peaks(Pipeline(s).peak_pick(width=5, snr=2.0, noise=method).start())
+
+
 def peaks_of(method: str) -> Callable[[DataFrame], DataFrame]:
     return lambda p: peak_list(peaks.pick(p, 5, 2.0, method))
 
@@ -183,14 +241,22 @@ QUERIES: dict[str, Query] = {
     "rows_slice": lambda s, d: select.rows_slice(t.embedding_spectra(s, d), 10, 200, 3).select("spectrum_id", "x", "y"),
     "clamp_negative": events(lambda p: curve(select.clamp_negative(p.withColumn("intensity", F.col("intensity") - 20)))),
     "spectrum_stats": events(statistics),
-    "norm_tic": events(lambda p: curve(normalize.normalize(p, "tic"))),
-    "norm_rms": events(lambda p: curve(normalize.normalize(p, "rms"))),
-    "norm_ref": events(lambda p: curve(normalize.normalize(p, "ref", ref=1000.0, ref_tolerance=20.0))),
-    "norm_median": events(lambda p: curve(normalize.normalize(p, "median"))),
-    "smooth_ma": events(lambda p: curve(smooth.moving_average(p, 5))),
-    "smooth_ma_coef": events(lambda p: curve(smooth.moving_average(p, coef=[1.0, 2.0, 4.0]))),
-    "smooth_gaussian": events(lambda p: curve(smooth.gaussian(p, 5))),
-    "smooth_savgol": embeddings(lambda p: curve(smooth.savgol(p, 7, 2))),
+    "norm_tic": event_arrays(lambda s: array_curve(Pipeline(s).normalization("tic").start())),
+    "norm_rms": event_arrays(lambda s: array_curve(Pipeline(s).normalization("rms").start())),
+    "norm_ref": event_arrays(lambda s: array_curve(Pipeline(s).normalization("ref", ref=1000.0, ref_tolerance=20.0).start())),
+    "norm_median": event_arrays(lambda s: array_curve(Pipeline(s).normalization("median").start())),
+    "smooth_ma": event_arrays(lambda s: array_curve(Pipeline(s).noise_reduction("ma", window=5).start())),
+    "smooth_ma_coef": event_arrays(lambda s: array_curve(Pipeline(s).noise_reduction("ma", coef=[1.0, 2.0, 4.0]).start())),
+    "smooth_gaussian": event_arrays(lambda s: array_curve(Pipeline(s).noise_reduction("gaussian", window=5).start())),
+    "smooth_savgol": vector_arrays(lambda s: array_curve(Pipeline(s).noise_reduction("savgol", window=7, polyorder=2).start())),
+    # the same over points, by windows
+    "norm_tic_points": events(lambda p: curve(normalize.normalize(p, "tic"))),
+    "norm_rms_points": events(lambda p: curve(normalize.normalize(p, "rms"))),
+    "norm_ref_points": events(lambda p: curve(normalize.normalize(p, "ref", ref=1000.0, ref_tolerance=20.0))),
+    "norm_median_points": events(lambda p: curve(normalize.normalize(p, "median"))),
+    "smooth_ma_points": events(lambda p: curve(smooth.moving_average(p, 5))),
+    "smooth_gaussian_points": events(lambda p: curve(smooth.gaussian(p, 5))),
+    "smooth_savgol_points": embeddings(lambda p: curve(smooth.savgol(p, 7, 2))),
     "smooth_wavelet": arrays(lambda s: s.withColumn("value", udfs.wavelet(F.col("intensity")))),
     "smooth_gaussian_ns": arrays(lambda s: s.withColumn("value", udfs.neighbour_smooth(F.col("mz"), F.col("intensity"), 5))),
     "smooth_bi_ns": arrays(lambda s: s.withColumn("value", udfs.neighbour_smooth(F.col("mz"), F.col("intensity"), 5, bilateral=True))),
@@ -203,33 +269,37 @@ QUERIES: dict[str, Query] = {
     "noise_curve": events(noise_curve),
     "noise_bins_dynamic": events(dynamic_bins),
     "snr_spectrum": events(lambda p: noise.snr(p).select("spectrum_id", rounded("signal"), rounded("noise"), rounded("snr", 4))),
-    "baseline_locmin": events(lambda p: curve(baseline.locmin(p, 5), "baseline")),
-    "baseline_locmin_upper": events(lambda p: curve(baseline.locmin(p, 5, upper=True), "baseline")),
-    "baseline_snip_m5": lines(lambda p: curve(baseline.snip(p, 5), "baseline")),
-    "baseline_corrected": events(lambda p: curve(baseline.corrected(baseline.locmin(p, 5), scale=0.9))),
-    "baseline_asls": arrays(lambda s: s.withColumn("value", udfs.asls(F.col("intensity"), 1e4))),
+    "baseline_locmin": event_arrays(baseline_of(lambda r: ragged.locmin(r, 5))),
+    "baseline_locmin_upper": event_arrays(baseline_of(lambda r: ragged.locmin(r, 5, upper=True))),
+    "baseline_snip_m5": line_arrays(baseline_of(lambda r: ragged.snip(r, 5))),
+    "baseline_corrected": event_arrays(lambda s: array_curve(Pipeline(s).baseline_correction("locmin", width=5, scale=0.9).start())),
+    "baseline_locmin_points": events(lambda p: curve(baseline.locmin(p, 5), "baseline")),
+    "baseline_snip_m5_points": lines(lambda p: curve(baseline.snip(p, 5), "baseline")),
+    "baseline_asls": event_arrays(lambda s: array_curve(fused(s, [lambda r: r.with_x(ragged.asls(r, 1e4))])).withColumnRenamed("intensity", "value")),
     # halved again and again, values lie on the edge of rounding; shifted a little they don't
     "baseline_snip_auto": arrays(lambda s: s.withColumn("value", F.transform(udfs.snip(F.col("intensity")), lambda v: v + 1e-9))),
     "baseline_lowess": arrays(lambda s: s.withColumn("value", udfs.lowess(F.col("mz"), F.col("intensity"), 0.3))),
     "baseline_locmin_lowess": lambda spark, d: smoothed_baseline(t.event_points(spark, d)),
-    "peaks_sd": events(peaks_of("sd")),
-    "peaks_mad": events(peaks_of("mad")),
-    "peaks_quantile": events(peaks_of("quantile")),
-    "peaks_diff": events(peaks_of("diff")),
+    "peaks_sd": event_arrays(picked_by("sd")),
+    "peaks_mad": event_arrays(picked_by("mad")),
+    "peaks_quantile": event_arrays(picked_by("quantile")),
+    "peaks_diff": event_arrays(picked_by("diff")),
     "peaks_relheight": lines(lambda p: peak_list(peaks.pick(p, 3, None, relheight=0.8))),
     "peaks_prominence": events(peaks_prominence),
     "peaks_area": events(peaks_area),
     "peaks_pick_prominence": events(lambda p: peak_list(peaks.pick(p, 5, 2.0, "sd", relheight=0.5, prominence=20.0))),
     "peaks_noise_curve": events(lambda p: peak_list(peaks.pick(p, 5, 2.0, "sd", nbins=4, overlap=0.5))),
     "peaks_origin": events(peaks_origin),
-    "align_resolution": lines(lambda p: align.resolution(p).select("spectrum_id", rounded("resolution", 9), rounded("low"), rounded("high"))),
-    "align_domain": lines(align_domain),
-    "align_bins": lines(align_bins),
-    "align_merge": lines(align_merge),
-    "align_down": lines(align_down),
-    "align_up": events(on_axis("up")),
-    "align_auto": lines(on_axis("auto")),
-    "pipeline_aligned": lines(aligned_pipeline),
+    "align_resolution": line_arrays(lambda p: align.resolution(p).select("spectrum_id", rounded("resolution", 9), rounded("low"), rounded("high"))),
+    "align_domain": line_arrays(align_domain),
+    "align_bins": line_arrays(align_bins),
+    "align_merge": line_arrays(align_merge),
+    "align_down": line_arrays(align_down),
+    "align_up": event_arrays(on_axis("up")),
+    "align_auto": line_arrays(on_axis("auto")),
+    "align_dense": line_arrays(align_dense),
+    "align_shared_axis": lambda s, d: align_shared_axis(t.shifted_spectra(s, d)),
+    "pipeline_aligned": line_arrays(aligned_pipeline),
     "infer_type": embeddings(lambda p: summary.infer_type(p).select("spectra", rounded("score", 4), "spectrum_type")),
     "type_scores": events(summary.type_scores),
     "mask": lambda s, d: summary.mask(t.embedding_spectra(s, d)),
@@ -238,5 +308,8 @@ QUERIES: dict[str, Query] = {
     "ion_image": ion_image,
     "before_after_metrics": events(metrics),
     "plot_frame": events(lambda p: summary.plot_frame(p, 200.0, 400.0).select("spectrum_id", "i", rounded("intensity"), rounded("y_limit"))),
-    "pipeline_full": events(full_pipeline),
+    "pipeline_full": event_arrays(lambda s: array_peaks(full_plan(s))),
+    "pipeline_full_points": events(lambda p: peak_list(full_plan(p))),
+    "peaks_sd_points": events(peaks_of("sd")),
+    "peaks_quantile_points": events(peaks_of("quantile")),
 }

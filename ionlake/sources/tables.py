@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+EVENT_ORDER, LINE_ORDER = ["ts", "event_id"], ["l_extendedprice", "l_orderkey", "l_linenumber"]
+EVENT_MICROS = "unix_micros(cast(ts as timestamp)) - unix_micros(cast(timestamp_ntz'2024-01-01 00:00:00' as timestamp))"
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -22,13 +25,33 @@ def number_points(rows: DataFrame, spectrum_id: Column, order: list[str], mz: Co
 
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    micros = F.expr("unix_micros(cast(ts as timestamp)) - unix_micros(cast(timestamp_ntz'2024-01-01 00:00:00' as timestamp))")
-    return number_points(read(spark, sf_dir, "events"), F.col("user_id"), ["ts", "event_id"], 100 + micros / F.lit(1e9), F.col("value"))
+    return number_points(read(spark, sf_dir, "events"), F.col("user_id"), EVENT_ORDER, 100 + F.expr(EVENT_MICROS) / F.lit(1e9), F.col("value"))
 
 
 def lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = ["l_extendedprice", "l_orderkey", "l_linenumber"]
-    return number_points(read(spark, sf_dir, "lineitem"), F.col("l_partkey"), order, 100 + F.col("l_extendedprice").cast("double") / 100, F.col("l_quantity"))
+    return number_points(read(spark, sf_dir, "lineitem"), F.col("l_partkey"), LINE_ORDER, 100 + F.col("l_extendedprice").cast("double") / 100, F.col("l_quantity"))
+
+
+def _nested(rows: DataFrame, spectrum_id: Column, order: list[str], mz: Column, intensity: Column) -> DataFrame:
+    """Spectra with arrays from one row a point: one shuffle, no window."""
+    p = F.struct(*order, mz.alias("mz"), intensity.cast("double").alias("intensity"))
+    held = rows.groupBy(spectrum_id.alias("spectrum_id")).agg(F.sort_array(F.collect_list(p)).alias("p"))
+    return held.select("spectrum_id", F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"))
+
+
+def event_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nested(read(spark, sf_dir, "events"), F.col("user_id"), EVENT_ORDER, 100 + F.expr(EVENT_MICROS) / F.lit(1e9), F.col("value"))
+
+
+def lineitem_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nested(read(spark, sf_dir, "lineitem"), F.col("l_partkey"), LINE_ORDER, 100 + F.col("l_extendedprice").cast("double") / 100, F.col("l_quantity"))
+
+
+def shifted_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as spectra with arrays on three axes that lie 0.01 apart."""
+    held = embedding_spectra(spark, sf_dir)
+    shift = F.pmod("spectrum_id", F.lit(3)) * F.lit(0.01)
+    return held.withColumn("mz", F.transform("intensity", lambda _, i: F.lit(100.0) + F.lit(0.5) * i + shift))
 
 
 def embedding_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
