@@ -9,7 +9,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
@@ -177,72 +177,78 @@ def bins(points: DataFrame, grid: Domain) -> DataFrame:
     return got.select("bin", (F.col("total") / F.col("count")).alias("mz"), "count")
 
 
-class _Carry(NamedTuple):
-    """What a range of bins needs of those before it, and where its groups are numbered from."""
-
-    part: int
-    offset: int  # the number of the range's first piece
-    opens: bool  # the first bin begins a group
-    falls: bool  # the first rise of the range ends a fall that began before it
+PIECE = "part int, piece int, total double, count long, first_mz double, first_count long, last_mz double, last_count long, whole boolean, turn int, pieces int, unsettled int"
+
+
+def _pieces(part: int, mz: np.ndarray, count: np.ndarray, grid: Domain) -> pa.Table:
+    """A range of bins (ascending) cut by itself: at gaps, at valleys, and at the two places where the ranges before decide,
+    its first bin and its first rise if neither a gap nor a fall comes before it. What the ranges after need to
+    know stands in the first piece's row: the ends, whether one run goes through, the last turn of the last run."""
+    step = np.diff(mz)
+    far = np.r_[False, (step / np.abs(mz[1:]) if grid.relative else step) > grid.tolerance]
+    run = np.cumsum(far)
+    turn = np.r_[0, np.sign(np.diff(count))] * ~far
+    at = np.arange(len(mz))
+    last = np.r_[-1, np.maximum.accumulate(np.where(turn != 0, at, -1))[:-1]]  # where the count changed last, before
+    known = (last >= 0) & (run[last] == run)
+    unsettled = (run == 0) & (turn > 0) & ~known
+    cut = (at == 0) | far | ((turn > 0) & known & (turn[last] < 0)) | unsettled
+    piece = np.cumsum(cut)
+    k = int(piece[-1])
+    here = np.flatnonzero(turn != 0)
+    ended = int(turn[here[-1]]) if len(here) and run[here[-1]] == run[-1] else 0
+    open_ = int(piece[unsettled][0]) if unsettled.any() else None
+    first = lambda v: [v, *[None] * (k - 1)]
+    columns = [[part] * k, list(range(1, k + 1)), np.bincount(piece - 1, count * mz), np.bincount(piece - 1, count).astype(np.int64)]
+    columns += map(first, (float(mz[0]), int(count[0]), float(mz[-1]), int(count[-1]), bool(run[-1] == 0), ended, k, open_))
+    kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in PIECE.split(", ")])
+
+
+def _settled(rows: list, grid: Domain) -> list[tuple[int, int, bool, bool, int | None]]:
+    """(part, number of its first piece, whether that begins a group, whether its unsettled piece does, that piece) from range
+    to range."""
+    out, offset, before = [], 0, None
+    for r in sorted(rows, key=lambda r: r["part"]):
+        opens, turn = True, 0  # turn: the last change of counts up to the range's first bin, in the run that reaches it
+        if before is not None:
+            mz, count, turn = before
+            gap = r["first_mz"] - mz
+            opens = (gap / abs(r["first_mz"]) if grid.relative else gap) > grid.tolerance
+            if opens:
+                turn = 0
+            elif r["first_count"] != count:
+                rises = r["first_count"] > count
+                opens, turn = rises and turn < 0, 1 if rises else -1
+        falls = r["unsettled"] is not None and turn < 0
+        out.append((r["part"], offset, opens, falls, r["unsettled"]))
+        offset += r["pieces"] - (not opens) - (r["unsettled"] is not None and not falls)
+        before = r["last_mz"], r["last_count"], r["turn"] or (turn if r["whole"] else 0)
+    return out
 
 
 def merge(binned: DataFrame, grid: Domain, parts: int | None = None) -> DataFrame:
     """(peak, mz, count): neighbouring bins joined while gaps stay within the tolerance and counts do not rise
     after a fall.
 
-    A scan over the axis in ranges of bins: each range is cut into pieces by itself, at gaps, at valleys, and at the
-    two places where the ranges before decide (its first bin, and its first rise if no fall or gap of its own comes before);
-    of each range, one summary row comes to the driver, which settles these places from range to range; then
-    pieces that belong together are added up. No window runs over more than one range.
+    A scan over the axis in ranges of 100,000 bins of the grid: each is cut into pieces by itself, of each one summary
+    row comes to the driver, which settles the open places from range to range, and pieces that belong together are added
+    up. The result is persisted, as small as the axis; the caller may unpersist it.
     """
     parts = parts or max(1, min(4096, -(-grid.count // 100_000)))
-    held = binned.withColumn("part", F.floor(F.col("bin") * parts / F.lit(max(1, grid.count))).cast("int"))
-    line = Window.partitionBy("part").orderBy("bin")
-    step = F.col("mz") - F.lag("mz").over(line)
-    far = (step / F.abs(F.col("mz")) if grid.relative else step) > grid.tolerance
-    held = held.withColumn("far", F.coalesce(far, F.lit(False))).withColumn("opens", F.row_number().over(line) == 1)
-    held = held.withColumn("run", F.sum(F.col("far").cast("int")).over(line))
-    turn = F.when(~F.col("far") & ~F.col("opens"), F.signum(F.col("count") - F.lag("count").over(line)).cast("int"))
-    held = held.withColumn("turn", F.when(turn != 0, turn))
-    inside = Window.partitionBy("part", "run").orderBy("bin")
-    earlier = F.last("turn", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    rise = F.col("turn") > 0
-    held = held.withColumn("unsettled", F.coalesce((F.col("run") == 0) & rise & earlier.isNull(), F.lit(False))).withColumn("valley", F.coalesce(rise & (earlier < 0), F.lit(False)))
-    cut = F.col("opens") | F.col("far") | F.col("valley") | F.col("unsettled")
-    held = held.withColumn("piece", F.sum(cut.cast("int")).over(line))
-    last = F.max_by(F.struct("mz", "count", "run", "piece"), "bin")
-    summary = held.groupBy("part").agg(
-        F.min_by(F.struct("mz", "count"), "bin").alias("first"), last.alias("last"),
-        F.max_by("turn", F.when(F.col("turn").isNotNull(), F.struct("run", "bin"))).alias("turn"), F.max(F.when(F.col("turn").isNotNull(), F.col("run"))).alias("turn_run"),
-        F.max(F.when(F.col("unsettled"), F.col("piece"))).alias("unsettled"))
-    carries, offset, before = [], 0, None
-    for r in sorted(summary.collect(), key=lambda r: r["part"]):
-        fall = 0  # the last turn before the range's second bin, in the run that reaches into it
-        opens = True
-        if before is not None:
-            mz, count, fall = before
-            gap = r["first"]["mz"] - mz
-            opens = (gap / abs(r["first"]["mz"]) if grid.relative else gap) > grid.tolerance
-            if opens:
-                fall = 0
-            elif r["first"]["count"] != count:
-                rises = r["first"]["count"] > count
-                opens, fall = rises and fall < 0, 1 if rises else -1
-        falls = r["unsettled"] is not None and fall < 0
-        carries.append(_Carry(r["part"], offset, opens, falls))
-        # pieces, less those whose cut is none
-        offset += r["last"]["piece"] - (not opens) - (r["unsettled"] is not None and not falls)
-        turned = r["turn"] if r["turn_run"] == r["last"]["run"] else None
-        before = r["last"]["mz"], r["last"]["count"], turned or (fall if r["last"]["run"] == 0 else 0)
-    spark = binned.sparkSession
-    known = F.broadcast(spark.createDataFrame(carries, "part int, offset long, opens boolean, falls boolean"))
-    pieces = held.groupBy("part", "piece").agg(F.sum(F.col("count") * F.col("mz")).alias("total"), F.sum("count").alias("count"), F.max("unsettled").alias("unsettled"))
-    # the number of cuts so far that are real: all but an unreal first one and an unreal unsettled one
-    passed = F.max(F.when(F.col("unsettled"), F.col("piece"))).over(Window.partitionBy("part"))
-    pieces = pieces.withColumn("at", passed).join(known, "part")
+    held = binned.select(F.floor(F.col("bin") * parts / F.lit(max(1, grid.count))).cast("int").alias("part"), "bin", F.col("mz").cast("double").alias("mz"), F.col("count").cast("long").alias("count"))
+
+    def scan(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("bin")
+        return _pieces(key[0].as_py(), table.column("mz").to_numpy(), table.column("count").to_numpy(), grid)
+
+    pieces = held.groupBy("part").applyInArrow(scan, PIECE).persist()
+    known = binned.sparkSession.createDataFrame(_settled(pieces.where("pieces is not null").collect(), grid), "part int, offset long, opens boolean, falls boolean, at int")
     number = F.col("offset") + F.col("piece") - 1 - F.when(F.col("opens"), 0).otherwise(1) - F.when(~F.col("falls") & (F.col("at") <= F.col("piece")), 1).otherwise(0)
-    joined = pieces.withColumn("peak", number).groupBy("peak").agg((F.sum("total") / F.sum("count")).alias("mz"), F.sum("count").alias("count"))
-    return joined.select(F.col("peak").cast("int").alias("peak"), "mz", "count")
+    joined = pieces.join(F.broadcast(known), "part").groupBy(number.cast("int").alias("peak")).agg((F.sum("total") / F.sum("count")).alias("mz"), F.sum("count").alias("count")).persist()
+    joined.count()
+    pieces.unpersist()
+    return joined
 
 
 def reference(points: DataFrame, units: str = "ppm", binfun: str = "median", binratio: float = 2.0, tolerance: float | None = None) -> tuple[DataFrame, Domain]:
@@ -250,16 +256,7 @@ def reference(points: DataFrame, units: str = "ppm", binfun: str = "median", bin
     grid = domain(points, units, binfun, binratio)
     if tolerance is not None:
         grid = grid._replace(tolerance=tolerance * 1e-6 if units == "ppm" else tolerance)
-    return found_axis(bins(points, grid), grid), grid
-
-
-def found_axis(binned: DataFrame, grid: Domain) -> DataFrame:
-    """The merged axis, found once as it is used often; it is as small as the axis. The caller may unpersist it."""
-    binned = binned.persist()
-    axis = merge(binned, grid).persist()
-    axis.count()
-    binned.unpersist()
-    return axis
+    return merge(bins(points, grid), grid), grid
 
 
 def align_down(points: DataFrame, peaks: DataFrame, grid: Domain) -> DataFrame:

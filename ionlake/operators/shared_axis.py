@@ -73,7 +73,7 @@ def reference(spectra: DataFrame, axes: DataFrame, units: str = "ppm", binfun: s
     grid = domain(axes, weight, units, binfun, binratio)
     if tolerance is not None:
         grid = grid._replace(tolerance=tolerance * 1e-6 if units == "ppm" else tolerance)
-    axis = align.found_axis(bins(axes, weight, grid), grid)
+    axis = align.merge(bins(axes, weight, grid), grid)
     weight.unpersist()
     return axis, grid
 
