@@ -72,7 +72,10 @@ def fused(spectra: DataFrame, steps: list[Callable[[ragged.Ragged], ragged.Ragge
     """Steps over spectra with arrays in one pass, batch by batch; all other columns stay. ``places`` adds ``i``, where the
     points that are left stood in their spectrum. Null arrays come out empty."""
     held = spectra.select(*(F.col(f"`{c}`").cast("array<double>").alias(c) if c in ("mz", "intensity") else F.col(f"`{c}`") for c in spectra.columns if not (places and c == "i")))
-    fields = [StructField(f.name, ArrayType(DoubleType()) if f.name in ("mz", "intensity") else f.dataType, f.nullable, f.metadata) for f in held.schema]
+    # metadata of the file that spectra came from travel with them; peaks are no profile any more
+    peaks_only = lambda meta: meta | {"imzml": {k: v for k, v in meta["imzml"].items() if k != "profile"} | {"centroid": True}} if places and "imzml" in meta else meta
+    own = {f.name: f.metadata for f in spectra.schema}
+    fields = [StructField(f.name, ArrayType(DoubleType()) if f.name in ("mz", "intensity") else f.dataType, f.nullable, peaks_only(own[f.name])) for f in held.schema]
     if places:
         fields.append(StructField("i", ArrayType(IntegerType())))
 
