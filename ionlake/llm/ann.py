@@ -10,9 +10,10 @@ neighbours. Whole lists are scanned, and scores are computed in double precision
 group of lists and its queries meet in tasks of bounded size: the queries are dealt, the vectors copied to each.
 
 Defined cases: vectors that are null, empty, zero, of another than the commonest dimension, or hold null or
-non-finite components take no part, and neither does a null key; of several rows with one key the greatest
-vector counts; ties go to the smaller key; a query without ``k`` lists' candidates is searched over all lists; columns
-beside key and vector are not read, whatever their names; an empty table, or one with a single vector, gives no rows.
+non-finite components take no part, and neither does a null key; of several rows with one key each is a candidate, of all
+but itself, and a query of its own; ties go to the smaller key; a query without ``k`` lists' candidates is searched
+over all lists; columns beside key and vector are not read, whatever their names; an empty table, or one with a single
+vector, gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .shared import materialize
 SAMPLE, MOST_LISTS, LIST_SIZE, PART_SIZE, GROUP_SIZE = 12_000, 2_048, 256, 4_096, 8_192
 #: Queries of a group in one task (in the mean; they are dealt by hash), and rows of a batch of routed queries.
 TASK_QUERIES, ROUTED_ROWS = 8_192, 4_096
+#: Rows of small tables that are broadcast: about 20 MB.
+MOST_BROADCAST = 1_000_000
 #: Vectors and queries whose rough scores are held at once, and candidates whose scores are taken at once.
 SCAN, CUT = 1_024, 65_536
 #: A vector goes to at most so many lists, those within this ratio of the nearest centroid's distance.
@@ -156,12 +159,18 @@ def fit_centroids(sample: np.ndarray, n: int, length: float, k: int, target_reca
     return got._replace(ratio=ratio)
 
 
+def _beside(rows: DataFrame, few: DataFrame, on: str, n: int) -> DataFrame:
+    """Join with a table of n rows of a few numbers, broadcast up to MOST_BROADCAST of them."""
+    return rows.join(F.broadcast(few) if n <= MOST_BROADCAST else few, on)
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", target_recall: float = 0.96) -> DataFrame:
     """(query_id, rank, key, score): each query's k nearest by inner product. ``queries`` is a condition on rows."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & fine)
-    rows = materialize(rows.groupBy("id").agg(F.max("v").alias("v"), F.max("q").alias("q")))
+    # rid tells rows apart that share a key; it stays as it is written
+    rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()))
     schema = f"query_id long, rank int, {key} long, score double"
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
@@ -183,9 +192,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id
             for at in range(0, batch.num_rows, 2048):
                 lists = index.lists_of(x[at : at + 2048])
                 r, c = np.nonzero(lists >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(lists[r, c].astype(np.int32)), batch.column(0).slice(at, 2048).take(pa.array(r)), batch.column(1).slice(at, 2048).take(pa.array(r))], ["list", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists[r, c].astype(np.int32)), batch.column(0).slice(at, 2048).take(pa.array(r)), batch.column(1).slice(at, 2048).take(pa.array(r)), batch.column(2).slice(at, 2048).take(pa.array(r))], ["list", "id", "v", "rid"])
 
-    posted = materialize(rows.select("id", "v").mapInArrow(assign, "list int, id long, v array<double>"))
+    posted = materialize(rows.select("id", "v", "rid").mapInArrow(assign, "list int, id long, v array<double>, rid long"))
     # a row a list, at most MOST_LISTS: parts of long lists, and neighbouring parts in groups of about GROUP_SIZE
     held = {r["list"]: r["n"] for r in posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     first, parts, total = {}, {}, 0
@@ -195,11 +204,12 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id
         for _ in range(parts[i]):
             group_of.append(total // GROUP_SIZE)
             total += held.get(i, 0) // parts[i]
-    place = F.array(*(F.lit(first[i]) for i in range(len(first))))
-    many = F.array(*(F.lit(parts[i]) for i in range(len(parts))))
-    groups = F.array(*map(F.lit, group_of))
-    piece = F.element_at(place, F.col("list") + 1) + F.pmod(F.xxhash64("id"), F.element_at(many, F.col("list") + 1)).cast("int")
-    stored = posted.withColumn("g", F.element_at(groups, piece + 1)).select("g", "list", "id", "v")
+    spark = vectors.sparkSession
+    # a row a list and a row a part: a few numbers for each PART_SIZE vectors
+    of_list = spark.createDataFrame([(i, first[i], parts[i]) for i in first], "list int, first int, parts int")
+    of_piece = spark.createDataFrame(list(enumerate(group_of)), "piece int, g int")
+    placed = _beside(posted, of_list, "list", len(first)).withColumn("piece", F.col("first") + F.pmod(F.xxhash64("id", "rid"), F.col("parts")).cast("int"))
+    stored = _beside(placed, of_piece, "piece", len(group_of)).select("g", "list", "id", "v", "rid")
 
     def search(everything: bool):
         """The lists that each query opens."""
@@ -209,7 +219,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
                     lists = [list(range(len(index.points))) if everything else sorted(index.search(v)) for v in _matrix(part.column(1), dim)]
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int32()))], ["id", "v", "lists"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int32())), part.column(2)], ["id", "v", "lists", "rid"])
 
         return run
 
@@ -247,18 +257,18 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id
                     opened.append(js)
                 if len(rows_) >= ROUTED_ROWS or r == batch.num_rows - 1:
                     at = pa.array(rows_, pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(opened, pa.list_(pa.int32()))], ["g", "id", "v", "lists"])
+                    yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(opened, pa.list_(pa.int32())), batch.column(3).take(at)], ["g", "id", "v", "lists", "rid"])
                     rows_, gs, opened = [], [], []
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         """The best k of one group's vectors for each of a task's queries: list by list, all its queries at once."""
-        none = pa.table({"query_id": pa.array([], pa.int64()), key: pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        none = pa.table({c: pa.array([], pa.float64() if c == "score" else pa.int64()) for c in ("query_id", "query_rid", "found", "found_rid", "score")})
         if not left.num_rows or not right.num_rows:
             return none
-        left = left.sort_by([("list", "ascending"), ("id", "ascending")])
-        lists, ids, x = left.column("list").to_numpy(), left.column("id").to_numpy(), _matrix(left.column("v"), dim)
+        left = left.sort_by([("list", "ascending"), ("id", "ascending"), ("rid", "ascending")])
+        lists, ids, rids, x = left.column("list").to_numpy(), left.column("id").to_numpy(), left.column("rid").to_numpy(), _matrix(left.column("v"), dim)
         right = right.combine_chunks()
-        asking, v = right.column("id").to_numpy(), _matrix(right.column("v"), dim)
+        asking, asking_rid, v = right.column("id").to_numpy(), right.column("rid").to_numpy(), _matrix(right.column("v"), dim)
         at = [o for o in each(right.column("lists").chunk(0))]
         of_query, of_list = np.repeat(np.arange(len(at)), [len(o) for o in at]), np.concatenate(at)
         order = np.argsort(of_list, kind="stable")
@@ -274,7 +284,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id
                 for q0 in range(0, len(mine), SCAN):
                     q = mine[q0 : q0 + SCAN]
                     rough = v[q] @ x[first:last].T
-                    rough[ids[first:last] == asking[q][:, None]] = -np.inf
+                    rough[rids[first:last] == asking_rid[q][:, None]] = -np.inf
                     both = np.concatenate((tops[q], rough), axis=1)
                     tops[q] = np.partition(both, both.shape[1] - tops.shape[1], axis=1)[:, -tops.shape[1] :]
                     edge = tops[q].min(axis=1)
@@ -284,32 +294,32 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id
                     rows_.append(c + first)
         q, r = np.concatenate(qs), np.concatenate(rows_)
         near = np.concatenate([(x[r[i : i + CUT]] * v[q[i : i + CUT]]).sum(1) for i in range(0, len(q), CUT)] or [np.zeros(0)])  # equal vectors get equal scores
-        order = np.lexsort((ids[r], -near, q))
+        order = np.lexsort((rids[r], ids[r], -near, q))
         q, r, near = q[order], r[order], near[order]
-        once = np.concatenate(([True], (q[1:] != q[:-1]) | (ids[r[1:]] != ids[r[:-1]])))[: len(q)]  # replicas
+        once = np.concatenate(([True], (q[1:] != q[:-1]) | (rids[r[1:]] != rids[r[:-1]])))[: len(q)]  # replicas
         q, r, near = q[once], r[once], near[once]
         place = np.arange(len(q)) - np.searchsorted(q, q)
         q, r, near = q[place < k], r[place < k], near[place < k]
-        return pa.table({"query_id": pa.array(asking[q]), key: pa.array(ids[r]), "score": pa.array(near)})
+        return pa.table({"query_id": pa.array(asking[q]), "query_rid": pa.array(asking_rid[q]), "found": pa.array(ids[r]), "found_rid": pa.array(rids[r]), "score": pa.array(near)})
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    best = Window.partitionBy("query_id", "query_rid").orderBy(F.desc("score"), "found", "found_rid")
 
     def answer(asked: DataFrame, everything: bool) -> DataFrame:
-        opened = materialize(asked.select("id", "v").mapInArrow(search(everything), "id long, v array<double>, lists array<int>"))
+        opened = materialize(asked.select("id", "v", "rid").mapInArrow(search(everything), "id long, v array<double>, lists array<int>, rid long"))
         asking = opened.select("lists").mapInArrow(tally, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
-        needed = {r["g"]: -(-r["n"] // TASK_QUERIES) for r in asking}
-        tasks = F.element_at(F.array(*(F.lit(needed.get(g, 0)) for g in range(group_of[-1] + 1))), F.col("g") + 1)
-        sent = opened.mapInArrow(route, "g int, id long, v array<double>, lists array<int>")
-        sent = sent.withColumn("task", F.pmod(F.xxhash64("id"), tasks).cast("int"))
-        held = stored.where(tasks > 0).withColumn("task", F.explode(F.sequence(F.lit(0), tasks - 1)))
-        near = held.groupBy("g", "task").cogroup(sent.groupBy("g", "task")).applyInArrow(scan, f"query_id long, {key} long, score double")
-        once = near.groupBy("query_id", key).agg(F.max("score").alias("score"))
-        return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+        needed = [(r["g"], -(-r["n"] // TASK_QUERIES)) for r in asking]
+        tasks = spark.createDataFrame(needed, "g int, tasks int")
+        sent = _beside(opened.mapInArrow(route, "g int, id long, v array<double>, lists array<int>, rid long"), tasks, "g", len(needed))
+        sent = sent.withColumn("task", F.pmod(F.xxhash64("id", "rid"), F.col("tasks")).cast("int")).drop("tasks")
+        held = _beside(stored, tasks, "g", len(needed)).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+        near = held.groupBy("g", "task").cogroup(sent.groupBy("g", "task")).applyInArrow(scan, "query_id long, query_rid long, found long, found_rid long, score double")
+        once = near.groupBy("query_id", "query_rid", "found", "found_rid").agg(F.max("score").alias("score"))
+        return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_rid", "query_id", "rank", F.col("found").alias(key), "score")
 
     asked = rows.where("q")
     found = materialize(answer(asked, False))
-    enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, n - 1)).select(F.col("query_id").alias("id"))
-    short = materialize(asked.join(enough, "id", "left_anti"))
-    if not short.take(1) or n < 2:
-        return found
-    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(answer(short, True))
+    enough = found.groupBy("query_rid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, n - 1)).select(F.col("query_rid").alias("rid"))
+    short = materialize(asked.join(enough, "rid", "left_anti"))
+    if short.take(1) and n >= 2:
+        found = found.join(short.select(F.col("rid").alias("query_rid")), "query_rid", "left_anti").unionByName(answer(short, True))
+    return found.drop("query_rid")

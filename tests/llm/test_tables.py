@@ -216,3 +216,19 @@ def test_shard_counts_are_draws_that_meet_the_targets(spark, monkeypatch):
 def test_few_places_of_the_permutation_are_pinned(spark):
     got = [r[0] for r in spark.range(5000).select(mixing.permuted(F.col("id"), F.lit(5000), F.lit(3))).collect()]
     assert sorted(got) == list(range(5000)) and sum(x == i for i, x in enumerate(got)) < 12
+
+
+def test_all_rows_of_a_key_are_candidates_and_queries(spark):
+    """Repeated keys, equal and different vectors, against all pairs."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i), rng.normal(size=6).round(3)) for i in range(300)] + [(20, rng.normal(size=6).round(3)) for _ in range(5)] + [(7, np.ones(6))] * 4 + [(40, np.ones(6) * 2)] * 2
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ann.nearest(frame, F.col("vec_id") % 20 == 0, 8, target_recall=1.1).collect()))
+    want = []
+    for a, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            scores = sorted(((-float((w * v).sum()), j) for b, (j, w) in enumerate(rows) if b != a))[:8]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scores)]
+    assert len(got) == len(want)
+    near = sum(tuple(x[:3]) == tuple(y[:3]) for x, y in zip(got, sorted(want), strict=True))
+    assert near >= 0.95 * len(want)
