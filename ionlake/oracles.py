@@ -333,5 +333,9 @@ ORACLES["align_dense"] = AUTO + """, blocks as (select r // 1000 as block, count
 SHIFTED = """select vec_id as spectrum_id, unnest(range(len(embedding)))::int as i, len(embedding)::int as n,
   100 + 0.5::double * unnest(range(len(embedding))) + (vec_id % 3) * 0.01::double as mz, abs(unnest(embedding)::double) as intensity from embeddings"""
 ORACLES["align_shared_axis"] = AUTO.replace(LINES, SHIFTED).replace("(step * 2)", "(step * 0.6)") + " select spectrum_id, r::int as peak, round(intensity, 6) as intensity from found"
+ORACLES["imzml_round_trip"] = f"select (spectrum_id % 25 + 1)::int as x, (spectrum_id // 25 + 1)::int as y, i, round(mz, 6) as mz, round(intensity, 6) as intensity from ({SHIFTED})"
+ORACLES["imzml_window"] = f"select x, y, round(list_sum(xs), 6) as total from ({PIXELS}) where x between 3 and 12 and y in (2, 4, 6)"
+ORACLES["imzml_layout"] = f"""select x, y, len(xs)::bigint as mz_length, (8 * len(xs))::bigint as mz_bytes, '<f8' as mz_type, len(xs)::bigint as intensity_length, (4 * len(xs))::bigint as intensity_bytes,
+  '<f4' as intensity_type from ({PIXELS})"""
 for _name in ("norm_tic", "norm_rms", "norm_ref", "norm_median", "smooth_ma", "smooth_gaussian", "smooth_savgol", "baseline_locmin", "baseline_snip_m5", "pipeline_full", "peaks_sd", "peaks_quantile"):
     ORACLES[f"{_name}_points"] = ORACLES[_name]

@@ -229,7 +229,30 @@ def peaks_of(method: str) -> Callable[[DataFrame], DataFrame]:
     return lambda p: peak_list(peaks.pick(p, 5, 2.0, method))
 
 
+def imzml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's spectra written as imzML, each axis once a file, and read again by several tasks a file."""
+    folder = t.as_imzml(spark, t.shifted_spectra(spark, sf_dir), mode="auto", dedup="true")
+    back = spark.read.format("imzml").option("splitBytes", 100_000).load(folder)
+    return back.select("x", "y", F.posexplode(F.arrays_zip("mz", "intensity")).alias("i", "p")).select("x", "y", "i", F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity")).select("x", "y", "i", rounded("mz"), rounded("intensity"))
+
+
+def imzml_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of pixels: filters reach the reader, which reads no array of other pixels, and no m/z at all."""
+    folder = t.as_imzml(spark, t.shifted_spectra(spark, sf_dir))
+    back = spark.read.format("imzml").schema("x int, y int, intensity array<double>").load(folder).where("x >= 3 and x <= 12 and y in (2, 4, 6)")
+    return back.select("x", "y", F.round(F.aggregate("intensity", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
+def imzml_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the arrays lie: lengths and types of every pixel's arrays, from the headers alone."""
+    found = t.imzml.layout(spark, t.as_imzml(spark, t.shifted_spectra(spark, sf_dir), mode="processed"))
+    return found.select("x", "y", "mz_length", "mz_bytes", "mz_type", "intensity_length", "intensity_bytes", "intensity_type")
+
+
 QUERIES: dict[str, Query] = {
+    "imzml_round_trip": imzml_round_trip,
+    "imzml_window": imzml_window,
+    "imzml_layout": imzml_layout,
     "points_events": events(lambda p: p.select("spectrum_id", "i", "n", rounded("mz"), rounded("intensity"))),
     "points_embeddings": embeddings(lambda p: p.select("spectrum_id", "i", "n", rounded("mz"), rounded("intensity"))),
     "points_lineitem": lines(lambda p: p.select("spectrum_id", "i", "n", rounded("mz"), rounded("intensity"))),

@@ -6,9 +6,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import imzml
+
 EVENT_ORDER, LINE_ORDER = ["ts", "event_id"], ["l_extendedprice", "l_orderkey", "l_linenumber"]
 EVENT_MICROS = "unix_micros(cast(ts as timestamp)) - unix_micros(cast(timestamp_ntz'2024-01-01 00:00:00' as timestamp))"
 
@@ -68,3 +73,21 @@ def embedding_axis() -> list[float]:
 def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     spectra = embedding_spectra(spark, sf_dir)
     return spectra.select("spectrum_id", F.size("intensity").alias("n"), F.posexplode("intensity").alias("i", "intensity")).select("spectrum_id", "i", "n", (F.lit(100.0) + F.lit(0.5) * F.col("i")).alias("mz"), "intensity")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, or, where that is unset on a single machine, a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/spectra-{uuid.uuid4().hex}"
+
+
+def as_imzml(spark: SparkSession, spectra: DataFrame, **options: str) -> str:
+    """The folder that spectra (x, y, z, mz, intensity) have been written to as imzML."""
+    imzml.register(spark)
+    folder = scratch(spark)
+    spectra.write.format("imzml").mode("append").options(**options).save(folder)
+    return folder
