@@ -337,5 +337,27 @@ ORACLES["imzml_round_trip"] = f"select (spectrum_id % 25 + 1)::int as x, (spectr
 ORACLES["imzml_window"] = f"select x, y, round(list_sum(xs), 6) as total from ({PIXELS}) where x between 3 and 12 and y in (2, 4, 6)"
 ORACLES["imzml_layout"] = f"""select x, y, len(xs)::bigint as mz_length, (8 * len(xs))::bigint as mz_bytes, '<f8' as mz_type, len(xs)::bigint as intensity_length, (4 * len(xs))::bigint as intensity_bytes,
   '<f4' as intensity_type from ({PIXELS})"""
+ORACLES["tiles_window"] = f"select spectrum_id, x, y, region, round(list_sum(xs), 6) as total from ({PIXELS}) where x between 3 and 12 and y between 2 and 6"
+#: The natural cubic spline through every fifth value of the baseline: elimination forth, substitution back, a step a row.
+ORACLES["baseline_spline"] = nested(EVENTS, *locmin("xs", "g", "l", 2)) + """,
+  kn as (select spectrum_id, n, baseline, list_sort(list_distinct(list_concat(range(0, n, 5), [n - 1]))) as t from l),
+  ky as (select spectrum_id, n, t, len(t) as k, list_transform(t, lambda q: baseline[q + 1]) as y from kn),
+  forth as (with recursive f as (
+      select spectrum_id, n, t, y, k, 1 as i, [0.0::double] as c, [0.0::double] as d from ky
+      union all
+      select spectrum_id, n, t, y, k, i + 1, list_append(c, (t[i + 2] - t[i + 1]) / (2.0::double * (t[i + 2] - t[i]) - (t[i + 1] - t[i]) * c[i])),
+        list_append(d, (6 * ((y[i + 2] - y[i + 1]) / (t[i + 2] - t[i + 1]) - (y[i + 1] - y[i]) / (t[i + 1] - t[i])) - (t[i + 1] - t[i]) * d[i]) / (2.0::double * (t[i + 2] - t[i]) - (t[i + 1] - t[i]) * c[i]))
+      from f where i <= k - 2)
+    select * from f where i = k - 1),
+  back as (with recursive b as (
+      select spectrum_id, n, t, y, k, c, d, k - 2 as i, [0.0::double] as m from forth
+      union all
+      select spectrum_id, n, t, y, k, c, d, i - 1, list_prepend(case when i = 0 then 0.0::double else d[i + 1] - c[i + 1] * m[1] end, m) from b where i >= 0)
+    select * from b where i = -1),
+  cells as (select *, list_transform(range(n), lambda q: least(len(list_filter(t, lambda s: s <= q)), k - 1)) as js from back),
+  splined as (select *, list_transform(range(n), lambda q:
+      (m[js[q + 1]] * pow(t[js[q + 1] + 1] - q, 3) + m[js[q + 1] + 1] * pow(q - t[js[q + 1]], 3)) / (6 * (t[js[q + 1] + 1] - t[js[q + 1]]))
+      + (y[js[q + 1]] / (t[js[q + 1] + 1] - t[js[q + 1]]) - m[js[q + 1]] * (t[js[q + 1] + 1] - t[js[q + 1]]) / 6) * (t[js[q + 1] + 1] - q)
+      + (y[js[q + 1] + 1] / (t[js[q + 1] + 1] - t[js[q + 1]]) - m[js[q + 1] + 1] * (t[js[q + 1] + 1] - t[js[q + 1]]) / 6) * (q - t[js[q + 1]])) as s from cells)""" + curve("splined", "s", "baseline")
 for _name in ("norm_tic", "norm_rms", "norm_ref", "norm_median", "smooth_ma", "smooth_gaussian", "smooth_savgol", "baseline_locmin", "baseline_snip_m5", "pipeline_full", "peaks_sd", "peaks_quantile"):
     ORACLES[f"{_name}_points"] = ORACLES[_name]

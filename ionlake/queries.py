@@ -14,6 +14,7 @@ from .operators import align, baseline, layout, noise, normalize, peaks, select,
 from .oracles import ORACLES  # noqa: F401
 from .plans.pipeline import Pipeline, fused
 from .sources import tables as t
+from .sources import tiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -249,7 +250,16 @@ def imzml_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("x", "y", "mz_length", "mz_bytes", "mz_type", "intensity_length", "intensity_bytes", "intensity_type")
 
 
+def tiles_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The image stored by tiles of 8 by 8 pixels, and a window of it read from few of them."""
+    path = t.scratch(spark)
+    tiles.write_tiles(t.embedding_spectra(spark, sf_dir), path, 8)
+    found = tiles.read_tiles(spark, path, (3, 2, 12, 6), 8)
+    return found.select("spectrum_id", "x", "y", "region", F.round(F.aggregate("intensity", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
 QUERIES: dict[str, Query] = {
+    "tiles_window": tiles_window,
     "imzml_round_trip": imzml_round_trip,
     "imzml_window": imzml_window,
     "imzml_layout": imzml_layout,
@@ -296,6 +306,7 @@ QUERIES: dict[str, Query] = {
     "baseline_locmin_upper": event_arrays(baseline_of(lambda r: ragged.locmin(r, 5, upper=True))),
     "baseline_snip_m5": line_arrays(baseline_of(lambda r: ragged.snip(r, 5))),
     "baseline_corrected": event_arrays(lambda s: array_curve(Pipeline(s).baseline_correction("locmin", width=5, scale=0.9).start())),
+    "baseline_spline": event_arrays(baseline_of(lambda r: ragged.spline(r, ragged.locmin(r, 5), 5))),
     "baseline_locmin_points": events(lambda p: curve(baseline.locmin(p, 5), "baseline")),
     "baseline_snip_m5_points": lines(lambda p: curve(baseline.snip(p, 5), "baseline")),
     "baseline_asls": event_arrays(lambda s: array_curve(fused(s, [lambda r: r.with_x(ragged.asls(r, 1e4))])).withColumnRenamed("intensity", "value")),
