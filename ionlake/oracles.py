@@ -359,5 +359,23 @@ ORACLES["baseline_spline"] = nested(EVENTS, *locmin("xs", "g", "l", 2)) + """,
       (m[js[q + 1]] * pow(t[js[q + 1] + 1] - q, 3) + m[js[q + 1] + 1] * pow(q - t[js[q + 1]], 3)) / (6 * (t[js[q + 1] + 1] - t[js[q + 1]]))
       + (y[js[q + 1]] / (t[js[q + 1] + 1] - t[js[q + 1]]) - m[js[q + 1]] * (t[js[q + 1] + 1] - t[js[q + 1]]) / 6) * (t[js[q + 1] + 1] - q)
       + (y[js[q + 1] + 1] / (t[js[q + 1] + 1] - t[js[q + 1]]) - m[js[q + 1] + 1] * (t[js[q + 1] + 1] - t[js[q + 1]]) / 6) * (q - t[js[q + 1]])) as s from cells)""" + curve("splined", "s", "baseline")
+#: Plateau maxima, their prominence, the crossings of half of it, and Simpson's rule over the points between.
+_AT = "{ls}[floor({a})::int + 1] + ({a} - floor({a})) * (coalesce({ls}[floor({a})::int + 2], {ls}[floor({a})::int + 1]) - {ls}[floor({a})::int + 1])"
+_STEP = "(ts[q + 3] - ts[q + 1]) / 6 * ((2 - (ts[q + 3] - ts[q + 2]) / (ts[q + 2] - ts[q + 1])) * ys[q + 1] + pow(ts[q + 3] - ts[q + 1], 2) / ((ts[q + 2] - ts[q + 1]) * (ts[q + 3] - ts[q + 2])) * ys[q + 2] + (2 - (ts[q + 2] - ts[q + 1]) / (ts[q + 3] - ts[q + 2])) * ys[q + 3])"
+ORACLES["peaks_origin"] = nested(
+    EVENTS, *noisy("sd"),
+    "o0 as (select *, unnest(list_filter(range(1, n - 1), lambda i: xs[i] < xs[i + 1])) as pi from s)",
+    "o1 as (select *, list_min(list_filter(range(pi, n - 1), lambda q: xs[q + 2] <> xs[pi + 1])) as pj from o0)",
+    "k as (select *, (pi + pj) // 2 as pk from o1 where pj is not null and xs[pj + 2] < xs[pi + 1] and xs[pi + 1] >= 0.012::double * list_max(xs))",
+    *PROMINENT[1:],
+    "h as (select *, xs[pk + 1] - 0.5::double * prominence as lv from f)",
+    "c as (select *, coalesce(list_max(list_filter(range(pk + 1), lambda q: xs[q + 1] <= lv)), 0) as li, coalesce(list_min(list_filter(range(pk, n), lambda q: xs[q + 1] <= lv)), n - 1) as ri from h)",
+    "w as (select *, case when xs[li + 1] < lv then li + (lv - xs[li + 1]) / (xs[li + 2] - xs[li + 1]) else li::double end as lf, case when xs[ri + 1] < lv then ri - (lv - xs[ri + 1]) / (xs[ri] - xs[ri + 1]) else ri::double end as rf from c)",
+    "v as (select *, list_filter(range(n), lambda q: q > lf and q < rf) as inn from w where rf - lf >= 2 and xs[pk + 1] > 2 * noise)",
+    f"u as (select *, list_concat([{_AT.format(ls='ms', a='lf')}], list_transform(inn, lambda q: ms[q + 1]), [{_AT.format(ls='ms', a='rf')}]) as ts, list_concat([{_AT.format(ls='xs', a='lf')}], list_transform(inn, lambda q: xs[q + 1]), [{_AT.format(ls='xs', a='rf')}]) as ys from v)",
+    "z as (select *, len(ts) as m, ts[len(ts) - 1] - ts[len(ts) - 2] as g0, ts[len(ts)] - ts[len(ts) - 1] as g1 from u)",
+) + f""" select spectrum_id, pk::int as i, round(ms[pk + 1], 6) as mz, round(xs[pk + 1], 6) as intensity,
+  round(case when m = 2 then 0.5 * (ts[2] - ts[1]) * (ys[1] + ys[2]) else list_sum(list_transform(range(0, m - 2, 2), lambda q: {_STEP}))
+    + case when m % 2 = 0 then ys[m] * (2 * pow(g1, 2) + 3 * g0 * g1) / (6 * (g0 + g1)) + ys[m - 1] * (pow(g1, 2) + 3 * g0 * g1) / (6 * g0) - ys[m - 2] * pow(g1, 3) / (6 * g0 * (g0 + g1)) else 0 end end, 6) as area from z"""
 for _name in ("norm_tic", "norm_rms", "norm_ref", "norm_median", "smooth_ma", "smooth_gaussian", "smooth_savgol", "baseline_locmin", "baseline_snip_m5", "pipeline_full", "peaks_sd", "peaks_quantile"):
     ORACLES[f"{_name}_points"] = ORACLES[_name]
