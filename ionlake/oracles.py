@@ -377,5 +377,44 @@ ORACLES["peaks_origin"] = nested(
 ) + f""" select spectrum_id, pk::int as i, round(ms[pk + 1], 6) as mz, round(xs[pk + 1], 6) as intensity,
   round(case when m = 2 then 0.5 * (ts[2] - ts[1]) * (ys[1] + ys[2]) else list_sum(list_transform(range(0, m - 2, 2), lambda q: {_STEP}))
     + case when m % 2 = 0 then ys[m] * (2 * pow(g1, 2) + 3 * g0 * g1) / (6 * (g0 + g1)) + ys[m - 1] * (pow(g1, 2) + 3 * g0 * g1) / (6 * g0) - ys[m - 2] * pow(g1, 3) / (6 * g0 * (g0 + g1)) else 0 end end, 6) as area from z"""
+def lowess(base: str, y: str, axis: str, span: float) -> list[str]:
+    """Steps to a table ``smoothed`` with a list ``value``: anchors a hundredth of the range apart, windows around them with
+    their tricube weights, then a fit a row of recursion, each with the bisquare weights of the one before."""
+    weighed = "list_transform(range(a.lo, a.hi), lambda j: a.tri[j - a.lo + 1] * robust[j + 1])"
+    fits = f"""list_transform(list_transform(list_transform(places, lambda a: {{'a': a, 'w': {weighed}}}), lambda b: {{'a': b.a, 'w': b.w, 'sw': list_sum(b.w)}}), lambda b:
+        case when b.sw <= 0 then ys[b.a.i + 1] else list_sum(list_transform(range(b.a.lo, b.a.hi), lambda j: b.w[j - b.a.lo + 1] / b.sw * ys[j + 1]))
+          + coalesce((list_sum(list_transform(range(b.a.lo, b.a.hi), lambda j: b.w[j - b.a.lo + 1] / b.sw * ys[j + 1] * (ax[j + 1] - list_sum(list_transform(range(b.a.lo, b.a.hi), lambda q: b.w[q - b.a.lo + 1] / b.sw * ax[q + 1])))))
+            * (ax[b.a.i + 1] - list_sum(list_transform(range(b.a.lo, b.a.hi), lambda q: b.w[q - b.a.lo + 1] / b.sw * ax[q + 1])))
+            / nullif(list_sum(list_transform(range(b.a.lo, b.a.hi), lambda j: b.w[j - b.a.lo + 1] / b.sw * pow(ax[j + 1], 2))) - pow(list_sum(list_transform(range(b.a.lo, b.a.hi), lambda j: b.w[j - b.a.lo + 1] / b.sw * ax[j + 1])), 2), 0)), 0) end)"""
+    along = "list_transform(range(n), lambda q: case when seat[q + 1].p = seat[q + 1].r then fit[seat[q + 1].p] else fit[seat[q + 1].p] + (fit[seat[q + 1].r] - fit[seat[q + 1].p]) * (ax[q + 1] - ax[spots[seat[q + 1].p] + 1]) / (ax[spots[seat[q + 1].r] + 1] - ax[spots[seat[q + 1].p] + 1]) end)"
+    return [
+        f"w0 as (select spectrum_id, n, {axis} as ax0, {y} as ys, greatest(2, least(n, floor({span} * n + 1e-7)::int)) as k from {base})",
+        # the axis from its start, so that squares lose nothing
+        "w1 as (select spectrum_id, n, ys, k, list_transform(ax0, lambda v: v - ax0[1]) as ax from w0)",
+        """wa as (with recursive r as (
+          select spectrum_id, n, ax, 0 as last from w1
+          union all
+          select spectrum_id, n, ax, greatest(last + 1, least(len(list_filter(ax, lambda v: v <= ax[last + 1] + 0.01::double * ax[n])) - 1, n - 1))::int as last from r where last < n - 1)
+        select spectrum_id, list(last order by last) as spots from r group by spectrum_id)""",
+        "w2 as (select w1.*, spots, list_transform(range(n), lambda q: {'p': len(list_filter(spots, lambda s: s <= q)), 'r': len(list_filter(spots, lambda s: s < q)) + 1}) as seat from w1 join wa using (spectrum_id))",
+        "w3 as (select *, list_transform(spots, lambda i: {'i': i, 'lo': len(list_filter(range(n - k), lambda s: ax[i + 1] - ax[s + 1] > ax[s + k + 1] - ax[i + 1]))}) as los from w2)",
+        "w4 as (select *, list_transform(los, lambda a: {'i': a.i, 'lo': a.lo, 'h': greatest(ax[a.i + 1] - ax[a.lo + 1], ax[a.lo + k] - ax[a.i + 1])}) as hs from w3)",
+        "w5 as (select *, list_transform(hs, lambda a: {'i': a.i, 'lo': a.lo, 'h': a.h, 'hi': greatest(a.lo + k, len(list_filter(ax, lambda v: v <= ax[a.i + 1] + 0.999::double * a.h)))}) as his from w4)",
+        """w6 as (select *, list_transform(his, lambda a: {'i': a.i, 'lo': a.lo, 'hi': a.hi, 'tri': list_transform(range(a.lo, a.hi), lambda j:
+          case when abs(ax[j + 1] - ax[a.i + 1]) <= 0.001::double * a.h then 1 when abs(ax[j + 1] - ax[a.i + 1]) <= 0.999::double * a.h then pow(1 - pow(abs(ax[j + 1] - ax[a.i + 1]) / a.h, 3), 3) else 0 end)}) as places from w5)""",
+        f"""fitted as (with recursive r as (
+          select spectrum_id, n, ys, ax, spots, seat, places, 0 as step, list_transform(range(n), lambda q: 1.0::double) as robust, null::double[] as value from w6
+          union all
+          select spectrum_id, n, ys, ax, spots, seat, places, step + 1, list_transform(ys, lambda v, q:
+              case when abs(v - new[q]) <= 0.001::double * cap then 1 when abs(v - new[q]) <= 0.999::double * cap then pow(1 - pow(abs(v - new[q]) / cap, 2), 2) else 0 end), new
+          from (select *, 6 * list_aggregate(list_transform(ys, lambda v, q: abs(v - new[q])), 'median') as cap from (
+            select *, {along} as new from (select *, {fits} as fit from r where step < 4))))
+        select * from r where step = 4)""",
+        "smoothed as (select spectrum_id, n, value from fitted)",
+    ]
+
+
+ORACLES["baseline_lowess"] = nested(EVENTS, *lowess("g", "xs", "ms", 0.3)) + curve("smoothed", "value", "value")
+ORACLES["baseline_locmin_lowess"] = nested(EVENTS, *locmin("xs", "g", "l", 2), *lowess("l", "baseline", "list_transform(range(n), lambda q: q::double)", 0.2)) + curve("smoothed", "value", "baseline")
 for _name in ("norm_tic", "norm_rms", "norm_ref", "norm_median", "smooth_ma", "smooth_gaussian", "smooth_savgol", "baseline_locmin", "baseline_snip_m5", "pipeline_full", "peaks_sd", "peaks_quantile"):
     ORACLES[f"{_name}_points"] = ORACLES[_name]
