@@ -24,11 +24,12 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .shared import from_text, slices
@@ -36,7 +37,9 @@ from .shared import from_text, slices
 #: Mean chunk size is about 1 << CHUNK_BITS bytes, between the bounds.
 CHUNK_BITS, LEAST_CHUNK, MOST_CHUNK = 10, 256, 8192
 #: Bounds of what a task keeps at hand, each in two generations: spellings, characters of theirs, bytes of chunks.
-SPELLINGS, SPELLED, CHUNK_BYTES = 150_000, 4 << 20, 12 << 20
+SPELLINGS, SPELLED, CHUNK_BYTES = 80_000, 2 << 20, 12 << 20
+#: Bytes of text that are encoded together: what the library says of a text takes about 40 times its bytes.
+TEXT_BYTES = 512 << 10
 #: New spellings that are encoded in one text.
 TOGETHER = 2_048
 MARK = "\x01"
@@ -264,7 +267,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         encoder = ChunkEncoder(path)  # goes at the task's end: workers live on for other stages
 
         def run(texts: pa.Array) -> Iterator[pa.StructArray]:
-            for part in slices(texts):
+            for part in slices(texts, TEXT_BYTES):
                 yield pa.StructArray.from_arrays([_lists(encoder.ids(part.to_pylist()))], ["ids"])
 
         return run
@@ -292,10 +295,28 @@ def encode_and_decode(docs: DataFrame, path: str, text: str = "text") -> DataFra
         encoder = ChunkEncoder(path)  # goes at the task's end: workers live on for other stages
 
         def run(texts: pa.Array) -> Iterator[pa.StructArray]:
-            for part in slices(texts):
+            for part in slices(texts, TEXT_BYTES):
                 ids = encoder.ids(part.to_pylist())
                 yield pa.StructArray.from_arrays([_lists(ids), _said(ids, path)], ["ids", "decoded"])
 
         return run
 
     return from_text(docs, docs.columns, text, "ids array<int>, decoded string", make)
+
+
+def encode_and_check(docs: DataFrame, path: str, columns: Sequence[str], text: str = "text") -> DataFrame:
+    """The named columns of docs with ``ids`` and ``intact``, whether these decode to the text (null: the empty one). Neither
+    texts nor what is decoded go back to Spark's side."""
+
+    def make():
+        encoder = ChunkEncoder(path)  # goes at the task's end: workers live on for other stages
+
+        def run(texts: pa.Array) -> Iterator[pa.StructArray]:
+            for part in slices(texts, TEXT_BYTES):
+                ids = encoder.ids(part.to_pylist())
+                intact = pc.equal(_said(ids, path), pc.fill_null(part.cast(pa.string()), ""))
+                yield pa.StructArray.from_arrays([_lists(ids), intact], ["ids", "intact"])
+
+        return run
+
+    return from_text(docs, columns, text, "ids array<int>, intact boolean", make)
