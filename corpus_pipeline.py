@@ -19,7 +19,7 @@ ORACLE_SQL = None
 
 #: The pipeline's session: whole texts pass through Python in Arrow batches of so many bytes and rows at most, as executors
 #: run stages of every kind one after the other and have to hold the batches beside all else.
-BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.execution.arrow.maxRecordsPerBatch": 1_000}
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20, "spark.sql.execution.arrow.maxRecordsPerBatch": 1_000}
 
 
 def _bound_batches(spark: SparkSession) -> None:
@@ -71,9 +71,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text; a null text is encoded as the empty one, and
     other columns than these are left out."""
     _bound_batches(spark)
-    out = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), tokenizer_file("byte_bpe_50k.json"))
-    intact = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", intact.alias("intact"))
+    out = bpe.encode_and_check(docs, tokenizer_file("byte_bpe_50k.json"), ("doc_id", "lang", "source"))
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "intact")
 
 
 STAGES = [
