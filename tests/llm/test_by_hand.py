@@ -119,3 +119,15 @@ def test_long_texts_in_whole(spark):
     assert toxicity.score_documents(docs, model).first()["score"] > 0.9
     assert {r["term"]: r["n"] for r in divergence.term_counts(docs).collect()} == {"the": 180_000, "people": 180_000, "vile": 1}
     assert language.identify(docs, {"en": language.ranked_ngrams("the people")[0]}).select(F.col("lang_pred")).first()[0] == "en"
+
+
+def test_encoding_checks_what_it_decodes(spark):
+    from ionlake.llm import bpe
+    from ionlake.llm.queries import tokenizer_file
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    rows = [*corpus(20, seed=8), *ODD]
+    docs = docs_frame(spark, rows, extra=True)
+    got = sorted((tuple(r) for r in bpe.encode_and_check(docs, path, ("doc_id", "ids", "score")).select("doc_id", "score", "ids", "intact").collect()), key=str)
+    want = sorted(((r["doc_id"], "x", r["ids"], r["decoded"] == (r["text"] or "")) for r in bpe.encode_and_decode(docs, path).select("doc_id", "text", "ids", "decoded").collect()), key=str)
+    assert got == want and all(x[3] for x in got)
