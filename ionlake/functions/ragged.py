@@ -347,14 +347,10 @@ def noise_curve(r: Ragged, method: str, bins: int, overlap: float) -> np.ndarray
 
 def dynamic_curve(r: Ragged, bins: int = 4, iterations: int = 10) -> np.ndarray:
     """The noise at every point, from bins that follow the signal."""
-    d = residual(r)
-
-    def one(s: slice) -> np.ndarray:
-        held = kernels.dynamic_bins(r.x[s], bins, iterations)
-        spread = [d[s][a : b + 1].std(ddof=1) if b > a else FLOOR for a, b in held]
-        return np.maximum(kernels.noise_curve(np.array([(a + b) / 2 for a, b in held]), np.array(spread), s.stop - s.start), FLOOR) if held else np.zeros(0)
-
-    return r.each(one)
+    row, low, high, noise_ = dynamic_bins(r, bins, iterations)
+    at = np.searchsorted(row, np.arange(r.rows + 1))
+    parts = [kernels.noise_curve((low[a:b] + high[a:b]) / 2, noise_[a:b], n) for a, b, n in zip(at[:-1].tolist(), at[1:].tolist(), r.sizes.tolist(), strict=True) if n]
+    return np.maximum(np.concatenate(parts), FLOOR) if parts else np.zeros(0)
 
 
 def picked(r: Ragged, width: int = 5, snr: float | None = 2.0, noise_method: str = "quantile", relheight: float | None = None, prominence: float | None = None, return_type: str = "height", nbins: int = 1, overlap: float = 0.5, bins: str = "fixed") -> Ragged:
@@ -385,6 +381,17 @@ def picked(r: Ragged, width: int = 5, snr: float | None = 2.0, noise_method: str
     return r.kept(peak, value)
 
 
+def dynamic_bins(r: Ragged, bins: int = 4, iterations: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last, noise) of bins that follow the signal: the residual's spread in each, FLOOR at least."""
+    d, rows, held = residual(r), [], []
+    for k, (a, b) in enumerate(zip(r.bounds[:-1].tolist(), r.bounds[1:].tolist(), strict=True)):
+        found = kernels.dynamic_bins(r.x[a:b], bins, iterations)
+        rows += [k] * len(found)
+        held += [(low, high, d[a + low : a + high + 1].std(ddof=1) if high > low else FLOOR) for low, high in found]
+    out = np.array(held, dtype=float).reshape(-1, 3)
+    return np.array(rows, dtype=int), out[:, 0].astype(int), out[:, 1].astype(int), np.maximum(out[:, 2], FLOOR)
+
+
 def picked_by_shape(r: Ragged, noise_method: str = "sd", **how) -> Ragged:
     """Plateau maxima by prominence, width and Simpson area (see ``kernels.origin_peaks``), heights being the areas."""
     floor = noise(r, noise_method)

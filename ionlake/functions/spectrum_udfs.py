@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,10 +54,6 @@ def natural_spline(values: Column, knots: int = 5) -> Column:
     return one(lambda x: kernels.natural_spline(x, knots))(values)
 
 
-def prominence(intensity: Column, peaks: Column) -> Column:
-    return two(lambda x, p: kernels.prominences(x, p.astype(int)))(intensity, peaks)
-
-
 def marked_prominences(intensity: Column, peak: Column) -> Column:
     """The prominence of the samples marked as peaks, 0 of the others."""
 
@@ -91,50 +86,6 @@ def binned_noise(signal: Column, method: str, bins: int, overlap: float, floor:
     return one(lambda x: np.maximum(kernels.binned_noise(x, method, bins, overlap), floor))(signal)
 
 
-def matches(mz: Column, intensity: Column, reference: Broadcast, tolerance: float, relative: bool = True, mode: str = "auto", fill_holes: bool = False) -> Column:
-    """The references that a spectrum reaches, with their intensities; the axis is a broadcast array."""
-
-    @F.pandas_udf("array<struct<peak:int,intensity:double>>")
-    def run(m: pd.Series, x: pd.Series) -> pd.Series:
-        axis = reference.value
-        out = []
-        for a, b in zip(m, x, strict=True):
-            at, values = kernels.matches(np.asarray(a, dtype=float), np.asarray(b, dtype=float), axis, tolerance, relative, mode, fill_holes)
-            out.append([{"peak": i, "intensity": v} for i, v in zip(at.tolist(), values.tolist(), strict=True)])
-        return pd.Series(out)
-
-    return run(mz, intensity)
-
-
 def align(mz: Column, intensity: Column, reference: list[float], tolerance: float, relative: bool = True, fill_holes: bool = False) -> Column:
     axis = np.array(reference)
     return two(lambda m, x: kernels.align(m, x, axis, tolerance, relative, fill_holes))(mz, intensity)
-
-
-def areas(mz: Column, intensity: Column, peaks: Column) -> Column:
-    @F.pandas_udf(DOUBLES)
-    def run(m: pd.Series, x: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series([kernels.areas(np.asarray(a), np.asarray(b), np.asarray(c, dtype=int)) for a, b, c in zip(m, x, p, strict=True)])
-
-    return run(mz, intensity, peaks)
-
-
-def origin(mz: Column, intensity: Column, noise: Column, **how) -> Column:
-    @F.pandas_udf("array<struct<i:int,mz:double,intensity:double,area:double>>")
-    def run(m: pd.Series, x: pd.Series, s: pd.Series) -> pd.Series:
-        out = []
-        for a, b, c in zip(m, x, s, strict=True):
-            a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
-            at, size = kernels.origin_peaks(a, b, c, **how)
-            out.append([{"i": int(i), "mz": float(a[i]), "intensity": float(b[i]), "area": float(v)} for i, v in zip(at, size, strict=True)])
-        return pd.Series(out)
-
-    return run(mz, intensity, noise)
-
-
-def dynamic_bins(intensity: Column, bins: int = 4, iterations: int = 10) -> Column:
-    @F.pandas_udf("array<struct<low:int,high:int>>")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series([[{"low": a, "high": b} for a, b in kernels.dynamic_bins(np.asarray(v, dtype=float), bins, iterations)] for v in x])
-
-    return run(intensity)

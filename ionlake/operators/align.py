@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions import ragged, spectrum_udfs
-from .layout import as_arrays, finite, nest_points
+from .layout import as_arrays, nest_points
 
 EPS = 2.220446049250313e-16
 LEAST_RELATIVE, LEAST_ABSOLUTE = 5e-7, 1e-4
@@ -43,14 +43,6 @@ class Domain(NamedTuple):
             raise ValueError("a relative grid needs m/z of 1 or more")
         return int(math.floor(1 + (math.log(self.high) - math.log(self.low)) / math.log(self.ratio)))
 
-    def value(self, k: Column) -> Column:
-        return F.lit(self.low) * F.pow(F.lit(self.ratio), k) if self.relative else F.lit(self.low) + k * F.lit(self.step)
-
-    def place(self, mz: Column) -> Column:
-        """The bin at or below an m/z, by arithmetic."""
-        k = F.floor((F.log(mz) - math.log(self.low)) / math.log(self.ratio)) if self.relative else F.floor((mz - F.lit(self.low)) / F.lit(self.step))
-        return F.least(F.greatest(k, F.lit(0)), F.lit(self.count - 1)).cast("double")
-
 
 def _relative(units: str) -> bool:
     return units in ("ppm", "relative")
@@ -374,17 +366,6 @@ def dense(aligned: DataFrame, references: int) -> DataFrame:
     return held.mapInArrow(run, f"spectrum_id {kind}, aligned array<double>")
 
 
-def by_mz(spectra: DataFrame) -> DataFrame:
-    """Spectra in ascending m/z without points whose m/z is not finite; equal m/z keep their order."""
-    pairs = F.filter(F.arrays_zip("mz", "intensity"), lambda p: finite(p["mz"]))
-    # spectra that are in order already, which is the rule, aren't sorted again
-    placed = F.transform(pairs, lambda p, i: F.struct(p["mz"].alias("mz"), i.alias("i"), p["intensity"].alias("intensity")))
-    mz = F.transform(pairs, lambda p: p["mz"])
-    sorted_ = F.when(mz == F.array_sort(mz), placed).otherwise(F.array_sort(placed))
-    held = spectra.select("spectrum_id", sorted_.alias("p"))
-    return held.select("spectrum_id", F.col("p.mz").cast("array<double>").alias("mz"), F.col("p.intensity").cast("array<double>").alias("intensity"))
-
-
 def align(points: DataFrame, axis: list[float], tolerance: float, relative: bool = True, fill_holes: bool = False) -> DataFrame:
     """(spectrum_id, aligned array): all spectra on a given axis, by the kernel that also spreads few peaks over
     many references."""

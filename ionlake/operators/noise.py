@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import spectrum_udfs, weights
+from ..functions import ragged, spectrum_udfs, weights
 from .layout import finite, in_order, nest_points, per_spectrum
 from .smooth import convolved
 
@@ -95,6 +99,19 @@ def binned_noise(points: DataFrame, bins: int = 4, overlap: float = 0.0, method:
     return held.groupBy("spectrum_id", F.col("at.b").alias("b"), ((F.col("at.low") + F.col("at.high")) / 2).alias("mid")).agg(_floored(spread[method]).alias("noise"))
 
 
+def dynamic_bins(spectra: DataFrame, bins: int = 4, iterations: int = 10) -> DataFrame:
+    """(spectrum_id, low, high, noise) of spectra with arrays: bins that follow the signal, and the noise in each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, r in ragged.ragged_slices(batch):
+                row, low, high, value = ragged.dynamic_bins(r, bins, iterations)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(value)], ["spectrum_id", "low", "high", "noise"])
+
+    kind = spectra.schema["spectrum_id"].dataType.simpleString()
+    return spectra.select("spectrum_id", "mz", "intensity").mapInArrow(run, f"spectrum_id {kind}, low int, high int, noise double")
+
+
 def snr(points: DataFrame, method: str = "sd") -> DataFrame:
     """(spectrum_id, signal, noise, snr): the 95th percentile of intensity over the mean noise."""
     held = with_noise(points, method)

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ragged
-from .functions import spectrum_udfs as udfs
 from .operators import align, baseline, layout, noise, normalize, peaks, select, shared_axis, smooth, summary
 from .oracles import ORACLES  # noqa: F401
 from .plans.pipeline import Pipeline, fused
@@ -78,16 +77,6 @@ def embeddings(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(t.embedding_points(spark, sf_dir))
 
 
-def arrays(fn: Callable[[DataFrame], DataFrame]) -> Query:
-    """Over event spectra as arrays; the result's array ``value`` comes out point by point."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = fn(layout.nest_points(t.event_points(spark, sf_dir)))
-        return out.select("spectrum_id", F.posexplode("value").alias("i", "value")).select("spectrum_id", "i", rounded("value"))
-
-    return run
-
-
 def spatial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.spatial_window(t.embedding_spectra(spark, sf_dir), 3, 2, 12, 6).select("spectrum_id", "x", "y", "z")
 
@@ -180,10 +169,12 @@ def peaks_prominence(points: DataFrame) -> DataFrame:
     return out.where(F.col("prominence") >= 20)
 
 
-def peaks_origin(points: DataFrame) -> DataFrame:
-    held = layout.nest_points(points).join(noise.noise(points, "sd"), "spectrum_id")
-    out = held.select("spectrum_id", F.explode(udfs.origin(F.col("mz"), F.col("intensity"), F.col("noise"))).alias("p"))
-    return out.select("spectrum_id", "p.i", F.round("p.mz", 6).alias("mz"), F.round("p.intensity", 6).alias("intensity"), F.round("p.area", 6).alias("area"))
+def peaks_origin(spectra: DataFrame) -> DataFrame:
+    """Peaks by shape, with their heights and areas."""
+    areas = Pipeline(spectra.withColumn("height", F.col("intensity"))).peak_pick("shape", noise="sd").start()
+    height = F.transform("i", lambda k: F.get("height", k))
+    out = areas.select("spectrum_id", F.explode(F.arrays_zip("i", "mz", height.alias("height"), F.col("intensity").alias("area"))).alias("p"))
+    return out.select("spectrum_id", "p.i", F.round("p.mz", 6).alias("mz"), F.round("p.height", 6).alias("intensity"), F.round("p.area", 6).alias("area"))
 
 
 def noise_curve(points: DataFrame) -> DataFrame:
@@ -201,12 +192,9 @@ def smoothed_baseline(points: DataFrame) -> DataFrame:
     return curve(layout.smoothed_baseline(baseline.locmin(points, 5), "lowess", 0.2), "baseline")
 
 
-def dynamic_bins(points: DataFrame) -> DataFrame:
+def dynamic_bins(spectra: DataFrame) -> DataFrame:
     """Bins that follow the signal, with the noise of the smoothing residual in each."""
-    held = layout.nest_points(points.withColumn("r", noise.residual(F.col("intensity"))), "intensity", "r")
-    at = held.select("spectrum_id", "r", F.explode(udfs.dynamic_bins(F.col("intensity"))).alias("b"))
-    r = at.select("spectrum_id", "b.low", "b.high", F.explode(F.slice("r", F.col("b.low") + 1, F.col("b.high") - F.col("b.low") + 1)).alias("r"))
-    return r.groupBy("spectrum_id", "low", "high").agg(F.round(F.greatest(F.coalesce(F.stddev_samp("r"), F.lit(noise.FLOOR)), F.lit(noise.FLOOR)), 6).alias("noise"))
+    return noise.dynamic_bins(spectra).select("spectrum_id", "low", "high", F.round("noise", 6).alias("noise"))
 
 
 def metrics(points: DataFrame) -> DataFrame:
@@ -290,9 +278,9 @@ QUERIES: dict[str, Query] = {
     "smooth_ma_points": events(lambda p: curve(smooth.moving_average(p, 5))),
     "smooth_gaussian_points": events(lambda p: curve(smooth.gaussian(p, 5))),
     "smooth_savgol_points": embeddings(lambda p: curve(smooth.savgol(p, 7, 2))),
-    "smooth_wavelet": arrays(lambda s: s.withColumn("value", udfs.wavelet(F.col("intensity")))),
-    "smooth_gaussian_ns": arrays(lambda s: s.withColumn("value", udfs.neighbour_smooth(F.col("mz"), F.col("intensity"), 5))),
-    "smooth_bi_ns": arrays(lambda s: s.withColumn("value", udfs.neighbour_smooth(F.col("mz"), F.col("intensity"), 5, bilateral=True))),
+    "smooth_wavelet": event_arrays(lambda s: array_curve(Pipeline(s).noise_reduction("wavelet").start(), "value")),
+    "smooth_gaussian_ns": event_arrays(lambda s: array_curve(Pipeline(s).noise_reduction("gaussian_ns", window=5).start(), "value")),
+    "smooth_bi_ns": event_arrays(lambda s: array_curve(Pipeline(s).noise_reduction("bi_ns", window=5).start(), "value")),
     "noise_sd": events(noise_of("sd")),
     "noise_mad": events(noise_of("mad")),
     "noise_quantile": events(noise_of("quantile")),
@@ -300,7 +288,7 @@ QUERIES: dict[str, Query] = {
     "noise_bins_sd": events(lambda p: noise.binned_noise(p, 4).select("spectrum_id", "b", "mid", rounded("noise"))),
     "noise_bins_overlap": events(lambda p: noise.binned_noise(p, 4, 0.5, "quantile").select("spectrum_id", "b", "mid", rounded("noise"))),
     "noise_curve": events(noise_curve),
-    "noise_bins_dynamic": events(dynamic_bins),
+    "noise_bins_dynamic": event_arrays(dynamic_bins),
     "snr_spectrum": events(lambda p: noise.snr(p).select("spectrum_id", rounded("signal"), rounded("noise"), rounded("snr", 4))),
     "baseline_locmin": event_arrays(baseline_of(lambda r: ragged.locmin(r, 5))),
     "baseline_locmin_upper": event_arrays(baseline_of(lambda r: ragged.locmin(r, 5, upper=True))),
@@ -309,10 +297,10 @@ QUERIES: dict[str, Query] = {
     "baseline_spline": event_arrays(baseline_of(lambda r: ragged.spline(r, ragged.locmin(r, 5), 5))),
     "baseline_locmin_points": events(lambda p: curve(baseline.locmin(p, 5), "baseline")),
     "baseline_snip_m5_points": lines(lambda p: curve(baseline.snip(p, 5), "baseline")),
-    "baseline_asls": event_arrays(lambda s: array_curve(fused(s, [lambda r: r.with_x(ragged.asls(r, 1e4))])).withColumnRenamed("intensity", "value")),
+    "baseline_asls": event_arrays(lambda s: array_curve(fused(s, [lambda r: r.with_x(ragged.asls(r, 1e4))]), "value")),
     # halved again and again, values lie on the edge of rounding; shifted a little they don't
-    "baseline_snip_auto": arrays(lambda s: s.withColumn("value", F.transform(udfs.snip(F.col("intensity")), lambda v: v + 1e-9))),
-    "baseline_lowess": arrays(lambda s: s.withColumn("value", udfs.lowess(F.col("mz"), F.col("intensity"), 0.3))),
+    "baseline_snip_auto": event_arrays(lambda s: array_curve(fused(s, [lambda r: r.with_x(ragged.snip(r) + 1e-9)]), "value")),
+    "baseline_lowess": event_arrays(lambda s: array_curve(fused(s, [lambda r: r.with_x(ragged.lowess(r, r.x, 0.3, "mz"))]), "value")),
     "baseline_locmin_lowess": lambda spark, d: smoothed_baseline(t.event_points(spark, d)),
     "peaks_sd": event_arrays(picked_by("sd")),
     "peaks_mad": event_arrays(picked_by("mad")),
@@ -323,7 +311,7 @@ QUERIES: dict[str, Query] = {
     "peaks_area": events(peaks_area),
     "peaks_pick_prominence": events(lambda p: peak_list(peaks.pick(p, 5, 2.0, "sd", relheight=0.5, prominence=20.0))),
     "peaks_noise_curve": events(lambda p: peak_list(peaks.pick(p, 5, 2.0, "sd", nbins=4, overlap=0.5))),
-    "peaks_origin": events(peaks_origin),
+    "peaks_origin": event_arrays(peaks_origin),
     "align_resolution": line_arrays(lambda p: align.resolution(p).select("spectrum_id", rounded("resolution", 9), rounded("low"), rounded("high"))),
     "align_domain": line_arrays(align_domain),
     "align_bins": line_arrays(align_bins),
