@@ -414,6 +414,25 @@ def lowess(base: str, y: str, axis: str, span: float) -> list[str]:
     ]
 
 
+#: Asymmetric least squares: the factors of a system with two bands place by place, then the substitution back, fifteen times.
+_D0 = "(case when i <= n - 3 then 1 else 0 end + case when i >= 1 and i <= n - 2 then 4 else 0 end + case when i >= 2 then 1 else 0 end)"
+_D1 = "(case when i <= n - 2 then -2 else 0 end + case when i >= 2 then -2 else 0 end)"  # between i - 1 and i
+_E2 = "(case when i >= 2 then 1e4::double / d[i - 1] else 0 end)"
+_E1 = f"(case when i >= 1 then (1e4::double * {_D1} - (case when i >= 2 then {_E2} * l1[i] * d[i - 1] else 0 end)) / d[i] else 0 end)"
+ORACLES["baseline_asls"] = nested(EVENTS) + f""", solved as (with recursive r as (
+    select spectrum_id, n, xs, 0 as turn, 0 as i, true as forth, list_transform(xs, lambda v: 1.0::double) as w, []::double[] as d, []::double[] as l1, []::double[] as l2, []::double[] as z, []::double[] as o from g
+    union all
+    select spectrum_id, n, xs, case when not forth and i < 0 then turn + 1 else turn end,
+      case when forth then (case when i = n - 1 then n - 1 else i + 1 end) when i < 0 then 0 else i - 1 end,
+      case when forth then i < n - 1 else i < 0 end,
+      case when not forth and i < 0 then list_transform(xs, lambda v, k: case when v > o[k] then 0.01::double else 0.99::double end) else w end,
+      case when forth then list_append(d, w[i + 1] + 1e4::double * {_D0} - (case when i >= 1 then {_E1} * {_E1} * d[i] else 0 end) - (case when i >= 2 then {_E2} * {_E2} * d[i - 1] else 0 end)) when i < 0 then [] else d end,
+      case when forth then list_append(l1, {_E1}) when i < 0 then [] else l1 end,
+      case when forth then list_append(l2, {_E2}) when i < 0 then [] else l2 end,
+      case when forth then list_append(z, w[i + 1] * xs[i + 1] - (case when i >= 1 then {_E1} * z[i] else 0 end) - (case when i >= 2 then {_E2} * z[i - 1] else 0 end)) when i < 0 then [] else z end,
+      case when forth then [] when i < 0 then o else list_prepend(z[i + 1] / d[i + 1] - (case when i + 1 < n then l1[i + 2] * o[1] else 0 end) - (case when i + 2 < n then l2[i + 3] * o[2] else 0 end), o) end
+    from r where not (turn = 14 and not forth and i < 0))
+  select * from r where turn = 14 and not forth and i < 0)""" + curve("solved", "o", "value")
 ORACLES["baseline_lowess"] = nested(EVENTS, *lowess("g", "xs", "ms", 0.3)) + curve("smoothed", "value", "value")
 ORACLES["baseline_locmin_lowess"] = nested(EVENTS, *locmin("xs", "g", "l", 2), *lowess("l", "baseline", "list_transform(range(n), lambda q: q::double)", 0.2)) + curve("smoothed", "value", "baseline")
 for _name in ("norm_tic", "norm_rms", "norm_ref", "norm_median", "smooth_ma", "smooth_gaussian", "smooth_savgol", "baseline_locmin", "baseline_snip_m5", "pipeline_full", "peaks_sd", "peaks_quantile"):
