@@ -5,7 +5,7 @@ Filter weights are inlined from the same function on both sides, so that both se
 
 from __future__ import annotations
 
-from .functions import weights
+from .functions import kernels, weights
 
 EVENTS = """select user_id as spectrum_id, (row_number() over (partition by user_id order by ts, event_id) - 1)::int as i,
   (count(*) over (partition by user_id))::int as n, 100 + (epoch_us(ts) - 1704067200000000) / 1e9::double as mz, value as intensity from events"""
@@ -433,6 +433,34 @@ ORACLES["baseline_asls"] = nested(EVENTS) + f""", solved as (with recursive r as
       case when forth then [] when i < 0 then o else list_prepend(z[i + 1] / d[i + 1] - (case when i + 1 < n then l1[i + 2] * o[1] else 0 end) - (case when i + 2 < n then l2[i + 3] * o[2] else 0 end), o) end
     from r where not (turn = 14 and not forth and i < 0))
   select * from r where turn = 14 and not forth and i < 0)""" + curve("solved", "o", "value")
+#: Wavelet shrinkage: levels down by filters over mirrored edges, the universal threshold, levels up again.
+_LOW = [float(c) for c in kernels.WAVELETS["db4"]]
+_HIGH = [(-1) ** k * c for k, c in enumerate(_LOW[::-1])]
+_EDGE = "a[case when q < 0 then -q when q >= len(a) then 2 * len(a) - q else q + 1 end]"
+
+
+def _down(kernel: list[float]) -> str:
+    terms = " + ".join(f"{c!r}::double * {_EDGE.replace('q', f'(2 * t + 1 + {j} - 7)')}" for j, c in enumerate(kernel))
+    return f"list_transform(range((len(a) + 7) // 2), lambda t: {terms})"
+
+
+def _up(kernel: list[float], of: str, length: str) -> str:
+    """Zeros between the samples, then the filter; sample t + 6 of the whole."""
+    return " + ".join(f"case when (t + 6 - {j}) % 2 = 0 and t + 6 - {j} >= 0 and (t + 6 - {j}) // 2 < {length} then {c!r}::double * {of}[(t + 6 - {j}) // 2 + 1] else 0 end" for j, c in enumerate(kernel))
+
+
+ORACLES["smooth_wavelet"] = nested(EVENTS) + f""", downs as (with recursive r as (
+    select spectrum_id, n, floor(log2(n / 7.0::double))::int as depth, 0 as level, xs as a, []::double[][] as ds, []::bigint[] as lens from g
+    union all
+    select spectrum_id, n, depth, level + 1, {_down(_LOW)}, list_append(ds, {_down(_HIGH)}), list_append(lens, len(a)) from r where level < depth)
+  select * from r where level = depth),
+  limits as (select *, list_aggregate(list_transform(ds[1], lambda v: abs(v)), 'median') / 0.6745::double * sqrt(2 * ln(n)) as cap from downs),
+  ups as (with recursive r as (
+    select spectrum_id, n, level, a, ds, lens, cap from limits
+    union all
+    select spectrum_id, n, level - 1, list_transform(range(lens[level]), lambda t: {_up(_LOW, "a", "len(soft)")} + {_up(_HIGH, "soft", "len(soft)")}), ds, lens, cap
+    from (select *, list_transform(ds[level], lambda v: sign(v) * greatest(abs(v) - cap, 0)) as soft from r where level > 0))
+  select * from r where level = 0)""" + curve("ups", "a", "value")
 ORACLES["baseline_lowess"] = nested(EVENTS, *lowess("g", "xs", "ms", 0.3)) + curve("smoothed", "value", "value")
 ORACLES["baseline_locmin_lowess"] = nested(EVENTS, *locmin("xs", "g", "l", 2), *lowess("l", "baseline", "list_transform(range(n), lambda q: q::double)", 0.2)) + curve("smoothed", "value", "baseline")
 for _name in ("norm_tic", "norm_rms", "norm_ref", "norm_median", "smooth_ma", "smooth_gaussian", "smooth_savgol", "baseline_locmin", "baseline_snip_m5", "pipeline_full", "peaks_sd", "peaks_quantile"):
