@@ -240,12 +240,13 @@ def _solve_banded(d0: np.ndarray, d1: np.ndarray, d2: np.ndarray, b: np.ndarray)
         d[i], z[i] = a0[i], rhs[i]
         if i >= 2:
             l2[i] = a2[i - 2] / d[i - 2]
-            d[i] -= l2[i] * l2[i] * d[i - 2]
-            z[i] -= l2[i] * z[i - 2]
         if i >= 1:
             l1[i] = (a1[i - 1] - (l2[i] * l1[i - 1] * d[i - 2] if i >= 2 else 0.0)) / d[i - 1]
             d[i] -= l1[i] * l1[i] * d[i - 1]
             z[i] -= l1[i] * z[i - 1]
+        if i >= 2:
+            d[i] -= l2[i] * l2[i] * d[i - 2]
+            z[i] -= l2[i] * z[i - 2]
     out = np.zeros_like(a0)
     for i in range(n - 1, -1, -1):
         out[i] = z[i] / d[i]

@@ -461,6 +461,41 @@ ORACLES["smooth_wavelet"] = nested(EVENTS) + f""", downs as (with recursive r as
     select spectrum_id, n, level - 1, list_transform(range(lens[level]), lambda t: {_up(_LOW, "a", "len(soft)")} + {_up(_HIGH, "soft", "len(soft)")}), ds, lens, cap
     from (select *, list_transform(ds[level], lambda v: sign(v) * greatest(abs(v) - cap, 0)) as soft from r where level > 0))
   select * from r where level = 0)""" + curve("ups", "a", "value")
+#: Bins that follow the signal: join the pair of least error, cut the worst bin where two lines fit best, while the error falls.
+_SUMS = {"sx": "xs[j]", "stx": "(j - 1) * xs[j]", "sxx": "xs[j] * xs[j]", "st": "(j - 1)::double", "stt": "pow(j - 1, 2)::double"}
+
+
+def _error(a: str, b: str) -> str:
+    n, t, tt, x, tx, xx = f"greatest({b} - {a}, 1)", *(f"({c}[{b} + 1] - {c}[{a} + 1])" for c in ("st", "stt", "sx", "stx", "sxx"))
+    ct, cx = f"({tt} - {t} * {t} / {n})", f"({tx} - {t} * {x} / {n})"
+    return f"greatest({xx} - {x} * {x} / {n} - case when {ct} > 0 then {cx} * {cx} / {ct} else 0 end, 0)"
+
+
+def _errors(edges: str) -> str:
+    return f"list_transform(range(len({edges}) - 1), lambda k: {_error(f'{edges}[k + 1]', f'{edges}[k + 2]')})"
+
+
+ORACLES["noise_bins_dynamic"] = nested(
+    EVENTS, *noisy("sd"),
+    "q0 as (select spectrum_id, n, xs, r, list_sort(list_distinct([0, n // 4, 2 * n // 4, 3 * n // 4, n])) as e, "
+    + ", ".join(f"list_transform(range(n + 1), lambda m: coalesce(list_sum(list_transform(range(1, m + 1), lambda j: {v})), 0)::double) as {c}" for c, v in _SUMS.items()) + " from s)",
+) + f""", moved as (with recursive w as (
+    select *, 0 as turn, false as done from q0
+    union all
+    select spectrum_id, n, xs, r, case when better then new else e end, {", ".join(_SUMS)}, turn + 1, not better
+    from (select *, worst is not null and list_sum({_errors("new")}) < list_sum(best) as better
+      from (select *, list_concat(joined[1:worst], [lo + list_position(splits, list_min(splits))], joined[worst + 1:]) as new
+        from (select *, list_transform(range(lo + 1, hi), lambda c: {_error("lo", "c")} + {_error("c", "hi")}) as splits
+          from (select *, joined[worst] as lo, joined[worst + 1] as hi
+            from (select *, list_position(wide, list_max(wide)) as worst
+              from (select *, list_transform({_errors("joined")}, lambda v, k: case when joined[k + 1] - joined[k] >= 2 then v end) as wide
+                from (select *, list_concat(e[1:list_position(pairs, list_min(pairs))], e[list_position(pairs, list_min(pairs)) + 2:]) as joined
+                  from (select *, list_transform(range(len(best) - 1), lambda k: best[k + 1] + best[k + 2]) as pairs
+                    from (select *, {_errors("e")} as best from w where turn < 10 and not done)))))))))
+    )
+  select spectrum_id, r, arg_max(e, turn) as e from w group by spectrum_id, r),
+  bins as (select spectrum_id, r, unnest(list_transform(range(len(e) - 1), lambda k: {{'low': e[k + 1], 'stop': e[k + 2]}})) as b from moved)
+select spectrum_id, b.low::int as low, (b.stop - 1)::int as high, round(greatest(coalesce(list_aggregate(r[b.low + 1 : b.stop], 'stddev_samp'), 0.001), 0.001), 6) as noise from bins"""
 ORACLES["baseline_lowess"] = nested(EVENTS, *lowess("g", "xs", "ms", 0.3)) + curve("smoothed", "value", "value")
 ORACLES["baseline_locmin_lowess"] = nested(EVENTS, *locmin("xs", "g", "l", 2), *lowess("l", "baseline", "list_transform(range(n), lambda q: q::double)", 0.2)) + curve("smoothed", "value", "baseline")
 for _name in ("norm_tic", "norm_rms", "norm_ref", "norm_median", "smooth_ma", "smooth_gaussian", "smooth_savgol", "baseline_locmin", "baseline_snip_m5", "pipeline_full", "peaks_sd", "peaks_quantile"):
