@@ -102,7 +102,7 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
     guide = docs.sparkSession.createDataFrame(before, "b int, head long, previous int")
     own, guest = F.struct(F.col("b").alias("b"), F.lit(0).alias("guest")), F.struct(F.col("previous").alias("b"), F.lit(1).alias("guest"))
     sent = rows.join(F.broadcast(guide), "b").select("k", "s", "t", F.explode(F.when(F.col("s") == F.col("head"), F.array(own, guest)).otherwise(F.array(own))).alias("to"))
-    sent = sent.select("k", "s", "t", "to.b", "to.guest").repartition(len(bounds) + 1, "b").sortWithinPartitions("b", "guest", "s", "t")
+    sent = sent.select("k", "s", "t", "to.b", "to.guest").repartitionById(len(bounds) + 1, "b").sortWithinPartitions("b", "guest", "s", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (bucket, key, text, fingerprint) that waits for its next row
