@@ -47,6 +47,11 @@ def line_arrays(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(t.lineitem_spectra(spark, sf_dir))
 
 
+def stored_lines(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    """For alignment, which passes over all spectra three times: these are rows here, so they are put together once."""
+    return lambda spark, sf_dir: fn(t.stored(t.lineitem_spectra(spark, sf_dir)))
+
+
 def vector_arrays(fn: Callable[[DataFrame], DataFrame]) -> Query:
     """Over embeddings with their shared axis in each row."""
 
@@ -313,15 +318,15 @@ QUERIES: dict[str, Query] = {
     "peaks_noise_curve": events(lambda p: peak_list(peaks.pick(p, 5, 2.0, "sd", nbins=4, overlap=0.5))),
     "peaks_origin": event_arrays(peaks_origin),
     "align_resolution": line_arrays(lambda p: align.resolution(p).select("spectrum_id", rounded("resolution", 9), rounded("low"), rounded("high"))),
-    "align_domain": line_arrays(align_domain),
-    "align_bins": line_arrays(align_bins),
-    "align_merge": line_arrays(align_merge),
-    "align_down": line_arrays(align_down),
+    "align_domain": stored_lines(align_domain),
+    "align_bins": stored_lines(align_bins),
+    "align_merge": stored_lines(align_merge),
+    "align_down": stored_lines(align_down),
     "align_up": event_arrays(on_axis("up")),
-    "align_auto": line_arrays(on_axis("auto")),
-    "align_dense": line_arrays(align_dense),
+    "align_auto": stored_lines(on_axis("auto")),
+    "align_dense": stored_lines(align_dense),
     "align_shared_axis": lambda s, d: align_shared_axis(t.shifted_spectra(s, d)),
-    "pipeline_aligned": line_arrays(aligned_pipeline),
+    "pipeline_aligned": stored_lines(aligned_pipeline),
     "infer_type": embeddings(lambda p: summary.infer_type(p).select("spectra", rounded("score", 4), "spectrum_type")),
     "type_scores": events(summary.type_scores),
     "mask": lambda s, d: summary.mask(t.embedding_spectra(s, d)),

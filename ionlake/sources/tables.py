@@ -85,6 +85,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/spectra-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table of its own: for what is read several times and costs a shuffle each time."""
+    folder = scratch(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def as_imzml(spark: SparkSession, spectra: DataFrame, **options: str) -> str:
     """The folder that spectra (x, y, z, mz, intensity) have been written to as imzML."""
     imzml.register(spark)
