@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionlake.llm import bpe, language, licenses, ngram_join, spotsigs, token_store, toxicity, url_filter
-from ionlake.llm.queries import URL_RULES, tokenizer_file
+from ionlake.llm.queries import QUERIES, URL_RULES, tokenizer_file
 
 from .helpers import ODD, brute_components, corpus, docs_frame, prose
 
@@ -155,6 +155,22 @@ def test_url_filter_against_brute_force(spark):
     assert url_filter.filter_urls(pages.where("false"), URL_RULES).count() == 0
 
 
+def test_url_filter_by_the_words_of_its_contract(spark, tmp_path):
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"),
+        "http://w.example.com/en/71": ("example.com/en/7", "allow"),
+        "http://a.net/de/1": ("net/de/", "allow"),
+        "http://example.net/de/9": ("net/de/", "allow"),
+        "http://w.example.net/de/81": ("example.net/de/8", "block"),
+        "http://b.org/es/": ("org/es/", "block"),
+        "http://b.org/de/": (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    urls = list(want)
+    got = {urls[r["page_id"]]: (r["rule"], r["verdict"]) for r in QUERIES["op6_url_filter"](spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_licences(spark):
     mit = "The MIT License (MIT)\n" + licenses.SENTENCES[9][1] + "\nsome words.\n" + licenses.SENTENCES[10][1].upper()
     rows = [(1, "Text.\nLicensed under the Apache Licence, version 2.0\nmore. Released under the MIT License.", None, None), (2, mit, None, None), (3, "no licence here", None, None), *ODD]
